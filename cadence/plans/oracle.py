@@ -160,3 +160,133 @@ FROM events e JOIN anchors a ON a.patient_id = e.user_id"""
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# Cohort / static ------------------------------------------------------------
+
+_COHORT = """
+cohort AS (
+  SELECT user_id AS patient_id FROM events WHERE regexp_matches(event_type, 'err|purch', 'i')
+  UNION
+  SELECT o_custkey FROM orders WHERE regexp_matches(o_orderpriority, 'urgent', 'i'))"""
+
+ORACLE["cohort_keyword"] = _with(_COHORT) + "\nSELECT patient_id FROM cohort"
+
+ORACLE["cohort_tables_semijoin"] = _with(_COHORT) + """
+SELECT event_id, user_id AS patient_id, ts, event_type, value FROM events
+WHERE user_id IN (SELECT patient_id FROM cohort)"""
+
+ORACLE["cohort_sample"] = _with(_COHORT) + "\nSELECT patient_id FROM cohort ORDER BY patient_id LIMIT 50 OFFSET 10"
+
+_PATIENTS = """
+pat AS (
+  SELECT c.c_custkey AS patient_id,
+         CAST(f.first_order AS DATE) AS birthdate,
+         CASE WHEN c.c_acctbal < 0 THEN CAST(f.first_order AS DATE) + INTERVAL 30 DAY END AS deathdate,
+         CASE c.c_mktsegment WHEN 'BUILDING' THEN 'F' WHEN 'AUTOMOBILE' THEN 'M'
+              WHEN 'HOUSEHOLD' THEN 'F' WHEN 'FURNITURE' THEN 'X' END AS gender,
+         CASE c.c_nationkey % 7 WHEN 0 THEN 'white' WHEN 1 THEN 'black' WHEN 2 THEN 'asian'
+              WHEN 3 THEN 'native' WHEN 4 THEN 'other' WHEN 5 THEN 'martian' END AS race,
+         CASE c.c_nationkey % 3 WHEN 0 THEN 'nonhispanic' WHEN 1 THEN 'hispanic' END AS ethnicity
+  FROM customer c LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_order FROM orders GROUP BY 1) f
+    ON f.o_custkey = c.c_custkey),
+demo AS (
+  SELECT patient_id,
+         coalesce(datediff('day', birthdate, DATE '2025-01-01') / 365.25, 0.0) AS age,
+         CASE gender WHEN 'F' THEN 0.0 WHEN 'M' THEN 1.0 ELSE 2.0 END AS gender,
+         CASE race WHEN 'asian' THEN 1.0 WHEN 'black' THEN 2.0 WHEN 'native' THEN 3.0
+                   WHEN 'other' THEN 4.0 WHEN 'white' THEN 5.0 ELSE 0.0 END AS race,
+         CASE ethnicity WHEN 'hispanic' THEN 1.0 WHEN 'nonhispanic' THEN 2.0 ELSE 0.0 END AS ethnicity
+  FROM pat),
+com AS (
+  SELECT p.patient_id,
+    CAST(coalesce(bool_or(regexp_matches(o.o_orderpriority || ' ' || o.o_orderstatus, '1-urgent p', 'i')), false) AS DOUBLE) AS diabetes,
+    CAST(coalesce(bool_or(regexp_matches(o.o_orderpriority || ' ' || o.o_orderstatus, '2-high p', 'i')), false) AS DOUBLE) AS hypertension,
+    CAST(coalesce(bool_or(regexp_matches(o.o_orderpriority || ' ' || o.o_orderstatus, '3-medium p', 'i')), false) AS DOUBLE) AS obesity,
+    CAST(coalesce(bool_or(regexp_matches(o.o_orderpriority || ' ' || o.o_orderstatus, 'not specified p', 'i')), false) AS DOUBLE) AS copd,
+    CAST(coalesce(bool_or(regexp_matches(o.o_orderpriority || ' ' || o.o_orderstatus, '5-low p', 'i')), false) AS DOUBLE) AS heart_disease
+  FROM pat p LEFT JOIN orders o ON o.o_custkey = p.patient_id GROUP BY p.patient_id),
+stat AS (
+  SELECT d.patient_id, d.age, d.gender, d.race, d.ethnicity,
+         c.diabetes, c.hypertension, c.obesity, c.copd, c.heart_disease,
+         1.0 AS healthcare_coverage, 0.5 AS income_level,
+         CASE WHEN d.age > 65 THEN 1.0 ELSE 0.0 END AS age_risk,
+         CASE WHEN d.age < 18 THEN 0.0 WHEN d.age < 50 THEN 1.0 WHEN d.age < 65 THEN 2.0 ELSE 3.0 END AS age_group,
+         c.diabetes + c.hypertension + c.obesity + c.copd + c.heart_disease AS comorbidity_count,
+         CASE WHEN c.diabetes + c.hypertension + c.obesity + c.copd + c.heart_disease >= 2 THEN 1.0 ELSE 0.0 END
+           AS high_comorbidity
+  FROM demo d JOIN com c USING (patient_id))"""
+
+ORACLE["static_demographics"] = _with(_PATIENTS) + """
+SELECT patient_id, round(age, 6) AS age, gender, race, ethnicity FROM demo"""
+
+ORACLE["comorbidity_flags"] = _with(_PATIENTS) + "\nSELECT * FROM com"
+
+ORACLE["static_features"] = _with(_PATIENTS) + """
+SELECT * REPLACE (round(age, 6) AS age) FROM stat"""
+
+ORACLE["derived_static"] = _with(_PATIENTS) + """
+SELECT patient_id, age_risk, age_group, comorbidity_count, high_comorbidity FROM stat"""
+
+ORACLE["targets"] = _with(_EVENT_BASE, """
+listed AS (
+  SELECT g.patient_id,
+    count(*) FILTER (WHERE e.event_type = 'error' AND e.kind = 'c' AND contains(lower(e.event_type), 'error')) AS sev_l,
+    count(DISTINCT e.event_id) FILTER (WHERE e.kind = 'c' AND contains(lower(e.event_type), 'error')) AS sev_d,
+    count(*) FILTER (WHERE e.kind = 'p' AND contains(lower(e.event_type), 'purchase')) AS crit_l,
+    count(DISTINCT e.event_id) FILTER (WHERE e.kind = 'p' AND contains(lower(e.event_type), 'purchase')) AS crit_d,
+    bool_or(e.kind = 'p' AND contains(lower(e.event_type), 'error')) AS icu_p,
+    bool_or(e.kind = 'e' AND contains(lower(e.event_type), 'signup')) AS icu_e,
+    bool_or(e.kind = 'p' AND contains(lower(e.event_type), 'purch')) AS vent_p
+  FROM grid g JOIN (
+      SELECT event_id, user_id, ts, event_type, 'c' AS kind FROM events WHERE event_type = 'error'
+      UNION ALL SELECT event_id, user_id, ts, event_type, 'e' FROM events WHERE event_type = 'signup'
+      UNION ALL SELECT event_id, user_id, ts, event_type, 'p' FROM events WHERE event_type IN ('purchase', 'error')) e
+    ON e.user_id = g.patient_id AND e.ts >= g.t - INTERVAL 1 HOUR AND e.ts < g.t + INTERVAL 1 HOUR
+  GROUP BY g.patient_id)""") + """
+SELECT a.patient_id,
+  round(least(0.3 * coalesce(l.sev_l, 0) + 0.4 * coalesce(l.crit_l, 0), 1.0), 6) AS mortality_risk,
+  round(least(0.3 * coalesce(l.sev_d, 0) + 0.4 * coalesce(l.crit_d, 0), 1.0), 6) AS mortality_risk_distinct,
+  CASE WHEN coalesce(l.icu_e, false) OR coalesce(l.icu_p, false) THEN 1.0 ELSE 0.0 END AS icu_admission,
+  CASE WHEN coalesce(l.vent_p, false) THEN 1.0 ELSE 0.0 END AS ventilator_need,
+  719.0 AS length_of_stay,
+  round(epoch_us(least(a.t0 + INTERVAL 720 HOUR, m.mx) - a.t0) / 3600000000.0, 6) AS los_observed_hours
+FROM anchors a
+JOIN (SELECT patient_id, max(ts) AS mx FROM stamps GROUP BY 1) m USING (patient_id)
+LEFT JOIN listed l USING (patient_id)"""
+
+ORACLE["label_flags"] = _with(_PATIENTS) + """
+SELECT p.patient_id,
+  CAST(p.deathdate IS NOT NULL AS INTEGER) AS mortality,
+  CAST(EXISTS (SELECT 1 FROM events e WHERE e.user_id = p.patient_id
+               AND e.event_type IN ('signup', 'purchase', 'error') AND regexp_matches(e.event_type, 'signup', 'i'))
+       AS INTEGER) AS icu,
+  CAST(EXISTS (SELECT 1 FROM events e WHERE e.user_id = p.patient_id
+               AND regexp_matches(e.event_type, 'error|purchase', 'i')) AS INTEGER) AS ventilator
+FROM pat p"""
+
+ORACLE["event_time_timeline"] = """
+WITH recs AS (
+  SELECT o_custkey AS patient_id, o_orderdate AS ts, 'encounters' AS kind FROM orders
+  UNION ALL
+  SELECT o.o_custkey, l.l_shipdate, 'procedures' FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey),
+per_ts AS (
+  SELECT patient_id, ts, count(*) AS n_records,
+         count(*) FILTER (WHERE kind = 'encounters') AS n_encounters,
+         count(*) FILTER (WHERE kind = 'procedures') AS n_procedures
+  FROM recs WHERE ts IS NOT NULL GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY ts) AS pos FROM per_ts"""
+
+ORACLE["padded_sequences"] = """
+WITH o AS (
+  SELECT o_custkey AS patient_id, o_totalprice AS value,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rd
+  FROM orders),
+top AS (SELECT * FROM o WHERE rd <= 12),
+kept AS (SELECT c.c_custkey AS patient_id, count(t.rd) AS k
+         FROM customer c LEFT JOIN top t ON t.patient_id = c.c_custkey GROUP BY 1)
+SELECT t.patient_id, k.k - t.rd + 1 AS pos, round(t.value, 6) AS value, 0 AS is_pad, k.k AS sequence_length
+FROM top t JOIN kept k USING (patient_id)
+UNION ALL
+SELECT k.patient_id, r.pos, 0.0, 1, k.k
+FROM kept k JOIN range(1, 13) AS r(pos) ON r.pos > k.k"""

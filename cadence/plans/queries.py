@@ -158,3 +158,104 @@ def relative_time(spark, sf_dir):
 
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
+
+
+# ---------------------------------------------------------------------------
+# Cohort (events + orders), static features (customer/orders binding)
+# ---------------------------------------------------------------------------
+
+from ..operators import cohort as co  # noqa: E402
+from ..operators import features as fe  # noqa: E402
+from ..operators import sequences as sq  # noqa: E402
+from ..operators import targets as tg  # noqa: E402
+
+
+def _cohort(spark, sf_dir):
+    ev = bd.read_table(spark, sf_dir, "events", ["user_id", "event_type"]).select(
+        F.col("user_id").alias("patient_id"), F.col("event_type").alias("description"))
+    od = bd.read_table(spark, sf_dir, "orders", ["o_custkey", "o_orderpriority"]).select(
+        F.col("o_custkey").alias("patient_id"), F.col("o_orderpriority").alias("description"))
+    return co.cohort_ids([(ev, bd.EVENT_COHORT_KEYWORDS), (od, bd.ORDER_COHORT_KEYWORDS)])
+
+
+@query("cohort_keyword")
+def cohort_keyword(spark, sf_dir):
+    """P1 + U1: ids with a matching event type or order priority."""
+    return _cohort(spark, sf_dir)
+
+
+@query("cohort_tables_semijoin")
+def cohort_tables_semijoin(spark, sf_dir):
+    """The events of cohort members (left-semi join)."""
+    ev = bd.read_table(spark, sf_dir, "events", ["event_id", "user_id", "ts", "event_type", "value"]) \
+        .withColumnRenamed("user_id", "patient_id")
+    return co.restrict(ev, _cohort(spark, sf_dir))
+
+
+@query("cohort_sample")
+def cohort_sample(spark, sf_dir):
+    """The deterministic [10, 60) slice of the cohort in id order (the
+    slice is the feature: a sampling operator)."""
+    return co.cohort_sample(_cohort(spark, sf_dir), start=10, size=50)
+
+
+@query("static_demographics")
+def static_demographics(spark, sf_dir):
+    """F1 + F5: age at 2025-01-01 and label codes."""
+    return _r(fe.demographics(bd.customer_patients(spark, sf_dir)), "age")
+
+
+@query("comorbidity_flags")
+def comorbidity_flags(spark, sf_dir):
+    roles = bd.order_roles(spark, sf_dir)
+    return fe.comorbidity_flags(roles.patients, roles.conditions, bd.ORDER_COMORBIDITIES)
+
+
+@query("static_features")
+def static_features(spark, sf_dir):
+    """F18 + F17 (+ F2-F4, F6): the 15 named static features."""
+    roles = bd.order_roles(spark, sf_dir)
+    return _r(fe.static_features(roles.patients, roles.conditions, bd.ORDER_COMORBIDITIES), "age")
+
+
+@query("derived_static")
+def derived_static(spark, sf_dir):
+    roles = bd.order_roles(spark, sf_dir)
+    st = fe.static_features(roles.patients, roles.conditions, bd.ORDER_COMORBIDITIES)
+    return st.select("patient_id", "age_risk", "age_group", "comorbidity_count", "high_comorbidity")
+
+
+@query("targets")
+def targets(spark, sf_dir):
+    """A12-A16 over the events timeline."""
+    roles, extent, _ = _event_timeline(spark, sf_dir)
+    t = tg.targets(roles.conditions, roles.encounters, roles.procedures, extent, bd.EVENT_TARGETS)
+    return _r(t, "mortality_risk", "mortality_risk_distinct", "los_observed_hours")
+
+
+@query("label_flags")
+def label_flags(spark, sf_dir):
+    """A11 split labels for every customer: death date, ICU / ventilator text."""
+    roles = bd.event_roles(spark, sf_dir)
+    return tg.label_flags(roles.patients, roles.encounters, roles.procedures, roles.devices,
+                          bd.EVENT_SPLIT_FLAGS["icu"], bd.EVENT_SPLIT_FLAGS["ventilator"])
+
+
+@query("event_time_timeline")
+def event_time_timeline(spark, sf_dir):
+    """A8 + O2: per customer, sorted distinct order / ship timestamps."""
+    o = bd.read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    li = bd.read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_shipdate"])
+    enc = o.select(F.col("o_custkey").alias("patient_id"), F.col("o_orderdate").alias("ts"))
+    proc = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("patient_id"),
+                                                              F.col("l_shipdate").alias("ts"))
+    return sq.event_time_timeline({"encounters": enc, "procedures": proc})
+
+
+@query("padded_sequences")
+def padded_sequences(spark, sf_dir):
+    """F10 + O5 + F13: the 12 most recent order totals per customer, zero-padded."""
+    o = bd.read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"]).select(
+        F.col("o_custkey").alias("patient_id"), "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("value"))
+    pts = bd.read_table(spark, sf_dir, "customer", ["c_custkey"]).withColumnRenamed("c_custkey", "patient_id")
+    return _r(sq.tail_sequences(o, pts, 12, ["o_orderdate", "o_orderkey"]), "value")
