@@ -290,3 +290,338 @@ FROM top t JOIN kept k USING (patient_id)
 UNION ALL
 SELECT k.patient_id, r.pos, 0.0, 1, k.k
 FROM kept k JOIN range(1, 13) AS r(pos) ON r.pos > k.k"""
+
+
+# Quality ------------------------------------------------------------------
+
+_ORDER_ROLES = _PATIENTS + """,
+obs AS (SELECT o_custkey AS patient_id, o_orderdate AS ts, NULLIF(o_orderpriority, '4-NOT SPECIFIED') AS description,
+               o_totalprice AS value FROM orders),
+cond AS (SELECT o_custkey AS patient_id, o_orderdate AS ts, o_orderpriority || ' ' || o_orderstatus AS description
+         FROM orders)"""
+
+_ROLE_COLS = {"patients": ["patient_id", "birthdate", "deathdate", "gender", "race", "ethnicity"],
+              "observations": ["patient_id", "ts", "description", "value"],
+              "conditions": ["patient_id", "ts", "description"]}
+_ROLE_VIEW = {"patients": "pat", "observations": "obs", "conditions": "cond"}
+
+ORACLE["missing_profile"] = _with(_ORDER_ROLES) + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count "
+    f"FROM {_ROLE_VIEW[t]}" for t, cols in _ROLE_COLS.items() for c in cols)
+
+
+def _nullsum(cols):
+    return " + ".join(f"CAST({c} IS NULL AS BIGINT)" for c in cols)
+
+
+_MISSING = _ORDER_ROLES + f""",
+cells AS (
+  SELECT patient_id, {_nullsum(_ROLE_COLS['patients'])} AS m, 6 AS t FROM pat
+  UNION ALL SELECT patient_id, {_nullsum(_ROLE_COLS['observations'])}, 4 FROM obs
+  UNION ALL SELECT patient_id, {_nullsum(_ROLE_COLS['conditions'])}, 3 FROM cond),
+miss AS (
+  SELECT p.patient_id, CAST(coalesce(sum(c.m), 0) AS BIGINT) AS missing_cells,
+         CAST(coalesce(sum(c.t), 0) AS BIGINT) AS total_cells
+  FROM pat p LEFT JOIN cells c USING (patient_id) GROUP BY p.patient_id),
+missq AS (
+  SELECT patient_id, missing_cells, total_cells,
+         CASE WHEN total_cells > 0 THEN missing_cells / total_cells ELSE 0.0 END AS missing_share,
+         CASE WHEN total_cells > 0 THEN (total_cells - missing_cells) / total_cells ELSE 0.0 END AS completeness
+  FROM miss)"""
+
+ORACLE["missing_by_entity"] = _with(_MISSING) + """
+SELECT patient_id, missing_cells, total_cells, round(missing_share, 6) AS missing_share,
+       round(completeness, 6) AS completeness, missing_share > 0.2 AS high_missing, missing_share <= 0.8 AS is_valid
+FROM missq"""
+
+_LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+           "l_tax"]
+ORACLE["iqr_outliers"] = "WITH long AS (\n" + "\n  UNION ALL ".join(
+    f"SELECT l_suppkey AS patient_id, '{c}' AS column_name, CAST({c} AS DOUBLE) AS v FROM lineitem"
+    for c in _LI_NUM) + """),
+b AS (SELECT patient_id, column_name, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3
+      FROM long WHERE v IS NOT NULL GROUP BY ALL)
+SELECT b.patient_id, b.column_name, round(b.q1, 6) AS q1, round(b.q3, 6) AS q3,
+       count(*) FILTER (WHERE l.v < b.q1 - 1.5 * (b.q3 - b.q1) OR l.v > b.q3 + 1.5 * (b.q3 - b.q1)) AS n_outliers
+FROM b JOIN long l USING (patient_id, column_name)
+GROUP BY b.patient_id, b.column_name, b.q1, b.q3"""
+
+_CONSIST = _ORDER_ROLES + """,
+cons AS (
+  SELECT p.patient_id, count(o.ts) AS n_valid,
+         count(*) FILTER (WHERE o.ts > TIMESTAMP '1999-01-01 00:00:00') AS n_future,
+         coalesce(epoch_us(max(o.ts) - min(o.ts)) > 730 * 86400000000, false) AS long_period
+  FROM pat p LEFT JOIN obs o USING (patient_id) GROUP BY p.patient_id)"""
+
+ORACLE["temporal_consistency"] = _with(_CONSIST) + """
+SELECT patient_id, n_valid, n_future, long_period,
+       round(CASE WHEN n_valid > 0 THEN (n_valid - n_future) / n_valid ELSE 1.0 END, 6) AS consistency_score
+FROM cons"""
+
+_COVER = """,
+cover AS (
+  SELECT p.patient_id,
+         coalesce(least((floor(epoch(max(o.ts) - min(o.ts)) / 86400) + 1) / 30.0, 1.0), 0.0) AS temporal_coverage
+  FROM pat p LEFT JOIN obs o ON o.patient_id = p.patient_id AND o.ts IS NOT NULL GROUP BY p.patient_id)"""
+
+ORACLE["temporal_coverage"] = _with(_ORDER_ROLES + _COVER) + """
+SELECT patient_id, round(temporal_coverage, 6) AS temporal_coverage FROM cover"""
+
+_SUMMARY = _MISSING + _COVER + """,
+per AS (
+  SELECT m.patient_id, m.missing_share <= 0.8 AS is_valid, m.completeness, c.temporal_coverage,
+         (SELECT count(*) FROM obs o WHERE o.patient_id = m.patient_id) AS n_obs
+  FROM missq m JOIN cover c USING (patient_id)),
+summ AS (
+  SELECT count(*) AS total_patients, count(*) FILTER (WHERE is_valid) AS valid_patients,
+         count(*) FILTER (WHERE NOT is_valid) AS invalid_patients,
+         sum(n_obs) FILTER (WHERE is_valid) / count(*) FILTER (WHERE is_valid) AS avg_observations_per_patient,
+         0.0 AS avg_encounters_per_patient, 0.0 AS avg_medications_per_patient,
+         sum(completeness) FILTER (WHERE is_valid) / count(*) FILTER (WHERE is_valid) AS data_completeness,
+         sum(temporal_coverage) FILTER (WHERE is_valid) / count(*) FILTER (WHERE is_valid) AS temporal_coverage
+  FROM per)"""
+
+ORACLE["quality_summary"] = _with(_SUMMARY) + """
+SELECT total_patients, valid_patients, invalid_patients,
+       round(avg_observations_per_patient, 6) AS avg_observations_per_patient,
+       round(avg_encounters_per_patient, 6) AS avg_encounters_per_patient,
+       round(avg_medications_per_patient, 6) AS avg_medications_per_patient,
+       round(data_completeness, 6) AS data_completeness, round(temporal_coverage, 6) AS temporal_coverage
+FROM summ"""
+
+ORACLE["recommendations"] = _with(_SUMMARY, """
+r AS (
+  SELECT 0 AS o, 'Review and clean data for ' || invalid_patients || ' invalid patients' AS t FROM summ
+    WHERE invalid_patients > 0
+  UNION ALL SELECT 1, 'Consider collecting more patient data for robust model training' FROM summ
+    WHERE valid_patients < 100
+  UNION ALL SELECT 2, 'Implement data imputation strategies for missing values' FROM summ
+    WHERE coalesce(data_completeness, 1.0) < 0.8
+  UNION ALL SELECT 3, 'Ensure adequate temporal coverage for all patients' FROM summ
+    WHERE coalesce(temporal_coverage, 1.0) < 0.5)""") + """
+SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS rank, t AS recommendation FROM r"""
+
+ORACLE["patient_issues"] = _with(_MISSING + "," + _CONSIST.split(",\ncons AS", 1)[0].split(_ORDER_ROLES, 1)[1]
+                                 + "cons AS" + _CONSIST.split(",\ncons AS", 1)[1], """
+nobs AS (SELECT p.patient_id, count(o.patient_id) AS n_obs FROM pat p LEFT JOIN obs o USING (patient_id)
+         GROUP BY p.patient_id)""") + """
+SELECT patient_id, 'no_observations' AS code, 'No observations data' AS detail, false AS fatal
+  FROM nobs WHERE n_obs = 0
+UNION ALL SELECT c.patient_id, 'no_valid_dates', 'No valid dates found', false
+  FROM cons c JOIN nobs n USING (patient_id) WHERE c.n_valid = 0 AND n.n_obs > 0
+UNION ALL SELECT patient_id, 'future_dates', 'Future dates detected: ' || n_future || ' observations', false
+  FROM cons WHERE n_future > 0
+UNION ALL SELECT patient_id, 'long_period', 'Unusually long observation period', false FROM cons WHERE long_period
+UNION ALL SELECT patient_id, 'high_missing', printf('Very high missing values: %.2f%%', missing_share * 100), true
+  FROM missq WHERE missing_share > 0.8"""
+
+ORACLE["dataset_coverage"] = """
+WITH enc AS (
+  SELECT o.o_orderdate AS start, l.stop FROM orders o
+  LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS stop FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey)
+SELECT min(start) AS start_date, max(stop) AS end_date,
+       CAST(floor(epoch(max(stop) - min(start)) / 86400) AS BIGINT) AS date_range_days
+FROM enc"""
+
+ORACLE["dataset_summary"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS rows, CAST({n} AS BIGINT) AS columns FROM {t}"
+    for t, n in (("customer", 5), ("orders", 6), ("lineitem", 11), ("events", 6), ("part", 6)))
+
+_COHORT_PAT = _COHORT + "," + _PATIENTS + """,
+cpat AS (SELECT * FROM pat WHERE patient_id IN (SELECT patient_id FROM cohort))"""
+
+ORACLE["value_counts"] = _with(_COHORT_PAT) + """
+SELECT 'gender' AS attribute, gender AS value, count(*) AS n FROM cpat WHERE gender IS NOT NULL GROUP BY gender
+UNION ALL
+SELECT 'race', race, count(*) FROM cpat WHERE race IS NOT NULL GROUP BY race"""
+
+ORACLE["date_describe"] = _with(_COHORT_PAT, """
+f AS (SELECT CAST(birthdate AS VARCHAR) AS s, count(*) AS f FROM cpat WHERE birthdate IS NOT NULL GROUP BY 1)""") + """
+SELECT (SELECT sum(f) FROM f)::BIGINT AS count, (SELECT count(*) FROM f)::BIGINT AS unique,
+       (SELECT s FROM f ORDER BY f DESC, s LIMIT 1) AS top, (SELECT max(f) FROM f)::BIGINT AS freq"""
+
+
+# Splits --------------------------------------------------------------------
+
+_TSPLIT = """
+first AS (SELECT o_custkey AS patient_id, min(o_orderdate) AS first_ts FROM orders
+          WHERE o_orderdate IS NOT NULL GROUP BY 1),
+cuts AS (SELECT CAST(floor(count(*) * (1 - CAST(0.1 AS DOUBLE))) AS BIGINT) AS test_end FROM first),
+cuts2 AS (SELECT test_end,
+                 CAST(floor(test_end * (1 - CAST(0.15 AS DOUBLE) / (1 - CAST(0.1 AS DOUBLE)))) AS BIGINT) AS val_end
+          FROM cuts),
+ranked AS (SELECT patient_id, row_number() OVER (ORDER BY first_ts, patient_id) AS rn FROM first),
+tsplit AS (
+  SELECT r.patient_id, CASE WHEN r.rn <= c.val_end THEN 'train' WHEN r.rn <= c.test_end THEN 'validation'
+                            ELSE 'test' END AS split
+  FROM ranked r, cuts2 c)"""
+
+ORACLE["temporal_split"] = _with(_TSPLIT) + "\nSELECT patient_id, split FROM tsplit"
+
+_FLAGS = _PATIENTS + """,
+flags AS (
+  SELECT p.patient_id, CAST(p.deathdate IS NOT NULL AS INTEGER) AS mortality,
+    CAST(EXISTS (SELECT 1 FROM events e WHERE e.user_id = p.patient_id AND e.event_type = 'signup') AS INTEGER) AS icu,
+    CAST(EXISTS (SELECT 1 FROM events e WHERE e.user_id = p.patient_id
+                 AND e.event_type IN ('error', 'purchase')) AS INTEGER) AS ventilator
+  FROM pat p)"""
+
+ORACLE["split_counts"] = _with(_TSPLIT, _FLAGS) + """
+SELECT s.split, count(*) AS n_patients, CAST(sum(f.mortality) AS BIGINT) AS mortality_pos,
+       CAST(sum(f.icu) AS BIGINT) AS icu_pos, CAST(sum(f.ventilator) AS BIGINT) AS ventilator_pos
+FROM tsplit s LEFT JOIN flags f USING (patient_id) GROUP BY s.split"""
+
+ORACLE["stratified_split_sizes"] = """
+WITH n AS (SELECT count(*) AS n FROM customer),
+s AS (SELECT greatest(1, CAST(round(n * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS t,
+             greatest(1, CAST(round(n * CAST(0.15 AS DOUBLE)) AS BIGINT)) AS v, n FROM n)
+SELECT 'test' AS split, t AS n_patients FROM s
+UNION ALL SELECT 'validation', v FROM s
+UNION ALL SELECT 'train', n - t - v FROM s"""
+
+ORACLE["random_split_sizes"] = """
+WITH n AS (SELECT count(*) AS n FROM customer),
+s AS (SELECT n, CAST(ceil(n * CAST(0.1 AS DOUBLE)) AS BIGINT) AS t FROM n),
+s2 AS (SELECT n, t, CAST(ceil((n - t) * (CAST(0.15 AS DOUBLE) / (1 - CAST(0.1 AS DOUBLE)))) AS BIGINT) AS v FROM s)
+SELECT 'test' AS split, t AS n_patients FROM s2
+UNION ALL SELECT 'validation', v FROM s2
+UNION ALL SELECT 'train', n - t - v FROM s2"""
+
+_SCALED_COLS = ["age", "diabetes", "hypertension", "obesity", "copd", "heart_disease", "healthcare_coverage",
+                "income_level"]
+_ALL_STATIC = ["age", "gender", "race", "ethnicity", "diabetes", "hypertension", "obesity", "copd", "heart_disease",
+               "healthcare_coverage", "income_level", "age_risk", "age_group", "comorbidity_count", "high_comorbidity"]
+
+ORACLE["scaled_static"] = _with(_PATIENTS, _TSPLIT, """
+fit AS (SELECT """ + ", ".join(
+    f"avg({c}) AS {c}_m, CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS {c}_s"
+    for c in _SCALED_COLS) + """
+        FROM stat WHERE patient_id IN (SELECT patient_id FROM tsplit WHERE split = 'train'))""") + """
+SELECT st.patient_id, """ + ", ".join(
+    (f"round(coalesce((st.{c} - fit.{c}_m) / fit.{c}_s, 0.0), 6) AS {c}" if c in _SCALED_COLS
+     else f"round(st.{c}, 6) AS {c}") for c in _ALL_STATIC) + "\nFROM stat st, fit"
+
+
+# Metrics -------------------------------------------------------------------
+
+_PREDS = """
+lab AS (SELECT l.doc_id, CAST(d.n_chars AS DOUBLE) / 20000.0 AS s, CAST(l.quality AS DOUBLE) AS quality,
+               CAST(l.toxic AS DOUBLE) AS toxic
+        FROM labels l JOIN documents d USING (doc_id)),
+preds AS (
+  SELECT doc_id AS patient_id, 'mortality_risk' AS task, s AS prediction, quality AS target FROM lab
+  UNION ALL SELECT doc_id, 'icu_admission', s, toxic FROM lab
+  UNION ALL SELECT doc_id, 'ventilator_need', (s - 0.5) * 4.0, quality FROM lab
+  UNION ALL SELECT l_orderkey * 8 + l_linenumber, 'length_of_stay',
+                   l_quantity * p_retailprice / 1000.0, l_extendedprice / 1000.0
+            FROM lineitem JOIN part ON p_partkey = l_partkey),
+bp AS (
+  SELECT p.patient_id, p.task,
+         CASE WHEN b.logit THEN 1.0 / (1.0 + exp(-p.prediction)) ELSE p.prediction END AS prediction, p.target
+  FROM preds p JOIN (SELECT task, min(prediction) < 0 OR max(prediction) > 1 AS logit FROM preds
+                     WHERE task <> 'length_of_stay' GROUP BY task) b USING (task)),
+sg AS (SELECT task, prediction AS score, sum(CASE WHEN target > 0.5 THEN 1 ELSE 0 END) AS pos,
+              sum(CASE WHEN target > 0.5 THEN 0 ELSE 1 END) AS neg FROM bp GROUP BY ALL),
+cum AS (
+  SELECT *, coalesce(sum(neg) OVER (PARTITION BY task ORDER BY score
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below_neg,
+         sum(pos) OVER (PARTITION BY task ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+         sum(neg) OVER (PARTITION BY task ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp,
+         sum(pos + neg) OVER (PARTITION BY task ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS pp
+  FROM sg),
+rank_m AS (
+  SELECT task,
+         CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below_neg + neg / 2.0)) / (sum(pos) * sum(neg)) END
+           AS auroc,
+         CASE WHEN sum(pos) > 0 THEN sum(pos * tp / pp) / sum(pos) END AS auprc
+  FROM cum GROUP BY task),
+cm AS (
+  SELECT task, count(*) FILTER (WHERE target > 0.5 AND prediction > 0.5) AS tp,
+         count(*) FILTER (WHERE target <= 0.5 AND prediction > 0.5) AS fp,
+         count(*) FILTER (WHERE target <= 0.5 AND prediction <= 0.5) AS tn,
+         count(*) FILTER (WHERE target > 0.5 AND prediction <= 0.5) AS fn, count(*) AS n
+  FROM bp GROUP BY task),
+bin AS (
+  SELECT cm.task, n, tp, fp, tn, fn,
+    CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+    CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+    CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1,
+    CASE WHEN tp + fn + fp = 0 OR tn + fp + fn = 0 THEN 1.0 WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END
+      AS specificity,
+    CASE WHEN tp + fn + fp = 0 OR tn + fp + fn = 0 THEN 0.0 WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END
+      AS sensitivity,
+    CASE WHEN tp + fn + fp = 0 OR tn + fp + fn = 0 THEN 0.0 WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END
+      AS positive_predictive_value,
+    CASE WHEN tp + fn + fp = 0 OR tn + fp + fn = 0 THEN 1.0 WHEN tn + fn > 0 THEN tn / (tn + fn) ELSE 0.0 END
+      AS negative_predictive_value,
+    r.auroc, r.auprc
+  FROM cm LEFT JOIN rank_m r USING (task)),
+reg AS (
+  SELECT task, count(*) AS n, avg(abs(target - prediction)) AS mae,
+         sqrt(avg((target - prediction) * (target - prediction))) AS rmse,
+         avg(abs((target - prediction) / (target + 1e-8))) * 100 AS mape,
+         CASE WHEN var_pop(target) * count(*) > 0
+              THEN 1 - sum((target - prediction) * (target - prediction)) / (var_pop(target) * count(*))
+              ELSE 0.0 END AS r2,
+         avg(CASE WHEN abs(target - prediction) <= 24 THEN 1.0 ELSE 0.0 END) AS within_24h,
+         avg(CASE WHEN abs(target - prediction) <= 48 THEN 1.0 ELSE 0.0 END) AS within_48h
+  FROM preds WHERE task = 'length_of_stay' GROUP BY task),
+ovr AS (
+  SELECT avg(auroc) AS average_auroc, stddev_pop(auroc) AS auroc_std,
+         avg(auroc) FILTER (WHERE task IN ('mortality_risk', 'icu_admission')) AS clinical_composite_score
+  FROM bin WHERE auroc IS NOT NULL)"""
+
+ORACLE["binary_metrics"] = _with(_PREDS) + """
+SELECT task, n, tp, fp, tn, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       round(specificity, 6) AS specificity, round(sensitivity, 6) AS sensitivity,
+       round(positive_predictive_value, 6) AS positive_predictive_value,
+       round(negative_predictive_value, 6) AS negative_predictive_value,
+       round(auroc, 6) AS auroc, round(auprc, 6) AS auprc
+FROM bin"""
+
+ORACLE["regression_metrics"] = _with(_PREDS) + """
+SELECT task, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape, round(r2, 6) AS r2,
+       round(within_24h, 6) AS within_24h, round(within_48h, 6) AS within_48h FROM reg"""
+
+ORACLE["overall_metrics"] = _with(_PREDS) + """
+SELECT round(average_auroc, 6) AS average_auroc, round(auroc_std, 6) AS auroc_std,
+       round(clinical_composite_score, 6) AS clinical_composite_score FROM ovr"""
+
+ORACLE["interpretation"] = _with(_PREDS) + """
+SELECT task, CASE WHEN auroc >= 0.9 THEN 'Excellent' WHEN auroc >= 0.8 THEN 'Good' WHEN auroc >= 0.7 THEN 'Fair'
+                  ELSE 'Poor' END || ' discrimination for mortality risk prediction' AS interpretation
+FROM bin WHERE task = 'mortality_risk'
+UNION ALL
+SELECT task, CASE WHEN auroc >= 0.85 THEN 'Excellent' WHEN auroc >= 0.75 THEN 'Good' ELSE 'Fair' END
+             || ' discrimination for ICU admission prediction' FROM bin WHERE task = 'icu_admission'
+UNION ALL
+SELECT task, CASE WHEN mae <= 24 AND within_24h >= 0.8 THEN 'Excellent' WHEN mae <= 48 AND within_24h >= 0.6
+                  THEN 'Good' ELSE 'Fair' END || ' length of stay prediction accuracy' FROM reg"""
+
+ORACLE["metric_summary"] = _with(_PREDS) + """
+SELECT 'overall_performance' AS section, 'overall' AS task, m.metric, round(m.value, 6) AS value
+FROM ovr, (VALUES ('average_auroc'), ('clinical_composite_score')) AS k(metric),
+     LATERAL (SELECT k.metric AS metric,
+                     CASE k.metric WHEN 'average_auroc' THEN average_auroc ELSE clinical_composite_score END AS value) m
+UNION ALL
+SELECT 'binary_classification', task, metric, round(value, 6)
+FROM (UNPIVOT (SELECT task, auroc, precision, recall, f1 FROM bin) ON auroc, precision, recall, f1
+      INTO NAME metric VALUE value)
+UNION ALL
+SELECT 'regression', task, metric, round(value, 6)
+FROM (UNPIVOT (SELECT task, mae, rmse, r2, within_24h, within_48h FROM reg) ON mae, rmse, r2, within_24h, within_48h
+      INTO NAME metric VALUE value)"""
+
+ORACLE["roc_points"] = _with(_PREDS) + """
+SELECT c.task, round(c.score, 6) AS threshold,
+       round(c.fp / nullif(t.nn, 0), 6) AS fpr, round(c.tp / nullif(t.pp_, 0), 6) AS tpr
+FROM cum c JOIN (SELECT task, sum(pos) AS pp_, sum(neg) AS nn FROM sg GROUP BY task) t USING (task)"""
+
+ORACLE["residual_histogram"] = _with(_PREDS, """
+r AS (SELECT target - prediction AS r FROM preds WHERE task = 'length_of_stay'),
+st AS (SELECT CASE WHEN max(r) > min(r) THEN min(r) ELSE min(r) - 0.5 END AS lo,
+              CASE WHEN max(r) > min(r) THEN (max(r) - min(r)) / 30 ELSE 1.0 / 30 END AS w FROM r),
+c AS (SELECT CAST(least(floor((r.r - st.lo) / st.w), 29) AS INTEGER) + 1 AS bin, count(*) AS n FROM r, st GROUP BY 1)""") + """
+SELECT CAST(b.bin AS INTEGER) AS bin, round(st.lo + (b.bin - 1) * st.w, 6) AS bin_start,
+       round(st.lo + b.bin * st.w, 6) AS bin_end, coalesce(c.n, 0) AS n
+FROM range(1, 31) AS b(bin) CROSS JOIN st LEFT JOIN c ON c.bin = b.bin"""

@@ -259,3 +259,229 @@ def padded_sequences(spark, sf_dir):
         F.col("o_custkey").alias("patient_id"), "o_orderdate", "o_orderkey", F.col("o_totalprice").alias("value"))
     pts = bd.read_table(spark, sf_dir, "customer", ["c_custkey"]).withColumnRenamed("c_custkey", "patient_id")
     return _r(sq.tail_sequences(o, pts, 12, ["o_orderdate", "o_orderkey"]), "value")
+
+
+# ---------------------------------------------------------------------------
+# Quality (customer/orders binding)
+# ---------------------------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from ..operators import metrics as me  # noqa: E402
+from ..operators import quality as qa  # noqa: E402
+from ..operators import splits as sp  # noqa: E402
+
+AS_OF = _dt.datetime(1999, 1, 1)
+
+
+def _quality_tables(spark, sf_dir):
+    roles = bd.order_roles(spark, sf_dir)
+    return roles, {"patients": roles.patients, "observations": roles.observations, "conditions": roles.conditions}
+
+
+@query("missing_profile")
+def missing_profile(spark, sf_dir):
+    """Q9: null count per column of the bound patient / observation tables."""
+    _, tabs = _quality_tables(spark, sf_dir)
+    return qa.null_profile(tabs)
+
+
+@query("missing_by_entity")
+def missing_by_entity(spark, sf_dir):
+    """Q1 + Q6 + P8 per customer."""
+    roles, tabs = _quality_tables(spark, sf_dir)
+    return _r(qa.missing_by_patient(tabs, roles.patients), "missing_share", "completeness")
+
+
+@query("iqr_outliers")
+def iqr_outliers(spark, sf_dir):
+    """Q2: IQR outliers of every numeric line-item column, per supplier."""
+    li = bd.read_table(spark, sf_dir, "lineitem")
+    return _r(qa.iqr_outliers(qa.unpivot_numeric(li, "l_suppkey"), ["patient_id", "column_name"]), "q1", "q3")
+
+
+@query("temporal_consistency")
+def temporal_consistency(spark, sf_dir):
+    """Q3 + P9 with a fixed reference date (1999-01-01)."""
+    roles = bd.order_roles(spark, sf_dir)
+    return _r(qa.temporal_consistency(roles.observations, roles.patients, AS_OF), "consistency_score")
+
+
+@query("temporal_coverage")
+def temporal_coverage(spark, sf_dir):
+    roles = bd.order_roles(spark, sf_dir)
+    return _r(qa.temporal_coverage(roles.observations, roles.patients), "temporal_coverage")
+
+
+def _per_patient_quality(spark, sf_dir):
+    roles, tabs = _quality_tables(spark, sf_dir)
+    miss = qa.missing_by_patient(tabs, roles.patients)
+    cov = qa.temporal_coverage(roles.observations, roles.patients)
+    n_obs = roles.observations.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_obs"))
+    x = miss.join(cov, "patient_id").join(n_obs, "patient_id", "left")
+    return x.select("patient_id", "is_valid", F.coalesce("n_obs", F.lit(0)).alias("n_obs"),
+                    F.lit(0).alias("n_enc"), F.lit(0).alias("n_med"), "completeness", "temporal_coverage")
+
+
+@query("quality_summary")
+def quality_summary(spark, sf_dir):
+    """Q5: cohort-level quality row."""
+    s = qa.quality_summary(_per_patient_quality(spark, sf_dir))
+    return _r(s, "avg_observations_per_patient", "avg_encounters_per_patient", "avg_medications_per_patient",
+              "data_completeness", "temporal_coverage")
+
+
+@query("recommendations")
+def recommendations(spark, sf_dir):
+    """Q8."""
+    return qa.recommendations(qa.quality_summary(_per_patient_quality(spark, sf_dir)))
+
+
+@query("patient_issues")
+def patient_issues(spark, sf_dir):
+    """Q4: long issue list per customer (orders as observations)."""
+    roles, tabs = _quality_tables(spark, sf_dir)
+    miss = qa.missing_by_patient(tabs, roles.patients)
+    cons = qa.temporal_consistency(roles.observations, roles.patients, AS_OF)
+    n_obs = roles.patients.select("patient_id").join(
+        roles.observations.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_obs")), "patient_id", "left") \
+        .select("patient_id", F.coalesce("n_obs", F.lit(0)).alias("n_obs"))
+    cons = cons.join(n_obs.withColumnRenamed("n_obs", "n_obs_rows"), "patient_id")
+    return qa.patient_issues(miss, cons, None, n_obs)
+
+
+@query("dataset_coverage")
+def dataset_coverage(spark, sf_dir):
+    """Q11 over orders-as-encounters."""
+    return qa.dataset_coverage(bd.coverage_encounters(spark, sf_dir))
+
+
+@query("dataset_summary")
+def dataset_summary(spark, sf_dir):
+    """Q12: rows/columns per driver table."""
+    tabs = {n: bd.read_table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem", "events", "part")}
+    return qa.table_summary(tabs)
+
+
+def _cohort_patients(spark, sf_dir):
+    return co.restrict(bd.customer_patients(spark, sf_dir), _cohort(spark, sf_dir))
+
+
+@query("value_counts")
+def value_counts(spark, sf_dir):
+    """Q13: gender and race counts of the cohort's patients."""
+    return qa.value_counts(_cohort_patients(spark, sf_dir), ["gender", "race"])
+
+
+@query("date_describe")
+def date_describe(spark, sf_dir):
+    """Q13: birth date described as text."""
+    return qa.text_describe(_cohort_patients(spark, sf_dir), "birthdate")
+
+
+# ---------------------------------------------------------------------------
+# Splits
+# ---------------------------------------------------------------------------
+
+@query("temporal_split")
+def temporal_split(spark, sf_dir):
+    """Customers by first order date (ties by id)."""
+    roles = bd.order_roles(spark, sf_dir)
+    return sp.temporal_split(roles.observations).drop("first_ts")
+
+
+@query("split_counts")
+def split_counts(spark, sf_dir):
+    """W5 + W7 over the temporal split with the A11 label flags."""
+    roles = bd.order_roles(spark, sf_dir)
+    er = bd.event_roles(spark, sf_dir)
+    flags = tg.label_flags(er.patients, er.encounters, er.procedures, er.devices,
+                           bd.EVENT_SPLIT_FLAGS["icu"], bd.EVENT_SPLIT_FLAGS["ventilator"])
+    return sp.split_counts(sp.temporal_split(roles.observations), flags)
+
+
+@query("stratified_split_sizes")
+def stratified_split_sizes(spark, sf_dir):
+    """W2 sizes (membership follows a seeded hash; see tests for its rules)."""
+    er = bd.event_roles(spark, sf_dir)
+    flags = tg.label_flags(er.patients, er.encounters, er.procedures, er.devices,
+                           bd.EVENT_SPLIT_FLAGS["icu"], bd.EVENT_SPLIT_FLAGS["ventilator"])
+    return sp.split_counts(sp.stratified_split(flags))
+
+
+@query("random_split_sizes")
+def random_split_sizes(spark, sf_dir):
+    """W3 sizes."""
+    pts = bd.read_table(spark, sf_dir, "customer", ["c_custkey"]).withColumnRenamed("c_custkey", "patient_id")
+    return sp.split_counts(sp.random_split(pts))
+
+
+@query("scaled_static")
+def scaled_static(spark, sf_dir):
+    """F7 + F9: static features standard-scaled with mean/std fitted on the
+    temporal split's train patients only."""
+    roles = bd.order_roles(spark, sf_dir)
+    st = fe.static_features(roles.patients, roles.conditions, bd.ORDER_COMORBIDITIES)
+    split = sp.temporal_split(roles.observations)
+    train = st.join(split.where(F.col("split") == "train").select("patient_id"), "patient_id", "left_semi")
+    params = fe.scaler_params(fe.fit_standard_scaler(train))
+    out = fe.apply_standard_scaler(st, params)
+    from ..functions.vocab import STATIC_FEATURES
+    return _r(out, *STATIC_FEATURES)
+
+
+# ---------------------------------------------------------------------------
+# Metrics (labels/documents and lineitem/part predictions)
+# ---------------------------------------------------------------------------
+
+def _binary(spark, sf_dir):
+    return me.binary_metrics(bd.predictions(spark, sf_dir))
+
+
+@query("binary_metrics")
+def binary_metrics(spark, sf_dir):
+    """E1-E5 + E12 + F11 per binary task."""
+    b = _binary(spark, sf_dir)
+    return _r(b, "precision", "recall", "f1", "specificity", "sensitivity", "positive_predictive_value",
+              "negative_predictive_value", "auroc", "auprc")
+
+
+@query("regression_metrics")
+def regression_metrics(spark, sf_dir):
+    """E6-E9."""
+    return _r(me.regression_metrics(bd.predictions(spark, sf_dir)), "mae", "rmse", "mape", "r2",
+              "within_24h", "within_48h")
+
+
+@query("overall_metrics")
+def overall_metrics(spark, sf_dir):
+    """E10 + E11."""
+    return _r(me.overall_metrics(_binary(spark, sf_dir)), "average_auroc", "auroc_std", "clinical_composite_score")
+
+
+@query("interpretation")
+def interpretation(spark, sf_dir):
+    """E14."""
+    p = bd.predictions(spark, sf_dir)
+    return me.interpretation(me.binary_metrics(p), me.regression_metrics(p))
+
+
+@query("metric_summary")
+def metric_summary(spark, sf_dir):
+    """E13."""
+    p = bd.predictions(spark, sf_dir)
+    b = me.binary_metrics(p)
+    return _r(me.summary_table(b, me.regression_metrics(p), me.overall_metrics(b)), "value")
+
+
+@query("roc_points")
+def roc_points(spark, sf_dir):
+    """E15."""
+    p = me.sigmoid_if_needed(bd.predictions(spark, sf_dir).where(F.col("task").isin(*me.BINARY_TASKS)))
+    return _r(me.roc_points(p), "threshold", "fpr", "tpr")
+
+
+@query("residual_histogram")
+def residual_histogram(spark, sf_dir):
+    """E16."""
+    return _r(me.residual_histogram(bd.predictions(spark, sf_dir)), "bin_start", "bin_end")

@@ -159,3 +159,39 @@ def order_roles(spark: SparkSession, sf_dir: str) -> Roles:
         devices=e(ivl_cols),
         value_is_numeric=True,
     )
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long predictions table ``(patient_id, split, task, prediction, target)``:
+    document scores n_chars / 20000 against the quality / toxic labels (the
+    ventilator task gets an unbounded score so the logistic step applies),
+    and a regression pair from line items: price estimate vs extended price
+    (both / 1000)."""
+    lab = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    doc = read_table(spark, sf_dir, "documents", ["doc_id", "n_chars"])
+    x = lab.join(doc, "doc_id")
+    s = F.col("n_chars") / F.lit(20000.0)
+    base = lambda task, p, t: x.select(F.col("doc_id").alias("patient_id"), F.lit("test").alias("split"),
+                                       F.lit(task).alias("task"), p.cast("double").alias("prediction"),
+                                       F.col(t).cast("double").alias("target"))
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
+                                                 "l_extendedprice"])
+    pt = read_table(spark, sf_dir, "part", ["p_partkey", "p_retailprice"])
+    reg = li.join(pt, li.l_partkey == pt.p_partkey).select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("patient_id"), F.lit("test").alias("split"),
+        F.lit("length_of_stay").alias("task"),
+        (F.col("l_quantity") * F.col("p_retailprice") / 1000.0).alias("prediction"),
+        (F.col("l_extendedprice") / 1000.0).alias("target"))
+    return (base("mortality_risk", s, "quality")
+            .unionByName(base("icu_admission", s, "toxic"))
+            .unionByName(base("ventilator_need", (s - F.lit(0.5)) * F.lit(4.0), "quality"))
+            .unionByName(reg))
+
+
+def coverage_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as encounters: START = order date, STOP = last ship date of its lines."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_shipdate"])
+    last = li.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("stop"))
+    return o.join(last, o.o_orderkey == last.l_orderkey, "left").select(
+        F.col("o_custkey").alias("patient_id"), F.col("o_orderdate").alias("start"), "stop")
