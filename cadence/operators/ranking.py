@@ -91,3 +91,11 @@ def next_in_group(df: DataFrame, by: list[str], order: list, value: str, out: st
     r = ranked(df, by, order, "_rn", num_partitions)
     nxt = r.select(*by, (F.col("_rn") - 1).alias("_rn"), F.col(value).alias(out))
     return r.join(nxt, [*by, "_rn"], "left").drop("_rn")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable, eager checkpoint (under ``spark.checkpoint.dir``) of a frame
+    that several branches of a plan reuse, e.g. one row per patient. Cuts the
+    lineage so executor loss recomputes from the checkpoint, not the scans."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -127,35 +127,50 @@ def _type_ords(desc, vocab: Vocab):
 # A1 / A2: hourly vitals / labs
 # ---------------------------------------------------------------------------
 
-def hourly_values_wide(obs: DataFrame, anchors: DataFrame, vocab: Vocab, value_is_numeric: bool,
-                       grid_len: int = GRID_LEN, step_hours: float = 1.0) -> DataFrame:
-    """Per (patient_id, hour_idx) that has any matching numeric value: one
-    column per vocabulary type (mean of its first keyword with numeric data)
-    plus ``collapsed`` (the last type, in vocabulary order, with data)."""
+def hourly_values_multi(obs: DataFrame, anchors: DataFrame, vocabs: dict[str, Vocab], value_is_numeric: bool,
+                        grid_len: int = GRID_LEN, step_hours: float = 1.0) -> DataFrame:
+    """Several valued channels (e.g. vitals and labs) from ONE scan and ONE
+    aggregation of the observations. Per (patient_id, hour_idx) with any
+    matching numeric value: ``{channel}__{type}`` columns (mean of the type's
+    first keyword with numeric data) and ``{channel}`` (collapsed: the last
+    type, in vocabulary order, with data)."""
     desc = F.col("description")
     v = numeric_value("value", value_is_numeric)
-    pre = obs.where(any_keyword(desc, vocab.all_keywords(), vocab.mode)).select(
+    every_kw = [kw for voc in vocabs.values() for kw in voc.all_keywords()]
+    mode = {voc.mode for voc in vocabs.values()}
+    pre = obs.where(any_keyword(desc, every_kw, mode.pop()) if len(mode) == 1 else F.lit(True)).select(
         "patient_id", "ts", "description", v.alias("_v")).where(F.col("_v").isNotNull())
-    # one boolean per (type, keyword) slot, then a single aggregation
+    # one boolean per (channel, type, keyword) slot, then a single aggregation
     slots = []
-    for ti, (t, kws) in enumerate(vocab.types):
-        for ki, kw in enumerate(kws):
-            slots.append((ti, ki, f"_m{ti}_{ki}", keyword_match(desc, kw, vocab.mode)))
-    pre = pre.select("patient_id", "ts", "_v", *[m.alias(n) for _, _, n, m in slots])
+    for ci, (ch, voc) in enumerate(vocabs.items()):
+        for ti, (t, kws) in enumerate(voc.types):
+            for ki, kw in enumerate(kws):
+                slots.append((f"_m{ci}_{ti}_{ki}", keyword_match(desc, kw, voc.mode)))
+    pre = pre.select("patient_id", "ts", "_v", *[m.alias(n) for n, m in slots])
     binned = bin_points(pre, anchors, "ts", grid_len, step_hours)
     aggs = []
-    for _, _, n, _ in slots:
+    for n, _ in slots:
         aggs.append(F.sum(F.when(F.col(n), F.col("_v"))).alias(f"s{n}"))
         aggs.append(F.count_if(F.col(n)).alias(f"c{n}"))
     agg = binned.groupBy("patient_id", "hour_idx").agg(*aggs)
-    type_cols = []
-    for ti, (t, kws) in enumerate(vocab.types):
-        choices = [F.when(F.col(f"c_m{ti}_{ki}") > 0, F.col(f"s_m{ti}_{ki}") / F.col(f"c_m{ti}_{ki}"))
-                   for ki in range(len(kws))]
-        type_cols.append(F.coalesce(*choices).alias(t) if len(choices) > 1 else choices[0].alias(t))
-    out = agg.select("patient_id", "hour_idx", *type_cols)
-    collapsed = F.coalesce(*[F.col(t) for t in reversed(vocab.type_names)])
-    return out.withColumn("collapsed", collapsed)
+    out_cols = []
+    for ci, (ch, voc) in enumerate(vocabs.items()):
+        type_cols = []
+        for ti, (t, kws) in enumerate(voc.types):
+            choices = [F.when(F.col(f"c_m{ci}_{ti}_{ki}") > 0, F.col(f"s_m{ci}_{ti}_{ki}") / F.col(f"c_m{ci}_{ti}_{ki}"))
+                       for ki in range(len(kws))]
+            type_cols.append(F.coalesce(*choices) if len(choices) > 1 else choices[0])
+        out_cols += [c.alias(f"{ch}__{t}") for c, t in zip(type_cols, voc.type_names)]
+        out_cols.append(F.coalesce(*reversed(type_cols)).alias(ch))
+    return agg.select("patient_id", "hour_idx", *out_cols)
+
+
+def hourly_values_wide(obs: DataFrame, anchors: DataFrame, vocab: Vocab, value_is_numeric: bool,
+                       grid_len: int = GRID_LEN, step_hours: float = 1.0) -> DataFrame:
+    """A1 / A2 for one vocabulary: one column per type plus ``collapsed``."""
+    m = hourly_values_multi(obs, anchors, {"collapsed": vocab}, value_is_numeric, grid_len, step_hours)
+    return m.select("patient_id", "hour_idx", *[F.col(f"collapsed__{t}").alias(t) for t in vocab.type_names],
+                    "collapsed")
 
 
 def hourly_values_long(wide: DataFrame, vocab: Vocab) -> DataFrame:
@@ -192,25 +207,63 @@ def hourly_type_counts(points: DataFrame, anchors: DataFrame, vocab: Vocab, grid
 # A3 / A5: active medications / devices
 # ---------------------------------------------------------------------------
 
-def hourly_active_counts(intervals: DataFrame, anchors: DataFrame, vocab: Vocab, grid_len: int = GRID_LEN,
-                         step_hours: float = 1.0) -> DataFrame:
-    """Number of distinct vocabulary types with an active interval at each
-    hour (only hours with at least one active type are returned)."""
+def active_segments_multi(intervals: DataFrame, anchors: DataFrame, vocabs: dict[str, Vocab],
+                          grid_len: int = GRID_LEN, step_hours: float = 1.0) -> DataFrame:
+    """Several active-interval channels from one pass over the intervals, as
+    run-length segments ``(channel, patient_id, h_start, h_end, value)``:
+    over hours ``h_start..h_end`` exactly ``value`` distinct types of the
+    channel's vocabulary have an active interval (zero-count hours omitted).
+
+    Two bounded windows, no per-hour rows: per (channel, patient, type) the
+    running sum of +1/-1 interval edges (<= grid_len + 1 change points) gives
+    the type's on/off switches; per (channel, patient) the running sum of
+    those switches is the active-type count between change points.
+    """
     desc = F.col("description")
-    pre = intervals.where(any_keyword(desc, vocab.all_keywords(), vocab.mode))
+    every_kw = [kw for voc in vocabs.values() for kw in voc.all_keywords()]
+    modes = {voc.mode for voc in vocabs.values()}
+    pre = intervals.where(any_keyword(desc, every_kw, modes.pop())) if len(modes) == 1 else intervals
     b = active_bounds(pre, anchors, grid_len, step_hours)
-    b = b.select("patient_id", "lo", "hi", F.explode(_type_ords(desc, vocab)).alias("type_ord"))
-    deltas = b.select("patient_id", "type_ord", F.inline(F.array(
+    keys = F.array(*[F.when(any_keyword(desc, kws, voc.mode), F.struct(F.lit(ch).alias("channel"),
+                                                                      F.lit(ti).alias("type_ord")))
+                     for ch, voc in vocabs.items() for ti, (_, kws) in enumerate(voc.types)])
+    b = b.select("patient_id", "lo", "hi", F.inline(F.filter(keys, lambda x: x.isNotNull())))
+    deltas = b.select("channel", "patient_id", "type_ord", F.inline(F.array(
         F.struct(F.col("lo").alias("h"), F.lit(1).alias("d")),
         F.struct((F.col("hi") + 1).alias("h"), F.lit(-1).alias("d")))))
-    net = deltas.groupBy("patient_id", "type_ord", "h").agg(F.sum("d").alias("d")).where(F.col("d") != 0)
-    w = Window.partitionBy("patient_id", "type_ord").orderBy("h")
-    run = net.select("patient_id", "type_ord", "h",
-                     F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
-                     F.lead("h", 1, grid_len).over(w).alias("h_next"))
-    active = run.where(F.col("run") > 0).select(
-        "patient_id", "type_ord", F.explode(F.sequence(F.col("h"), F.col("h_next") - 1)).alias("hour_idx"))
-    return active.groupBy("patient_id", "hour_idx").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    net = deltas.groupBy("channel", "patient_id", "type_ord", "h").agg(F.sum("d").alias("d")).where(F.col("d") != 0)
+    wt = Window.partitionBy("channel", "patient_id", "type_ord").orderBy("h")
+    run = net.withColumn("run", F.sum("d").over(wt.rowsBetween(Window.unboundedPreceding, 0)))
+    on_now = (F.col("run") > 0).cast("int")
+    on_before = ((F.col("run") - F.col("d")) > 0).cast("int")
+    switches = run.select("channel", "patient_id", "h", (on_now - on_before).alias("s")).where(F.col("s") != 0)
+    per_h = switches.groupBy("channel", "patient_id", "h").agg(F.sum("s").alias("s"))
+    wp = Window.partitionBy("channel", "patient_id").orderBy("h")
+    cnt = per_h.select("channel", "patient_id", "h",
+                       F.sum("s").over(wp.rowsBetween(Window.unboundedPreceding, 0)).alias("value"),
+                       F.lead("h", 1, grid_len).over(wp).alias("h_next"))
+    return cnt.where(F.col("value") > 0).select(
+        "channel", "patient_id", F.col("h").alias("h_start"), (F.col("h_next") - 1).alias("h_end"),
+        F.col("value").cast("double").alias("value"))
+
+
+def expand_segments(segments: DataFrame) -> DataFrame:
+    """Segments -> one row per hour (only where an hourly frame is asked for)."""
+    return segments.select(*[c for c in segments.columns if c not in ("h_start", "h_end", "value")],
+                           F.explode(F.sequence(F.col("h_start"), F.col("h_end"))).alias("hour_idx"), "value")
+
+
+def hourly_active_counts_multi(intervals: DataFrame, anchors: DataFrame, vocabs: dict[str, Vocab],
+                               grid_len: int = GRID_LEN, step_hours: float = 1.0) -> DataFrame:
+    """``(channel, patient_id, hour_idx, value)`` rows of the active-type counts."""
+    return expand_segments(active_segments_multi(intervals, anchors, vocabs, grid_len, step_hours))
+
+
+def hourly_active_counts(intervals: DataFrame, anchors: DataFrame, vocab: Vocab, grid_len: int = GRID_LEN,
+                         step_hours: float = 1.0) -> DataFrame:
+    """A3 / A5: number of distinct vocabulary types with an active interval at
+    each hour (only hours with at least one active type are returned)."""
+    return hourly_active_counts_multi(intervals, anchors, {"c": vocab}, grid_len, step_hours).drop("channel")
 
 
 # ---------------------------------------------------------------------------
@@ -242,33 +295,52 @@ def dense_grid(sparse: DataFrame, anchors: DataFrame, grid_len: int = GRID_LEN,
                 .select("patient_id", "hour_idx", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias(value)))
 
 
+def point_segments(sparse: DataFrame, value: str = "value") -> DataFrame:
+    """Hourly rows as one-hour segments."""
+    return sparse.withColumn("h_start", F.col("hour_idx")).withColumn("h_end", F.col("hour_idx")) \
+                 .drop("hour_idx").withColumnRenamed(value, "value")
+
+
 def channel_stats(sparse: DataFrame, anchors: DataFrame, grid_len: int = GRID_LEN,
-                  value: str = "value") -> DataFrame:
-    """Mean, population std, max and least-squares slope (vs hour index) of
-    the zero-filled grid, from sparse sums only:
+                  value: str = "value", channels: list[str] | None = None) -> DataFrame:
+    """Mean, population std, max and least-squares slope (vs hour
+    index) of the zero-filled grid, from sums over the non-zero part only.
 
+    ``sparse`` is either hourly rows (``hour_idx``, ``value``) or run-length
+    segments (``h_start``, ``h_end``, ``value``). With L = segment length:
+    S1 = sum(v L), S2 = sum(v^2 L), S_hv = sum(v (a + b) L / 2), then
     mean = S1/n, var = S2/n - mean^2, max = greatest(max, 0 if any hour is
-    empty), slope = (S_hv - hbar * S1) / S_hh with hbar = (n-1)/2,
-    S_hh = n(n^2-1)/12.
+    empty), slope = (S_hv - hbar S1) / S_hh, hbar = (n-1)/2, S_hh = n(n^2-1)/12.
+
+    With ``channels``, ``sparse`` carries a ``channel`` column and all
+    channels are reduced by one aggregation keyed by (patient, channel);
+    every patient with a grid gets a row per channel.
     """
+    if "h_start" not in sparse.columns:
+        sparse = point_segments(sparse, value)
     n = float(grid_len)
     hbar = (n - 1) / 2.0
     shh = n * (n * n - 1) / 12.0
-    v = F.col(value).cast("double")
-    agg = sparse.where(v.isNotNull()).groupBy("patient_id").agg(
-        F.sum(v).alias("_s1"), F.sum(v * v).alias("_s2"), F.sum(F.col("hour_idx") * v).alias("_shv"),
-        F.max(v).alias("_mx"), F.count(F.lit(1)).alias("_hits"))
-    x = anchors.select("patient_id").join(agg, "patient_id", "left")
+    v = F.col("value").cast("double")
+    ln = (F.col("h_end") - F.col("h_start") + 1).cast("double")
+    keys = ["patient_id"] + (["channel"] if channels else [])
+    agg = sparse.where(v.isNotNull()).groupBy(*keys).agg(
+        F.sum(v * ln).alias("_s1"), F.sum(v * v * ln).alias("_s2"),
+        F.sum(v * (F.col("h_start") + F.col("h_end")).cast("double") * ln / 2.0).alias("_shv"),
+        F.max(v).alias("_mx"), F.sum(ln).alias("_hits"))
+    base = anchors.select("patient_id")
+    if channels:
+        base = base.select("patient_id", F.explode(F.array(*[F.lit(c) for c in channels])).alias("channel"))
+    x = base.join(agg, keys, "left")
     s1 = F.coalesce(F.col("_s1"), F.lit(0.0))
     s2 = F.coalesce(F.col("_s2"), F.lit(0.0))
     shv = F.coalesce(F.col("_shv"), F.lit(0.0))
     mean = s1 / F.lit(n)
     var = F.greatest(s2 / F.lit(n) - mean * mean, F.lit(0.0))
-    hits = F.coalesce(F.col("_hits"), F.lit(0))
+    hits = F.coalesce(F.col("_hits"), F.lit(0.0))
     mx = F.when(hits >= grid_len, F.col("_mx")).otherwise(F.greatest(F.coalesce(F.col("_mx"), F.lit(0.0)), F.lit(0.0)))
     slope = (shv - F.lit(hbar) * s1) / F.lit(shh) if grid_len > 1 else F.lit(0.0)
-    return x.select("patient_id", mean.alias("mean"), F.sqrt(var).alias("std"), mx.alias("max"),
-                    slope.alias("trend"))
+    return x.select(*keys, mean.alias("mean"), F.sqrt(var).alias("std"), mx.alias("max"), slope.alias("trend"))
 
 
 # ---------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import round6
 from ..functions.vocab import TIMELINE_LABS
 from ..operators import timeline as tl
+from ..operators.ranking import checkpointed
 from ..session import ensure_utc
 from ..sources import bindings as bd
 
@@ -48,34 +49,47 @@ def _event_timeline(spark, sf_dir, with_intervals=True):
     return roles, extent, tl.anchors_of(extent)
 
 
-def event_channels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The five sparse hourly category channels of the events binding."""
-    roles, extent, anchors = _event_timeline(spark, sf_dir)
-    vit = tl.hourly_values_wide(roles.observations, anchors, bd.EVENT_VITALS, True)
-    lab = tl.hourly_values_wide(roles.observations, anchors, TIMELINE_LABS, True)
-    return {
-        "anchors": anchors,
-        "vital_signs": tl.hourly_collapsed(vit),
-        "laboratory_values": tl.hourly_collapsed(lab),
-        "medications": tl.hourly_active_counts(roles.medications, anchors, bd.EVENT_MEDICATIONS),
-        "procedures": tl.hourly_type_counts(roles.procedures, anchors, bd.EVENT_PROCEDURES),
-        "devices": tl.hourly_active_counts(roles.devices, anchors, bd.EVENT_DEVICES),
-    }
+def event_channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The five hourly category channels of the events binding as one frame of
+    run-length segments ``(channel, patient_id, h_start, h_end, value)``
+    (point channels: one-hour segments), plus the anchors.
+
+    The one-row-per-patient extent is checkpointed once and shared; vitals and
+    labs come from one aggregation of the observations, medications and
+    devices from one pass over the intervals."""
+    roles = bd.event_roles(spark, sf_dir)
+    extent = checkpointed(tl.timeline_extent(roles))
+    anchors = tl.anchors_of(extent)
+    valued = tl.hourly_values_multi(roles.observations, anchors,
+                                    {"vital_signs": bd.EVENT_VITALS, "laboratory_values": TIMELINE_LABS}, True)
+    parts = [tl.point_segments(valued.select(F.lit(c).alias("channel"), "patient_id", "hour_idx",
+                                             F.col(c).alias("value")).where(F.col("value").isNotNull()))
+             for c in ("vital_signs", "laboratory_values")]
+    if roles.medications is roles.devices:
+        parts.append(tl.active_segments_multi(
+            roles.medications, anchors, {"medications": bd.EVENT_MEDICATIONS, "devices": bd.EVENT_DEVICES}))
+    else:
+        for c, frame, voc in (("medications", roles.medications, bd.EVENT_MEDICATIONS),
+                              ("devices", roles.devices, bd.EVENT_DEVICES)):
+            parts.append(tl.active_segments_multi(frame, anchors, {c: voc}))
+    parts.append(tl.point_segments(tl.hourly_type_counts(roles.procedures, anchors, bd.EVENT_PROCEDURES)
+                                   .select(F.lit("procedures").alias("channel"), "*")))
+    sparse = parts[0]
+    for p_ in parts[1:]:
+        sparse = sparse.unionByName(p_)
+    return sparse, anchors, list(CHANNELS)
+
+
+CHANNELS = ("vital_signs", "laboratory_values", "medications", "procedures", "devices")
 
 
 @query("channel_stats")
 def channel_stats(spark, sf_dir):
     """Flagship: full hourly timeline (5 categories) -> per-patient mean,
     population std, max and slope over the zero-filled 720-hour grid."""
-    ch = event_channels(spark, sf_dir)
-    parts = []
-    for name in ("vital_signs", "laboratory_values", "medications", "procedures", "devices"):
-        st = tl.channel_stats(ch[name], ch["anchors"])
-        parts.append(st.select("patient_id", F.lit(name).alias("channel"), "mean", "std", "max", "trend"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _r(out, "mean", "std", "max", "trend")
+    sparse, anchors, channels = event_channels(spark, sf_dir)
+    out = tl.channel_stats(sparse, anchors, channels=channels)
+    return _r(out.select("patient_id", "channel", "mean", "std", "max", "trend"), "mean", "std", "max", "trend")
 
 
 @query("timeline_extent")
