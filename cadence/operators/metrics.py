@@ -159,7 +159,8 @@ def summary_table(binary: DataFrame, regression: DataFrame, overall: DataFrame)
 def residual_histogram(preds: DataFrame, task: str = REGRESSION_TASK, bins: int = 30) -> DataFrame:
     """Counts of residuals (target - prediction) in ``bins`` equal-width
     bins over [min, max] (last bin closed; all bins emitted, empty ones 0)."""
-    x = preds.where(F.col("task") == task).select((F.col("target") - F.col("prediction")).alias("r"))
+    x = preds.where(F.col("task") == task).select((F.col("target") - F.col("prediction")).alias("r")) \
+             .where(F.col("r").isNotNull() & ~F.isnan(F.col("r")))
     st = x.agg(F.min("r").alias("_lo"), F.max("r").alias("_hi"))
     st = st.select(F.when(F.col("_hi") > F.col("_lo"), F.col("_lo")).otherwise(F.col("_lo") - 0.5).alias("_lo"),
                    F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins)

@@ -131,7 +131,8 @@ def temporal_coverage(observations: DataFrame, patients: DataFrame, expected_day
     agg = observations.where(F.col("ts").isNotNull()).groupBy("patient_id").agg(
         F.min("ts").alias("_mn"), F.max("ts").alias("_mx"))
     days = F.floor(F.timestamp_diff("SECOND", F.col("_mn"), F.col("_mx")) / F.lit(86400))
-    cov = F.least((days + 1) / F.lit(float(expected_days)), F.lit(1.0))
+    # least() skips NULLs, so guard the no-observation case explicitly
+    cov = F.when(days.isNotNull(), F.least((days + 1) / F.lit(float(expected_days)), F.lit(1.0)))
     return patients.select("patient_id").join(agg, "patient_id", "left").select(
         "patient_id", F.coalesce(cov, F.lit(0.0)).alias("temporal_coverage"))
 

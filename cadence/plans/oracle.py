@@ -473,8 +473,8 @@ FROM tsplit s LEFT JOIN flags f USING (patient_id) GROUP BY s.split"""
 
 ORACLE["stratified_split_sizes"] = """
 WITH n AS (SELECT count(*) AS n FROM customer),
-s AS (SELECT greatest(1, CAST(round(n * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS t,
-             greatest(1, CAST(round(n * CAST(0.15 AS DOUBLE)) AS BIGINT)) AS v, n FROM n)
+s AS (SELECT greatest(1, CAST(round_even(n * CAST(0.1 AS DOUBLE), 0) AS BIGINT)) AS t,
+             greatest(1, CAST(round_even(n * CAST(0.15 AS DOUBLE), 0) AS BIGINT)) AS v, n FROM n)
 SELECT 'test' AS split, t AS n_patients FROM s
 UNION ALL SELECT 'validation', v FROM s
 UNION ALL SELECT 'train', n - t - v FROM s"""
