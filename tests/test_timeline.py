@@ -70,7 +70,7 @@ def test_first_keyword_with_data_wins(spark):
     roles = make_roles(spark, observations=[
         ("p1", h(2), "alpha", "bad"), ("p1", h(2, 5), "beta", "4"), ("p1", h(2, 6), "alpha beta", "8")])
     anchors = tl.anchors_of(tl.timeline_extent(roles))
-    row = tl.hourly_values_wide(roles.observations, anchors, voc, False).where(F.col("hour_idx") == 2).first()
+    row = tl.hourly_values_wide(roles.observations, anchors, voc, False).where(F.col("hour_idx") == 0).first()
     assert row["t"] == 8.0  # 'alpha' has one numeric value (8); 'beta' would give 6
 
 
