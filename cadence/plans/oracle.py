@@ -625,3 +625,29 @@ c AS (SELECT CAST(least(floor((r.r - st.lo) / st.w), 29) AS INTEGER) + 1 AS bin,
 SELECT CAST(b.bin AS INTEGER) AS bin, round(st.lo + (b.bin - 1) * st.w, 6) AS bin_start,
        round(st.lo + b.bin * st.w, 6) AS bin_end, coalesce(c.n, 0) AS n
 FROM range(1, 31) AS b(bin) CROSS JOIN st LEFT JOIN c ON c.bin = b.bin"""
+
+
+# Temporal channels -----------------------------------------------------------
+
+ORACLE["temporal_channels"] = _with(_EVENT_BASE, _VITAL_KW, _LAB_KW, _valued("vkw", "vit"), _valued("lkw", "lab"), """
+mk(type_ord, kw) AS (VALUES (0, 'view'), (1, 'click'), (2, 'purchase')),
+pk(type_ord, kw) AS (VALUES (0, 'purchase'), (1, 'error')),
+dk(type_ord, kw) AS (VALUES (0, 'signup'), (0, 'view'), (1, 'error')),
+med_t AS (
+  SELECT DISTINCT g.patient_id, g.hour_idx, k.type_ord FROM grid g
+  JOIN iv ON iv.patient_id = g.patient_id AND iv.start <= g.t AND (iv.stop IS NULL OR iv.stop > g.t)
+  JOIN mk k ON regexp_matches(iv.description, k.kw, 'i')),
+dev_t AS (
+  SELECT DISTINCT g.patient_id, g.hour_idx, k.type_ord FROM grid g
+  JOIN iv ON iv.patient_id = g.patient_id AND iv.start <= g.t AND (iv.stop IS NULL OR iv.stop > g.t)
+  JOIN dk k ON regexp_matches(iv.description, k.kw, 'i')),
+proc_t AS (
+  SELECT DISTINCT g.patient_id, g.hour_idx, k.type_ord FROM grid g
+  JOIN events e ON e.user_id = g.patient_id AND e.event_type IN ('purchase', 'error')
+   AND e.ts >= g.t - INTERVAL 1 HOUR AND e.ts < g.t + INTERVAL 1 HOUR
+  JOIN pk k ON regexp_matches(e.event_type, k.kw, 'i'))""") + """
+SELECT patient_id, hour_idx, type_ord AS ch, round(value, 6) AS value FROM vit_type
+UNION ALL SELECT patient_id, hour_idx, 3 + type_ord, round(value, 6) FROM lab_type
+UNION ALL SELECT patient_id, hour_idx, 11 + type_ord, 1.0 FROM med_t
+UNION ALL SELECT patient_id, hour_idx, 14 + type_ord, 1.0 FROM proc_t
+UNION ALL SELECT patient_id, hour_idx, 16 + type_ord, 1.0 FROM dev_t"""

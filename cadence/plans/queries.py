@@ -499,3 +499,56 @@ def roc_points(spark, sf_dir):
 def residual_histogram(spark, sf_dir):
     """E16."""
     return _r(me.residual_histogram(bd.predictions(spark, sf_dir)), "bin_start", "bin_end")
+
+
+# ---------------------------------------------------------------------------
+# Temporal matrix and model-ready export (events binding)
+# ---------------------------------------------------------------------------
+
+from ..operators import export as ex  # noqa: E402
+
+EVENT_CATEGORIES = (("vital_signs", bd.EVENT_VITALS), ("laboratory_values", TIMELINE_LABS),
+                    ("medications", bd.EVENT_MEDICATIONS), ("procedures", bd.EVENT_PROCEDURES),
+                    ("devices", bd.EVENT_DEVICES))
+
+
+@query("temporal_channels")
+def temporal_channels(spark, sf_dir):
+    """every per-type hourly channel (18 with the events binding) as a
+    sparse long frame ``(patient_id, hour_idx, ch, value)``."""
+    roles = bd.event_roles(spark, sf_dir)
+    anchors = tl.anchors_of(checkpointed(tl.timeline_extent(roles)))
+    ch, _ = ex.temporal_channels(roles, anchors, EVENT_CATEGORIES)
+    return _r(ch, "value")
+
+
+def _model_ready(spark, sf_dir):
+    roles = bd.event_roles(spark, sf_dir)
+    extent = checkpointed(tl.timeline_extent(roles))
+    anchors = tl.anchors_of(extent)
+    ch, names = ex.temporal_channels(roles, anchors, EVENT_CATEGORIES)
+    orders = bd.order_roles(spark, sf_dir)
+    users = anchors.select("patient_id")
+    static = fe.static_features(orders.patients.join(users, "patient_id", "left_semi"), orders.conditions,
+                                bd.ORDER_COMORBIDITIES)
+    split = checkpointed(sp.temporal_split(roles.observations).drop("first_ts"))
+    train = split.where(F.col("split") == "train").select("patient_id")
+    sparams = fe.scaler_params(fe.fit_standard_scaler(static.join(train, "patient_id", "left_semi")))
+    cparams = ex.fit_channel_scaler(ch, anchors.join(train, "patient_id", "left_semi"), len(names))
+    temporal = ex.dense_matrix(ch, anchors, len(names), scaler=cparams)
+    targets = tg.targets(roles.conditions, roles.encounters, roles.procedures, extent, bd.EVENT_TARGETS)
+    return ex.model_ready(fe.apply_standard_scaler(static, sparams), temporal, targets, split, n_channels=len(names))
+
+
+@query("model_ready_export")
+def model_ready_export(spark, sf_dir):
+    """S9 rows (arrays; rows-only check): scaled static vector, 720 x 18
+    scaled temporal matrix, time index, sequence length and targets."""
+    return _model_ready(spark, sf_dir)
+
+
+@query("batch_assembly")
+def batch_assembly(spark, sf_dir):
+    """Model-ready rows grouped into batches of 32 per split."""
+    return ex.batches(_model_ready(spark, sf_dir).select("patient_id", "split", "static", "sequence_length",
+                                                         "mortality_risk", "length_of_stay"), 32)

@@ -1,0 +1,7 @@
+"""cadence.streaming: intentionally empty.
+
+The reference reads static exports only (no watermark, window, state or
+late-data handling anywhere), so there is no streaming operator to rebuild.
+All operators are plain DataFrame transformations; applied to a streaming
+DataFrame they are subject to Structured Streaming's usual restrictions.
+"""
