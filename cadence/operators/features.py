@@ -88,15 +88,28 @@ def derived(static: DataFrame, comorbidity_names=None) -> DataFrame:
 
 def static_features(patients: DataFrame, conditions: DataFrame, vocab: Vocab = COMORBIDITIES,
                     as_of: dt.date = DEFAULT_AS_OF) -> DataFrame:
-    """F18 + F17: the 15 static features, named, in vector order. The
-    comorbidity columns keep the fixed slot names whatever vocabulary is
-    bound to them (slot i <- vocabulary type i)."""
-    demo = demographics(patients, as_of)
-    com = comorbidity_flags(patients, conditions, vocab)
+    """F18 + F17: the 15 static features, named, in vector order, with one
+    join (patients x per-patient comorbidity flags). The comorbidity columns
+    keep the fixed slot names whatever vocabulary is bound to them (slot i <-
+    vocabulary type i)."""
     slot_names = COMORBIDITIES.type_names
-    com = com.select("patient_id", *[F.col(t).alias(s) for t, s in zip(vocab.type_names, slot_names)])
-    base = demo.join(com, "patient_id").join(socioeconomic(patients), "patient_id")
-    return base.join(derived(base, slot_names), "patient_id").select("patient_id", *STATIC_FEATURES)
+    desc = F.col("description")
+    flags = conditions.where(any_keyword(desc, vocab.all_keywords(), vocab.mode)).groupBy("patient_id").agg(
+        *[F.max(any_keyword(desc, kws, vocab.mode).cast("double")).alias(s)
+          for (_, kws), s in zip(vocab.types, slot_names)])
+    base = patients.select(
+        "patient_id", age_years(F.col("birthdate"), as_of).alias("age"),
+        encode(F.col("gender"), GENDER_CLASSES).alias("gender"), encode(F.col("race"), RACE_CLASSES).alias("race"),
+        encode(F.col("ethnicity"), ETHNICITY_CLASSES).alias("ethnicity"),
+        F.lit(HEALTHCARE_COVERAGE).alias("healthcare_coverage"), F.lit(INCOME_LEVEL).alias("income_level"))
+    x = base.join(flags, "patient_id", "left").select(
+        "patient_id", "age", "gender", "race", "ethnicity",
+        *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in slot_names], "healthcare_coverage", "income_level")
+    cnt = reduce(lambda a, b: a + b, [F.col(n) for n in slot_names])
+    return x.select(
+        "*", F.when(F.col("age") > 65, 1.0).otherwise(0.0).alias("age_risk"), age_group(F.col("age")).alias("age_group"),
+        cnt.alias("comorbidity_count"), F.when(cnt >= 2, 1.0).otherwise(0.0).alias("high_comorbidity")) \
+        .select("patient_id", *STATIC_FEATURES)
 
 
 def fit_standard_scaler(train: DataFrame, cols=SCALED_STATIC) -> DataFrame:

@@ -217,17 +217,11 @@ def value_counts(df: DataFrame, attributes: list[str]) -> DataFrame:
 
 def text_describe(df: DataFrame, column: str) -> DataFrame:
     """Q13: count / unique / top / freq of a column read as text (top = most
-    frequent value, ties broken by the smaller value)."""
+    frequent value, ties broken by the smaller value). Two aggregations, no
+    join: top = min_by(value, (-freq, value))."""
     t = df.select(F.col(column).cast("string").alias("s")).where(F.col("s").isNotNull())
     freq = t.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
-    top = freq.orderBy(F.col("f").desc(), F.col("s")).limit(1).select(F.col("s").alias("top"), F.col("f").alias("freq"))
-    tot = freq.agg(F.sum("f").alias("count"), F.count(F.lit(1)).alias("unique"))
-    return _describe_join(tot, top)
-
-
-def _describe_join(tot: DataFrame, top: DataFrame) -> DataFrame:
-    # both sides are single-row frames; attach the constant key and join
-    k = F.lit(1).alias("_k")
-    return tot.select(k, "*").join(top.select(k, "*"), "_k", "left").drop("_k").select(
-        F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
-        F.coalesce(F.col("unique"), F.lit(0)).cast("long").alias("unique"), "top", F.col("freq").cast("long"))
+    return freq.agg(F.sum("f").cast("long").alias("count"), F.count(F.lit(1)).cast("long").alias("unique"),
+                    F.min_by("s", F.struct(-F.col("f"), F.col("s"))).alias("top"),
+                    F.max("f").cast("long").alias("freq")).select(
+        F.coalesce("count", F.lit(0)).alias("count"), "unique", "top", "freq")

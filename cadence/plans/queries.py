@@ -44,8 +44,10 @@ def _r(df: DataFrame, *cols: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _event_timeline(spark, sf_dir, with_intervals=True):
+    """Roles of the events binding and the checkpointed one-row-per-patient
+    extent (shared by every branch of the query)."""
     roles = bd.event_roles(spark, sf_dir, with_intervals)
-    extent = tl.timeline_extent(roles)
+    extent = checkpointed(tl.timeline_extent(roles))
     return roles, extent, tl.anchors_of(extent)
 
 
