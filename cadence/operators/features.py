@@ -44,6 +44,12 @@ def demographics(patients: DataFrame, as_of: dt.date = DEFAULT_AS_OF) -> DataFra
         encode(F.col("ethnicity"), ETHNICITY_CLASSES).alias("ethnicity"))
 
 
+def patient_metadata(patients: DataFrame) -> DataFrame:
+    """id, birth date, gender, race, ethnicity (the reference stores the
+    birth date under the name "age"; here it keeps its own name)."""
+    return patients.select("patient_id", "birthdate", "gender", "race", "ethnicity")
+
+
 def encoding_issues(patients: DataFrame) -> DataFrame:
     """Quality side table for D21: rows whose category had to become Unknown."""
     parts = []

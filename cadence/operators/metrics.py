@@ -176,3 +176,24 @@ def residual_histogram(preds: DataFrame, task: str = REGRESSION_TASK, bins: int
     return edges.join(counts, "bin", "left").select(
         "bin", (F.lit(lo) + (F.col("bin") - 1) * F.lit(w)).alias("bin_start"),
         (F.lit(lo) + F.col("bin") * F.lit(w)).alias("bin_end"), F.coalesce(F.col("n"), F.lit(0)).alias("n"))
+
+
+def attach_targets(predictions: DataFrame, targets: DataFrame) -> DataFrame:
+    """Predictions ``(patient_id, task, prediction)`` joined with targets
+    ``(patient_id, task, target)``; tasks missing on either side drop out
+    (E12: missing tasks are skipped)."""
+    return predictions.select("patient_id", "task", "prediction").join(
+        targets.select("patient_id", "task", "target"), ["patient_id", "task"])
+
+
+def evaluation_report(preds: DataFrame) -> dict[str, DataFrame]:
+    """The report tables (metrics per task, overall, summary,
+    interpretation, ROC points, residual histogram), ready for a JSON sink."""
+    binary = binary_metrics(preds)
+    regression = regression_metrics(preds)
+    overall = overall_metrics(binary)
+    calibrated = sigmoid_if_needed(preds.where(F.col("task").isin(*BINARY_TASKS)))
+    return {"binary_metrics": binary, "regression_metrics": regression, "overall_metrics": overall,
+            "summary": summary_table(binary, regression, overall),
+            "clinical_interpretation": interpretation(binary, regression),
+            "roc_points": roc_points(calibrated), "residual_histogram": residual_histogram(preds)}

@@ -93,3 +93,42 @@ def test_scaler_fit_on_train(spark):
     assert params == {"age": (2.0, 1.0)}
     out = {r[0]: r[1] for r in fe.apply_standard_scaler(df, params).collect()}
     assert out == {"a": -1.0, "b": 1.0, "c": 98.0}
+
+
+def test_temporal_split_dropped_and_metadata(spark):
+    from cadence.operators import splits as sp
+    roles = make_roles(spark, patients=[("p1", dt.date(1990, 1, 1), None, "F", "white", "hispanic"),
+                                        ("p2", None, None, None, None, None)],
+                       observations=[("p1", h(0), "x", "1"), ("p2", None, "x", "1")])
+    assert [r[0] for r in sp.temporal_split_dropped(roles.patients, roles.observations).collect()] == ["p2"]
+    assert fe.patient_metadata(roles.patients).columns == ["patient_id", "birthdate", "gender", "race", "ethnicity"]
+
+
+def test_batch_scoring_with_pluggable_model(spark):
+    import pandas as pd
+    from cadence.operators import export as ex
+
+    def scorer(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = (pdf["age"] / 100.0).clip(0, 1)
+        return pd.DataFrame({"mortality_risk": s, "icu_admission": s / 2, "ventilator_need": s / 4,
+                             "length_of_stay": pdf["age"] * 0 + 24.0})
+    df = spark.createDataFrame([("a", 50.0), ("b", 80.0)], "patient_id string, age double")
+    out = {r["patient_id"]: r for r in ex.score(df, scorer, ["age"]).collect()}
+    assert out["a"]["mortality_risk"] == 0.5 and out["b"]["ventilator_need"] == 0.2
+    plan = ex.score(df, scorer, ["age"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan or "PythonMapInArrow" in plan
+
+
+def test_evaluation_report_and_join(spark, tmp_path):
+    from cadence.operators import metrics as me
+    from cadence.sources import sinks
+    p = spark.createDataFrame([(1, "mortality_risk", 0.9), (2, "mortality_risk", 0.2), (3, "length_of_stay", 30.0)],
+                              "patient_id long, task string, prediction double")
+    t = spark.createDataFrame([(1, "mortality_risk", 1.0), (2, "mortality_risk", 0.0), (3, "length_of_stay", 24.0),
+                               (4, "icu_admission", 1.0)], "patient_id long, task string, target double")
+    j = me.attach_targets(p, t)
+    assert j.count() == 3
+    rep = me.evaluation_report(j)
+    assert rep["binary_metrics"].first()["auroc"] == 1.0
+    paths = sinks.write_report(rep, str(tmp_path / "eval"))
+    assert spark.read.json(paths["regression_metrics"]).first()["mae"] == 6.0
