@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import COHORT_KEYWORDS, any_keyword
+from .ranking import ranked
 
 
 def cohort_ids(sources: list, keywords=COHORT_KEYWORDS, desc: str = "description") -> DataFrame:
@@ -40,8 +41,11 @@ def patient_rows(table: DataFrame, patient_id) -> DataFrame:
 def cohort_sample(cohort: DataFrame, start: int = 0, size: int | None = None) -> DataFrame:
     """The ``[start, start + size)`` slice of the cohort in id order
     (deterministic, unlike slicing an unordered set). ``size=None`` keeps
-    everything from ``start`` on."""
-    ordered = cohort.select("patient_id").orderBy("patient_id")
-    if start:
-        ordered = ordered.offset(start)
-    return ordered.limit(size) if size is not None else ordered
+    everything from ``start`` on. Positions come from the distributed rank,
+    so neither a large offset nor an open-ended slice funnels the cohort
+    through one task."""
+    r = ranked(cohort.select("patient_id"), [], ["patient_id"], "_pos")
+    keep = F.col("_pos") > start
+    if size is not None:
+        keep = keep & (F.col("_pos") <= start + size)
+    return r.where(keep).select("patient_id")

@@ -29,6 +29,7 @@ def session_defaults(shuffle_partitions: int) -> dict[str, str]:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
         "spark.sql.adaptive.autoBroadcastJoinThreshold": str(AQE_BROADCAST_BYTES),
         "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
         "spark.ui.enabled": "false",
