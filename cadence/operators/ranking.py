@@ -9,8 +9,9 @@ task:
    bounds, so one hot group is cut across many partitions) and sort within
    partitions;
 2. tag rows with the partition index and a within-partition id;
-3. checkpoint (reliable, under ``spark.checkpoint.dir``) so the tags are
-   stable under recomputation and executor loss;
+3. materialise the tagged rows as a Parquet table under
+   ``spark.checkpoint.dir`` so the tags are stable under recomputation and
+   executor loss (columnar, compressed, read back column-pruned);
 4. per (partition, group) totals: at most ``#partitions + #groups`` rows, so
    the offset window over them is bounded per group by ``#partitions``;
 5. join the offsets back.
@@ -18,12 +19,24 @@ task:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read it back: a lineage cut that survives
+    executor loss and makes non-deterministic tags (partition ids) stable."""
+    base = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{base.rstrip('/')}/cadence-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _target_partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -38,7 +51,7 @@ def _tagged(df: DataFrame, by: list[str], order: list, n: int | None) -> DataFra
            .sortWithinPartitions(*keys)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
-    return s.checkpoint(eager=True)
+    return materialize(s)
 
 
 def ranked(df: DataFrame, by: list[str], order: list, out: str = "rn",
@@ -94,8 +107,7 @@ def next_in_group(df: DataFrame, by: list[str], order: list, value: str, out: st
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint (under ``spark.checkpoint.dir``) of a frame
-    that several branches of a plan reuse, e.g. one row per patient. Cuts the
-    lineage so executor loss recomputes from the checkpoint, not the scans."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise (see ``materialize``) a frame that several branches of a
+    plan reuse, e.g. one row per patient. Cuts the lineage so executor loss
+    recomputes from the written table, not from the scans."""
+    return materialize(df)
