@@ -389,7 +389,10 @@ SELECT total_patients, valid_patients, invalid_patients,
        round(data_completeness, 6) AS data_completeness, round(temporal_coverage, 6) AS temporal_coverage
 FROM summ"""
 
-ORACLE["recommendations"] = _with(_SUMMARY, """
+_SAMPLE_SUMMARY = _COHORT + "," + _SUMMARY.replace("""  FROM per)""", """  FROM per WHERE patient_id IN (
+    SELECT patient_id FROM cohort ORDER BY patient_id LIMIT 50 OFFSET 10))""")
+
+ORACLE["recommendations"] = _with(_SAMPLE_SUMMARY, """
 r AS (
   SELECT 0 AS o, 'Review and clean data for ' || invalid_patients || ' invalid patients' AS t FROM summ
     WHERE invalid_patients > 0

@@ -349,8 +349,11 @@ def quality_summary(spark, sf_dir):
 
 @query("recommendations")
 def recommendations(spark, sf_dir):
-    """Q8."""
-    return qa.recommendations(qa.quality_summary(_per_patient_quality(spark, sf_dir)))
+    """Q8 over a sampled cohort, as the pipeline validates it: the [10, 60)
+    slice of the keyword cohort (S4 -> J1 -> Q5 -> Q8)."""
+    sample = co.cohort_sample(_cohort(spark, sf_dir), start=10, size=50)
+    per = _per_patient_quality(spark, sf_dir).join(sample, "patient_id", "left_semi")
+    return qa.recommendations(qa.quality_summary(per))
 
 
 @query("patient_issues")
@@ -529,6 +532,7 @@ def _model_ready(spark, sf_dir):
     extent = checkpointed(tl.timeline_extent(roles))
     anchors = tl.anchors_of(extent)
     ch, names = ex.temporal_channels(roles, anchors, EVENT_CATEGORIES)
+    ch = checkpointed(ch)  # read by the scaler fit and by the dense matrix
     orders = bd.order_roles(spark, sf_dir)
     users = anchors.select("patient_id")
     static = fe.static_features(orders.patients.join(users, "patient_id", "left_semi"), orders.conditions,
