@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import running_sums
+from .ranking import materialize, running_sums
 
 BINARY_TASKS = ("mortality_risk", "icu_admission", "ventilator_need")
 REGRESSION_TASK = "length_of_stay"
@@ -189,7 +189,7 @@ def attach_targets(predictions: DataFrame, targets: DataFrame) -> DataFrame:
 def evaluation_report(preds: DataFrame) -> dict[str, DataFrame]:
     """The report tables (metrics per task, overall, summary,
     interpretation, ROC points, residual histogram), ready for a JSON sink."""
-    binary = binary_metrics(preds)
+    binary = materialize(binary_metrics(preds))  # tiny; read by four report tables
     regression = regression_metrics(preds)
     overall = overall_metrics(binary)
     calibrated = sigmoid_if_needed(preds.where(F.col("task").isin(*BINARY_TASKS)))

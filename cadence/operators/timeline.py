@@ -117,12 +117,6 @@ def active_bounds(intervals: DataFrame, anchors: DataFrame, grid_len: int = GRID
     return x.where(F.col("lo") <= F.col("hi"))
 
 
-def _type_ords(desc, vocab: Vocab):
-    """Array of the 0-based ordinals of every vocabulary type the text matches."""
-    arr = F.array(*[F.when(any_keyword(desc, kws, vocab.mode), F.lit(i)) for i, (_, kws) in enumerate(vocab.types)])
-    return F.filter(arr, lambda x: x.isNotNull())
-
-
 # ---------------------------------------------------------------------------
 # A1 / A2: hourly vitals / labs
 # ---------------------------------------------------------------------------

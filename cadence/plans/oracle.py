@@ -392,7 +392,7 @@ FROM summ"""
 _SAMPLE_SUMMARY = _COHORT + "," + _SUMMARY.replace("""  FROM per)""", """  FROM per WHERE patient_id IN (
     SELECT patient_id FROM cohort ORDER BY patient_id LIMIT 50 OFFSET 10))""")
 
-ORACLE["recommendations"] = _with(_SAMPLE_SUMMARY, """
+_RECS = """
 r AS (
   SELECT 0 AS o, 'Review and clean data for ' || invalid_patients || ' invalid patients' AS t FROM summ
     WHERE invalid_patients > 0
@@ -401,8 +401,11 @@ r AS (
   UNION ALL SELECT 2, 'Implement data imputation strategies for missing values' FROM summ
     WHERE coalesce(data_completeness, 1.0) < 0.8
   UNION ALL SELECT 3, 'Ensure adequate temporal coverage for all patients' FROM summ
-    WHERE coalesce(temporal_coverage, 1.0) < 0.5)""") + """
+    WHERE coalesce(temporal_coverage, 1.0) < 0.5)"""
+_RECS_SELECT = """
 SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS rank, t AS recommendation FROM r"""
+ORACLE["recommendations"] = _with(_SUMMARY, _RECS) + _RECS_SELECT
+ORACLE["sampled_recommendations"] = _with(_SAMPLE_SUMMARY, _RECS) + _RECS_SELECT
 
 ORACLE["patient_issues"] = _with(_MISSING + "," + _CONSIST.split(",\ncons AS", 1)[0].split(_ORDER_ROLES, 1)[1]
                                  + "cons AS" + _CONSIST.split(",\ncons AS", 1)[1], """
