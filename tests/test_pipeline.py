@@ -75,3 +75,15 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert json.loads(text)["split_strategy"] == "stratified"
     b = ex.batches(ready.select("patient_id", "split", "static"), 5).collect()
     assert all(r["batch_len"] <= 5 for r in b) and sum(r["batch_len"] for r in b) == 24
+
+
+def test_split_fallback_chain(spark):
+    from conftest import make_roles
+    from cadence.plans.pipeline import choose_split
+    roles = make_roles(spark, patients=[(f"p{i}", None, None, None, None, None) for i in range(20)],
+                       observations=[(f"p{i}", None, "x", "1") for i in range(20)])
+    valid = roles.patients.select("patient_id")
+    split, strategy = choose_split(roles, valid, PipelineConfig(split_strategy="temporal"))
+    assert strategy == "random"
+    assert {r["split"]: r["n"] for r in split.groupBy("split").count().withColumnRenamed("count", "n").collect()} == \
+        {"test": 2, "validation": 3, "train": 15}
