@@ -137,10 +137,24 @@ def temporal_coverage(observations: DataFrame, patients: DataFrame, expected_day
         "patient_id", F.coalesce(cov, F.lit(0.0)).alias("temporal_coverage"))
 
 
+def outliers_by_patient(tables: dict[str, DataFrame]) -> DataFrame:
+    """Q2 per patient, as the validator runs it: IQR outliers of every numeric
+    column of every table slice of the patient, summed per patient."""
+    long = reduce(DataFrame.unionByName, [
+        unpivot_numeric(df, "patient_id").select(
+            "patient_id", F.concat(F.lit(f"{name}."), F.col("column_name")).alias("column_name"), "v")
+        for name, df in tables.items()])
+    per = iqr_outliers(long, ["patient_id", "column_name"])
+    return per.groupBy("patient_id").agg(F.sum("n_outliers").alias("n_outliers"))
+
+
 def patient_issues(missing: DataFrame, consistency: DataFrame, outliers_per_patient: DataFrame | None,
-                   n_observations: DataFrame) -> DataFrame:
+                   n_observations: DataFrame, patients: DataFrame | None = None,
+                   seen_ids: DataFrame | None = None) -> DataFrame:
     """Q4: long ``(patient_id, code, detail, fatal)``; a patient is valid iff it
-    has no fatal issue. Date warnings are emitted (D15)."""
+    has no fatal issue. Date warnings are emitted (D15). With ``patients`` and
+    ``seen_ids`` (ids found in any table), ids without a patients row are
+    reported too."""
     parts = [
         n_observations.where(F.col("n_obs") == 0).select("patient_id", F.lit("no_observations").alias("code"),
                                                         F.lit("No observations data").alias("detail")),
@@ -155,6 +169,11 @@ def patient_issues(missing: DataFrame, consistency: DataFrame, outliers_per_pati
             "patient_id", F.lit("high_missing").alias("code"),
             F.format_string("Very high missing values: %.2f%%", F.col("missing_share") * 100).alias("detail")),
     ]
+    if patients is not None and seen_ids is not None:
+        parts.append(seen_ids.select("patient_id").distinct().join(patients.select("patient_id"), "patient_id",
+                                                                  "left_anti").select(
+            "patient_id", F.lit("missing_patients_row").alias("code"),
+            F.lit("Missing required tables: ['patients']").alias("detail")))
     if outliers_per_patient is not None:
         parts.append(outliers_per_patient.where(F.col("n_outliers") > 0).select(
             "patient_id", F.lit("outliers").alias("code"),

@@ -419,7 +419,16 @@ UNION ALL SELECT patient_id, 'future_dates', 'Future dates detected: ' || n_futu
   FROM cons WHERE n_future > 0
 UNION ALL SELECT patient_id, 'long_period', 'Unusually long observation period', false FROM cons WHERE long_period
 UNION ALL SELECT patient_id, 'high_missing', printf('Very high missing values: %.2f%%', missing_share * 100), true
-  FROM missq WHERE missing_share > 0.8"""
+  FROM missq WHERE missing_share > 0.8
+UNION ALL SELECT patient_id, 'missing_patients_row', 'Missing required tables: [''patients'']', false
+  FROM (SELECT patient_id FROM obs UNION SELECT patient_id FROM cond) s
+  WHERE patient_id NOT IN (SELECT patient_id FROM pat)
+UNION ALL SELECT q.patient_id, 'outliers', 'Outliers detected: ' || count(*) || ' values', false
+  FROM (SELECT patient_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM obs
+        WHERE value IS NOT NULL GROUP BY patient_id) q
+  JOIN obs o ON o.patient_id = q.patient_id
+  WHERE o.value < q.q1 - 1.5 * (q.q3 - q.q1) OR o.value > q.q3 + 1.5 * (q.q3 - q.q1)
+  GROUP BY q.patient_id"""
 
 ORACLE["dataset_coverage"] = """
 WITH enc AS (

@@ -374,7 +374,9 @@ def patient_issues(spark, sf_dir):
         roles.observations.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_obs")), "patient_id", "left") \
         .select("patient_id", F.coalesce("n_obs", F.lit(0)).alias("n_obs"))
     cons = cons.join(n_obs.withColumnRenamed("n_obs", "n_obs_rows"), "patient_id")
-    return qa.patient_issues(miss, cons, None, n_obs)
+    outl = qa.outliers_by_patient(tabs)
+    seen = roles.observations.select("patient_id").unionByName(roles.conditions.select("patient_id"))
+    return qa.patient_issues(miss, cons, outl, n_obs, roles.patients, seen)
 
 
 @query("dataset_coverage")
