@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import ranked
+from .ranking import running_sums
 
 FLAG_LIMIT = 0.2     # configured "high missing" flag
 REJECT_LIMIT = 0.8   # literal cut-off that invalidates a patient
@@ -69,33 +69,35 @@ def iqr_outliers(long: DataFrame, group: list[str], value: str = "v") -> DataFra
     """Q2: per group, linear-interpolated quartiles (as pandas ``quantile``)
     and the number of values strictly outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR].
 
-    Exact and skew-safe: values are ranked with ``ranked`` (range-partitioned,
-    so a hot group spans many tasks); only the four order statistics each
-    group needs are joined back.
+    Exact and skew-safe, with the raw rows touched once: values are first
+    collapsed to (group, value, count) by a map-side-combined aggregation;
+    running counts over the distinct values (``running_sums``: range
+    partitioned, so a hot group spans many tasks) locate the four order
+    statistics each group needs; outliers are counted on the collapsed rows.
     """
     vals = long.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    n = vals.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    r = ranked(vals.select(*group, value), group, [value], "_rn")
-    need = []
+    cnt = vals.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sums(cnt, group, value, ["_c"], prefix="_cum")
+    n = cnt.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    # one row per group with the four 1-based ranks it needs
+    cols = []
     for q, tag in ((0.25, "q1"), (0.75, "q3")):
         pos = (F.col("_n") - 1) * F.lit(q)
-        need.append(n.select(*group, F.lit(tag).alias("_q"), (F.floor(pos) + 1).cast("long").alias("_lo"),
-                             (F.ceil(pos) + 1).cast("long").alias("_hi"), (pos - F.floor(pos)).alias("_f")))
-    need = reduce(DataFrame.unionByName, need)
-    ends = need.select(*group, "_q", F.inline(F.array(F.struct(F.lit("lo").alias("_end"), F.col("_lo").alias("_rn")),
-                                                      F.struct(F.lit("hi").alias("_end"), F.col("_hi").alias("_rn")))))
-    picked = ends.join(r, [*group, "_rn"]).groupBy(*group, "_q").agg(
-        F.max(F.when(F.col("_end") == "lo", F.col(value))).alias("_vlo"),
-        F.max(F.when(F.col("_end") == "hi", F.col(value))).alias("_vhi"))
-    qv = picked.join(need.select(*group, "_q", "_f"), [*group, "_q"]).select(
-        *group, "_q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias("_qv"))
-    bounds = qv.groupBy(*group).agg(F.max(F.when(F.col("_q") == "q1", F.col("_qv"))).alias("q1"),
-                                    F.max(F.when(F.col("_q") == "q3", F.col("_qv"))).alias("q3"))
+        cols += [(F.floor(pos) + 1).alias(f"_{tag}lo"), (F.ceil(pos) + 1).alias(f"_{tag}hi"),
+                 (pos - F.floor(pos)).alias(f"_{tag}f")]
+    need = n.select(*group, *cols)
+    # the value at rank r is the distinct value whose count range (cum - c, cum] holds r
+    holds = lambda r: (F.col("_cum_c") - F.col("_c") < F.col(r)) & (F.col(r) <= F.col("_cum_c"))
+    picked = cum.join(need, group).groupBy(*group).agg(
+        *[F.max(F.when(holds(f"_{t}{e}"), F.col(value))).alias(f"_v{t}{e}") for t in ("q1", "q3") for e in ("lo", "hi")],
+        F.max("_q1f").alias("_q1f"), F.max("_q3f").alias("_q3f"))
+    interp = lambda t: F.col(f"_v{t}lo") + (F.col(f"_v{t}hi") - F.col(f"_v{t}lo")) * F.col(f"_{t}f")
+    bounds = picked.select(*group, interp("q1").alias("q1"), interp("q3").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - F.lit(1.5) * iqr, F.col("q3") + F.lit(1.5) * iqr
-    cnt = vals.join(bounds, group).groupBy(*group).agg(
-        F.count_if((F.col(value) < lo) | (F.col(value) > hi)).alias("n_outliers"))
-    return bounds.join(cnt, group)
+    out = cnt.join(bounds, group).groupBy(*group).agg(
+        F.sum(F.when((F.col(value) < lo) | (F.col(value) > hi), F.col("_c")).otherwise(0)).alias("n_outliers"))
+    return bounds.join(out, group)
 
 
 def unpivot_numeric(df: DataFrame, entity: str, columns: list[str] | None = None) -> DataFrame:
