@@ -50,3 +50,10 @@ def round6(c) -> Column:
 
 def hours_between(start, end) -> Column:
     return micros_between(start, end) / F.lit(float(HOUR_US))
+
+
+def hours_6dp(micros) -> Column:
+    """Elapsed hours rounded half-up to 6 decimals in integer arithmetic
+    (1e-6 h = 3600 us): exact ties (1 in 3600 microsecond counts) round the
+    same way in every engine, unlike rounding the float quotient."""
+    return floor_div(col(micros) + 1800, 3600) / F.lit(1e6)

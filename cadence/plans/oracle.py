@@ -117,7 +117,8 @@ ORACLE["timeline_extent"] = _with(_EVENT_BASE) + """
 SELECT patient_id, min(ts) AS timeline_start,
        least(min(ts) + INTERVAL 720 HOUR, max(ts)) AS timeline_end,
        count(*) AS n_timestamps,
-       round(epoch_us(least(min(ts) + INTERVAL 720 HOUR, max(ts)) - min(ts)) / 3600000000.0, 6) AS observed_hours
+       ((epoch_us(least(min(ts) + INTERVAL 720 HOUR, max(ts)) - min(ts)) + 1800) // 3600) / 1000000.0
+         AS observed_hours
 FROM stamps WHERE ts IS NOT NULL GROUP BY patient_id"""
 
 ORACLE["hourly_vitals_by_type"] = _with(_EVENT_BASE, _VITAL_KW, _valued("vkw", "vit")) + """
@@ -154,7 +155,7 @@ SELECT g.patient_id, g.hour_idx, round(coalesce(v.value, 0), 6) AS value
 FROM grid g LEFT JOIN vit_collapsed v ON v.patient_id = g.patient_id AND v.hour_idx = g.hour_idx"""
 
 ORACLE["relative_time"] = _with(_EVENT_BASE) + """
-SELECT e.event_id, e.user_id AS patient_id, round(epoch_us(e.ts - a.t0) / 3600000000.0, 6) AS rel_hours
+SELECT e.event_id, e.user_id AS patient_id, ((epoch_us(e.ts - a.t0) + 1800) // 3600) / 1000000.0 AS rel_hours
 FROM events e JOIN anchors a ON a.patient_id = e.user_id"""
 
 
@@ -250,7 +251,7 @@ SELECT a.patient_id,
   CASE WHEN coalesce(l.icu_e, false) OR coalesce(l.icu_p, false) THEN 1.0 ELSE 0.0 END AS icu_admission,
   CASE WHEN coalesce(l.vent_p, false) THEN 1.0 ELSE 0.0 END AS ventilator_need,
   719.0 AS length_of_stay,
-  round(epoch_us(least(a.t0 + INTERVAL 720 HOUR, m.mx) - a.t0) / 3600000000.0, 6) AS los_observed_hours
+  ((epoch_us(least(a.t0 + INTERVAL 720 HOUR, m.mx) - a.t0) + 1800) // 3600) / 1000000.0 AS los_observed_hours
 FROM anchors a
 JOIN (SELECT patient_id, max(ts) AS mx FROM stamps GROUP BY 1) m USING (patient_id)
 LEFT JOIN listed l USING (patient_id)"""
@@ -361,7 +362,8 @@ FROM cons"""
 _COVER = """,
 cover AS (
   SELECT p.patient_id,
-         coalesce(least((floor(epoch(max(o.ts) - min(o.ts)) / 86400) + 1) / 30.0, 1.0), 0.0) AS temporal_coverage
+         CASE WHEN count(o.ts) = 0 THEN 0.0
+              ELSE least((floor(epoch(max(o.ts) - min(o.ts)) / 86400) + 1) / 30.0, 1.0) END AS temporal_coverage
   FROM pat p LEFT JOIN obs o ON o.patient_id = p.patient_id AND o.ts IS NOT NULL GROUP BY p.patient_id)"""
 
 ORACLE["temporal_coverage"] = _with(_ORDER_ROLES + _COVER) + """

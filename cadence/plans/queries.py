@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import round6
+from ..functions.exprs import hours_6dp, micros_between, round6
 from ..functions.vocab import TIMELINE_LABS
 from ..operators import timeline as tl
 from ..operators.ranking import checkpointed
@@ -97,7 +97,7 @@ def channel_stats(spark, sf_dir):
 @query("timeline_extent")
 def timeline_extent(spark, sf_dir):
     _, extent, _ = _event_timeline(spark, sf_dir)
-    return _r(extent, "observed_hours")
+    return extent.withColumn("observed_hours", hours_6dp(micros_between("timeline_start", "timeline_end")))
 
 
 @query("hourly_vitals_by_type")
@@ -169,7 +169,8 @@ def relative_time(spark, sf_dir):
     """Hours since each patient's first timestamp, per observation."""
     _, _, anchors = _event_timeline(spark, sf_dir, with_intervals=False)
     ev = bd.read_table(spark, sf_dir, "events", ["event_id", "user_id", "ts"]).withColumnRenamed("user_id", "patient_id")
-    return _r(tl.relative_hours(ev, anchors).select("event_id", "patient_id", "rel_hours"), "rel_hours")
+    rel = tl.relative_hours(ev, anchors)
+    return rel.select("event_id", "patient_id", hours_6dp(micros_between("t0", "ts")).alias("rel_hours"))
 
 
 def queries() -> dict[str, Query]:
@@ -246,7 +247,9 @@ def targets(spark, sf_dir):
     """A12-A16 over the events timeline."""
     roles, extent, _ = _event_timeline(spark, sf_dir)
     t = tg.targets(roles.conditions, roles.encounters, roles.procedures, extent, bd.EVENT_TARGETS)
-    return _r(t, "mortality_risk", "mortality_risk_distinct", "los_observed_hours")
+    los = extent.select("patient_id", hours_6dp(micros_between("timeline_start", "timeline_end"))
+                        .alias("los_observed_hours"))
+    return _r(t.drop("los_observed_hours").join(los, "patient_id"), "mortality_risk", "mortality_risk_distinct")
 
 
 @query("label_flags")
