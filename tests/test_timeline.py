@@ -148,3 +148,23 @@ def test_extent_ignores_conditions_and_nulls(spark):
     assert row["timeline_start"] == h(1)
     assert row["timeline_end"] == h(721)  # least(t0 + 720h, max)
     assert row["n_timestamps"] == 3
+
+
+def test_patient_without_channel_values_gets_zero_stats(spark):
+    anchors = spark.createDataFrame([("p1", T0), ("p2", T0)], "patient_id string, t0 timestamp_ntz")
+    sparse = spark.createDataFrame([("p1", 3, 2.0)], "patient_id string, hour_idx int, value double")
+    rows = {r["patient_id"]: r for r in tl.channel_stats(sparse, anchors).collect()}
+    assert (rows["p2"]["mean"], rows["p2"]["std"], rows["p2"]["max"], rows["p2"]["trend"]) == (0.0, 0.0, 0.0, 0.0)
+    assert rows["p1"]["max"] == 2.0
+
+
+def test_null_text_value_and_stop(spark):
+    roles = make_roles(spark, observations=[("p1", h(0), None, "5"), ("p1", h(0, 10), "Temperature", None),
+                                            ("p1", h(0, 20), "Temperature", "NaN"), ("p1", h(0, 30), "temp", " 36.5 ")],
+                       medications=[("p1", h(2), None, None), ("p1", h(3), None, "Remdesivir")])
+    anchors = tl.anchors_of(tl.timeline_extent(roles))
+    wide = tl.hourly_values_wide(roles.observations, anchors, TIMELINE_VITALS, False)
+    assert {r["hour_idx"]: r["temperature"] for r in wide.collect()} == {0: 36.5, 1: 36.5}
+    act = {r["hour_idx"]: r["value"] for r in tl.hourly_active_counts(roles.medications, anchors,
+                                                                      TIMELINE_MEDICATIONS).collect()}
+    assert min(act) == 3 and max(act) == 719 and set(act.values()) == {1.0}
