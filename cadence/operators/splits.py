@@ -12,6 +12,7 @@ they are reproducible run to run and independent of partitioning.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,16 +81,21 @@ def stratified_split(flags: DataFrame, test_size: float = 0.1, validation_size:
     n_val = max(1, int(round(n * validation_size)))
     n_train = max(1, n - n_test - n_val)
     h = flags.select("patient_id", *LABELS, hash_order(flags, seed).alias("_h"))
-    assigned: dict[str, str] = {}
+    # At most 9 * min_pos ids are ever pre-assigned, so for each label its first
+    # 9 * min_pos positives in hash order are enough to replay the sequential
+    # allocation exactly. One job of three bounded top-k scans (<= 27 * min_pos
+    # rows reach the driver).
+    k = 3 * len(LABELS) * min_pos
+    tops = [h.where(F.col(label) == 1).orderBy("_h", "patient_id").limit(k)
+            .select(F.lit(label).alias("_label"), "patient_id", "_h") for label in LABELS]
+    cand: dict[str, list] = {label: [] for label in LABELS}
+    for row in sorted(reduce(DataFrame.unionByName, tops).collect(), key=lambda r: (r["_h"], r["patient_id"])):
+        cand[row["_label"]].append(row["patient_id"])
+    assigned: dict = {}
     for label in LABELS:
         for split in ("test", "validation", "train"):
-            cand = h.where(F.col(label) == 1)
-            if assigned:
-                taken = spark.createDataFrame([(k,) for k in assigned], h.select("patient_id").schema)
-                cand = cand.join(F.broadcast(taken), "patient_id", "left_anti")
-            # bounded: at most min_pos ids per step, 9 steps in all
-            for row in cand.orderBy("_h", "patient_id").limit(min_pos).select("patient_id").collect():
-                assigned[row[0]] = split
+            for pid in [p for p in cand[label] if p not in assigned][:min_pos]:
+                assigned[pid] = split
     pre = spark.createDataFrame(list(assigned.items()), "patient_id " + h.schema["patient_id"].dataType.simpleString()
                                 + ", split string") if assigned else None
     counts = {s: sum(1 for v in assigned.values() if v == s) for s in SPLITS}

@@ -178,3 +178,29 @@ def test_hot_group_is_split_across_partitions(spark):
     assert len(sizes) >= 10 and max(sizes) < 2 * 6000 / 12
     hot = ranked(df, ["g"], ["o"], num_partitions=12).where(F.col("g") == "hot").orderBy("o").collect()
     assert [r["rn"] for r in hot] == list(range(1, 2001))
+
+
+def test_stratified_split_equals_sequential_definition(spark):
+    rnd = random.Random(8)
+    rows = [(i, int(rnd.random() < .08), int(rnd.random() < .12), int(rnd.random() < .2)) for i in range(300)]
+    flags = spark.createDataFrame(rows, "patient_id long, mortality int, icu int, ventilator int")
+    got = {r["patient_id"]: r["split"] for r in sp.stratified_split(flags, min_pos=3, seed=42).collect()}
+    h = {r[0]: r[1] for r in flags.select("patient_id", F.xxhash64("patient_id", F.lit(42))).collect()}
+    order = sorted(h, key=lambda p: (h[p], p))
+    lab = {p: dict(zip(("mortality", "icu", "ventilator"), r[1:])) for r in rows for p in [r[0]]}
+    assigned = {}
+    for label in ("mortality", "icu", "ventilator"):
+        for split in ("test", "validation", "train"):
+            for p in [p for p in order if lab[p][label] == 1 and p not in assigned][:3]:
+                assigned[p] = split
+    n_test, n_val = round(300 * 0.1), round(300 * 0.15)
+    need = {"test": n_test - sum(v == "test" for v in assigned.values()),
+            "validation": n_val - sum(v == "validation" for v in assigned.values())}
+    for p in [p for p in order if p not in assigned]:
+        if need["test"] > 0:
+            assigned[p], need["test"] = "test", need["test"] - 1
+        elif need["validation"] > 0:
+            assigned[p], need["validation"] = "validation", need["validation"] - 1
+        else:
+            assigned[p] = "train"
+    assert got == assigned
