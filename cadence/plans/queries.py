@@ -5,13 +5,22 @@ they compare exactly with the DuckDB oracle."""
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hours_6dp, micros_between, round6
-from ..functions.vocab import TIMELINE_LABS
+from ..functions.vocab import STATIC_FEATURES, TIMELINE_LABS
+from ..operators import cohort as co
+from ..operators import export as ex
+from ..operators import features as fe
+from ..operators import metrics as me
+from ..operators import quality as qa
+from ..operators import sequences as sq
+from ..operators import splits as sp
+from ..operators import targets as tg
 from ..operators import timeline as tl
 from ..operators.ranking import checkpointed
 from ..session import ensure_utc
@@ -181,11 +190,6 @@ def queries() -> dict[str, Query]:
 # Cohort (events + orders), static features (customer/orders binding)
 # ---------------------------------------------------------------------------
 
-from ..operators import cohort as co  # noqa: E402
-from ..operators import features as fe  # noqa: E402
-from ..operators import sequences as sq  # noqa: E402
-from ..operators import targets as tg  # noqa: E402
-
 
 def _cohort(spark, sf_dir):
     ev = bd.read_table(spark, sf_dir, "events", ["user_id", "event_type"]).select(
@@ -284,11 +288,6 @@ def padded_sequences(spark, sf_dir):
 # Quality (customer/orders binding)
 # ---------------------------------------------------------------------------
 
-import datetime as _dt  # noqa: E402
-
-from ..operators import metrics as me  # noqa: E402
-from ..operators import quality as qa  # noqa: E402
-from ..operators import splits as sp  # noqa: E402
 
 AS_OF = _dt.datetime(1999, 1, 1)
 
@@ -458,7 +457,6 @@ def scaled_static(spark, sf_dir):
     train = st.join(split.where(F.col("split") == "train").select("patient_id"), "patient_id", "left_semi")
     params = fe.scaler_params(fe.fit_standard_scaler(train))
     out = fe.apply_standard_scaler(st, params)
-    from ..functions.vocab import STATIC_FEATURES
     return _r(out, *STATIC_FEATURES)
 
 
@@ -523,7 +521,6 @@ def residual_histogram(spark, sf_dir):
 # Temporal matrix and model-ready export (events binding)
 # ---------------------------------------------------------------------------
 
-from ..operators import export as ex  # noqa: E402
 
 EVENT_CATEGORIES = (("vital_signs", bd.EVENT_VITALS), ("laboratory_values", TIMELINE_LABS),
                     ("medications", bd.EVENT_MEDICATIONS), ("procedures", bd.EVENT_PROCEDURES),
