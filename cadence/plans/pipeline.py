@@ -78,7 +78,11 @@ def choose_split(roles: Roles, valid: DataFrame, cfg: PipelineConfig) -> tuple[D
     raise RuntimeError("no split strategy succeeded")
 
 
-def run_pipeline(roles: Roles, output_dir: str, cfg: PipelineConfig | None = None) -> dict:
+def run_pipeline(roles: Roles, output_dir: str, cfg: PipelineConfig | None = None,
+                 raw: dict[str, DataFrame] | None = None) -> dict:
+    """``raw``: the loaded tables keyed by ``patient_id`` (``patient_slices``);
+    when given, the missing-value and outlier scans cover every raw column,
+    otherwise the role frames."""
     cfg = cfg or PipelineConfig()
     spark = roles.patients.sparkSession
     # cohort and optional deterministic slice
@@ -89,8 +93,9 @@ def run_pipeline(roles: Roles, output_dir: str, cfg: PipelineConfig | None = Non
     r = restrict_roles(roles, cohort)
     # quality
     base = cohort.select("patient_id")
-    tabs = {n: df for n, df in r.frames().items()}
+    tabs = {n: co.restrict(df, cohort) for n, df in raw.items()} if raw else dict(r.frames())
     missing = checkpointed(qa.missing_by_patient(tabs, base))
+    outliers = qa.outliers_by_patient(tabs)
     valid = missing.where(F.col("is_valid")).select("patient_id")
     cov = qa.temporal_coverage(r.observations, base)
     counts = [r.observations.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_obs")),
@@ -103,7 +108,8 @@ def run_pipeline(roles: Roles, output_dir: str, cfg: PipelineConfig | None = Non
     summary = qa.quality_summary(per)
     cons = qa.temporal_consistency(r.observations, base, dt.datetime.combine(cfg.as_of, dt.time()))
     cons = cons.join(per.select("patient_id", F.col("n_obs").alias("n_obs_rows")), "patient_id")
-    issues = qa.patient_issues(missing, cons, None, per.select("patient_id", "n_obs"))
+    seen = r.observations.select("patient_id").unionByName(r.conditions.select("patient_id"))
+    issues = qa.patient_issues(missing, cons, outliers, per.select("patient_id", "n_obs"), r.patients, seen)
     reports = sinks.write_report({"quality_summary": summary, "recommendations": qa.recommendations(summary),
                                   "issues": issues}, os.path.join(output_dir, "validation_report"))
     # split

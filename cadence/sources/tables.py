@@ -44,15 +44,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 # ---------------------------------------------------------------------------
 
 S = T.StringType()
+D = T.DoubleType()
 CLINICAL_SCHEMAS: dict[str, list[tuple[str, T.DataType]]] = {
-    "patients": [("Id", S), ("BIRTHDATE", S), ("DEATHDATE", S), ("GENDER", S), ("RACE", S), ("ETHNICITY", S)],
+    "patients": [("Id", S), ("BIRTHDATE", S), ("DEATHDATE", S), ("GENDER", S), ("RACE", S), ("ETHNICITY", S),
+                 ("HEALTHCARE_EXPENSES", D), ("HEALTHCARE_COVERAGE", D), ("INCOME", D), ("LAT", D), ("LON", D)],
     "observations": [("DATE", S), ("PATIENT", S), ("DESCRIPTION", S), ("VALUE", S)],
     "conditions": [("START", S), ("STOP", S), ("PATIENT", S), ("DESCRIPTION", S)],
-    "encounters": [("START", S), ("STOP", S), ("PATIENT", S), ("DESCRIPTION", S)],
-    "medications": [("START", S), ("STOP", S), ("PATIENT", S), ("DESCRIPTION", S)],
-    "procedures": [("DATE", S), ("PATIENT", S), ("DESCRIPTION", S)],
+    "encounters": [("START", S), ("STOP", S), ("PATIENT", S), ("DESCRIPTION", S), ("BASE_ENCOUNTER_COST", D),
+                   ("TOTAL_CLAIM_COST", D), ("PAYER_COVERAGE", D)],
+    "medications": [("START", S), ("STOP", S), ("PATIENT", S), ("DESCRIPTION", S), ("BASE_COST", D),
+                    ("PAYER_COVERAGE", D), ("DISPENSES", D), ("TOTALCOST", D)],
+    "procedures": [("DATE", S), ("PATIENT", S), ("DESCRIPTION", S), ("BASE_COST", D)],
     "devices": [("START", S), ("STOP", S), ("PATIENT", S), ("DESCRIPTION", S)],
 }
+# Columns other than the declared ones are read as text (no schema inference
+# on large CSVs); a declared numeric column holding text yields NULL and the
+# raw line in ``_corrupt_record`` (PERMISSIVE), the row is kept.
 
 
 def _declared(name: str) -> T.StructType:
@@ -77,7 +84,7 @@ def load_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def load_all_tables(spark: SparkSession, directory: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """S1 + S2: every ``*.csv`` in ``directory`` as a table named by its stem,
-    plus a ``load_status(table, rows, corrupt_rows)`` frame (lazy). Declared
+    plus a ``load_status(table, rows, non_empty_rows, corrupt_rows)`` frame (lazy). Declared
     tables that are absent are empty frames with their schema."""
     tables: dict[str, DataFrame] = {}
     names = sorted(f[:-4] for f in os.listdir(directory) if f.endswith(".csv")) if os.path.isdir(directory) else []
@@ -88,12 +95,15 @@ def load_all_tables(spark: SparkSession, directory: str) -> tuple[dict[str, Data
             tables[n] = empty_frame(spark, T.StructType(_declared(n).fields + [T.StructField("_corrupt_record", S, True)]))
     status = None
     for n, df in tables.items():
-        first = [c for c in df.columns if c != "_corrupt_record"][0]
-        # Spark refuses scans that read only the corrupt-record column, so the
-        # predicate also touches a data column (it is true for every row)
-        corrupt = F.col("_corrupt_record").isNotNull() & (F.col(first).isNull() | F.col(first).isNotNull())
+        data_cols = [c for c in df.columns if c != "_corrupt_record"]
+        # The CSV reader parses only the columns a query reads, so a malformed
+        # field is noticed only if its column is read: ``non_empty_rows`` reads
+        # every data column (this also satisfies Spark's rule against scans
+        # that read the corrupt-record column alone).
         one = df.agg(F.count(F.lit(1)).alias("rows"),
-                     F.count_if(corrupt).alias("corrupt_rows")).select(F.lit(n).alias("table"), "*")
+                     F.count(F.coalesce(*[F.col(c).cast("string") for c in data_cols])).alias("non_empty_rows"),
+                     F.count_if(F.col("_corrupt_record").isNotNull()).alias("corrupt_rows")) \
+                .select(F.lit(n).alias("table"), "rows", "non_empty_rows", "corrupt_rows")
         status = one if status is None else status.unionByName(one)
     return tables, status
 
@@ -126,6 +136,20 @@ class Roles:
         return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "value_is_numeric"}
 
 
+def patient_slices(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Raw tables keyed by ``patient_id`` (``Id`` in patients, ``PATIENT``
+    elsewhere), every CSV column kept: the unit the missing-value and outlier
+    scans run on. Tables without a patient column are left out."""
+    out = {}
+    for name, df in tables.items():
+        cols = [c for c in df.columns if c != "_corrupt_record"]
+        key = "Id" if name == "patients" and "Id" in cols else ("PATIENT" if "PATIENT" in cols else None)
+        if key is None:
+            continue
+        out[name] = df.select(*cols).withColumnRenamed(key, "patient_id")
+    return out
+
+
 def roles_from_clinical(tables: dict[str, DataFrame]) -> Roles:
     """Normalise the clinical export's column names onto role frames."""
     p = tables["patients"]

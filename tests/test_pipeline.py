@@ -12,7 +12,7 @@ import pandas as pd
 from cadence.operators import export as ex
 from cadence.plans.pipeline import PipelineConfig, run_pipeline
 from cadence.sources import sinks
-from cadence.sources.tables import load_all_tables, roles_from_clinical
+from cadence.sources.tables import load_all_tables, patient_slices, roles_from_clinical
 
 
 def _write_export(d: str, n: int = 24) -> None:
@@ -23,7 +23,8 @@ def _write_export(d: str, n: int = 24) -> None:
         pid = f"pt-{i:03d}"
         pats.append({"Id": pid, "BIRTHDATE": f"{1940 + i}-05-0{1 + i % 9}", "DEATHDATE": "2020-04-01" if i % 5 == 0 else "",
                      "GENDER": "MF"[i % 2] if i % 7 else "", "RACE": ["white", "black", "asian", "martian"][i % 4],
-                     "ETHNICITY": "hispanic" if i % 3 else "nonhispanic", "SSN": f"999-{i}"})
+                     "ETHNICITY": "hispanic" if i % 3 else "nonhispanic", "SSN": f"999-{i}",
+                     "INCOME": "oops" if i == 3 else str(20000 + 1000 * i)})
         start = t0 + dt.timedelta(hours=rnd.randint(0, 48))
         for k in range(20):
             ts = start + dt.timedelta(minutes=37 * k)
@@ -35,8 +36,11 @@ def _write_export(d: str, n: int = 24) -> None:
         if i % 3 == 0:
             cond.append({"START": (start + dt.timedelta(hours=5)).isoformat(), "STOP": "", "PATIENT": pid,
                          "DESCRIPTION": "Acute respiratory failure"})
-        enc.append({"START": start.isoformat(), "STOP": (start + dt.timedelta(days=6)).isoformat(), "PATIENT": pid,
-                    "DESCRIPTION": "Admission to intensive care unit" if i % 4 == 1 else "Hospital admission"})
+        for e in range(5):
+            enc.append({"START": (start + dt.timedelta(hours=e)).isoformat(),
+                        "STOP": (start + dt.timedelta(days=6)).isoformat(), "PATIENT": pid,
+                        "DESCRIPTION": "Admission to intensive care unit" if i % 4 == 1 else "Hospital admission",
+                        "TOTAL_CLAIM_COST": 100.0 * (1 + e) if e < 4 else 99999.0})
         med.append({"START": (start + dt.timedelta(hours=3)).isoformat(), "STOP": "", "PATIENT": pid,
                     "DESCRIPTION": "Heparin sodium 5000 UNT/ML" if i % 2 else "Acetaminophen 500 MG"})
         if i % 4 == 1:
@@ -55,11 +59,14 @@ def test_pipeline_end_to_end(spark, tmp_path):
     _write_export(str(src))
     tables, status = load_all_tables(spark, str(src))
     st = {r["table"]: (r["rows"], r["corrupt_rows"]) for r in status.collect()}
-    assert st["patients"] == (24, 0) and st["observations"][0] == 480
+    assert st["patients"] == (24, 1) and st["observations"][0] == 480  # INCOME 'oops' -> corrupt, row kept
     roles = roles_from_clinical(tables)
     assert roles.observations.where("ts IS NULL").count() == 0  # 'Z' suffixed ISO times parse
     out = tmp_path / "out"
-    res = run_pipeline(roles, str(out), PipelineConfig(min_pos_per_label=1))
+    res = run_pipeline(roles, str(out), PipelineConfig(min_pos_per_label=1), raw=patient_slices(tables))
+    issues = spark.read.json(res["reports"]["issues"])
+    # the fifth encounter of every patient costs far more: one outlier each
+    assert issues.where("code = 'outliers'").count() == 24
     sizes = {m["split"]: m["n_patients"] for m in res["splits"]}
     assert sum(sizes.values()) == 24 and res["split_strategy"] == "stratified"
     assert len(res["temporal_channels"]) == 26
