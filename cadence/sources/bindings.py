@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vocab import Vocab
-from ..operators.ranking import next_in_group
+from ..operators.ranking import checkpointed, next_in_group
 from .tables import Roles, read_table
 
 # ---------------------------------------------------------------------------
@@ -85,7 +85,9 @@ def event_intervals(ev: DataFrame) -> DataFrame:
     """[ts, next ts of the same user and event type); the last one is open."""
     base = ev.select(F.col("user_id").alias("patient_id"), "event_type", "event_id", "ts")
     nxt = next_in_group(base, ["patient_id", "event_type"], ["ts", "event_id"], "ts", "stop")
-    return nxt.select("patient_id", F.col("ts").alias("start"), "stop", F.col("event_type").alias("description"))
+    # read three times (extent start, extent stop, channels): materialise once
+    return checkpointed(nxt.select("patient_id", F.col("ts").alias("start"), "stop",
+                                   F.col("event_type").alias("description")))
 
 
 def event_roles(spark: SparkSession, sf_dir: str, with_intervals: bool = True) -> Roles:
