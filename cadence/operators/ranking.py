@@ -54,6 +54,14 @@ def _tagged(df: DataFrame, by: list[str], order: list, n: int | None) -> DataFra
     return materialize(s)
 
 
+def _join_back(s: DataFrame, offs: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi-join on ``keys`` that also matches NULL group keys (no row of a
+    NULL group may be lost)."""
+    o = offs.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in offs.columns])
+    cond = [s[c].eqNullSafe(o[f"_k_{c}"]) if c != "_pid" else s[c] == o[f"_k_{c}"] for c in keys]
+    return s.join(o, cond).drop(*[f"_k_{c}" for c in keys])
+
+
 def ranked(df: DataFrame, by: list[str], order: list, out: str = "rn",
            num_partitions: int | None = None) -> DataFrame:
     """Exact ``row_number()`` within ``by`` ordered by ``order`` (1-based).
@@ -66,7 +74,7 @@ def ranked(df: DataFrame, by: list[str], order: list, out: str = "rn",
     w = Window.partitionBy(*by).orderBy("_pid") if by else Window.orderBy("_pid")
     offs = totals.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (s.join(offs.select("_pid", *by, "_first", "_off"), ["_pid", *by])
+    return (_join_back(s, offs.select("_pid", *by, "_first", "_off"), ["_pid", *by])
              .withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1)
              .drop("_pid", "_mid", "_first", "_off"))
 
@@ -90,7 +98,7 @@ def running_sums(df: DataFrame, by: list[str], order: str, cols: list[str],
     w_in = Window.partitionBy("_pid", *by).orderBy(order)
     frame = w_in.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = s.select("*", *[F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(f"_l_{c}") for c in cols])
-    out = local.join(offs, ["_pid", *by])
+    out = _join_back(local, offs, ["_pid", *by])
     for c in cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_o_{c}") + F.col(f"_l_{c}"))
     return out.drop("_pid", "_mid", *[f"_l_{c}" for c in cols], *[f"_o_{c}" for c in cols])
@@ -102,8 +110,10 @@ def next_in_group(df: DataFrame, by: list[str], order: list, value: str, out: st
     per-group task: rank, then an equi-join of rank n with rank n + 1 (the
     key includes the rank, so a hot group spreads over many partitions)."""
     r = ranked(df, by, order, "_rn", num_partitions)
-    nxt = r.select(*by, (F.col("_rn") - 1).alias("_rn"), F.col(value).alias(out))
-    return r.join(nxt, [*by, "_rn"], "left").drop("_rn")
+    nxt = r.select(*[F.col(c).alias(f"_n_{c}") for c in by], (F.col("_rn") - 1).alias("_n_rn"),
+                   F.col(value).alias(out))
+    cond = [r[c].eqNullSafe(nxt[f"_n_{c}"]) for c in by] + [r["_rn"] == nxt["_n_rn"]]
+    return r.join(nxt, cond, "left").drop("_rn", "_n_rn", *[f"_n_{c}" for c in by])
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -204,3 +204,15 @@ def test_stratified_split_equals_sequential_definition(spark):
         else:
             assigned[p] = "train"
     assert got == assigned
+
+
+def test_ranking_keeps_null_groups(spark):
+    from cadence.operators.ranking import next_in_group
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 3)], "g string, o int")
+    r = {(x["g"], x["o"]): x["rn"] for x in ranked(df, ["g"], ["o"]).collect()}
+    assert r == {("a", 1): 1, ("a", 3): 2, (None, 1): 1, (None, 2): 2}
+    nx = {(x["g"], x["o"]): x["nxt"] for x in next_in_group(df, ["g"], ["o"], "o", "nxt").collect()}
+    assert nx == {(None, 1): 2, (None, 2): None, ("a", 1): 3, ("a", 3): None}
+    agg = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 1, 5)], "g string, o int, c int")
+    cs = {(x["g"], x["o"]): x["cum_c"] for x in running_sums(agg, ["g"], "o", ["c"]).collect()}
+    assert cs == {(None, 1): 2, (None, 2): 5, ("a", 1): 5}
