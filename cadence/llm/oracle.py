@@ -33,7 +33,69 @@ FROM documents d LEFT JOIN nw USING (doc_id) LEFT JOIN nh USING (doc_id) LEFT JO
 """
 
 
+OP4 = r"""
+WITH u AS (
+  SELECT page_id, url,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(h, p, action) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+                           ('org', '/fr/', 'allow'))
+SELECT page_id, host, path,
+       (SELECT h || p FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+        ORDER BY length(h || p) DESC, h || p LIMIT 1) AS rule,
+       coalesce((SELECT action FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+                 ORDER BY length(h || p) DESC, h || p LIMIT 1),
+                CASE WHEN regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)(\.|$)') THEN 'block' ELSE 'allow' END)
+         AS verdict
+FROM u
+"""
+
+OP5 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'),
+                   (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), ''))
+         AS loss_sha256,
+       CAST(sum(24 + length(replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), chr(10), '<|nl|>'))
+                + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+OP7 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w,
+             sum(source_size) OVER () AS total FROM s),
+o AS (SELECT *, 3 * source_size AS cap, 3.0::DOUBLE * source_size / w AS ratio FROM w),
+p AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped,
+             sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM o),
+f AS (SELECT ratio, stopped, rest FROM p WHERE (total - stopped) * w < cap * rest ORDER BY ratio, stopped LIMIT 1),
+t AS (SELECT p.source, p.source_size,
+             CASE WHEN f.ratio IS NULL OR p.ratio < f.ratio THEN CAST(p.cap AS DOUBLE)
+                  ELSE CAST(p.w * (p.total - f.stopped) AS DOUBLE) / CAST(f.rest AS DOUBLE) END AS target
+      FROM p LEFT JOIN f ON true),
+k AS (SELECT *, CASE WHEN size < 4 THEN size ELSE length(bin(size)) * 4 + ((size >> (length(bin(size)) - 3)) & 3) END AS cls FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, place, doc_id) - 1 AS rank,
+             ('0x' || substr(md5(coalesce(source, '')), 1, 5))::INTEGER / 1048576.0::DOUBLE AS u FROM k),
+c AS (SELECT n.*, t.source_size, t.target,
+             CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS r
+      FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST((floor(u + r * (rank + 1)) - floor(u + r * rank)) AS BIGINT) * size AS taken FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1,
+        "op4_url_filter": OP4,
+        "op5_chat_format": OP5,
+        "op7_mixing": OP7,
     }

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import as_layouts, canonical_turns, format_chat, gather_turns, loss_text, read_back
 from .common import table
 from .decontaminate import decontaminate
+from .mixing import mix
+from .url_filter import filter_urls, host_of
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +21,45 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+#: Rules of the URL filter query: (host, path, action).
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow"))
+#: Host labels whose pages make up the list of blocked URLs.
+SPAM_LABELS = ("spam-farm", "cheap-pills")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: canonical URLs of the crawled pages on hosts with a spam label."""
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    spam = pages.select("url").filter(host_of(F.col("url")).rlike(r"(^|\.)(" + "|".join(SPAM_LABELS) + r")(\.|$)"))
+    return filter_urls(pages, spam, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    out = format_chat(canonical_turns(as_layouts(gather_turns(rows))))
+    out = out.withColumns({"said": read_back(F.col("formatted")),
+                           "learned": loss_text(F.col("formatted"), F.col("loss_mask"))})
+    lines = F.array_join(F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("said").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op4_url_filter": op4_url_filter,
+        "op5_chat_format": op5_chat_format,
+        "op7_mixing": op7_mixing,
     }
