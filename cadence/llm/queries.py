@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import as_layouts, canonical_turns, format_chat, gather_turns, loss_text, read_back
 from .common import table
 from .decontaminate import decontaminate
+from .jaccard_join import jaccard_components
 from .mixing import mix
 from .url_filter import filter_urls, host_of
 
@@ -51,6 +52,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -61,5 +66,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op4_url_filter": op4_url_filter,
         "op5_chat_format": op5_chat_format,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_mixing": op7_mixing,
     }
