@@ -12,6 +12,8 @@ from .common import table
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_components
 from .mixing import mix
+from .secrets import KINDS as SECRET_KINDS
+from .secrets import scan_secrets, spans_text
 from .url_filter import filter_urls, host_of
 
 
@@ -22,6 +24,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in SECRET_KINDS], F.sha2(spans_text(base), 256).alias("base_sha256"),
+                        spans_text(F.col("spans")).alias("spans"))
+
+
 #: Rules of the URL filter query: (host, path, action).
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
              ("org", "/fr/", "allow"))
@@ -64,6 +77,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_secret_scan": op2_secret_scan,
         "op4_url_filter": op4_url_filter,
         "op5_chat_format": op5_chat_format,
         "op6_jaccard_join": op6_jaccard_join,
