@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, pii_crf
 from .chat_format import as_layouts, canonical_turns, format_chat, gather_turns, loss_text, read_back
 from .common import table
 from .decontaminate import decontaminate
@@ -74,6 +75,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.with_language(docs.select("doc_id", "text"), language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_crf.find_personal_data(table(spark, sf_dir, "documents"))
+
+    def count(k: int, kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k, kind) for k, kind in enumerate(pii_crf.KINDS)],
+                        F.sha2(pii_crf.spans_text(F.col("base")), 256).alias("base_sha256"),
+                        pii_crf.spans_text(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -82,4 +100,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": op5_chat_format,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_mixing": op7_mixing,
+        "op9_language_id": op9_language_id,
+        "op10_pii": op10_pii,
     }
