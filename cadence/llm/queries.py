@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pii_crf
+from . import html_extract, language_id, pii_crf
 from .chat_format import as_layouts, canonical_turns, format_chat, gather_turns, loss_text, read_back
 from .common import table
 from .decontaminate import decontaminate
@@ -75,6 +75,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.with_language(docs.select("doc_id", "text"), language_id.fit(docs))
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": op5_chat_format,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_mixing": op7_mixing,
+        "op8_html_extract": op8_html_extract,
         "op9_language_id": op9_language_id,
         "op10_pii": op10_pii,
     }
