@@ -33,6 +33,21 @@ FROM documents d LEFT JOIN nw USING (doc_id) LEFT JOIN nh USING (doc_id) LEFT JO
 """
 
 
+OP3 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, e FROM v
+      WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.vec_id < b.vec_id
+         WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+e AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+n AS (SELECT x AS vec_id, count(*) AS n FROM e GROUP BY 1),
+reach(node, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.y, reach.r FROM reach JOIN e ON e.x = reach.node)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.m AS component_id, v.vec_id = c.m AS kept
+FROM v LEFT JOIN n USING (vec_id) JOIN (SELECT node AS vec_id, min(r) AS m FROM reach GROUP BY 1) c USING (vec_id)
+"""
+
 OP4 = r"""
 WITH u AS (
   SELECT page_id, url,
@@ -113,6 +128,7 @@ SELECT doc_id, size, source_size, target,
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1,
+        "op3_embedding_neardup": OP3,
         "op4_url_filter": OP4,
         "op5_chat_format": OP5,
         "op6_jaccard_join": OP6,

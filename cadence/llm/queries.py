@@ -13,6 +13,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_components
 from .mixing import mix
+from .pivot_index import near_duplicates
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import scan_secrets, spans_text
 from .url_filter import filter_urls, host_of
@@ -36,6 +37,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         spans_text(F.col("spans")).alias("spans"))
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 #: Rules of the URL filter query: (host, path, action).
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
              ("org", "/fr/", "allow"))
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_secret_scan": op2_secret_scan,
+        "op3_embedding_neardup": op3_embedding_neardup,
         "op4_url_filter": op4_url_filter,
         "op5_chat_format": op5_chat_format,
         "op6_jaccard_join": op6_jaccard_join,
