@@ -26,8 +26,9 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import code_point_offsets, map_batches
@@ -156,6 +157,16 @@ def _scan_batches(items, window: int, last: bool):
     return run
 
 
+def _item_parts(items: DataFrame, item_col: str, item_text_col: str, max_item_bytes: int) -> list:
+    """Broadcasts of the items, each of a bounded size."""
+    given = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")).distinct()
+    size = given.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    parts = max(1, -(-int(size) // max_item_bytes))
+    return [items.sparkSession.sparkContext.broadcast(sorted(map(tuple, (
+        given.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == k) if parts > 1 else given).collect()), key=repr))
+        for k in range(parts)]
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
                   max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
@@ -164,20 +175,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     ``items``: ids (as strings, sorted) of the test items that have a window in the text;
     ``spans``: code point ranges of the runs of hit words.
     """
-    spark = docs.sparkSession
-    given = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")).distinct()
-    size = given.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    passes = max(1, -(-int(size) // max_item_bytes))
+    parts = _item_parts(items, item_col, item_text_col, max_item_bytes)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.lit(None).cast("array<struct<start:long,end:long>>").alias("runs"),
                        F.lit(None).cast("array<string>").alias("items"))
     rows = rows.withColumns({"runs": F.coalesce("runs", F.array().cast("array<struct<start:long,end:long>>")),
                              "items": F.coalesce("items", F.array().cast("array<string>"))})
-    for k in range(passes):  # parts of the items, without a shuffle between the passes
-        part = given.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == k) if passes > 1 else given
-        sent = spark.sparkContext.broadcast(sorted(map(tuple, part.collect()), key=repr))
-        last = k == passes - 1
+    for k, sent in enumerate(parts):  # without a shuffle between the passes
+        last = k == len(parts) - 1
         rows = map_batches(rows, _scan_batches(sent, window, last),
                            RESULT if last else "doc_id long, text string, "
                            "runs array<struct<start:long,end:long>>, items array<string>")
     return rows
+
+
+def _hit_udf(items, window: int):
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        auto = _automaton(items.value, window)
+        return pd.Series([bool(scan(t, auto)[0].any()) for t in texts], dtype=bool)
+
+    return hit
+
+
+def is_contaminated(items: DataFrame, text: Column, *, item_col: str = "item_id", item_text_col: str = "text",
+                    window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> Column:
+    """Whether any window of any item occurs in a text; false for null texts."""
+    out = F.lit(False)
+    for sent in _item_parts(items, item_col, item_text_col, max_item_bytes):
+        out = out | _hit_udf(sent, window)(text.cast("string"))
+    return out
