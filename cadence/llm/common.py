@@ -34,6 +34,14 @@ def materialize(df: DataFrame, name: str = "llm") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def collect_bounded(df: DataFrame, bound: int, what: str) -> list:
     """Collect at most ``bound`` rows; more is an error, never a silent cut."""
     rows = df.limit(bound + 1).collect()

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import free_name, materialize
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -113,5 +113,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """The mixed documents themselves: each as often as it is taken, with the number of the copy."""
-    return mixed.filter("copies > 0").select("row.*", F.explode(F.expr("sequence(1, copies)")).alias("mix_copy"))
+    """The mixed documents themselves: each as often as it is taken, with the number of the copy in ``mix_copy``
+    (``mix_copy_`` if a column is called so already)."""
+    name = free_name(mixed.schema["row"].dataType.names, "mix_copy")
+    return mixed.filter("copies > 0").select("row.*", F.explode(F.expr("sequence(1, copies)")).alias(name))

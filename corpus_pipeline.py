@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.llm import language_id, pii_crf
-from cadence.llm.common import materialize, table
+from cadence.llm.common import free_name, materialize, table
 from cadence.llm.decontaminate import is_contaminated
 from cadence.llm.jaccard_join import jaccard_components
 from cadence.llm.mixing import emit, mix
@@ -25,9 +25,10 @@ MIN_LANGUAGE_SCORE = 0.3
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without letters or any likely language go."""
-    told = language_id.with_language(docs, language_id.fit(docs), out="_language")
-    keep = (F.col("_language.lang_pred") != language_id.UNKNOWN) & (F.col("_language.score") >= MIN_LANGUAGE_SCORE)
-    return told.filter(keep).drop("_language")
+    name = free_name(docs.columns, "language")
+    told = language_id.with_language(docs, language_id.fit(docs), out=name)
+    keep = (F.col(f"{name}.lang_pred") != language_id.UNKNOWN) & (F.col(f"{name}.score") >= MIN_LANGUAGE_SCORE)
+    return told.filter(keep).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
