@@ -123,7 +123,7 @@ def pad_or_truncate(arr_col, length: int, width: int | None = None) -> F.Column:
 
 
 def model_ready(static: DataFrame, temporal: DataFrame, targets: DataFrame, split: DataFrame,
-                grid_len: int = tl.GRID_LEN, n_channels: int = 26) -> DataFrame:
+                grid_len: int = tl.GRID_LEN, n_channels: int = 26, step_hours: float = 1.0) -> DataFrame:
     """S9 rows: patient_id, split, static ARRAY<FLOAT>[15], temporal
     [grid_len][n_channels], time_index [grid_len] (hours since t0),
     sequence_length, and the four FLOAT targets. Patients without a timeline
@@ -134,7 +134,7 @@ def model_ready(static: DataFrame, temporal: DataFrame, targets: DataFrame, spli
     has = F.col("temporal").isNotNull()
     zero_static = F.array_repeat(F.lit(0.0).cast("float"), len(STATIC_FEATURES))
     zero_temporal = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), n_channels), grid_len)
-    steps = F.transform(F.sequence(F.lit(0), F.lit(grid_len - 1)), lambda i: i.cast("float"))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(grid_len - 1)), lambda i: (i * F.lit(float(step_hours))).cast("float"))
     return x.select(
         "patient_id", "split", F.coalesce(F.col("static"), zero_static).alias("static"),
         F.when(has, pad_or_truncate(F.col("temporal"), grid_len, n_channels)).otherwise(zero_temporal).alias("temporal"),

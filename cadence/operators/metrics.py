@@ -29,54 +29,57 @@ def sigmoid_if_needed(preds: DataFrame) -> DataFrame:
     return x.withColumn("prediction", p).drop("_logit")
 
 
-def _score_groups(preds: DataFrame, target_threshold: float) -> DataFrame:
+def score_groups(preds: DataFrame, target_threshold: float = 0.5, threshold: float = 0.5) -> DataFrame:
+    """One row per (task, distinct score) with its positives and negatives, the
+    sums below it, and the totals of the task: the one ranking pass that AUROC,
+    average precision, ROC points and confusion counts share. Descending sums
+    are totals minus the ascending ones."""
     pos = (F.col("target") > target_threshold).cast("long")
-    return preds.groupBy("task", F.col("prediction").alias("score")).agg(
+    g = preds.groupBy("task", F.col("prediction").alias("score")).agg(
         F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
+    c = running_sums(g, ["task"], "score", ["pos", "neg"], prefix="below_", inclusive=False)
+    total = c.groupBy("task").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return c.join(F.broadcast(total), "task").withColumns(  # one row per task
+        {"tp_at": F.col("P") - F.col("below_pos"), "fp_at": F.col("N") - F.col("below_neg"),
+         "above": F.col("score") > threshold})
 
 
-def auroc(preds: DataFrame, target_threshold: float = 0.5) -> DataFrame:
-    """Tie-aware AUROC per task = sum(pos * (neg below + neg tied / 2)) / (P N);
-    NULL when a task has one class only."""
-    g = _score_groups(preds, target_threshold)
-    c = running_sums(g, ["task"], "score", ["neg"], prefix="below_", inclusive=False)
-    return c.groupBy("task").agg(
-        (F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0)) /
-         F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), F.sum("pos") * F.sum("neg"))).alias("auroc"))
+def _auroc() -> F.Column:
+    """Tie-aware AUROC = sum(pos * (neg below + neg tied / 2)) / (P N) in
+    doubles; NULL when a task has one class only."""
+    pairs = F.max("P").cast("double") * F.max("N").cast("double")
+    return F.sum(F.col("pos").cast("double") * (F.col("below_neg") + F.col("neg") / 2.0)) / F.when(pairs > 0, pairs)
 
 
-def _descending(preds: DataFrame, target_threshold: float) -> DataFrame:
-    g = _score_groups(preds, target_threshold).withColumn("_o", -F.col("score"))
-    g = g.withColumn("n", F.col("pos") + F.col("neg"))
-    return running_sums(g, ["task"], "_o", ["pos", "n", "neg"], prefix="cum_", inclusive=True)
+def _average_precision() -> F.Column:
+    """Step-wise average precision over distinct thresholds:
+    sum(pos_k * tp_k / pp_k) / P; NULL without positives."""
+    part = F.col("pos").cast("double") * F.col("tp_at") / (F.col("tp_at") + F.col("fp_at"))
+    return F.sum(part) / F.when(F.max("P") > 0, F.max("P"))
 
 
-def average_precision(preds: DataFrame, target_threshold: float = 0.5) -> DataFrame:
-    """Step-wise average precision over distinct thresholds (descending):
-    sum(pos_k * tp_k / pp_k) / P; NULL without positives."""
-    c = _descending(preds, target_threshold)
-    return c.groupBy("task").agg(
-        (F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")) / F.when(F.sum("pos") > 0, F.sum("pos")))
-        .alias("auprc"))
+def auroc(preds: DataFrame, target_threshold: float = 0.5) -> DataFrame:
+    return score_groups(preds, target_threshold).groupBy("task").agg(_auroc().alias("auroc"))
 
 
-def roc_points(preds: DataFrame, target_threshold: float = 0.5) -> DataFrame:
-    """One ROC point per distinct score: threshold, fpr, tpr (all points kept)."""
-    c = _descending(preds, target_threshold)
-    tot = c.groupBy("task").agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    x = c.join(F.broadcast(tot), "task")
-    return x.select("task", F.col("score").alias("threshold"),
-                    (F.col("cum_neg") / F.when(F.col("_N") > 0, F.col("_N"))).alias("fpr"),
-                    (F.col("cum_pos") / F.when(F.col("_P") > 0, F.col("_P"))).alias("tpr"))
+def average_precision(preds: DataFrame, target_threshold: float = 0.5) -> DataFrame:
+    return score_groups(preds, target_threshold).groupBy("task").agg(_average_precision().alias("auprc"))
 
 
-def confusion(preds: DataFrame, threshold: float = 0.5, target_threshold: float = 0.5) -> DataFrame:
-    """E3-E5 per task from one pass of conditional counts."""
-    t = F.col("target") > target_threshold
-    p = F.col("prediction") > threshold
-    c = preds.groupBy("task").agg(
-        F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"),
-        F.count_if(~t & ~p).alias("tn"), F.count_if(t & ~p).alias("fn"), F.count(F.lit(1)).alias("n"))
+def roc_points(preds: DataFrame, target_threshold: float = 0.5) -> DataFrame:
+    """The origin (threshold NULL: above every score) and one ROC point per
+    distinct score: threshold, fpr, tpr (all points kept)."""
+    c = score_groups(preds, target_threshold)
+    rate = lambda a, n: F.col(a) / F.when(F.col(n) > 0, F.col(n))
+    points = c.select("task", F.col("score").alias("threshold"), rate("fp_at", "N").alias("fpr"),
+                      rate("tp_at", "P").alias("tpr"))
+    zero = lambda n: F.when(F.max(n) > 0, F.lit(0.0))
+    return points.unionByName(c.groupBy("task").agg(
+        F.lit(None).cast("double").alias("threshold"), zero("N").alias("fpr"), zero("P").alias("tpr")))
+
+
+def _confusion_columns(c: DataFrame, *more: str) -> DataFrame:
+    """E4-E5 from the counts ``tp, fp, tn, fn, n``."""
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     single = ((tp + fn + fp) == 0) | ((tn + fp + fn) == 0)  # one class in targets and predicted labels
@@ -87,16 +90,31 @@ def confusion(preds: DataFrame, threshold: float = 0.5, target_threshold: float
         F.when(single, 1.0).otherwise(ratio(tn, tn + fp)).alias("specificity"),
         F.when(single, 0.0).otherwise(ratio(tp, tp + fn)).alias("sensitivity"),
         F.when(single, 0.0).otherwise(ratio(tp, tp + fp)).alias("positive_predictive_value"),
-        F.when(single, 1.0).otherwise(ratio(tn, tn + fn)).alias("negative_predictive_value"))
+        F.when(single, 1.0).otherwise(ratio(tn, tn + fn)).alias("negative_predictive_value"), *more)
+
+
+def confusion(preds: DataFrame, threshold: float = 0.5, target_threshold: float = 0.5) -> DataFrame:
+    """E3-E5 per task from one pass of conditional counts."""
+    t = F.col("target") > target_threshold
+    p = F.col("prediction") > threshold
+    return _confusion_columns(preds.groupBy("task").agg(
+        F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"),
+        F.count_if(~t & ~p).alias("tn"), F.count_if(t & ~p).alias("fn"), F.count(F.lit(1)).alias("n")))
 
 
 def binary_metrics(preds: DataFrame, tasks=BINARY_TASKS, threshold: float = 0.5,
                    target_threshold: float = 0.5) -> DataFrame:
-    """E12 dispatcher for the binary tasks present (missing tasks skipped)."""
-    p = sigmoid_if_needed(preds.where(F.col("task").isin(*tasks)))
-    return (confusion(p, threshold, target_threshold)
-            .join(auroc(p, target_threshold), "task", "left")
-            .join(average_precision(p, target_threshold), "task", "left"))
+    """E12 dispatcher for the binary tasks present (missing tasks skipped): one
+    ranking pass, one aggregation. Rows without a prediction or a target are
+    left out."""
+    p = sigmoid_if_needed(preds.where(F.col("task").isin(*tasks) & F.col("prediction").isNotNull()
+                                      & F.col("target").isNotNull()))
+    part = lambda side, above: F.sum(F.when(F.col("above") == above, F.col(side)).otherwise(0))
+    c = score_groups(p, target_threshold, threshold).groupBy("task").agg(
+        part("pos", True).alias("tp"), part("neg", True).alias("fp"), part("neg", False).alias("tn"),
+        part("pos", False).alias("fn"), F.sum(F.col("pos") + F.col("neg")).alias("n"),
+        _auroc().alias("auroc"), _average_precision().alias("auprc"))
+    return _confusion_columns(c, "auroc", "auprc")
 
 
 def regression_metrics(preds: DataFrame, task: str = REGRESSION_TASK) -> DataFrame:
@@ -149,17 +167,18 @@ def summary_table(binary: DataFrame, regression: DataFrame, overall: DataFrame)
         cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
         t = F.col(task_col) if task_col else F.lit("overall")
         return df.select(F.lit(section).alias("section"), t.alias("task"), F.inline(cells))
+    binary = binary.withColumnRenamed("f1", "f1_score")
     return reduce(DataFrame.unionByName, [
         melt(overall, "overall_performance", None, ["average_auroc", "clinical_composite_score"]),
-        melt(binary, "binary_classification", "task", ["auroc", "precision", "recall", "f1"]),
+        melt(binary, "binary_classification", "task", ["auroc", "precision", "recall", "f1_score"]),
         melt(regression, "regression", "task", ["mae", "rmse", "r2", "within_24h", "within_48h"]),
     ])
 
 
 def residual_histogram(preds: DataFrame, task: str = REGRESSION_TASK, bins: int = 30) -> DataFrame:
-    """Counts of residuals (target - prediction) in ``bins`` equal-width
+    """Counts of residuals (prediction - target) in ``bins`` equal-width
     bins over [min, max] (last bin closed; all bins emitted, empty ones 0)."""
-    x = preds.where(F.col("task") == task).select((F.col("target") - F.col("prediction")).alias("r")) \
+    x = preds.where(F.col("task") == task).select((F.col("prediction") - F.col("target")).alias("r")) \
              .where(F.col("r").isNotNull() & ~F.isnan(F.col("r")))
     st = x.agg(F.min("r").alias("_lo"), F.max("r").alias("_hi"))
     st = st.select(F.when(F.col("_hi") > F.col("_lo"), F.col("_lo")).otherwise(F.col("_lo") - 0.5).alias("_lo"),

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 
 from .ranking import ranked
 
+class CannotSplit(ValueError):
+    """The data doesn't allow this split; the message says why."""
+
+
 SPLITS = ("train", "validation", "test")
 LABELS = ("mortality", "icu", "ventilator")
 
@@ -39,6 +43,8 @@ def temporal_split(observations: DataFrame, test_size: float = 0.1, validation_s
     assigned (see ``temporal_split_dropped``)."""
     first = observations.where(F.col("ts").isNotNull()).groupBy("patient_id").agg(F.min("ts").alias("first_ts"))
     n = first.count()
+    if not n:
+        raise CannotSplit("no dated observations")
     val_end, test_end = temporal_cut_points(n, test_size, validation_size)
     r = ranked(first, [], ["first_ts", "patient_id"], "rn")
     return r.select("patient_id", "first_ts", _assign(F.col("rn"), val_end, test_end).alias("split"))
@@ -73,13 +79,14 @@ def stratified_split(flags: DataFrame, test_size: float = 0.1, validation_size:
     """For each label in order (mortality, icu, ventilator) and each split
     in order (test, validation, train), up to ``min_pos`` still-unassigned
     positives (in seeded hash order) are placed first; the rest fill test,
-    then validation, then train to their target sizes; leftovers go to train.
+    then validation to their target sizes; everything else goes to train.
     ``flags``: ``patient_id`` plus 0/1 columns ``mortality, icu, ventilator``."""
     spark = flags.sparkSession
     n = flags.count()
+    if not n:
+        raise CannotSplit("no patients with label flags")
     n_test = max(1, int(round(n * test_size)))
     n_val = max(1, int(round(n * validation_size)))
-    n_train = max(1, n - n_test - n_val)
     h = flags.select("patient_id", *LABELS, hash_order(flags, seed).alias("_h"))
     # At most 9 * min_pos ids are ever pre-assigned, so for each label its first
     # 9 * min_pos positives in hash order are enough to replay the sequential
@@ -101,12 +108,10 @@ def stratified_split(flags: DataFrame, test_size: float = 0.1, validation_size:
     counts = {s: sum(1 for v in assigned.values() if v == s) for s in SPLITS}
     need_test = max(0, n_test - counts["test"])
     need_val = max(0, n_val - counts["validation"])
-    need_train = max(0, n_train - counts["train"])
     rest = h if pre is None else h.join(F.broadcast(pre.select("patient_id")), "patient_id", "left_anti")
     r = ranked(rest.select("patient_id", "_h"), [], ["_h", "patient_id"], "rn")
     fill = (F.when(F.col("rn") <= need_test, "test").when(F.col("rn") <= need_test + need_val, "validation")
              .otherwise("train"))
-    _ = need_train  # everything after test and validation goes to train
     out = r.select("patient_id", fill.alias("split"))
     return out if pre is None else out.unionByName(pre)
 

@@ -432,6 +432,15 @@ UNION ALL SELECT q.patient_id, 'outliers', 'Outliers detected: ' || count(*) ||
   WHERE o.value < q.q1 - 1.5 * (q.q3 - q.q1) OR o.value > q.q3 + 1.5 * (q.q3 - q.q1)
   GROUP BY q.patient_id"""
 
+# The text forms of ``timestamp_text_forms`` and what each must parse to.
+ORACLE["timestamp_text_forms"] = """
+SELECT event_id, CAST(event_id % 8 AS INTEGER) AS form,
+       CASE WHEN event_id % 8 IN (0, 1, 2, 3) THEN ts
+            WHEN event_id % 8 IN (4, 5) THEN date_trunc('second', ts)
+            WHEN event_id % 8 = 6 THEN date_trunc('minute', ts)
+            ELSE date_trunc('day', ts) END AS parsed
+FROM events"""
+
 ORACLE["dataset_coverage"] = """
 WITH enc AS (
   SELECT o.o_orderdate AS start, l.stop FROM orders o
@@ -622,7 +631,7 @@ FROM ovr, (VALUES ('average_auroc'), ('clinical_composite_score')) AS k(metric),
                      CASE k.metric WHEN 'average_auroc' THEN average_auroc ELSE clinical_composite_score END AS value) m
 UNION ALL
 SELECT 'binary_classification', task, metric, round(value, 6)
-FROM (UNPIVOT (SELECT task, auroc, precision, recall, f1 FROM bin) ON auroc, precision, recall, f1
+FROM (UNPIVOT (SELECT task, auroc, precision, recall, f1 AS f1_score FROM bin) ON auroc, precision, recall, f1_score
       INTO NAME metric VALUE value)
 UNION ALL
 SELECT 'regression', task, metric, round(value, 6)
@@ -632,10 +641,12 @@ FROM (UNPIVOT (SELECT task, mae, rmse, r2, within_24h, within_48h FROM reg) ON m
 ORACLE["roc_points"] = _with(_PREDS) + """
 SELECT c.task, round(c.score, 6) AS threshold,
        round(c.fp / nullif(t.nn, 0), 6) AS fpr, round(c.tp / nullif(t.pp_, 0), 6) AS tpr
-FROM cum c JOIN (SELECT task, sum(pos) AS pp_, sum(neg) AS nn FROM sg GROUP BY task) t USING (task)"""
+FROM cum c JOIN (SELECT task, sum(pos) AS pp_, sum(neg) AS nn FROM sg GROUP BY task) t USING (task)
+UNION ALL
+SELECT task, NULL, CASE WHEN sum(neg) > 0 THEN 0.0 END, CASE WHEN sum(pos) > 0 THEN 0.0 END FROM sg GROUP BY task"""
 
 ORACLE["residual_histogram"] = _with(_PREDS, """
-r AS (SELECT target - prediction AS r FROM preds WHERE task = 'length_of_stay'),
+r AS (SELECT prediction - target AS r FROM preds WHERE task = 'length_of_stay'),
 st AS (SELECT CASE WHEN max(r) > min(r) THEN min(r) ELSE min(r) - 0.5 END AS lo,
               CASE WHEN max(r) > min(r) THEN (max(r) - min(r)) / 30 ELSE 1.0 / 30 END AS w FROM r),
 c AS (SELECT CAST(least(floor((r.r - st.lo) / st.w), 29) AS INTEGER) + 1 AS bin, count(*) AS n FROM r, st GROUP BY 1)""") + """

@@ -55,27 +55,29 @@ def restrict_roles(roles: Roles, cohort: DataFrame) -> Roles:
     return roles.with_(**{n: co.restrict(df, cohort) for n, df in roles.frames().items()})
 
 
-def choose_split(roles: Roles, valid: DataFrame, cfg: PipelineConfig) -> tuple[DataFrame, str]:
-    """Stratified -> temporal -> random; returns the split and the strategy used."""
+def choose_split(roles: Roles, valid: DataFrame, cfg: PipelineConfig) -> tuple[DataFrame, str, dict[str, str]]:
+    """Stratified -> temporal -> random; returns the split, the strategy
+    used and the reason of each strategy that the data didn't allow. Only
+    ``CannotSplit`` moves on to the next strategy; any other failure is raised."""
     order = {"stratified": ["stratified", "temporal", "random"], "temporal": ["temporal", "random"],
              "random": ["random"]}[cfg.split_strategy]
+    skipped: dict[str, str] = {}
     for strategy in order:
         try:
             if strategy == "stratified":
                 flags = tg.label_flags(roles.patients, roles.encounters, roles.procedures, roles.devices)
                 flags = flags.join(valid, "patient_id", "left_semi")
-                return checkpointed(sp.stratified_split(flags, cfg.test_size, cfg.validation_size,
-                                                        cfg.min_pos_per_label, cfg.seed)), strategy
-            if strategy == "temporal":
+                split = sp.stratified_split(flags, cfg.test_size, cfg.validation_size, cfg.min_pos_per_label, cfg.seed)
+            elif strategy == "temporal":
                 obs = roles.observations.join(valid, "patient_id", "left_semi")
-                if obs.where(F.col("ts").isNotNull()).limit(1).count() == 0:
-                    raise ValueError("no dated observations")
-                return checkpointed(sp.temporal_split(obs, cfg.test_size, cfg.validation_size)
-                                    .drop("first_ts")), strategy
-            return checkpointed(sp.random_split(valid, cfg.test_size, cfg.validation_size, cfg.seed)), strategy
-        except Exception:  # noqa: BLE001 -- fall through to the next strategy, as the reference does
+                split = sp.temporal_split(obs, cfg.test_size, cfg.validation_size).drop("first_ts")
+            else:
+                split = sp.random_split(valid, cfg.test_size, cfg.validation_size, cfg.seed)
+        except sp.CannotSplit as e:
+            skipped[strategy] = str(e)
             continue
-    raise RuntimeError("no split strategy succeeded")
+        return checkpointed(split), strategy, skipped
+    raise sp.CannotSplit(f"no split strategy is possible: {skipped}")
 
 
 def run_pipeline(roles: Roles, output_dir: str, cfg: PipelineConfig | None = None,
@@ -113,7 +115,7 @@ def run_pipeline(roles: Roles, output_dir: str, cfg: PipelineConfig | None = Non
     reports = sinks.write_report({"quality_summary": summary, "recommendations": qa.recommendations(summary),
                                   "issues": issues}, os.path.join(output_dir, "validation_report"))
     # split
-    split, strategy = choose_split(r, valid, cfg)
+    split, strategy, skipped = choose_split(r, valid, cfg)
     v = restrict_roles(r, valid)
     # timeline, channels, static, targets
     extent = checkpointed(tl.timeline_extent(v, cfg.grid_len, cfg.step_hours))
@@ -133,12 +135,12 @@ def run_pipeline(roles: Roles, output_dir: str, cfg: PipelineConfig | None = Non
                      os.path.join(output_dir, "pipeline_state"))
     static_scaled = fe.apply_standard_scaler(static, static_params)
     temporal = ex.dense_matrix(channels, anchors, len(names), cfg.grid_len, chan_params)
-    ready = ex.model_ready(static_scaled, temporal, targets, split, cfg.grid_len, len(names))
+    ready = ex.model_ready(static_scaled, temporal, targets, split, cfg.grid_len, len(names), cfg.step_hours)
     ex.write_model_ready(ready, os.path.join(output_dir, "model_ready"))
     meta = ex.split_metadata(spark.read.parquet(os.path.join(output_dir, "model_ready")), n_channels=len(names),
                              grid_len=cfg.grid_len)
     meta_rows = [m.asDict() for m in meta.collect()]  # three rows
-    result = {"split_strategy": strategy, "splits": meta_rows, "temporal_channels": names,
+    result = {"split_strategy": strategy, "split_skipped": skipped, "splits": meta_rows, "temporal_channels": names,
               "reports": reports, "model_ready": os.path.join(output_dir, "model_ready")}
     # written through Spark so the output folder may be any shared file system
     spark.createDataFrame([(json.dumps(result, default=str),)], "value string").coalesce(1) \

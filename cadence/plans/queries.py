@@ -25,6 +25,7 @@ from ..operators import timeline as tl
 from ..operators.ranking import checkpointed
 from ..session import ensure_utc
 from ..sources import bindings as bd
+from ..sources.tables import parse_ts
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -381,6 +382,23 @@ def patient_issues(spark, sf_dir):
     return qa.patient_issues(miss, cons, outl, n_obs, roles.patients, seen)
 
 
+@query("timestamp_text_forms")
+def timestamp_text_forms(spark, sf_dir):
+    """P4 + P5: event times written in eight text forms (with and without zone,
+    fraction, seconds and time) and parsed back; zones keep the wall clock."""
+    ev = bd.read_table(spark, sf_dir, "events", ["event_id", "ts"])
+    day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss")
+    full = F.concat(clock, F.date_format("ts", ".SSSSSS"))
+    form = (F.col("event_id") % 8).cast("int")
+    text = (F.when(form == 0, F.concat_ws("T", day, full))
+            .when(form == 1, F.concat(F.concat_ws("T", day, full), F.lit("Z")))
+            .when(form == 2, F.concat(F.concat_ws(" ", day, full), F.lit("+02:00")))
+            .when(form == 3, F.concat(F.concat_ws(" ", day, full), F.lit("-0530")))
+            .when(form == 4, F.concat_ws("T", day, clock)).when(form == 5, F.concat(F.concat_ws("T", day, clock), F.lit("Z")))
+            .when(form == 6, F.concat_ws("T", day, F.date_format("ts", "HH:mm"))).otherwise(day))
+    return ev.select("event_id", form.alias("form"), parse_ts(text).alias("parsed"))
+
+
 @query("dataset_coverage")
 def dataset_coverage(spark, sf_dir):
     """Q11 over orders-as-encounters."""

@@ -82,14 +82,26 @@ def load_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
             .csv(path))
 
 
+# Columns of the declared tables that hold dates or times.
+TIME_COLUMNS = {"patients": ("BIRTHDATE", "DEATHDATE"), "observations": ("DATE",), "conditions": ("START", "STOP"),
+                "encounters": ("START", "STOP"), "medications": ("START", "STOP"), "procedures": ("DATE",),
+                "devices": ("START", "STOP")}
+
+
+def csv_files(spark: SparkSession, directory: str) -> dict[str, str]:
+    """Stem -> path of every ``*.csv`` in a folder of any file system Spark
+    reads (the listing is Spark's own; file contents are not read). A missing
+    folder raises."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory).select("path").collect()
+    return {os.path.basename(r["path"])[:-4]: r["path"] for r in sorted(found)}
+
+
 def load_all_tables(spark: SparkSession, directory: str) -> tuple[dict[str, DataFrame], DataFrame]:
     """S1 + S2: every ``*.csv`` in ``directory`` as a table named by its stem,
-    plus a ``load_status(table, rows, non_empty_rows, corrupt_rows)`` frame (lazy). Declared
-    tables that are absent are empty frames with their schema."""
-    tables: dict[str, DataFrame] = {}
-    names = sorted(f[:-4] for f in os.listdir(directory) if f.endswith(".csv")) if os.path.isdir(directory) else []
-    for n in names:
-        tables[n] = load_csv_table(spark, os.path.join(directory, f"{n}.csv"), n)
+    plus a ``load_status(table, rows, non_empty_rows, corrupt_rows, bad_dates)``
+    frame (lazy; ``bad_dates``: column -> non-empty values that are no date).
+    Declared tables that are absent are empty frames with their schema."""
+    tables = {n: load_csv_table(spark, path, n) for n, path in csv_files(spark, directory).items()}
     for n in CLINICAL_SCHEMAS:
         if n not in tables:
             tables[n] = empty_frame(spark, T.StructType(_declared(n).fields + [T.StructField("_corrupt_record", S, True)]))
@@ -102,20 +114,22 @@ def load_all_tables(spark: SparkSession, directory: str) -> tuple[dict[str, Data
         # that read the corrupt-record column alone).
         one = df.agg(F.count(F.lit(1)).alias("rows"),
                      F.count(F.coalesce(*[F.col(c).cast("string") for c in data_cols])).alias("non_empty_rows"),
-                     F.count_if(F.col("_corrupt_record").isNotNull()).alias("corrupt_rows")) \
-                .select(F.lit(n).alias("table"), "rows", "non_empty_rows", "corrupt_rows")
+                     F.count_if(F.col("_corrupt_record").isNotNull()).alias("corrupt_rows"),
+                     F.create_map(*[x for c in TIME_COLUMNS.get(n, ()) if c in data_cols for x in (
+                         F.lit(c), F.count_if((F.trim(c) != "") & parse_ts(F.col(c)).isNull()))])
+                     .cast("map<string,bigint>").alias("bad_dates")) \
+                .select(F.lit(n).alias("table"), "rows", "non_empty_rows", "corrupt_rows", "bad_dates")
         status = one if status is None else status.unionByName(one)
     return tables, status
 
 
 def parse_ts(c) -> F.Column:
-    """ISO text (optionally with a zone) -> TIMESTAMP_NTZ of the UTC wall clock;
-    unparsable -> NULL. Requires the UTC session zone."""
-    t = F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-                   F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")),
-                   F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")),
-                   F.try_to_timestamp(c, F.lit("yyyy-MM-dd")))
-    return t.cast("timestamp_ntz")
+    """ISO text -> TIMESTAMP_NTZ: a date, or a date and a time (``T`` or a space
+    between; seconds and fractions optional) with or without a zone. The wall
+    clock is kept and the zone dropped, as the reference does (P5); anything
+    else -> NULL."""
+    zone = r"(?i)(:\d{2}(?:\.\d+)?)\s*(?:Z|UTC|[+-]\d{2}(?::?\d{2})?)$"
+    return F.regexp_replace(F.trim(c), zone, "$1").try_cast("timestamp_ntz")
 
 
 @dataclass

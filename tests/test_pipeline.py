@@ -8,11 +8,13 @@ import os
 import random
 
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from cadence.operators import export as ex
 from cadence.plans.pipeline import PipelineConfig, run_pipeline
 from cadence.sources import sinks
-from cadence.sources.tables import load_all_tables, patient_slices, roles_from_clinical
+from cadence.sources.tables import load_all_tables, parse_ts, patient_slices, roles_from_clinical
 
 
 def _write_export(d: str, n: int = 24) -> None:
@@ -61,7 +63,13 @@ def test_pipeline_end_to_end(spark, tmp_path):
     st = {r["table"]: (r["rows"], r["corrupt_rows"]) for r in status.collect()}
     assert st["patients"] == (24, 1) and st["observations"][0] == 480  # INCOME 'oops' -> corrupt, row kept
     roles = roles_from_clinical(tables)
-    assert roles.observations.where("ts IS NULL").count() == 0  # 'Z' suffixed ISO times parse
+    for name, df in roles.frames().items():  # no time of any table is lost
+        for c in ("ts", "start"):
+            if c in df.columns:
+                assert df.where(F.col(c).isNull()).count() == 0, (name, c)
+    assert roles.encounters.where("stop IS NULL").count() == 0
+    bad = {r["table"]: r["bad_dates"] for r in status.collect()}
+    assert all(n == 0 for m in bad.values() for n in m.values())
     out = tmp_path / "out"
     res = run_pipeline(roles, str(out), PipelineConfig(min_pos_per_label=1), raw=patient_slices(tables))
     issues = spark.read.json(res["reports"]["issues"])
@@ -74,6 +82,15 @@ def test_pipeline_end_to_end(spark, tmp_path):
     row = ready.orderBy("patient_id").first()
     assert len(row["static"]) == 15 and len(row["temporal"]) == 720 and len(row["temporal"][0]) == 26
     assert row["sequence_length"] == 720 and row["time_index"][719] == 719.0
+    grid = ready.select("patient_id", F.posexplode("temporal").alias("h", "row")).select(
+        "patient_id", F.posexplode("row").alias("ch", "v"))
+    live = {r["ch"] for r in grid.groupBy("ch").agg(F.countDistinct("v").alias("n")).where("n > 1").collect()}
+    kinds = {res["temporal_channels"][c].split(":")[0] for c in live}
+    assert {"medications", "procedures", "devices"} <= kinds
+    hard = {r["patient_id"]: (r["icu_admission"], r["ventilator_need"]) for r in ready.collect()}
+    # intubation is an ICU procedure but no ventilator keyword
+    assert {p for p, t in hard.items() if t[0] == 1.0} == {f"pt-{i:03d}" for i in range(24) if i % 4 == 1}
+    assert all(t[1] == 0.0 for t in hard.values())
     state = sinks.load_state(spark, str(out / "pipeline_state"))
     assert set(state) == {"static", "temporal"} and len(state["temporal"]) == 26
     ids = [r["patient_id"] for r in ready.select("patient_id").collect()]
@@ -90,7 +107,37 @@ def test_split_fallback_chain(spark):
     roles = make_roles(spark, patients=[(f"p{i}", None, None, None, None, None) for i in range(20)],
                        observations=[(f"p{i}", None, "x", "1") for i in range(20)])
     valid = roles.patients.select("patient_id")
-    split, strategy = choose_split(roles, valid, PipelineConfig(split_strategy="temporal"))
-    assert strategy == "random"
+    split, strategy, skipped = choose_split(roles, valid, PipelineConfig(split_strategy="temporal"))
+    assert strategy == "random" and skipped == {"temporal": "no dated observations"}
     assert {r["split"]: r["n"] for r in split.groupBy("split").count().withColumnRenamed("count", "n").collect()} == \
         {"test": 2, "validation": 3, "train": 15}
+
+
+def test_folder_by_uri_and_missing_folder(spark, tmp_path):
+    src = tmp_path / "export"
+    src.mkdir()
+    _write_export(str(src), 4)
+    rows = [{r["table"]: (r["rows"], r["corrupt_rows"]) for r in load_all_tables(spark, d)[1].collect()}
+            for d in (str(src), f"file://{src}")]
+    assert rows[0] == rows[1] and rows[0]["observations"][0] == 80
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        load_all_tables(spark, str(tmp_path / "nowhere"))
+
+
+def test_bad_dates_are_counted(spark, tmp_path):
+    (tmp_path / "observations.csv").write_text(
+        "DATE,PATIENT,DESCRIPTION,VALUE\n2020-01-02T03:04:05Z,a,x,1\nsoon,a,x,1\n,a,x,1\n2020-13-01,b,x,1\n")
+    _, status = load_all_tables(spark, str(tmp_path))
+    assert {r["table"]: r["bad_dates"] for r in status.collect()}["observations"] == {"DATE": 2}
+
+
+def test_timestamp_forms_keep_the_wall_clock(spark):
+    forms = {"2020-01-02T03:04:05": (3, 4, 5, 0), "2020-01-02T03:04:05Z": (3, 4, 5, 0),
+             "2020-01-02T03:04:05.123Z": (3, 4, 5, 123000), "2020-01-02 03:04:05.5": (3, 4, 5, 500000),
+             "2020-01-02T03:04": (3, 4, 0, 0), "2020-01-02T03:04:05+02:00": (3, 4, 5, 0),
+             "2020-01-02T03:04:05-0530": (3, 4, 5, 0), "2020-01-02": (0, 0, 0, 0)}
+    df = spark.createDataFrame([(k,) for k in [*forms, "", "x", "2020-02-31"]], "t string")
+    got = {r["t"]: r["p"] for r in df.select("t", parse_ts(F.col("t")).alias("p")).collect()}
+    for k, (h, m, s, us) in forms.items():
+        assert got[k] == dt.datetime(2020, 1, 2, h, m, s, us), k
+    assert got[""] is None and got["x"] is None and got["2020-02-31"] is None

@@ -169,6 +169,30 @@ def test_residual_histogram_all_bins(spark):
     assert len(hist) == 30 and sum(r["n"] for r in hist) == 31 and hist[-1]["n"] == 2
 
 
+def test_residual_is_prediction_minus_target(spark):
+    # over-predictions 0..10 lie right of zero; most of them are small
+    p = _preds(spark, "length_of_stay", [0, 0, 0, 1, 10], [0] * 5)
+    hist = me.residual_histogram(p, bins=10).orderBy("bin").collect()
+    assert (hist[0]["bin_start"], hist[-1]["bin_end"]) == (0.0, 10.0)
+    assert [r["n"] for r in hist] == [3, 1] + [0] * 7 + [1]
+
+
+def test_roc_starts_at_the_origin(spark):
+    pts = me.roc_points(_preds(spark, "mortality_risk", [.1, .4, .4, .8], [0, 0, 1, 1])).collect()
+    got = sorted(((r["fpr"], r["tpr"], r["threshold"]) for r in pts), key=lambda x: x[:2])
+    assert got == [(0.0, 0.0, None), (0.0, 0.5, 0.8), (0.5, 1.0, 0.4), (1.0, 1.0, 0.1)]
+
+
+def test_auroc_counts_beyond_long(spark):
+    # 5e9 positives and negatives each: their product doesn't fit a LONG
+    n = 5_000_000_000
+    g = spark.createDataFrame([("t", 0.2, 0, n, 0, 0, n, n), ("t", 0.9, n, 0, 0, n, n, n)],
+                              "task string, score double, pos long, neg long, below_pos long, below_neg long, P long, N long")
+    g = g.withColumn("tp_at", F.col("P") - F.col("below_pos")).withColumn("fp_at", F.col("N") - F.col("below_neg"))
+    r = g.groupBy("task").agg(me._auroc().alias("a"), me._average_precision().alias("p")).first()
+    assert (r["a"], r["p"]) == (1.0, 1.0)
+
+
 def test_hot_group_is_split_across_partitions(spark):
     # one entity holds a third of all rows: range partitioning must cut it
     from cadence.operators.ranking import _tagged
