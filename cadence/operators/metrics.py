@@ -107,8 +107,12 @@ def binary_metrics(preds: DataFrame, tasks=BINARY_TASKS, threshold: float = 0.5,
     """E12 dispatcher for the binary tasks present (missing tasks skipped): one
     ranking pass, one aggregation. Rows without a prediction or a target are
     left out."""
-    p = sigmoid_if_needed(preds.where(F.col("task").isin(*tasks) & F.col("prediction").isNotNull()
-                                      & F.col("target").isNotNull()))
+    return score_metrics(sigmoid_if_needed(preds.where(F.col("task").isin(*tasks))), threshold, target_threshold)
+
+
+def score_metrics(p: DataFrame, threshold: float = 0.5, target_threshold: float = 0.5) -> DataFrame:
+    """E1-E5 of calibrated scores for every value of ``task``."""
+    p = p.where(F.col("prediction").isNotNull() & F.col("target").isNotNull())
     part = lambda side, above: F.sum(F.when(F.col("above") == above, F.col(side)).otherwise(0))
     c = score_groups(p, target_threshold, threshold).groupBy("task").agg(
         part("pos", True).alias("tp"), part("neg", True).alias("fp"), part("neg", False).alias("tn"),
