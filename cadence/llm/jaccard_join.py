@@ -8,7 +8,8 @@ The result is exact but for collisions of 64-bit hashes. Steps, all distributed:
 2. Prefix filter: with shingles in any one order, two linked sets share a shingle among the
    first n - ceil(0.8 n) + 1 of each. Each class sends these keys, packed by bucket; a key
    that many classes have is dealt to cells of salt pairs, so no task gets a hot key whole.
-   Keys with one class, or without two classes of like size, end here.
+   Keys with one class, or without two classes of like size, end here, and of keys with the same
+   classes one is enough.
 3. Signature trees: in each cell, a leaf holds the bitmap of one class's shingles (at least
    twice as many bits as shingles) and inner nodes the OR of their children with their range
    of sizes. A dual traversal from the root drops every pair of nodes whose largest possible
@@ -162,6 +163,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep[1:] |= like
         keep[:-1] |= like
         gid, rid = gid[keep], rid[keep]
+        if not len(gid):
+            return
+        # Keys with the same members do the same work: the group's name is a hash of its members.
+        first = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
+        count = np.diff(np.append(first, len(gid)))
+        name = spread(np.add.reduceat(spread(rid), first) + count.astype(np.uint64))
+        once = np.zeros(len(first), bool)
+        once[np.unique(name, return_index=True)[1]] = True
+        gid, rid = np.repeat(name, count)[np.repeat(once, count)], rid[np.repeat(once, count)]
         for i in range(0, len(gid), 100_000):
             yield pa.RecordBatch.from_arrays([_i64(gid[i:i + 100_000]), _i64(rid[i:i + 100_000])], names=["gid", "rid"])
 
@@ -422,7 +432,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     buckets = max(shuffles, math.ceil(total[1] / 4_000_000))
     sent = map_batches(own, _send(frequent, words, buckets), "bucket long, gids binary, rids binary, sizes binary")
     sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    met = map_batches(sent, _meet, "gid long, rid long")
+    met = map_batches(sent, _meet, "gid long, rid long").distinct()
     marked = map_batches(own, _signatures(words), "rid long, n long, map binary")
     marked = marked.groupBy("rid").agg(F.first("n").alias("n"), F.first("map").alias("map"))
     cells = met.join(marked, "rid").select("gid", "rid", "n", "map")
