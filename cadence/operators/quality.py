@@ -37,22 +37,26 @@ def null_profile(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def dtype_profile(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
-    """Q10: (table, column, type) straight from the declared schemas."""
-    return [(n, f.name, f.dataType.simpleString()) for n, df in tables.items() for f in df.schema.fields]
+def dtype_profile(spark, tables: dict[str, DataFrame]) -> DataFrame:
+    """Q10: ``(table_name, column_name, data_type)`` from the schemas alone."""
+    rows = [(n, f.name, f.dataType.simpleString()) for n, df in tables.items() for f in df.schema.fields]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
+
+
+def missing_by_table(tables: dict[str, DataFrame]) -> DataFrame:
+    """Q1 per table: null cells and cells of each patient's slice of each table."""
+    return reduce(DataFrame.unionByName, [
+        df.groupBy("patient_id").agg(F.sum(_nulls(df.columns)).cast("long").alias("missing_cells"),
+                                     (F.count(F.lit(1)) * F.lit(len(df.columns))).cast("long").alias("total_cells"))
+        .select("patient_id", F.lit(name).alias("table_name"), "missing_cells", "total_cells")
+        for name, df in tables.items()])
 
 
 def missing_by_patient(tables: dict[str, DataFrame], patients: DataFrame | None = None,
                        flag_limit: float = FLAG_LIMIT, reject_limit: float = REJECT_LIMIT) -> DataFrame:
     """Q1 + Q6 + P8: per patient, null cells / all cells over the patient's
     non-empty table slices (every column counts, the id included)."""
-    parts = []
-    for name, df in tables.items():
-        cols = df.columns
-        parts.append(df.groupBy("patient_id").agg(
-            F.sum(_nulls(cols)).alias("missing_cells"),
-            (F.count(F.lit(1)) * F.lit(len(cols))).alias("total_cells")))
-    cells = reduce(DataFrame.unionByName, parts).groupBy("patient_id").agg(
+    cells = missing_by_table(tables).groupBy("patient_id").agg(
         F.sum("missing_cells").alias("missing_cells"), F.sum("total_cells").alias("total_cells"))
     if patients is not None:
         cells = patients.select("patient_id").join(cells, "patient_id", "left")
@@ -69,8 +73,9 @@ def iqr_outliers(long: DataFrame, group: list[str], value: str = "v") -> DataFra
     """Q2: per group, linear-interpolated quartiles (as pandas ``quantile``)
     and the number of values strictly outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR].
 
-    Exact and skew-safe, with the raw rows touched once: values are first
-    collapsed to (group, value, count) by a map-side-combined aggregation;
+    Exact and skew-safe, with one scan of the raw rows: values are first
+    collapsed to (group, value, count) by a map-side-combined aggregation, and
+    everything after reads the materialised running counts;
     running counts over the distinct values (``running_sums``: range
     partitioned, so a hot group spans many tasks) locate the four order
     statistics each group needs; outliers are counted on the collapsed rows.
@@ -78,7 +83,7 @@ def iqr_outliers(long: DataFrame, group: list[str], value: str = "v") -> DataFra
     vals = long.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     cnt = vals.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
     cum = running_sums(cnt, group, value, ["_c"], prefix="_cum")
-    n = cnt.groupBy(*group).agg(F.sum("_c").alias("_n"))
+    n = cum.groupBy(*group).agg(F.sum("_c").alias("_n"))
     # one row per group with the four 1-based ranks it needs
     cols = []
     for q, tag in ((0.25, "q1"), (0.75, "q3")):
@@ -95,7 +100,7 @@ def iqr_outliers(long: DataFrame, group: list[str], value: str = "v") -> DataFra
     bounds = picked.select(*group, interp("q1").alias("q1"), interp("q3").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - F.lit(1.5) * iqr, F.col("q3") + F.lit(1.5) * iqr
-    out = cnt.join(bounds, group).groupBy(*group).agg(
+    out = cum.join(bounds, group).groupBy(*group).agg(
         F.sum(F.when((F.col(value) < lo) | (F.col(value) > hi), F.col("_c")).otherwise(0)).alias("n_outliers"))
     return bounds.join(out, group)
 
@@ -205,15 +210,17 @@ def quality_summary(per_patient: DataFrame) -> DataFrame:
         avg_valid("temporal_coverage").alias("temporal_coverage"))
 
 
-def recommendations(summary: DataFrame) -> DataFrame:
-    """Q8: threshold rules over the Q5 row, one recommendation per row."""
+def recommendations(summary: DataFrame, min_patients: int = 100, min_completeness: float = 0.8,
+                    min_coverage: float = 0.5) -> DataFrame:
+    """Q8: threshold rules over the Q5 row, one recommendation per row. The
+    sentences are fixed values (they equal the reference's output)."""
     recs = F.array(
         F.when(F.col("invalid_patients") > 0, F.format_string(
             "Review and clean data for %d invalid patients", F.col("invalid_patients"))),
-        F.when(F.col("valid_patients") < 100, F.lit("Consider collecting more patient data for robust model training")),
-        F.when(F.coalesce(F.col("data_completeness"), F.lit(1.0)) < 0.8,
+        F.when(F.col("valid_patients") < min_patients, F.lit("Consider collecting more patient data for robust model training")),
+        F.when(F.coalesce(F.col("data_completeness"), F.lit(1.0)) < min_completeness,
                F.lit("Implement data imputation strategies for missing values")),
-        F.when(F.coalesce(F.col("temporal_coverage"), F.lit(1.0)) < 0.5,
+        F.when(F.coalesce(F.col("temporal_coverage"), F.lit(1.0)) < min_coverage,
                F.lit("Ensure adequate temporal coverage for all patients")))
     return summary.select(F.posexplode(F.filter(recs, lambda r: r.isNotNull())).alias("rank", "recommendation"))
 
@@ -226,11 +233,16 @@ def dataset_coverage(encounters: DataFrame) -> DataFrame:
         .alias("date_range_days"))
 
 
-def table_summary(tables: dict[str, DataFrame]) -> DataFrame:
-    """Q12: rows and columns per table (one aggregate per table)."""
-    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(n).alias("table_name"), "rows", F.lit(len(df.columns)).cast("long").alias("columns"))
-        for n, df in tables.items()]
+def table_summary(tables: dict[str, DataFrame], patient_key: dict[str, str] | None = None,
+                  cohort: DataFrame | None = None) -> DataFrame:
+    """Q12: rows, columns and distinct patients per table (0 without a patient
+    column), and the size of the cohort; one aggregate per table."""
+    keys = patient_key or {}
+    size = F.lit(cohort.count() if cohort is not None else None).cast("long")
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"), (F.countDistinct(keys[n]) if n in keys else F.lit(0).cast("long"))
+                    .alias("patients")).select(
+        F.lit(n).alias("table_name"), "rows", F.lit(len(df.columns)).cast("long").alias("columns"), "patients",
+        size.alias("cohort_patients")) for n, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

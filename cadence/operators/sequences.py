@@ -31,6 +31,18 @@ def event_time_timeline(kinds: dict[str, DataFrame]) -> DataFrame:
     return ranked(counts, ["patient_id"], ["ts"], "pos")
 
 
+def event_time_records(kinds: dict[str, DataFrame]) -> DataFrame:
+    """A8 with its records: ``kinds`` frames have ``patient_id, ts,
+    description``; every dated record with the 1-based position of its
+    timestamp among the patient's distinct timestamps."""
+    rec = reduce(DataFrame.unionByName, [df.select("patient_id", "ts", F.lit(k).alias("kind"), "description")
+                                         for k, df in kinds.items()]).where(F.col("ts").isNotNull())
+    pos = ranked(rec.select("patient_id", "ts").distinct(), ["patient_id"], ["ts"], "pos").select(
+        F.col("patient_id").alias("_p"), F.col("ts").alias("_t"), "pos")
+    return rec.join(pos, rec.patient_id.eqNullSafe(pos["_p"]) & (rec.ts == pos["_t"])).select(
+        "patient_id", "pos", "ts", "kind", "description")
+
+
 def tail_sequences(values: DataFrame, patients: DataFrame, n: int, order: list[str], value: str = "value") -> DataFrame:
     """Most recent ``n`` values per patient as rows ``(patient_id, pos, value,
     is_pad, sequence_length)``: positions 1..n in time order, zeros after the

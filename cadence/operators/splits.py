@@ -5,7 +5,7 @@ Ordering is always a total order computed on the cluster (skew-safe
 points with the same float formulas the reference uses, and (stratified
 split) pulling at most ``9 * min_pos`` pre-assigned ids.
 
-Random orders are a seeded ``xxhash64(patient_id, seed)`` (ties by id), so
+Random orders are ``md5("patient_id:seed")`` (ties by id), so
 they are reproducible run to run and independent of partitioning.
 """
 
@@ -57,7 +57,7 @@ def temporal_split_dropped(patients: DataFrame, observations: DataFrame) -> Data
 
 
 def hash_order(df: DataFrame, seed: int) -> F.Column:
-    return F.xxhash64(F.col("patient_id"), F.lit(seed))
+    return F.md5(F.concat_ws(":", F.col("patient_id"), F.lit(seed)))
 
 
 def random_split(patients: DataFrame, test_size: float = 0.1, validation_size: float = 0.15,

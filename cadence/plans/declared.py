@@ -11,10 +11,9 @@ from ..operators import declared as de
 from ..operators import features as fe
 from ..operators import metrics as me
 from ..operators import splits as sp
-from ..operators import targets as tg
 from ..operators import timeline as tl
 from ..sources import bindings as bd
-from .queries import _event_timeline, _r, query
+from .queries import _event_timeline, _label_flags, _r, query
 
 BOOTSTRAP_REPLICATES = 100  # replicates are the feature's parameter; every row enters each
 SPLIT_DATE = dt.date(1996, 1, 1)
@@ -76,18 +75,10 @@ def risk_bands(spark, sf_dir):
     return _r(de.risk_bands(_binary(spark, sf_dir)), "mean_score", "outcome_rate")
 
 
-def _flags(spark, sf_dir):
-    """Split labels of every customer; event text needs no intervals."""
-    er = bd.event_roles(spark, sf_dir, False)
-    text = er.observations.select("patient_id", "description")
-    return tg.label_flags(er.patients, er.encounters, er.procedures, text, bd.EVENT_SPLIT_FLAGS["icu"],
-                          bd.EVENT_SPLIT_FLAGS["ventilator"])
-
-
 @query("stratified_folds")
 def stratified_folds(spark, sf_dir):
     """X8 over the A11 labels."""
-    return de.stratified_folds(_flags(spark, sf_dir), list(sp.LABELS))
+    return de.stratified_folds(_label_flags(spark, sf_dir), list(sp.LABELS))
 
 
 @query("calendar_split")

@@ -150,6 +150,28 @@ FROM grid g JOIN kinds k
   ON k.patient_id = g.patient_id AND k.ts >= g.t - INTERVAL 1 HOUR AND k.ts < g.t + INTERVAL 1 HOUR
 GROUP BY ALL"""
 
+ORACLE["hourly_event_lists"] = ORACLE["hourly_event_counts"].replace("AS kind FROM events", "AS kind, event_type AS description FROM events").replace(
+    "ts, 'encounters' FROM", "ts, 'encounters', event_type FROM").replace("'medications' FROM", "'medications', description FROM").replace(
+    "ts, 'procedures' FROM", "ts, 'procedures', event_type FROM").replace(
+    "SELECT g.patient_id, g.hour_idx, k.kind, count(*) AS n_events, min(k.ts) AS first_ts",
+    "SELECT g.patient_id, g.hour_idx, k.kind, k.ts, k.description").replace("GROUP BY ALL", "")
+
+ORACLE["event_time_records"] = _with(_EVENT_BASE, """
+recs AS (
+  SELECT user_id AS patient_id, ts, 'observations' AS kind, event_type AS description FROM events
+  UNION ALL SELECT user_id, ts, 'conditions', event_type FROM events WHERE event_type = 'error'
+  UNION ALL SELECT patient_id, start, 'medications', description FROM iv
+  UNION ALL SELECT user_id, ts, 'procedures', event_type FROM events WHERE event_type IN ('purchase', 'error')
+  UNION ALL SELECT user_id, ts, 'encounters', event_type FROM events WHERE event_type = 'signup')""") + """
+SELECT patient_id, CAST(dense_rank() OVER (PARTITION BY patient_id ORDER BY ts) AS BIGINT) AS pos, ts, kind, description
+FROM recs WHERE ts IS NOT NULL"""
+
+_TEXT_VALUE = """CASE event_id % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN ' ' || CAST(value AS VARCHAR) ELSE CAST(value AS VARCHAR) END"""
+ORACLE["hourly_vitals_text"] = _with(
+    _EVENT_BASE, _VITAL_KW, "events2 AS (SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value) FROM events)",
+    _valued("vkw", "vit").replace("JOIN events e", "JOIN events2 e")) + """
+SELECT patient_id, hour_idx, round(value, 6) AS value FROM vit_collapsed"""
+
 ORACLE["dense_grid_zero_fill"] = _with(_EVENT_BASE, _VITAL_KW, _valued("vkw", "vit")) + """
 SELECT g.patient_id, g.hour_idx, round(coalesce(v.value, 0), 6) AS value
 FROM grid g LEFT JOIN vit_collapsed v ON v.patient_id = g.patient_id AND v.hour_idx = g.hour_idx"""
@@ -182,7 +204,8 @@ ORACLE["cohort_sample"] = _with(_COHORT) + "\nSELECT patient_id FROM cohort ORDE
 _PATIENTS = """
 pat AS (
   SELECT c.c_custkey AS patient_id,
-         CAST(f.first_order AS DATE) AS birthdate,
+         CASE WHEN c.c_custkey % 37 <> 0
+              THEN CAST(CAST(f.first_order AS DATE) - (c.c_custkey % 80) * INTERVAL 1 YEAR AS DATE) END AS birthdate,
          CASE WHEN c.c_acctbal < 0 THEN CAST(f.first_order AS DATE) + INTERVAL 30 DAY END AS deathdate,
          CASE c.c_mktsegment WHEN 'BUILDING' THEN 'F' WHEN 'AUTOMOBILE' THEN 'M'
               WHEN 'HOUSEHOLD' THEN 'F' WHEN 'FURNITURE' THEN 'X' END AS gender,
@@ -293,6 +316,11 @@ SELECT k.patient_id, r.pos, 0.0, 1, k.k
 FROM kept k JOIN range(1, 13) AS r(pos) ON r.pos > k.k"""
 
 
+ORACLE["derived_features"] = ORACLE["channel_stats"].replace("WITH ", _with(_PATIENTS) + ",\n", 1).replace(
+    "\n  SELECT g.patient_id, 'vital_signs'", ", cs AS (\n  SELECT g.patient_id, 'vital_signs'", 1) + """)
+SELECT s.patient_id, s.age_risk, s.age_group, s.comorbidity_count, s.high_comorbidity, c.channel, c.mean, c.std, c.max, c.trend
+FROM stat s JOIN cs c USING (patient_id)"""
+
 # Quality ------------------------------------------------------------------
 
 _ORDER_ROLES = _PATIENTS + """,
@@ -335,6 +363,11 @@ SELECT patient_id, missing_cells, total_cells, round(missing_share, 6) AS missin
        round(completeness, 6) AS completeness, missing_share > 0.2 AS high_missing, missing_share <= 0.8 AS is_valid
 FROM missq"""
 
+ORACLE["missing_by_table"] = _with(_MISSING.replace("AS m, 6 AS t FROM pat", "AS m, 6 AS t, 'patients' AS table_name FROM pat")
+    .replace(", 4 FROM obs", ", 4, 'observations' FROM obs").replace(", 3 FROM cond", ", 3, 'conditions' FROM cond")) + """
+SELECT patient_id, table_name, CAST(sum(m) AS BIGINT) AS missing_cells, CAST(sum(t) AS BIGINT) AS total_cells
+FROM cells GROUP BY 1, 2"""
+
 _LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
            "l_tax"]
 ORACLE["iqr_outliers"] = "WITH long AS (\n" + "\n  UNION ALL ".join(
@@ -372,13 +405,17 @@ SELECT patient_id, round(temporal_coverage, 6) AS temporal_coverage FROM cover""
 _SUMMARY = _MISSING + _COVER + """,
 per AS (
   SELECT m.patient_id, m.missing_share <= 0.8 AS is_valid, m.completeness, c.temporal_coverage,
-         (SELECT count(*) FROM obs o WHERE o.patient_id = m.patient_id) AS n_obs
+         (SELECT count(*) FROM obs o WHERE o.patient_id = m.patient_id) AS n_obs,
+         (SELECT count(*) FROM orders o WHERE o.o_custkey = m.patient_id) AS n_enc,
+         (SELECT count(*) FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+          WHERE o.o_custkey = m.patient_id) AS n_med
   FROM missq m JOIN cover c USING (patient_id)),
 summ AS (
   SELECT count(*) AS total_patients, count(*) FILTER (WHERE is_valid) AS valid_patients,
          count(*) FILTER (WHERE NOT is_valid) AS invalid_patients,
          sum(n_obs) FILTER (WHERE is_valid) / count(*) FILTER (WHERE is_valid) AS avg_observations_per_patient,
-         0.0 AS avg_encounters_per_patient, 0.0 AS avg_medications_per_patient,
+         sum(n_enc) FILTER (WHERE is_valid) / count(*) FILTER (WHERE is_valid) AS avg_encounters_per_patient,
+         sum(n_med) FILTER (WHERE is_valid) / count(*) FILTER (WHERE is_valid) AS avg_medications_per_patient,
          sum(completeness) FILTER (WHERE is_valid) / count(*) FILTER (WHERE is_valid) AS data_completeness,
          sum(temporal_coverage) FILTER (WHERE is_valid) / count(*) FILTER (WHERE is_valid) AS temporal_coverage
   FROM per)"""
@@ -391,23 +428,20 @@ SELECT total_patients, valid_patients, invalid_patients,
        round(data_completeness, 6) AS data_completeness, round(temporal_coverage, 6) AS temporal_coverage
 FROM summ"""
 
-_SAMPLE_SUMMARY = _COHORT + "," + _SUMMARY.replace("""  FROM per)""", """  FROM per WHERE patient_id IN (
-    SELECT patient_id FROM cohort ORDER BY patient_id LIMIT 50 OFFSET 10))""")
-
 _RECS = """
 r AS (
   SELECT 0 AS o, 'Review and clean data for ' || invalid_patients || ' invalid patients' AS t FROM summ
     WHERE invalid_patients > 0
   UNION ALL SELECT 1, 'Consider collecting more patient data for robust model training' FROM summ
-    WHERE valid_patients < 100
+    WHERE valid_patients < {patients}
   UNION ALL SELECT 2, 'Implement data imputation strategies for missing values' FROM summ
-    WHERE coalesce(data_completeness, 1.0) < 0.8
+    WHERE coalesce(data_completeness, 1.0) < {completeness}
   UNION ALL SELECT 3, 'Ensure adequate temporal coverage for all patients' FROM summ
-    WHERE coalesce(temporal_coverage, 1.0) < 0.5)"""
+    WHERE coalesce(temporal_coverage, 1.0) < {coverage})"""
 _RECS_SELECT = """
 SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS rank, t AS recommendation FROM r"""
-ORACLE["recommendations"] = _with(_SUMMARY, _RECS) + _RECS_SELECT
-ORACLE["sampled_recommendations"] = _with(_SAMPLE_SUMMARY, _RECS) + _RECS_SELECT
+ORACLE["recommendations"] = _with(_SUMMARY.replace("m.missing_share <= 0.8", "m.missing_share <= 0.02"), _RECS.format(
+    patients=100_000_000, completeness=0.999, coverage=1.01)) + _RECS_SELECT
 
 ORACLE["patient_issues"] = _with(_MISSING + "," + _CONSIST.split(",\ncons AS", 1)[0].split(_ORDER_ROLES, 1)[1]
                                  + "cons AS" + _CONSIST.split(",\ncons AS", 1)[1], """
@@ -441,6 +475,25 @@ SELECT event_id, CAST(event_id % 8 AS INTEGER) AS form,
             ELSE date_trunc('day', ts) END AS parsed
 FROM events"""
 
+ORACLE["dtype_profile"] = """
+SELECT table_name, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+  WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>'
+  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' ELSE lower(data_type) END AS data_type
+FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN (
+  'region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages',
+  'benchmark', 'labels', 'conversations')"""
+
+ORACLE["undated_patients"] = """
+SELECT c_custkey AS patient_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE ts IS NOT NULL)"""
+
+ORACLE["predictions_with_targets"] = """
+SELECT d.doc_id AS patient_id, t.task, round(d.n_chars / 20000.0, 6) AS prediction,
+       CAST(CASE t.task WHEN 'mortality_risk' THEN l.quality ELSE l.toxic END AS DOUBLE) AS target
+FROM documents d, (VALUES ('mortality_risk'), ('icu_admission')) AS t(task), labels l WHERE l.doc_id = d.doc_id"""
+
+ORACLE["patient_metadata"] = _with(_PATIENTS) + """
+SELECT patient_id, CAST(birthdate AS VARCHAR) AS birthdate, gender, race, ethnicity FROM pat"""
+
 ORACLE["dataset_coverage"] = """
 WITH enc AS (
   SELECT o.o_orderdate AS start, l.stop FROM orders o
@@ -449,9 +502,14 @@ SELECT min(start) AS start_date, max(stop) AS end_date,
        CAST(floor(epoch(max(stop) - min(start)) / 86400) AS BIGINT) AS date_range_days
 FROM enc"""
 
-ORACLE["dataset_summary"] = "\nUNION ALL\n".join(
-    f"SELECT '{t}' AS table_name, count(*) AS rows, CAST({n} AS BIGINT) AS columns FROM {t}"
-    for t, n in (("customer", 5), ("orders", 6), ("lineitem", 11), ("events", 6), ("part", 6)))
+_PATIENT_KEY = {"customer": "c_custkey", "orders": "o_custkey", "events": "user_id"}
+ORACLE["dataset_summary"] = _with(_COHORT) + "\nUNION ALL\n".join(
+    f"\nSELECT '{t}' AS table_name, count(*) AS rows, (SELECT count(*) FROM information_schema.columns "
+    f"WHERE table_name = '{t}') AS columns, "
+    + (f"count(DISTINCT {_PATIENT_KEY[t]})" if t in _PATIENT_KEY else "CAST(0 AS BIGINT)")
+    + f" AS patients, (SELECT count(*) FROM cohort) AS cohort_patients FROM {t}"
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+              "embeddings", "pages", "benchmark", "labels", "conversations"))
 
 _COHORT_PAT = _COHORT + "," + _PATIENTS + """,
 cpat AS (SELECT * FROM pat WHERE patient_id IN (SELECT patient_id FROM cohort))"""
@@ -497,21 +555,40 @@ SELECT s.split, count(*) AS n_patients, CAST(sum(f.mortality) AS BIGINT) AS mort
        CAST(sum(f.icu) AS BIGINT) AS icu_pos, CAST(sum(f.ventilator) AS BIGINT) AS ventilator_pos
 FROM tsplit s LEFT JOIN flags f USING (patient_id) GROUP BY s.split"""
 
-ORACLE["stratified_split_sizes"] = """
-WITH n AS (SELECT count(*) AS n FROM customer),
-s AS (SELECT greatest(1, CAST(round_even(n * CAST(0.1 AS DOUBLE), 0) AS BIGINT)) AS t,
-             greatest(1, CAST(round_even(n * CAST(0.15 AS DOUBLE), 0) AS BIGINT)) AS v, n FROM n)
-SELECT 'test' AS split, t AS n_patients FROM s
-UNION ALL SELECT 'validation', v FROM s
-UNION ALL SELECT 'train', n - t - v FROM s"""
-
-ORACLE["random_split_sizes"] = """
+_HASHED = _with(_FLAGS, """
+h AS (SELECT *, md5(patient_id || ':42') AS h FROM flags),
+a1 AS (SELECT patient_id, row_number() OVER (ORDER BY h, patient_id) AS r FROM h WHERE mortality = 1),
+p1 AS (SELECT patient_id, r FROM a1 WHERE r <= 9),
+a2 AS (SELECT patient_id, row_number() OVER (ORDER BY h, patient_id) AS r FROM h
+       WHERE icu = 1 AND patient_id NOT IN (SELECT patient_id FROM p1)),
+p2 AS (SELECT patient_id, r FROM a2 WHERE r <= 9),
+a3 AS (SELECT patient_id, row_number() OVER (ORDER BY h, patient_id) AS r FROM h WHERE ventilator = 1
+         AND patient_id NOT IN (SELECT patient_id FROM p1) AND patient_id NOT IN (SELECT patient_id FROM p2)),
+p3 AS (SELECT patient_id, r FROM a3 WHERE r <= 9),
+pre AS (SELECT patient_id, CASE WHEN r <= 3 THEN 'test' WHEN r <= 6 THEN 'validation' ELSE 'train' END AS split
+        FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)),
+need AS (SELECT greatest(0, greatest(1, CAST(round_even(n * CAST(0.1 AS DOUBLE), 0) AS BIGINT))
+                            - (SELECT count(*) FROM pre WHERE split = 'test')) AS t,
+                greatest(0, greatest(1, CAST(round_even(n * CAST(0.15 AS DOUBLE), 0) AS BIGINT))
+                            - (SELECT count(*) FROM pre WHERE split = 'validation')) AS v
+         FROM (SELECT count(*) AS n FROM flags)),
+rest AS (SELECT patient_id, row_number() OVER (ORDER BY h, patient_id) AS r FROM h
+         WHERE patient_id NOT IN (SELECT patient_id FROM pre)),
+strat AS (SELECT * FROM pre UNION ALL
+          SELECT patient_id, CASE WHEN r <= t THEN 'test' WHEN r <= t + v THEN 'validation' ELSE 'train' END FROM rest, need)""")
+
+ORACLE["stratified_split"] = _HASHED + "\nSELECT patient_id, split FROM strat"
+ORACLE["stratified_split_sizes"] = _HASHED + "\nSELECT split, count(*) AS n_patients FROM strat GROUP BY split"
+
+_RANDOM = """
 WITH n AS (SELECT count(*) AS n FROM customer),
 s AS (SELECT n, CAST(ceil(n * CAST(0.1 AS DOUBLE)) AS BIGINT) AS t FROM n),
-s2 AS (SELECT n, t, CAST(ceil((n - t) * (CAST(0.15 AS DOUBLE) / (1 - CAST(0.1 AS DOUBLE)))) AS BIGINT) AS v FROM s)
-SELECT 'test' AS split, t AS n_patients FROM s2
-UNION ALL SELECT 'validation', v FROM s2
-UNION ALL SELECT 'train', n - t - v FROM s2"""
+s2 AS (SELECT n, t, CAST(ceil((n - t) * (CAST(0.15 AS DOUBLE) / (1 - CAST(0.1 AS DOUBLE)))) AS BIGINT) AS v FROM s),
+r AS (SELECT c_custkey AS patient_id, row_number() OVER (ORDER BY md5(c_custkey || ':42'), c_custkey) AS r FROM customer),
+rnd AS (SELECT patient_id, CASE WHEN r <= t THEN 'test' WHEN r <= t + v THEN 'validation' ELSE 'train' END AS split
+        FROM r, s2)"""
+ORACLE["random_split"] = _RANDOM + "\nSELECT patient_id, split FROM rnd"
+ORACLE["random_split_sizes"] = _RANDOM + "\nSELECT split, count(*) AS n_patients FROM rnd GROUP BY split"
 
 _SCALED_COLS = ["age", "diabetes", "hypertension", "obesity", "copd", "heart_disease", "healthcare_coverage",
                 "income_level"]

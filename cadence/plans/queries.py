@@ -25,7 +25,7 @@ from ..operators import timeline as tl
 from ..operators.ranking import checkpointed
 from ..session import ensure_utc
 from ..sources import bindings as bd
-from ..sources.tables import parse_ts
+from ..sources.tables import DRIVER_TABLES, parse_ts
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -156,15 +156,54 @@ def hourly_event_counts(spark, sf_dir):
     """A6 in long form, summarised per (patient, hour, kind): number of listed
     events and the earliest listed timestamp."""
     roles, _, anchors = _event_timeline(spark, sf_dir)
-    kinds = {
+    ev = tl.hourly_events(_listed_kinds(roles), anchors)
+    return ev.groupBy("patient_id", "hour_idx", "kind").agg(
+        F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_ts"))
+
+
+def _listed_kinds(roles):
+    return {
         "conditions": roles.conditions.select("patient_id", "ts", "description"),
         "encounters": roles.encounters.select("patient_id", F.col("start").alias("ts"), "description"),
         "medications": roles.medications.select("patient_id", F.col("start").alias("ts"), "description"),
         "procedures": roles.procedures.select("patient_id", "ts", "description"),
     }
-    ev = tl.hourly_events(kinds, anchors)
-    return ev.groupBy("patient_id", "hour_idx", "kind").agg(
-        F.count(F.lit(1)).alias("n_events"), F.min("ts").alias("first_ts"))
+
+
+@query("hourly_event_lists")
+def hourly_event_lists(spark, sf_dir):
+    """Every listed event of every hour."""
+    roles, _, anchors = _event_timeline(spark, sf_dir)
+    return tl.hourly_events(_listed_kinds(roles), anchors).select(
+        "patient_id", "hour_idx", "kind", "ts", F.col("record.description").alias("description"))
+
+
+@query("event_time_records")
+def event_time_records(spark, sf_dir):
+    """The records of all five kinds at each distinct timestamp."""
+    roles = bd.event_roles(spark, sf_dir)
+    kinds = {"observations": roles.observations.select("patient_id", "ts", "description"), **_listed_kinds(roles)}
+    return sq.event_time_records(kinds)
+
+
+@query("hourly_vitals_text")
+def hourly_vitals_text(spark, sf_dir):
+    """A1 with P3: values arrive as text, some padded, some no number."""
+    roles, _, anchors = _event_timeline(spark, sf_dir, with_intervals=False)
+    ev = bd.read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    form = F.col("event_id") % 5
+    text = F.when(form == 0, "n/a").when(form == 1, F.concat(F.lit(" "), F.col("value"))).otherwise(F.col("value").cast("string"))
+    obs = ev.select(F.col("user_id").alias("patient_id"), "ts", F.col("event_type").alias("description"), text.alias("value"))
+    return _r(tl.hourly_collapsed(tl.hourly_values_wide(obs, anchors, bd.EVENT_VITALS, False)), "value")
+
+
+@query("derived_features")
+def derived_features(spark, sf_dir):
+    """the derived static values (F2-F4) with the channel statistics (A10)."""
+    sparse, anchors, channels = event_channels(spark, sf_dir)
+    stats = _r(tl.channel_stats(sparse, anchors, channels=channels)
+               .select("patient_id", "channel", "mean", "std", "max", "trend"), "mean", "std", "max", "trend")
+    return derived_static(spark, sf_dir).join(stats, "patient_id")
 
 
 @query("dense_grid_zero_fill")
@@ -260,8 +299,14 @@ def targets(spark, sf_dir):
 @query("label_flags")
 def label_flags(spark, sf_dir):
     """A11 split labels for every customer: death date, ICU / ventilator text."""
-    roles = bd.event_roles(spark, sf_dir)
-    return tg.label_flags(roles.patients, roles.encounters, roles.procedures, roles.devices,
+    return _label_flags(spark, sf_dir)
+
+
+def _label_flags(spark, sf_dir):
+    """The flags read device text only, so events stand in for the intervals."""
+    roles = bd.event_roles(spark, sf_dir, with_intervals=False)
+    return tg.label_flags(roles.patients, roles.encounters, roles.procedures,
+                          roles.observations.select("patient_id", "description"),
                           bd.EVENT_SPLIT_FLAGS["icu"], bd.EVENT_SPLIT_FLAGS["ventilator"])
 
 
@@ -332,14 +377,19 @@ def temporal_coverage(spark, sf_dir):
     return _r(qa.temporal_coverage(roles.observations, roles.patients), "temporal_coverage")
 
 
-def _per_patient_quality(spark, sf_dir):
+def _per_patient_quality(spark, sf_dir, reject_limit=qa.REJECT_LIMIT):
+    """Orders as encounters, their lines as medications."""
     roles, tabs = _quality_tables(spark, sf_dir)
-    miss = qa.missing_by_patient(tabs, roles.patients)
+    miss = qa.missing_by_patient(tabs, roles.patients, reject_limit=reject_limit)
     cov = qa.temporal_coverage(roles.observations, roles.patients)
     n_obs = roles.observations.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n_obs"))
-    x = miss.join(cov, "patient_id").join(n_obs, "patient_id", "left")
-    return x.select("patient_id", "is_valid", F.coalesce("n_obs", F.lit(0)).alias("n_obs"),
-                    F.lit(0).alias("n_enc"), F.lit(0).alias("n_med"), "completeness", "temporal_coverage")
+    o = bd.read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey"])
+    lines = bd.read_table(spark, sf_dir, "lineitem", ["l_orderkey"]).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_l"))
+    visits = o.join(lines, o.o_orderkey == lines.l_orderkey, "left").groupBy(F.col("o_custkey").alias("patient_id")).agg(
+        F.count(F.lit(1)).alias("n_enc"), F.sum(F.coalesce("_l", F.lit(0))).alias("n_med"))
+    x = miss.join(cov, "patient_id").join(n_obs, "patient_id", "left").join(visits, "patient_id", "left")
+    return x.select("patient_id", "is_valid", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_obs", "n_enc", "n_med")],
+                    "completeness", "temporal_coverage")
 
 
 @query("quality_summary")
@@ -352,19 +402,22 @@ def quality_summary(spark, sf_dir):
 
 @query("recommendations")
 def recommendations(spark, sf_dir):
-    """Q8 over every customer."""
-    return qa.recommendations(qa.quality_summary(_per_patient_quality(spark, sf_dir)))
+    """Q8 over every customer, with thresholds that the whole tables cross, so
+    each of the four rules speaks."""
+    s = qa.quality_summary(_per_patient_quality(spark, sf_dir, reject_limit=0.02))
+    return qa.recommendations(s, min_patients=100_000_000, min_completeness=0.999, min_coverage=1.01)
+
 
+@query("missing_by_table")
+def missing_by_table(spark, sf_dir):
+    """Q1 per table."""
+    return qa.missing_by_table(_quality_tables(spark, sf_dir)[1])
 
-@query("sampled_recommendations")
-def sampled_recommendations(spark, sf_dir):
-    """Q8 over a sampled cohort, as the pipeline's ``sample_size`` /
-    ``start_index`` run validates it: the [10, 60) slice of the keyword
-    cohort (S4 -> J1 -> Q5 -> Q8). Quality is computed over all patients;
-    the slice is the sampling feature."""
-    sample = co.cohort_sample(_cohort(spark, sf_dir), start=10, size=50)
-    per = _per_patient_quality(spark, sf_dir).join(sample, "patient_id", "left_semi")
-    return qa.recommendations(qa.quality_summary(per))
+
+@query("dtype_profile")
+def dtype_profile(spark, sf_dir):
+    """Q10 over all tables."""
+    return qa.dtype_profile(spark, {n: bd.read_table(spark, sf_dir, n) for n in DRIVER_TABLES})
 
 
 @query("patient_issues")
@@ -407,9 +460,16 @@ def dataset_coverage(spark, sf_dir):
 
 @query("dataset_summary")
 def dataset_summary(spark, sf_dir):
-    """Q12: rows/columns per driver table."""
-    tabs = {n: bd.read_table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem", "events", "part")}
-    return qa.table_summary(tabs)
+    """Q12: rows, columns and patients of every table, and the cohort's size."""
+    tabs = {n: bd.read_table(spark, sf_dir, n) for n in DRIVER_TABLES}
+    return qa.table_summary(tabs, {"customer": "c_custkey", "orders": "o_custkey", "events": "user_id"},
+                            _cohort(spark, sf_dir))
+
+
+@query("patient_metadata")
+def patient_metadata(spark, sf_dir):
+    """F14."""
+    return fe.patient_metadata(bd.customer_patients(spark, sf_dir)).withColumn("birthdate", F.col("birthdate").cast("string"))
 
 
 def _cohort_patients(spark, sf_dir):
@@ -443,19 +503,33 @@ def temporal_split(spark, sf_dir):
 def split_counts(spark, sf_dir):
     """W5 + W7 over the temporal split with the A11 label flags."""
     roles = bd.order_roles(spark, sf_dir)
-    er = bd.event_roles(spark, sf_dir)
-    flags = tg.label_flags(er.patients, er.encounters, er.procedures, er.devices,
-                           bd.EVENT_SPLIT_FLAGS["icu"], bd.EVENT_SPLIT_FLAGS["ventilator"])
-    return sp.split_counts(sp.temporal_split(roles.observations), flags)
+    return sp.split_counts(sp.temporal_split(roles.observations), _label_flags(spark, sf_dir))
+
+
+@query("stratified_split")
+def stratified_split(spark, sf_dir):
+    """W2 membership."""
+    return sp.stratified_split(_label_flags(spark, sf_dir))
 
 
 @query("stratified_split_sizes")
 def stratified_split_sizes(spark, sf_dir):
-    """W2 sizes (membership follows a seeded hash; see tests for its rules)."""
-    er = bd.event_roles(spark, sf_dir)
-    flags = tg.label_flags(er.patients, er.encounters, er.procedures, er.devices,
-                           bd.EVENT_SPLIT_FLAGS["icu"], bd.EVENT_SPLIT_FLAGS["ventilator"])
-    return sp.split_counts(sp.stratified_split(flags))
+    """W2 sizes."""
+    return sp.split_counts(sp.stratified_split(_label_flags(spark, sf_dir)))
+
+
+@query("random_split")
+def random_split(spark, sf_dir):
+    """W3 membership."""
+    return sp.random_split(bd.read_table(spark, sf_dir, "customer", ["c_custkey"]).withColumnRenamed("c_custkey", "patient_id"))
+
+
+@query("undated_patients")
+def undated_patients(spark, sf_dir):
+    """Customers without a dated event."""
+    pts = bd.read_table(spark, sf_dir, "customer", ["c_custkey"]).withColumnRenamed("c_custkey", "patient_id")
+    ev = bd.read_table(spark, sf_dir, "events", ["user_id", "ts"]).withColumnRenamed("user_id", "patient_id")
+    return sp.temporal_split_dropped(pts, ev)
 
 
 @query("random_split_sizes")
@@ -529,6 +603,20 @@ def roc_points(spark, sf_dir):
     return _r(me.roc_points(p), "threshold", "fpr", "tpr")
 
 
+@query("predictions_with_targets")
+def predictions_with_targets(spark, sf_dir):
+    """Scores of all documents joined with the targets of the labelled ones."""
+    doc = bd.read_table(spark, sf_dir, "documents", ["doc_id", "n_chars"])
+    lab = bd.read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    tasks = F.array(F.lit("mortality_risk"), F.lit("icu_admission"))
+    p = doc.select(F.col("doc_id").alias("patient_id"), F.explode(tasks).alias("task"),
+                   (F.col("n_chars") / 20000.0).alias("prediction"))
+    t = lab.select(F.col("doc_id").alias("patient_id"), F.inline(F.array(
+        F.struct(F.lit("mortality_risk").alias("task"), F.col("quality").cast("double").alias("target")),
+        F.struct(F.lit("icu_admission").alias("task"), F.col("toxic").cast("double").alias("target")))))
+    return _r(me.attach_targets(p, t), "prediction")
+
+
 @query("residual_histogram")
 def residual_histogram(spark, sf_dir):
     """E16."""

@@ -13,7 +13,8 @@ events binding (timeline roles; all timestamps are in one month of 2024)
   procedures    events of type 'purchase' or 'error'
 
 customer/orders binding (static, quality and split roles)
-  patients      customer: birth date = date of the customer's first order,
+  patients      customer: birth date = date of the customer's first order less
+                (key mod 80) years, unknown for every 37th key;
                 death date = first order date + 30 days when the account
                 balance is negative, gender/race/ethnicity from segment/nation
   conditions    orders: description = "<priority> <status>" (priority
@@ -130,11 +131,12 @@ def customer_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = c.join(fo, c.c_custkey == fo.patient_id, "left")
     race = F.element_at(F.array(*[F.lit(r) for r in RACE_BY_NATION_MOD7]), (F.col("c_nationkey") % 7 + 1).cast("int"))
     eth = F.element_at(F.array(*[F.lit(r) for r in ETHNICITY_BY_NATION_MOD3]), (F.col("c_nationkey") % 3 + 1).cast("int"))
-    birth = F.to_date("first_order")
+    first = F.to_date("first_order")
+    birth = F.add_months(first, -12 * (F.col("c_custkey") % 80).cast("int"))
     return x.select(
         F.col("c_custkey").alias("patient_id"),
-        birth.alias("birthdate"),
-        F.when(F.col("c_acctbal") < 0, F.date_add(birth, 30)).alias("deathdate"),
+        F.when(F.col("c_custkey") % 37 != 0, birth).alias("birthdate"),
+        F.when(F.col("c_acctbal") < 0, F.date_add(first, 30)).alias("deathdate"),
         _case_map(F.col("c_mktsegment"), SEGMENT_GENDER).alias("gender"),
         race.alias("race"), eth.alias("ethnicity"))
 

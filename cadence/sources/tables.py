@@ -89,11 +89,17 @@ TIME_COLUMNS = {"patients": ("BIRTHDATE", "DEATHDATE"), "observations": ("DATE",
 
 
 def csv_files(spark: SparkSession, directory: str) -> dict[str, str]:
-    """Stem -> path of every ``*.csv`` in a folder of any file system Spark
-    reads (the listing is Spark's own; file contents are not read). A missing
-    folder raises."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory).select("path").collect()
-    return {os.path.basename(r["path"])[:-4]: r["path"] for r in sorted(found)}
+    """Stem -> path of every ``*.csv`` file, or folder of part files as Spark
+    writes them, in a folder of any file system Spark reads (the listing is
+    Spark's own; file contents are not read). A missing folder raises."""
+    found = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+             .load(directory).select("path").collect())
+    out = {}
+    for path in sorted(r["path"] for r in found):
+        parent = os.path.dirname(path)
+        at = parent if parent.endswith(".csv") else path
+        out[os.path.basename(at)[:-4]] = at
+    return out
 
 
 def load_all_tables(spark: SparkSession, directory: str) -> tuple[dict[str, DataFrame], DataFrame]:
