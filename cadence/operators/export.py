@@ -34,13 +34,13 @@ def hourly_type_flags(points: DataFrame, anchors: DataFrame, vocab: Vocab, grid_
     return binned.select("patient_id", "hour_idx", "type_ord").distinct().withColumn("value", F.lit(1.0))
 
 
-def temporal_channels(roles, anchors: DataFrame, categories=TEMPORAL_CATEGORIES, grid_len: int = tl.GRID_LEN,
+def temporal_segments(roles, anchors: DataFrame, categories=TEMPORAL_CATEGORIES, grid_len: int = tl.GRID_LEN,
                       step_hours: float = 1.0) -> tuple[DataFrame, list[str]]:
     """the 26 temporal channels (feature vocabularies, category order) as
-    one sparse long frame ``(patient_id, hour_idx, ch, value)``:
+    sparse run-length segments ``(patient_id, ch, h_start, h_end, value)``:
     vitals / labs -> per-type hourly value (A1 rule), medications / devices ->
     1.0 while a type is active, procedures -> 1.0 when a type is within the
-    hour's window."""
+    hour's window. An interval stays one row, however long it lasts."""
     cats = dict(categories)
     names: list[str] = []
     offset = {}
@@ -51,32 +51,40 @@ def temporal_channels(roles, anchors: DataFrame, categories=TEMPORAL_CATEGORIES,
     valued = tl.hourly_values_multi(roles.observations, anchors,
                                     {"vital_signs": cats["vital_signs"], "laboratory_values": cats["laboratory_values"]},
                                     roles.value_is_numeric, grid_len, step_hours)
+    point = lambda df: df.select("patient_id", "ch", F.col("hour_idx").alias("h_start"),
+                                 F.col("hour_idx").alias("h_end"), "value")
     for cat in ("vital_signs", "laboratory_values"):
         voc = cats[cat]
         cells = F.array(*[F.struct(F.lit(offset[cat] + i).alias("ch"), F.col(f"{cat}__{t}").alias("value"))
                           for i, t in enumerate(voc.type_names)])
-        parts.append(valued.select("patient_id", "hour_idx", F.inline(cells)).where(F.col("value").isNotNull()))
+        parts.append(point(valued.select("patient_id", "hour_idx", F.inline(cells)).where(F.col("value").isNotNull())))
     for cat, frame in (("medications", roles.medications), ("devices", roles.devices)):
         voc = cats[cat]
         per_type = {f"{cat}:{i}": Vocab(f"{cat}:{t}", ((t, kws),), voc.mode) for i, (t, kws) in enumerate(voc.types)}
         seg = tl.active_segments_multi(frame, anchors, per_type, grid_len, step_hours)
-        parts.append(tl.expand_segments(seg).select(
-            "patient_id", "hour_idx",
-            (F.lit(offset[cat]) + F.split(F.col("channel"), ":").getItem(1).cast("int")).alias("ch"),
-            F.lit(1.0).alias("value")))
+        parts.append(seg.select("patient_id", (F.lit(offset[cat]) + F.split(F.col("channel"), ":").getItem(1).cast("int"))
+                                .alias("ch"), "h_start", "h_end", F.lit(1.0).alias("value")))
     pr = hourly_type_flags(roles.procedures, anchors, cats["procedures"], grid_len, step_hours)
-    parts.append(pr.select("patient_id", "hour_idx", (F.col("type_ord") + offset["procedures"]).alias("ch"), "value"))
+    parts.append(point(pr.select("patient_id", "hour_idx", (F.col("type_ord") + offset["procedures"]).alias("ch"), "value")))
     return reduce(DataFrame.unionByName, parts), names
 
 
-def fit_channel_scaler(channels: DataFrame, train_anchors: DataFrame, n_channels: int,
+def temporal_channels(roles, anchors: DataFrame, categories=TEMPORAL_CATEGORIES, grid_len: int = tl.GRID_LEN,
+                      step_hours: float = 1.0) -> tuple[DataFrame, list[str]]:
+    """F15 with one row per hour: ``(patient_id, hour_idx, ch, value)``."""
+    seg, names = temporal_segments(roles, anchors, categories, grid_len, step_hours)
+    return tl.expand_segments(seg).select("patient_id", "hour_idx", "ch", "value"), names
+
+
+def fit_channel_scaler(segments: DataFrame, train_anchors: DataFrame, n_channels: int,
                        grid_len: int = tl.GRID_LEN) -> dict[int, tuple[float, float]]:
-    """F8 fit on the training patients' zero-filled grids, from sparse sums:
-    per channel mean and population std (std 0 -> 1). Returns the fitted
-    state (2 numbers per channel) to the driver."""
+    """F8 fit on the training patients' zero-filled grids, from sums over
+    segments: per channel mean and population std (std 0 -> 1). Returns the
+    fitted state (2 numbers per channel) to the driver."""
     n = float(train_anchors.count() * grid_len)
-    s = channels.join(train_anchors.select("patient_id"), "patient_id", "left_semi").groupBy("ch").agg(
-        F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2"))
+    hours = (F.col("h_end") - F.col("h_start") + 1).cast("double")
+    s = segments.join(train_anchors.select("patient_id"), "patient_id", "left_semi").groupBy("ch").agg(
+        F.sum(F.col("value") * hours).alias("s1"), F.sum(F.col("value") * F.col("value") * hours).alias("s2"))
     got = {r["ch"]: (r["s1"] or 0.0, r["s2"] or 0.0) for r in s.collect()}  # <= n_channels rows
     out = {}
     for c in range(n_channels):
@@ -88,24 +96,31 @@ def fit_channel_scaler(channels: DataFrame, train_anchors: DataFrame, n_channels
     return out
 
 
-def dense_matrix(channels: DataFrame, anchors: DataFrame, n_channels: int, grid_len: int = tl.GRID_LEN,
+def dense_matrix(segments: DataFrame, anchors: DataFrame, n_channels: int, grid_len: int = tl.GRID_LEN,
                  scaler: dict[int, tuple[float, float]] | None = None) -> DataFrame:
     """Per patient ``temporal ARRAY<ARRAY<FLOAT>>[grid_len][n_channels]``,
     zero-filled (J5), optionally standard-scaled per channel (F8) with the
-    scaled value of 0 used for empty cells; NaN/NULL -> 0 (F9)."""
-    wide = channels.groupBy("patient_id", "hour_idx").pivot("ch", list(range(n_channels))).agg(F.first("value"))
-    grid = anchors.select("patient_id", F.explode(F.sequence(F.lit(0), F.lit(grid_len - 1))).alias("hour_idx"))
-    x = grid.join(wide, ["patient_id", "hour_idx"], "left")
-    cells = []
-    for c in range(n_channels):
-        v = F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
-        if scaler is not None:
-            m, s = scaler.get(c, (0.0, 1.0))
-            v = (v - F.lit(m)) / F.lit(s)
-        cells.append(F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.lit(0.0)).cast("float"))
-    rows = x.select("patient_id", "hour_idx", F.array(*cells).alias("_row"))
-    per = rows.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct("hour_idx", "_row"))).alias("_rows"))
-    return per.select("patient_id", F.transform("_rows", lambda r: r["_row"]).alias("temporal"))
+    scaled value of 0 used for empty cells; NaN/NULL -> 0 (F9).
+
+    One shuffle by patient: its segments are expanded, pivoted to the hours
+    that have cells (at most ``grid_len`` per patient), gathered in one map and
+    laid over the grid; the grid itself is never joined."""
+    def scaled(c: int, v):
+        m, s = scaler.get(c, (0.0, 1.0)) if scaler is not None else (0.0, 1.0)
+        v = (F.coalesce(v, F.lit(0.0)) - F.lit(m)) / F.lit(s)
+        return F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.lit(0.0)).cast("float")
+
+    cells = tl.expand_segments(segments.repartition("patient_id"))
+    wide = cells.groupBy("patient_id", "hour_idx").agg(*[
+        F.first(F.when(F.col("ch") == c, F.col("value").cast("double")), ignorenulls=True).alias(f"_c{c}")
+        for c in range(n_channels)])
+    rows = wide.select("patient_id", "hour_idx", F.array(*[scaled(c, F.col(f"_c{c}")) for c in range(n_channels)]).alias("_row"))
+    per = rows.groupBy("patient_id").agg(F.map_from_entries(F.collect_list(F.struct("hour_idx", "_row"))).alias("_rows"))
+    blank = F.array(*[scaled(c, F.lit(None).cast("double")) for c in range(n_channels)])
+    grid = F.sequence(F.lit(0), F.lit(grid_len - 1))
+    return anchors.select("patient_id").join(per, "patient_id", "left").select(
+        "patient_id", F.when(F.col("_rows").isNull(), F.transform(grid, lambda h: blank))
+        .otherwise(F.transform(grid, lambda h: F.coalesce(F.col("_rows")[h], blank))).alias("temporal"))
 
 
 def pad_or_truncate(arr_col, length: int, width: int | None = None) -> F.Column:
@@ -154,11 +169,12 @@ def batches(df: DataFrame, batch_size: int, seed: int = 42, shuffle_splits=("tra
     be short. Each output row is one batch with its stacked fields; a batch
     never holds more than ``batch_size`` patients."""
     from .ranking import ranked
-    order = F.when(F.col("split").isin(*shuffle_splits), F.xxhash64(F.col("patient_id"), F.lit(seed))) \
-             .otherwise(F.lit(0))
-    keyed = df.withColumn("_o", order)
+    order = F.when(F.col("split").isin(*shuffle_splits), F.md5(F.concat_ws(":", F.col("patient_id"), F.lit(seed)))) \
+             .otherwise(F.lit(""))
+    keyed = df.select("patient_id", "split", order.alias("_o"))  # the wide rows join once, when they have a place
     r = ranked(keyed, ["split"], ["_o", "patient_id"], "_rn")
-    b = r.withColumn("batch_id", ((F.col("_rn") - 1) / F.lit(batch_size)).cast("long"))
+    r = r.select("patient_id", "_rn", ((F.col("_rn") - 1) / F.lit(batch_size)).cast("long").alias("batch_id"))
+    b = df.join(r, "patient_id")
     fields = [c for c in df.columns if c not in ("split",)]
     packed = b.groupBy("split", "batch_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("_rn"), *[F.col(c) for c in fields]))).alias("_items"))

@@ -756,3 +756,47 @@ UNION ALL SELECT patient_id, hour_idx, 3 + type_ord, round(value, 6) FROM lab_ty
 UNION ALL SELECT patient_id, hour_idx, 11 + type_ord, 1.0 FROM med_t
 UNION ALL SELECT patient_id, hour_idx, 14 + type_ord, 1.0 FROM proc_t
 UNION ALL SELECT patient_id, hour_idx, 16 + type_ord, 1.0 FROM dev_t"""
+
+
+# Model-ready export ------------------------------------------------------------
+
+_ESPLIT = _TSPLIT.replace("o_custkey", "user_id").replace("o_orderdate", "ts").replace("FROM orders", "FROM events")
+
+ORACLE["model_ready_fields"] = _with(_PATIENTS, _ESPLIT, """
+tg AS (""" + ORACLE["targets"] + """),
+mine AS (SELECT * FROM stat WHERE patient_id IN (SELECT patient_id FROM tsplit)),
+fit AS (SELECT """ + ", ".join(
+    f"avg({c}) AS {c}_m, CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS {c}_s"
+    for c in _SCALED_COLS) + """
+        FROM mine WHERE patient_id IN (SELECT patient_id FROM tsplit WHERE split = 'train'))""") + "\n" + "\nUNION ALL ".join(
+    f"SELECT t.patient_id, t.split, 'static' AS field, {i} AS position, round(CAST(CAST("
+    + (f"coalesce((m.{c} - fit.{c}_m) / fit.{c}_s, 0.0)" if c in _SCALED_COLS else f"m.{c}")
+    + " AS FLOAT) AS DOUBLE), 4) AS value FROM tsplit t JOIN mine m USING (patient_id), fit" for i, c in enumerate(_ALL_STATIC)) + """
+UNION ALL SELECT patient_id, split, 'time_index', h, CAST(h AS DOUBLE) FROM tsplit, range(0, 720) AS r(h)
+UNION ALL SELECT patient_id, split, 'sequence_length', 0, 720.0 FROM tsplit
+""" + "\n".join(f"UNION ALL SELECT t.patient_id, t.split, '{c}', 0, round(CAST(CAST(tg.{c} AS FLOAT) AS DOUBLE), 4) FROM tsplit t "
+                f"JOIN tg USING (patient_id)" for c in ("mortality_risk", "icu_admission", "ventilator_need", "length_of_stay"))
+
+ORACLE["model_ready_cells"] = _with(_ESPLIT, """
+raw AS (""" + ORACLE["temporal_channels"] + """),
+n AS (SELECT count(*) * 720.0 AS n FROM tsplit WHERE split = 'train'),
+fit AS (SELECT c.ch, coalesce(sum(r.value), 0) / max(n.n) AS m,
+               sqrt(greatest(coalesce(sum(r.value * r.value), 0) / max(n.n)
+                             - (coalesce(sum(r.value), 0) / max(n.n)) ** 2, 0)) AS s
+        FROM n, range(0, 18) AS c(ch) LEFT JOIN (SELECT * FROM raw WHERE patient_id IN (
+          SELECT patient_id FROM tsplit WHERE split = 'train')) r ON r.ch = c.ch GROUP BY c.ch),
+z AS (SELECT raw.*, (value - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS z, -m / CASE WHEN s > 0 THEN s ELSE 1 END AS z0
+      FROM raw JOIN fit USING (ch))""") + """
+SELECT patient_id, 720 AS hours, 18 AS channels, CAST(hour_idx AS INTEGER) AS hour_idx, CAST(ch AS INTEGER) AS ch,
+       round(CAST(CAST(z AS FLOAT) AS DOUBLE), 3) AS value FROM z WHERE abs(z - z0) > 1e-5"""
+
+ORACLE["batch_members"] = _with(_ESPLIT, """
+tg AS (""" + ORACLE["targets"] + """),
+r AS (SELECT patient_id, split, row_number() OVER (PARTITION BY split ORDER BY
+             CASE WHEN split = 'train' THEN md5(patient_id || ':42') ELSE '' END, patient_id) - 1 AS rn FROM tsplit)""") + """
+SELECT split, rn // 32 AS batch_id, CAST(count(*) OVER (PARTITION BY split, rn // 32) AS INTEGER) AS batch_len,
+       CAST(rn % 32 AS INTEGER) AS position, r.patient_id, CAST(720 AS BIGINT) AS sequence_length,
+       """ + ", ".join(f"round(CAST(CAST(tg.{c} AS FLOAT) AS DOUBLE), 4) AS {c}"
+                      for c in ("mortality_risk", "icu_admission", "ventilator_need", "length_of_stay")) + """,
+       15 AS static_size, 720 AS temporal_size, 720 AS time_index_size
+FROM r JOIN tg USING (patient_id)"""

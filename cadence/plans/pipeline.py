@@ -120,7 +120,7 @@ def run_pipeline(roles: Roles, output_dir: str, cfg: PipelineConfig | None = Non
     # timeline, channels, static, targets
     extent = checkpointed(tl.timeline_extent(v, cfg.grid_len, cfg.step_hours))
     anchors = tl.anchors_of(extent)
-    channels, names = ex.temporal_channels(v, anchors, cfg.categories, cfg.grid_len, cfg.step_hours)
+    channels, names = ex.temporal_segments(v, anchors, cfg.categories, cfg.grid_len, cfg.step_hours)
     channels = checkpointed(channels)  # read by the scaler fit and by the dense matrix
     static = fe.static_features(v.patients, v.conditions, cfg.comorbidities, cfg.as_of)
     targets = tg.targets(v.conditions, v.encounters, v.procedures, extent, cfg.target_keywords, cfg.grid_len,

@@ -644,11 +644,12 @@ def temporal_channels(spark, sf_dir):
 
 
 def _model_ready(spark, sf_dir):
+    """Model-ready rows of the events binding and the fitted channel scaler."""
     roles = bd.event_roles(spark, sf_dir)
     extent = checkpointed(tl.timeline_extent(roles))
     anchors = tl.anchors_of(extent)
-    ch, names = ex.temporal_channels(roles, anchors, EVENT_CATEGORIES)
-    ch = checkpointed(ch)  # read by the scaler fit and by the dense matrix
+    seg, names = ex.temporal_segments(roles, anchors, EVENT_CATEGORIES)
+    seg = checkpointed(seg)  # read by the scaler fit and by the dense matrix
     orders = bd.order_roles(spark, sf_dir)
     users = anchors.select("patient_id")
     static = fe.static_features(orders.patients.join(users, "patient_id", "left_semi"), orders.conditions,
@@ -656,21 +657,63 @@ def _model_ready(spark, sf_dir):
     split = checkpointed(sp.temporal_split(roles.observations).drop("first_ts"))
     train = split.where(F.col("split") == "train").select("patient_id")
     sparams = fe.scaler_params(fe.fit_standard_scaler(static.join(train, "patient_id", "left_semi")))
-    cparams = ex.fit_channel_scaler(ch, anchors.join(train, "patient_id", "left_semi"), len(names))
-    temporal = ex.dense_matrix(ch, anchors, len(names), scaler=cparams)
+    cparams = ex.fit_channel_scaler(seg, anchors.join(train, "patient_id", "left_semi"), len(names))
+    temporal = ex.dense_matrix(seg, anchors, len(names), scaler=cparams)
     targets = tg.targets(roles.conditions, roles.encounters, roles.procedures, extent, bd.EVENT_TARGETS)
-    return ex.model_ready(fe.apply_standard_scaler(static, sparams), temporal, targets, split, n_channels=len(names))
+    return ex.model_ready(fe.apply_standard_scaler(static, sparams), temporal, targets, split,
+                          n_channels=len(names)), cparams
 
 
 @query("model_ready_export")
 def model_ready_export(spark, sf_dir):
-    """S9 rows (arrays; rows-only check): scaled static vector, 720 x 18
-    scaled temporal matrix, time index, sequence length and targets."""
-    return _model_ready(spark, sf_dir)
+    """S9 rows (arrays; ``model_ready_fields`` and ``model_ready_cells`` compare
+    their contents): scaled static vector, 720 x 18 scaled temporal matrix, time
+    index, sequence length and targets."""
+    return _model_ready(spark, sf_dir)[0]
+
+
+def _places(field: str):
+    return F.transform(F.col(field), lambda v, i: F.struct(F.lit(field).alias("field"), i.alias("position"),
+                                                           v.cast("double").alias("value")))
+
+
+@query("model_ready_fields")
+def model_ready_fields(spark, sf_dir):
+    """S9 exploded: every slot of the static vector and the time index, the
+    length and the four targets of every model-ready row."""
+    m, _ = _model_ready(spark, sf_dir)
+    single = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(0).alias("position"), F.col(c).cast("double").alias("value"))
+                       for c in ("sequence_length", *ex.TARGETS)])
+    out = m.select("patient_id", "split", F.inline(F.concat(_places("static"), _places("time_index"), single)))
+    return out.withColumn("value", F.round("value", 4))
+
+
+@query("model_ready_cells")
+def model_ready_cells(spark, sf_dir):
+    """S9 exploded: the shape of every temporal matrix and each of its cells that
+    differs from the scaled value of an empty cell."""
+    m, params = _model_ready(spark, sf_dir)
+    empty = F.array(*[F.lit(-mean / std) for _, (mean, std) in sorted(params.items())])
+    rows = m.select("patient_id", F.size("temporal").alias("hours"), F.posexplode("temporal").alias("hour_idx", "_row"))
+    cells = rows.select("patient_id", "hours", F.size("_row").alias("channels"), "hour_idx", F.posexplode("_row").alias("ch", "v"))
+    cells = cells.where(F.abs(F.col("v").cast("double") - F.element_at(empty, F.col("ch") + 1)) > 1e-5)
+    return cells.select("patient_id", "hours", "channels", "hour_idx", "ch", F.round(F.col("v").cast("double"), 3).alias("value"))
 
 
 @query("batch_assembly")
 def batch_assembly(spark, sf_dir):
-    """Model-ready rows grouped into batches of 32 per split."""
-    return ex.batches(_model_ready(spark, sf_dir).select("patient_id", "split", "static", "sequence_length",
-                                                         "mortality_risk", "length_of_stay"), 32)
+    """Model-ready rows, every field, grouped into batches of 32 per split."""
+    return ex.batches(_model_ready(spark, sf_dir)[0], 32)
+
+
+@query("batch_members")
+def batch_members(spark, sf_dir):
+    """S10 exploded: the members of every batch in order, with their scalar fields
+    and the sizes of their arrays."""
+    b = ex.batches(_model_ready(spark, sf_dir)[0], 32)
+    scalars = ("patient_id", "sequence_length", *ex.TARGETS)
+    sizes = [F.transform(c, F.size).alias(f"{c}_size") for c in ("static", "temporal", "time_index")]
+    x = b.select("split", "batch_id", "batch_len", F.posexplode(F.arrays_zip(*[F.col(c) for c in scalars], *sizes)).alias("position", "m"))
+    return x.select("split", "batch_id", "batch_len", "position", "m.patient_id", "m.sequence_length",
+                    *[F.round(F.col(f"m.{t}").cast("double"), 4).alias(t) for t in ex.TARGETS],
+                    *[F.col(f"m.{c}_size").alias(f"{c}_size") for c in ("static", "temporal", "time_index")])
