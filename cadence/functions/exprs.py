@@ -48,9 +48,6 @@ def round6(c) -> Column:
     return F.round(col(c).cast("double"), 6)
 
 
-def hours_between(start, end) -> Column:
-    return micros_between(start, end) / F.lit(float(HOUR_US))
-
 
 def hours_6dp(micros) -> Column:
     """Elapsed hours rounded half-up to 6 decimals in integer arithmetic

@@ -70,11 +70,6 @@ def any_keyword(desc: Column, keywords, mode: str = "regex") -> Column:
     return F.coalesce(m, F.lit(False))
 
 
-def type_match(desc: Column, vocab: Vocab, type_name: str) -> Column:
-    kws = dict(vocab.types)[type_name]
-    return any_keyword(desc, kws, vocab.mode)
-
-
 # ---------------------------------------------------------------------------
 # These must equal the reference's keyword lists exactly, in
 # their original order (order is semantic, see module doc).
@@ -103,6 +98,10 @@ TIMELINE_LABS = Vocab.of("timeline_laboratory_values", [
     ("c_reactive_protein", ["c-reactive protein", "crp"]),
 ])
 
+# The same list with the one- and two-letter symbols as whole words only.
+TIMELINE_LABS_STRICT = Vocab("timeline_laboratory_values_strict", tuple(
+    (name, tuple({"na": r"\bna\b", "k": r"\bk\b"}.get(k, k) for k in kws)) for name, kws in TIMELINE_LABS.types), TIMELINE_LABS.mode)
+
 TIMELINE_MEDICATIONS = Vocab.of("timeline_medications", [
     ("remdesivir", ["remdesivir"]),
     ("dexamethasone", ["dexamethasone"]),
@@ -135,14 +134,7 @@ COMORBIDITIES = Vocab.of("feature_comorbidities", [
     ("heart_disease", ["heart disease", "cardiovascular"]),
 ])
 
-FEATURE_VITALS = Vocab.of("feature_vital_signs", [
-    ("temperature", ["temperature", "temp"]),
-    ("heart_rate", ["heart rate", "pulse"]),
-    ("blood_pressure_systolic", ["systolic", "bp systolic"]),
-    ("blood_pressure_diastolic", ["diastolic", "bp diastolic"]),
-    ("oxygen_saturation", ["oxygen saturation", "o2 sat"]),
-    ("respiratory_rate", ["respiratory rate", "resp rate"]),
-])
+FEATURE_VITALS = Vocab("feature_vital_signs", TIMELINE_VITALS.types, TIMELINE_VITALS.mode)
 
 FEATURE_LABS = Vocab.of("feature_laboratory_values", [
     ("crp", ["crp", "c-reactive protein"]),
@@ -213,6 +205,3 @@ TEMPORAL_CATEGORIES = (
     ("devices", FEATURE_DEVICES),
 )
 
-
-def temporal_channel_names() -> list[str]:
-    return [t for _, v in TEMPORAL_CATEGORIES for t in v.type_names]

@@ -33,19 +33,13 @@ def restrict(table: DataFrame, cohort: DataFrame) -> DataFrame:
     return table.join(cohort.select("patient_id"), "patient_id", "left_semi")
 
 
-def patient_rows(table: DataFrame, patient_id) -> DataFrame:
-    """S3 for one patient: a pushed-down equality filter."""
-    return table.where(F.col("patient_id") == F.lit(patient_id))
-
-
 def cohort_sample(cohort: DataFrame, start: int = 0, size: int | None = None) -> DataFrame:
     """The ``[start, start + size)`` slice of the cohort in id order
-    (deterministic, unlike slicing an unordered set). ``size=None`` keeps
-    everything from ``start`` on. Positions come from the distributed rank,
-    so neither a large offset nor an open-ended slice funnels the cohort
-    through one task."""
-    r = ranked(cohort.select("patient_id"), [], ["patient_id"], "_pos")
-    keep = F.col("_pos") > start
+    (deterministic, unlike slicing an unordered set). A bounded slice is an
+    ordered top-k (each task sends at most ``start + size`` ids);
+    ``size=None`` keeps everything from ``start`` on, by the distributed rank,
+    so no task gets the whole cohort."""
+    ids = cohort.select("patient_id")
     if size is not None:
-        keep = keep & (F.col("_pos") <= start + size)
-    return r.where(keep).select("patient_id")
+        return ids.orderBy("patient_id").limit(start + size).offset(start)
+    return ranked(ids, [], ["patient_id"], "_pos").where(F.col("_pos") > start).select("patient_id")

@@ -69,27 +69,21 @@ def comorbidity_flags(patients: DataFrame, conditions: DataFrame, vocab: Vocab =
     return out.select("patient_id", *[F.coalesce(F.col(t), F.lit(0.0)).alias(t) for t in vocab.type_names])
 
 
-def socioeconomic(patients: DataFrame) -> DataFrame:
-    """placeholder constants."""
-    return patients.select("patient_id", F.lit(HEALTHCARE_COVERAGE).alias("healthcare_coverage"),
-                           F.lit(INCOME_LEVEL).alias("income_level"))
-
-
 def age_group(age) -> F.Column:
     """<18 -> 0, <50 -> 1, <65 -> 2, else 3."""
     return (F.when(age < 18, 0.0).when(age < 50, 1.0).when(age < 65, 2.0).otherwise(3.0))
 
 
+def _derived_columns(names) -> list[F.Column]:
+    """F2-F4 from ``age`` and the comorbidity flag columns."""
+    cnt = reduce(lambda a, b: a + b, [F.col(n) for n in names])
+    return [F.when(F.col("age") > 65, 1.0).otherwise(0.0).alias("age_risk"), age_group(F.col("age")).alias("age_group"),
+            cnt.alias("comorbidity_count"), F.when(cnt >= 2, 1.0).otherwise(0.0).alias("high_comorbidity")]
+
+
 def derived(static: DataFrame, comorbidity_names=None) -> DataFrame:
     """F2-F4 on a frame with ``age`` and the comorbidity flag columns."""
-    names = list(comorbidity_names or COMORBIDITIES.type_names)
-    cnt = reduce(lambda a, b: a + b, [F.col(n) for n in names])
-    return static.select(
-        "patient_id",
-        F.when(F.col("age") > 65, 1.0).otherwise(0.0).alias("age_risk"),
-        age_group(F.col("age")).alias("age_group"),
-        cnt.alias("comorbidity_count"),
-        F.when(cnt >= 2, 1.0).otherwise(0.0).alias("high_comorbidity"))
+    return static.select("patient_id", *_derived_columns(comorbidity_names or COMORBIDITIES.type_names))
 
 
 def static_features(patients: DataFrame, conditions: DataFrame, vocab: Vocab = COMORBIDITIES,
@@ -111,11 +105,7 @@ def static_features(patients: DataFrame, conditions: DataFrame, vocab: Vocab = C
     x = base.join(flags, "patient_id", "left").select(
         "patient_id", "age", "gender", "race", "ethnicity",
         *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in slot_names], "healthcare_coverage", "income_level")
-    cnt = reduce(lambda a, b: a + b, [F.col(n) for n in slot_names])
-    return x.select(
-        "*", F.when(F.col("age") > 65, 1.0).otherwise(0.0).alias("age_risk"), age_group(F.col("age")).alias("age_group"),
-        cnt.alias("comorbidity_count"), F.when(cnt >= 2, 1.0).otherwise(0.0).alias("high_comorbidity")) \
-        .select("patient_id", *STATIC_FEATURES)
+    return x.select("*", *_derived_columns(slot_names)).select("patient_id", *STATIC_FEATURES)
 
 
 def fit_standard_scaler(train: DataFrame, cols=SCALED_STATIC) -> DataFrame:

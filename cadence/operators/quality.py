@@ -167,30 +167,32 @@ def patient_issues(missing: DataFrame, consistency: DataFrame, outliers_per_pati
     has no fatal issue. Date warnings are emitted (D15). With ``patients`` and
     ``seen_ids`` (ids found in any table), ids without a patients row are
     reported too."""
-    parts = [
-        n_observations.where(F.col("n_obs") == 0).select("patient_id", F.lit("no_observations").alias("code"),
-                                                        F.lit("No observations data").alias("detail")),
-        consistency.where((F.col("n_valid") == 0) & (F.col("n_obs_rows") > 0)).select(
-            "patient_id", F.lit("no_valid_dates").alias("code"), F.lit("No valid dates found").alias("detail")),
-        consistency.where(F.col("n_future") > 0).select(
-            "patient_id", F.lit("future_dates").alias("code"),
-            F.format_string("Future dates detected: %d observations", F.col("n_future")).alias("detail")),
-        consistency.where(F.col("long_period")).select(
-            "patient_id", F.lit("long_period").alias("code"), F.lit("Unusually long observation period").alias("detail")),
-        missing.where(~F.col("is_valid")).select(
-            "patient_id", F.lit("high_missing").alias("code"),
-            F.format_string("Very high missing values: %.2f%%", F.col("missing_share") * 100).alias("detail")),
-    ]
+    wide = n_observations.select("patient_id", "n_obs").join(
+        consistency.select("patient_id", "n_valid", "n_future", "long_period", "n_obs_rows"), "patient_id", "full").join(
+        missing.select("patient_id", "is_valid", "missing_share"), "patient_id", "full")
+    lost = F.lit(False)
     if patients is not None and seen_ids is not None:
-        parts.append(seen_ids.select("patient_id").distinct().join(patients.select("patient_id"), "patient_id",
-                                                                  "left_anti").select(
-            "patient_id", F.lit("missing_patients_row").alias("code"),
-            F.lit("Missing required tables: ['patients']").alias("detail")))
+        wide = wide.join(seen_ids.select("patient_id").distinct().withColumn("_seen", F.lit(True)), "patient_id", "full").join(
+            patients.select("patient_id").distinct().withColumn("_known", F.lit(True)), "patient_id", "full")
+        lost = F.col("_seen").isNotNull() & F.col("_known").isNull()
+    outliers = F.lit(None).cast("long")
     if outliers_per_patient is not None:
-        parts.append(outliers_per_patient.where(F.col("n_outliers") > 0).select(
-            "patient_id", F.lit("outliers").alias("code"),
-            F.format_string("Outliers detected: %d values", F.col("n_outliers")).alias("detail")))
-    out = reduce(DataFrame.unionByName, parts)
+        wide = wide.join(outliers_per_patient.select("patient_id", "n_outliers"), "patient_id", "full")
+        outliers = F.col("n_outliers")
+    rules = [  # each input is read once: one wide row per patient, one issue per rule that holds
+        ("no_observations", F.col("n_obs") == 0, F.lit("No observations data")),
+        ("no_valid_dates", (F.col("n_valid") == 0) & (F.col("n_obs_rows") > 0), F.lit("No valid dates found")),
+        ("future_dates", F.col("n_future") > 0,
+         F.format_string("Future dates detected: %d observations", F.col("n_future"))),
+        ("long_period", F.col("long_period"), F.lit("Unusually long observation period")),
+        ("high_missing", ~F.col("is_valid"),
+         F.format_string("Very high missing values: %.2f%%", F.col("missing_share") * 100)),
+        ("missing_patients_row", lost, F.lit("Missing required tables: ['patients']")),
+        ("outliers", outliers > 0, F.format_string("Outliers detected: %d values", outliers)),
+    ]
+    found = F.filter(F.array(*[F.when(holds, F.struct(F.lit(code).alias("code"), text.alias("detail")))
+                               for code, holds, text in rules]), lambda x: x.isNotNull())
+    out = wide.select("patient_id", F.inline(found))
     return out.withColumn("fatal", F.col("code") == "high_missing")
 
 

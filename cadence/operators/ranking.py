@@ -20,27 +20,54 @@ task:
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Session setting: partitions that a ranking pass deals its rows to. Set it so that
+#: the ranked rows of one partition take about 128 MB; default: the shuffle partitions.
+RANK_PARTITIONS = "spark.cadence.rank.partitions"
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def materialized_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables materialised inside the block are deleted when it ends: put the
+    consumer of a query (its write or collect) inside. Outside any scope they
+    stay until the checkpoint folder's retention removes them."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialize(df: DataFrame, name: str = "cadence") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder
     (``spark.checkpoint.dir``) and read it back: a lineage cut that survives
-    executor loss and makes non-deterministic tags (partition ids) stable."""
+    executor loss and makes non-deterministic tags (partition ids) stable.
+    See ``materialized_scope`` for when it is deleted."""
     base = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{base.rstrip('/')}/cadence-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
 def _target_partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conf = df.sparkSession.conf
+    return int(conf.get(RANK_PARTITIONS, None) or conf.get("spark.sql.shuffle.partitions"))
 
 
 def _tagged(df: DataFrame, by: list[str], order: list, n: int | None) -> DataFrame:

@@ -800,3 +800,18 @@ SELECT split, rn // 32 AS batch_id, CAST(count(*) OVER (PARTITION BY split, rn /
                       for c in ("mortality_risk", "icu_admission", "ventilator_need", "length_of_stay")) + """,
        15 AS static_size, 720 AS temporal_size, 720 AS time_index_size
 FROM r JOIN tg USING (patient_id)"""
+
+ORACLE["feature_catalogue"] = _with(_PATIENTS) + """
+SELECT k.kind, CAST(k.position AS INTEGER) AS position, k.name, round(CASE k.name """ + " ".join(
+    f"WHEN '{c}' THEN (SELECT avg({c}) FROM stat)" for c in _ALL_STATIC) + """ ELSE 0.0 END, 6) AS mean
+FROM (VALUES """ + ", ".join([f"('static', {i}, '{c}')" for i, c in enumerate(_ALL_STATIC)] + [
+    f"('temporal', {i}, '{c}')" for i, c in enumerate(
+        ["vital_signs:" + t for t in ("temperature", "heart_rate", "blood_pressure_systolic", "blood_pressure_diastolic",
+                                      "oxygen_saturation", "respiratory_rate")]
+        + ["laboratory_values:" + t for t in ("crp", "d_dimer", "white_blood_cells", "platelets", "lymphocytes", "neutrophils",
+                                              "creatinine", "troponin")]
+        + ["medications:" + t for t in ("remdesivir", "dexamethasone", "tocilizumab", "supportive_care", "anticoagulants")]
+        + ["procedures:" + t for t in ("intubation", "mechanical_ventilation", "diagnostic_tests", "imaging_studies")]
+        + ["devices:" + t for t in ("ventilator_settings", "monitoring_equipment", "life_support")])] + [
+    f"('target', {i}, '{c}')" for i, c in enumerate(("mortality_risk", "icu_admission", "ventilator_need", "length_of_stay"))]) + """
+) AS k(kind, position, name)"""

@@ -424,6 +424,8 @@ def dtype_profile(spark, sf_dir):
 def patient_issues(spark, sf_dir):
     """Q4: long issue list per customer (orders as observations)."""
     roles, tabs = _quality_tables(spark, sf_dir)
+    roles = roles.with_(patients=checkpointed(roles.patients))  # read by every part
+    tabs["patients"] = roles.patients
     miss = qa.missing_by_patient(tabs, roles.patients)
     cons = qa.temporal_consistency(roles.observations, roles.patients, AS_OF)
     n_obs = roles.patients.select("patient_id").join(
@@ -466,6 +468,16 @@ def dataset_summary(spark, sf_dir):
                             _cohort(spark, sf_dir))
 
 
+@query("feature_catalogue")
+def feature_catalogue(spark, sf_dir):
+    """The catalogue with, per static feature, its mean over all customers."""
+    roles = bd.order_roles(spark, sf_dir)
+    st = fe.static_features(roles.patients, roles.conditions, bd.ORDER_COMORBIDITIES)
+    means = st.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v"))
+                                         for c in STATIC_FEATURES]))).groupBy("name").agg(F.avg("v").alias("mean"))
+    return _r(ex.feature_catalogue(spark).join(means, "name", "left").na.fill(0.0, ["mean"]), "mean")
+
+
 @query("patient_metadata")
 def patient_metadata(spark, sf_dir):
     """F14."""
@@ -585,7 +597,7 @@ def overall_metrics(spark, sf_dir):
 def interpretation(spark, sf_dir):
     """E14."""
     p = bd.predictions(spark, sf_dir)
-    return me.interpretation(me.binary_metrics(p), me.regression_metrics(p))
+    return me.interpretation(checkpointed(me.binary_metrics(p)), me.regression_metrics(p))  # three rows, read twice
 
 
 @query("metric_summary")

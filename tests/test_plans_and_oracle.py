@@ -35,7 +35,10 @@ def test_scan_prunes_columns(spark):
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["patient_id", "channel", "mean", "std", "max", "trend"]
-    assert df.count() >= 0
+    rows = df.collect()
+    channels = {r["channel"] for r in rows}
+    assert len(channels) == 5 and len(rows) == 5 * len({r["patient_id"] for r in rows}) > 0
+    assert all(r["std"] >= 0 and r["max"] >= r["mean"] for r in rows if r["max"] >= 0)
 
 
 def _norm(rows):
@@ -73,3 +76,29 @@ def test_oracle(spark, duck, name):
     idx = [names.index(c) for c in cols]
     exp = _norm(tuple(r[i] for i in idx) for r in res.fetchall())
     assert got == exp
+
+
+def test_materialized_tables_end_with_their_scope(spark):
+    import os
+    from cadence.operators.ranking import materialized_scope, ranked
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(base))
+    with materialized_scope(spark):
+        rows = ranked(spark.range(100).withColumnRenamed("id", "x"), [], ["x"]).collect()
+        assert set(os.listdir(base)) - before
+    assert [r["rn"] for r in sorted(rows)] == list(range(1, 101)) and set(os.listdir(base)) == before
+
+
+def test_strict_labs_match_whole_symbols(spark):
+    from pyspark.sql import functions as F
+    from cadence.functions.vocab import TIMELINE_LABS, TIMELINE_LABS_STRICT, any_keyword
+    df = spark.createDataFrame([("click",), ("K [Moles/volume]",), ("Na serum",), ("nausea",)], "d string")
+    hits = lambda v: [r["h"] for r in df.select(any_keyword(F.col("d"), v.all_keywords(), v.mode).alias("h")).collect()]
+    assert hits(TIMELINE_LABS) == [True, True, True, True] and hits(TIMELINE_LABS_STRICT) == [False, True, True, False]
+
+
+def test_cohort_slices(spark):
+    from cadence.operators.cohort import cohort_sample
+    ids = spark.createDataFrame([(i,) for i in (5, 3, 9, 1, 7)], "patient_id long")
+    assert [r[0] for r in cohort_sample(ids, 1, 2).collect()] == [3, 5]
+    assert sorted(r[0] for r in cohort_sample(ids, 3).collect()) == [7, 9] and cohort_sample(ids, 9, 2).count() == 0
