@@ -70,7 +70,7 @@ def test_rest_imports_without_the_package(tmp_path):
             "class Gone:\n"
             "    def find_spec(self, name, path=None, target=None):\n"
             "        if name.startswith('cadence.llm') or name == 'corpus_pipeline':\n"
-            "            raise ModuleNotFoundError(name)\n"
+            "            raise ModuleNotFoundError(name, name=name)\n"
             "sys.meta_path.insert(0, Gone())\n"
             "import __spark_entry__ as e\n"
             "assert e.queries() and not any(k.startswith('op') for k in e.queries() if k[2:3].isdigit())\n"
