@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..operators import ranking
 
 #: Rows in one Arrow batch; with whole texts a batch stays a few MB.
 ARROW_ROWS = 1000
@@ -29,9 +29,7 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def materialize(df: DataFrame, name: str = "llm") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return ranking.materialize(df, name)
 
 
 def free_name(columns: list[str], name: str) -> str:
@@ -50,6 +48,26 @@ def collect_bounded(df: DataFrame, bound: int, what: str) -> list:
     return rows
 
 
+def most_frequent(counts: DataFrame, key: str, times: str, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (longs) and counts of the most frequent rows, at most ``bound`` of them.
+
+    The cut is made between classes of counts (eight for each power of two), found from the sizes of the
+    classes; so neither tasks nor the driver ever hold more than the list itself.
+    """
+    level = F.floor(F.log2(F.col(times)) * 8)
+    sizes = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
+    held, cut = 0, None
+    for at, n in sizes:
+        held += n
+        if held > bound:
+            break
+        cut = at
+    if cut is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    found = counts.filter(level >= cut).select(F.col(key).cast("long"), F.col(times).cast("long")).toArrow()
+    return found.column(0).to_numpy(), found.column(1).to_numpy()
+
+
 def code_point_offsets(data: bytes, at: np.ndarray) -> np.ndarray:
     """Code point offsets of the byte offsets ``at`` in UTF-8 ``data``."""
     if data.isascii():

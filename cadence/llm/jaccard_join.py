@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import map_batches, materialize, most_frequent
 from .graph import components, local_components
 from .shingles import WORDS, shingle_sets, spread
 from .url_filter import possible_hits
@@ -421,10 +421,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = told.filter("not common")
     total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = max(32, total[0] // 2000)
-    common = (told.filter("common").groupBy("rid").agg(F.sum("n").alias("times")).filter(F.col("times") >= least)
-              .orderBy(F.desc("times"), "rid").limit(max_frequent).collect())
-    keys = np.array([r["rid"] for r in common], np.int64).view(np.uint64)
-    parts = np.array([-(-r["times"] // cell_rows) for r in common], np.int64)
+    common = told.filter("common").groupBy("rid").agg(F.sum("n").alias("times")).filter(F.col("times") >= least)
+    keys, times = most_frequent(common, "rid", "times", max_frequent)
+    keys, parts = keys.view(np.uint64), -(-times // cell_rows)
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], parts[order]))
 

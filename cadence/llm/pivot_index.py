@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import map_batches, materialize, most_frequent
 from .graph import components, local_components
 from .jaccard_join import _groups as groups_of
 
@@ -40,7 +40,7 @@ LIST = 6
 MAX_PIVOTS = 4096
 PIVOT_COSINE = 0.5
 CELL_ROWS = 1024
-#: Longest lists whose blocks are known to all tasks; any other list has at most a 1/MAX_HOT share of the index.
+#: Longest lists whose blocks are known to all tasks; any other list has about a 1/MAX_HOT share of the index at most.
 MAX_HOT = 100_000
 
 
@@ -189,8 +189,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
     given = classes.select("rid", "v", "weight")
     lists = map_batches(given, _index(pivots, None, False), "list long").groupBy("list").count()
-    hot = lists.filter(F.col("count") > CELL_ROWS).orderBy(F.desc("count"), "list").limit(MAX_HOT).collect()
-    parts = spark.sparkContext.broadcast({r["list"]: -(-r["count"] // CELL_ROWS) for r in hot})
+    hot, sizes = most_frequent(lists.filter(F.col("count") > CELL_ROWS), "list", "count", MAX_HOT)
+    parts = spark.sparkContext.broadcast(dict(zip(hot.tolist(), (-(-sizes // CELL_ROWS)).tolist())))
     index = map_batches(given, _index(pivots, parts, True),
                         "list long, low long, high long, salt long, rid long, weight long, tops binary, vector binary")
     shuffles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 10_000))

@@ -351,3 +351,12 @@ def test_html_edges(spark):
     assert got[6] == "T & t\na b c d\nx\ny\ntail é <p>"
     assert got[7].count("\n") == 2999
     assert hx.extract(df.limit(0)).count() == 0
+
+
+def test_most_frequent_is_bounded_and_ordered(spark):
+    from cadence.llm.common import most_frequent
+    df = spark.createDataFrame([(i, 2 ** (i % 10)) for i in range(1000)], "k long, n long")
+    keys, times = most_frequent(df, "k", "n", 250)
+    assert len(keys) == 200 and set(times.tolist()) == {256, 512}
+    assert len(most_frequent(df, "k", "n", 50)[0]) == 0 and len(most_frequent(df, "k", "n", 10_000)[0]) == 1000
+    assert len(most_frequent(df.limit(0), "k", "n", 5)[0]) == 0
