@@ -147,21 +147,27 @@ def overall_metrics(binary: DataFrame) -> DataFrame:
                  F.avg(F.when(clinical, F.col("auroc"))).alias("clinical_composite_score"))
 
 
+# The reference's sentences after the grade.
+INTERPRETATION = {"mortality_risk": " discrimination for mortality risk prediction",
+                  "icu_admission": " discrimination for ICU admission prediction",
+                  "length_of_stay": " length of stay prediction accuracy"}
+
+
 def interpretation(binary: DataFrame, regression: DataFrame) -> DataFrame:
     """Threshold text per task."""
     auc = F.col("auroc")
     mort = binary.where(F.col("task") == "mortality_risk").select(
         "task", F.when(auc >= 0.9, "Excellent").when(auc >= 0.8, "Good").when(auc >= 0.7, "Fair").otherwise("Poor")
         .alias("_g"))
-    mort = mort.select("task", F.concat(F.col("_g"), F.lit(" discrimination for mortality risk prediction"))
+    mort = mort.select("task", F.concat(F.col("_g"), F.lit(INTERPRETATION["mortality_risk"]))
                        .alias("interpretation"))
     icu = binary.where(F.col("task") == "icu_admission").select(
         "task", F.concat(F.when(auc >= 0.85, "Excellent").when(auc >= 0.75, "Good").otherwise("Fair"),
-                         F.lit(" discrimination for ICU admission prediction")).alias("interpretation"))
+                         F.lit(INTERPRETATION["icu_admission"])).alias("interpretation"))
     mae, w24 = F.col("mae"), F.coalesce(F.col("within_24h"), F.lit(0.0))
     los = regression.select(
         "task", F.concat(F.when((mae <= 24) & (w24 >= 0.8), "Excellent").when((mae <= 48) & (w24 >= 0.6), "Good")
-                         .otherwise("Fair"), F.lit(" length of stay prediction accuracy")).alias("interpretation"))
+                         .otherwise("Fair"), F.lit(INTERPRETATION["length_of_stay"])).alias("interpretation"))
     return reduce(DataFrame.unionByName, [mort, icu, los])
 
 

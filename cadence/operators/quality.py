@@ -212,18 +212,23 @@ def quality_summary(per_patient: DataFrame) -> DataFrame:
         avg_valid("temporal_coverage").alias("temporal_coverage"))
 
 
+# The reference's sentences, in the order of its rules.
+RECOMMENDATIONS = ("Review and clean data for %d invalid patients",
+                   "Consider collecting more patient data for robust model training",
+                   "Implement data imputation strategies for missing values",
+                   "Ensure adequate temporal coverage for all patients")
+
+
 def recommendations(summary: DataFrame, min_patients: int = 100, min_completeness: float = 0.8,
                     min_coverage: float = 0.5) -> DataFrame:
-    """Q8: threshold rules over the Q5 row, one recommendation per row. The
-    sentences are fixed values (they equal the reference's output)."""
+    """Q8: threshold rules over the Q5 row, one recommendation per row."""
     recs = F.array(
-        F.when(F.col("invalid_patients") > 0, F.format_string(
-            "Review and clean data for %d invalid patients", F.col("invalid_patients"))),
-        F.when(F.col("valid_patients") < min_patients, F.lit("Consider collecting more patient data for robust model training")),
+        F.when(F.col("invalid_patients") > 0, F.format_string(RECOMMENDATIONS[0], F.col("invalid_patients"))),
+        F.when(F.col("valid_patients") < min_patients, F.lit(RECOMMENDATIONS[1])),
         F.when(F.coalesce(F.col("data_completeness"), F.lit(1.0)) < min_completeness,
-               F.lit("Implement data imputation strategies for missing values")),
+               F.lit(RECOMMENDATIONS[2])),
         F.when(F.coalesce(F.col("temporal_coverage"), F.lit(1.0)) < min_coverage,
-               F.lit("Ensure adequate temporal coverage for all patients")))
+               F.lit(RECOMMENDATIONS[3])))
     return summary.select(F.posexplode(F.filter(recs, lambda r: r.isNotNull())).alias("rank", "recommendation"))
 
 
