@@ -91,24 +91,26 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
     def celled(df: DataFrame) -> DataFrame:
-        return df.withColumns({"place": place, "cls": size_class(F.col("size"))}).withColumn(
+        # The key is never null, so the window and the join below share one exchange of the rows.
+        key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
+        return df.withColumns({"key": key, "place": place, "cls": size_class(F.col("size"))}).withColumn(
             "cell", F.substring("place", 1, digits))
 
-    cells = celled(slim).groupBy("source", "cls", "cell").agg(F.count(F.lit(1)).alias("rows_in"))
-    ahead = Window.partitionBy("source").orderBy("cls", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = celled(slim).groupBy("key", "source", "cls", "cell").agg(F.count(F.lit(1)).alias("rows_in"))
+    ahead = Window.partitionBy("key").orderBy("cls", "cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("ahead", F.coalesce(F.sum("rows_in").over(ahead), F.lit(0)))
     goal = targets(slim, weights, max_repeats)
     cells = cells.join(goal, cells.source.eqNullSafe(goal.source), "left").select(
-        cells.source, "cls", "cell", "ahead", "source_size", "target")
+        "key", "cls", "cell", "ahead", "source_size", "target")
     own = celled(rows if carry else slim)
     own = own.withColumn("nth", F.row_number().over(
-        Window.partitionBy("source", "cls", "cell").orderBy("place", "doc_id")) - 1)
-    found = own.join(cells, own.source.eqNullSafe(cells.source) & (own.cls == cells.cls) & (own.cell == cells.cell), "left")
+        Window.partitionBy("key", "cls", "cell").orderBy("place", "doc_id")) - 1)
+    found = own.join(cells, ["key", "cls", "cell"], "left")
     rank = F.col("ahead") + F.col("nth")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.coalesce(own.source, F.lit(""))), 1, 5), 16, 10).cast("double") / 2**20
+    offset = F.conv(F.substring(F.md5(F.coalesce("source", F.lit(""))), 1, 5), 16, 10).cast("double") / 2**20
     copies = F.floor(offset + rate * (rank + 1)) - F.floor(offset + rate * rank)
-    return found.select("doc_id", own.source.alias("source"), "size", "source_size", "target",
+    return found.select("doc_id", "source", "size", "source_size", "target",
                         copies.cast("long").alias("copies"), *(["row"] if carry else []))
 
 
