@@ -12,18 +12,25 @@ from pyspark.sql import types as T
 
 from ..operators import ranking
 
-#: Rows in one Arrow batch; with whole texts a batch stays a few MB.
-ARROW_ROWS = 1000
+#: Most rows, and bytes before another row is added, in one Arrow batch: a task holds few texts at once,
+#: and a batch of very long ones few or one.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that tasks exchange with Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with small batches, so that a task holds few texts at once."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """``mapInArrow`` with bounded batches."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

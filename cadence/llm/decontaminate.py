@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_point_offsets, map_batches
+from .common import code_point_offsets, map_batches, small_batches
 
 WINDOW = 10
 MAX_ITEM_BYTES = 64 << 20
@@ -201,6 +201,7 @@ def _hit_udf(items, window: int):
 def is_contaminated(items: DataFrame, text: Column, *, item_col: str = "item_id", item_text_col: str = "text",
                     window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> Column:
     """Whether any window of any item occurs in a text; false for null texts."""
+    small_batches(items.sparkSession)
     out = F.lit(False)
     for sent in _item_parts(items, item_col, item_text_col, max_item_bytes):
         out = out | _hit_udf(sent, window)(text.cast("string"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, map_batches
+from .common import map_batches, small_batches
 
 # Element names of HTML by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
@@ -332,7 +332,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", out: str = "text") -> D
     """``pages`` and the main text of each."""
     spark = pages.sparkSession
     sent = spark.sparkContext.broadcast(train(pages, html_col))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    small_batches(spark)
 
     @F.pandas_udf("string")
     def text(html: pd.Series) -> pd.Series:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, collect_bounded, map_batches
+from .common import collect_bounded, map_batches, small_batches
 
 BITS = 14
 DIM = 1 << BITS
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 def with_language(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` and a struct ``out`` of ``lang_pred, score``."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialize
+from .common import free_name, materialize, small_batches
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -82,6 +82,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         carry: bool = False) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` per document, and with ``carry`` a struct
     ``row`` of all input columns."""
+    small_batches(docs.sparkSession)
     kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                        word_count(F.col(text_col).cast("string")).alias("size"), *kept)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, map_batches, materialize
+from .common import map_batches, materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -325,7 +325,7 @@ def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 def masked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced by kinds."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    small_batches(spark)
     factors = spark.sparkContext.broadcast(train(read_nodes(docs, id_col, text_col)))
 
     @F.pandas_udf("string")
