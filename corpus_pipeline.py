@@ -21,6 +21,8 @@ from cadence.llm.mixing import emit, mix
 
 #: A document stays if some language has at least this calibrated probability.
 MIN_LANGUAGE_SCORE = 0.3
+#: Ids of dropped documents that are sent to every task (16 bytes each); more are joined in a shuffle.
+MAX_SENT_IDS = 4_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,16 +34,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; of rows with equal id and text, one."""
-    found = materialize(jaccard_components(docs), "groups")
+    """The document with the smallest id of each group of near copies; of rows with equal id and text, one.
+
+    The ids that go are sent to the tasks while there are at most ``MAX_SENT_IDS`` of them, so texts aren't
+    shuffled; beyond that they are joined by id.
+    """
+    found = jaccard_components(docs)
     ids = (found.filter("doc_id is not null").groupBy("doc_id")
            .agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("times")))
-    first = ids.filter("doc_id = least")
-    kept = docs.join(first.filter("times = 1").select("doc_id"), "doc_id", "left_semi")
-    again = materialize(first.filter("times > 1").select("doc_id"), "again")
+    changed = materialize(ids.filter("doc_id <> least or times > 1"), "changed")
+    gone = changed.select("doc_id")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= MAX_SENT_IDS else gone, "doc_id", "left_anti")
+    again = changed.filter("doc_id = least").select("doc_id")
     if not again.isEmpty():
         kept = kept.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    return kept.select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
