@@ -50,7 +50,7 @@ CELL_ROWS = 512
 BLOCK_SHINGLES = 1_000_000
 FANOUT = 8
 #: Bytes of bitmaps of pairs compared at once.
-PAIR_BYTES = 8 << 20
+PAIR_BYTES = 2 << 20
 
 
 def _i64(x: np.ndarray) -> pa.Array:

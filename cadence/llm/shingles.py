@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else 32 if 9 <= b <= 13 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240601).integers(0, 2**64, 256, dtype=np.uint64)
