@@ -13,8 +13,8 @@ give three p-values under "random symbols of that encoding", joined by Fisher's
 one score: low if the run looks random, high if it looks like language.
 
 What must be controlled is calling language a secret, so the score is turned into a p-value
-under "language": the letters and digits of all documents (the candidates cut out), cut into stretches
-of each class of length, are scored as a null. With the counts of these scores, a candidate's
+under "language": the letters and digits of all documents (the candidates and base kinds cut out), cut into
+stretches of each class of length, are scored as a null. With the counts of these scores, a candidate's
 p-value is the share of null stretches of its length class that look at least as random. Benjamini-Hochberg holds the share of false discoveries at ``fdr``, with weights by
 length class (long runs, on which the tests have power, get more of it; weights average 1
 over the candidates).
@@ -45,7 +45,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Whole runs; '=' belongs to one only as padding at its end.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 _OTHER = bytes(b for b in range(256) if not (chr(b).isascii() and chr(b).isalnum()))
 
 #: Alphabets in the order of their symbols' values.
@@ -145,13 +146,13 @@ def candidates(text: str) -> list[tuple[int, int, int, str, int]]:
     return found
 
 
-def letters_of(text: str, cut: list[tuple[int, int, int, str, int]]) -> bytes:
-    """The text's own ASCII letters and digits, candidates cut out."""
-    if cut:
+def letters_of(text: str, base: list[tuple[int, int, str]], tried: list[tuple[int, int, int, str, int]]) -> bytes:
+    """The text's own ASCII letters and digits, base spans and candidates (they may overlap) cut out."""
+    if base or tried:
         parts, at = [], 0
-        for s in cut:
-            parts.append(text[at:s[0]])
-            at = s[1]
+        for start, end in sorted(s[:2] for s in (*base, *tried)):
+            parts.append(text[at:start])
+            at = max(at, end)
         text = "".join([*parts, text[at:]])
     return text.encode("ascii", "ignore").translate(None, _OTHER)
 
@@ -186,13 +187,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest = b""  # letters that don't fill a cycle go with the next batch
     for b in batches:
         texts = [t or "" for t in b.column(1).to_pylist()]
+        base = [base_spans(t) for t in texts]
         tried = [candidates(t) for t in texts]
-        letters = b"".join([rest, *map(letters_of, texts, tried)])
+        letters = b"".join([rest, *map(letters_of, texts, base, tried)])
         rest = letters[len(letters) // sum(LENGTHS) * sum(LENGTHS):]
         null = null_counts(letters)
         language = [[(c, x, null[c, x]) for c, x in zip(*map(np.ndarray.tolist, np.nonzero(null)))]]
         yield pa.RecordBatch.from_arrays(  # the counts of the whole batch stand in its first row
-            [b.column(0), rows([base_spans(t) for t in texts], _SPAN), rows(tried, _TRIED),
+            [b.column(0), rows(base, _SPAN), rows(tried, _TRIED),
              rows(language + [[]] * (len(texts) - 1), _NULL)], names=["doc_id", "base", "tried", "language"])
 
 

@@ -110,6 +110,34 @@ def test_battery_tells_random_from_language(spark):
     assert secrets.cut_offs([], [], 0.01) == {}
 
 
+def test_battery_finds_values_of_names_beside_a_hot_source(spark):
+    rng = random.Random(4)
+    import string
+
+    def key(n):
+        return "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+
+    keys = [key(40) if i % 2 else key(32) for i in range(60)]
+    prose = ("the people of this house said that all the water in the old well had come from the hill and that "
+             "some more of it would be there at the end of the year if there was rain " * 8).split()
+    rows = []
+    for i in range(300):
+        rng.shuffle(prose)
+        if i < 60:
+            said = f"AWS_SECRET_ACCESS_KEY={keys[i]}" if i % 2 else f"GET /a?sig={keys[i]}&b=1"
+        else:
+            said = "\n".join(f"level=info token={key(40)} done" for _ in range(20))
+        rows.append((i, " ".join(prose) + " " + said))
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(clashing(spark, rows)).collect()}
+    found = sum(any(s["kind"] == "random" and rows[i][1][s["start"]:s["end"]] == keys[i] for s in got[i]) for i in range(60))
+    assert found >= 54
+    assert sum(s["kind"] == "random" for r in got.values() for s in r) == found
+    assert all(sum(s["kind"] == "assign" for s in got[i]) == 20 for i in range(60, 300))
+    a, b = "ab" * 10, "cd" * 12
+    runs = [f"{a}={b}"[s[0]:s[1]] for s in secrets.candidates(f"{a}={b}")]
+    assert runs == [a, b] and [s[1] for s in secrets.candidates(f"{a}== x={b}=")] == [22, 50]
+
+
 def test_random_p_values_are_uniform_enough():
     rng = np.random.default_rng(0)
     s = secrets.scores(rng.integers(0, 64, (4000, 64)), 64)
