@@ -1,6 +1,7 @@
 """Embedding near-duplicates with a pivot-permutation index.
 
-Every vector is described by its ``LIST`` nearest of ``P`` pivots in order. Vectors that share at least
+Every vector is described by its ``listed(P)`` nearest of ``P`` pivots in order: ``LIST``, and one more each
+time P doubles beyond ``LIST_PIVOTS``, since the chance to share two falls with P. Vectors that share at least
 two listed pivots are candidates: the inverted lists are kept per pair of pivots, so a list holds what
 shares two, and nothing that shares one alone is ever met. Candidates are verified by cosine in double
 precision; no link below the threshold is returned.
@@ -37,6 +38,7 @@ from .jaccard_join import _groups as groups_of
 
 THRESHOLD = 0.9
 LIST = 6
+LIST_PIVOTS = 128
 MAX_PIVOTS = 4096
 PIVOT_COSINE = 0.5
 CELL_ROWS = 1024
@@ -56,9 +58,14 @@ def choose_pivots(sample: list[list[float]], wanted: int) -> dict[int, np.ndarra
     return {d: np.array(own) for d, own in by.items()}
 
 
+def listed(pivots: int) -> int:
+    """How many of so many pivots a vector lists."""
+    return min(pivots, LIST + max(0, math.ceil(math.log2(max(1, pivots) / LIST_PIVOTS))))
+
+
 def nearest(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Numbers of the nearest pivots of unit vectors, in ascending order of number."""
-    k = min(LIST, len(pivots))
+    k = listed(len(pivots))
     near = -(vectors @ pivots.T)
     top = np.argpartition(near, k - 1, axis=1)[:, :k] if k < len(pivots) else np.tile(np.arange(k), (len(vectors), 1))
     return np.sort(top, axis=1)

@@ -184,6 +184,23 @@ def test_recall_on_links_near_the_threshold():
     assert (shared >= 2).mean() >= 0.95
 
 
+@pytest.mark.parametrize("dim", [64, 256])
+@pytest.mark.parametrize("wanted", [632, 2000, pivot_index.MAX_PIVOTS])
+def test_recall_at_the_threshold_with_many_pivots(dim, wanted):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=x.shape)
+    noise -= (noise * x).sum(axis=1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    y = 0.9 * x + math.sqrt(1 - 0.9**2) * noise
+    pivots = pivot_index.choose_pivots(rng.normal(size=(wanted * 5 // 4, dim)).tolist(), wanted)[dim]
+    assert len(pivots) == wanted
+    a, b = pivot_index.nearest(x, pivots), pivot_index.nearest(y, pivots)
+    shared = np.array([len(np.intersect1d(p, q)) for p, q in zip(a, b)])
+    assert (shared >= 2).mean() >= 0.96
+
+
 # ------------------------------------------------------------------ URLs
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
