@@ -45,6 +45,8 @@ SELECT task, metric, round(max(v) FILTER (WHERE rep = 0), 6) AS estimate,
        round(quantile_cont(v, 0.975) FILTER (WHERE rep > 0), 6) AS high
 FROM m GROUP BY task, metric"""
 
+ORACLE["bootstrap_intervals_full"] = ORACLE["bootstrap_intervals"].replace("range(0, 101)", "range(0, 1001)")
+
 ORACLE["multiple_testing"] = _with(_PREDS, """
 c AS (SELECT task, lang AS value, count(*) AS n, sum(CASE WHEN target > 0.5 THEN 1 ELSE 0 END) AS pos
       FROM preds p JOIN documents d ON d.doc_id = p.patient_id WHERE task <> 'length_of_stay' GROUP BY 1, 2),

@@ -46,6 +46,15 @@ def test_bootstrap_interval_holds_the_estimate(spark):
         assert r["low"] <= r["estimate"] <= r["high"] and r["high"] - r["low"] < 0.3
 
 
+def test_registered_bootstrap_draws_the_declared_samples(spark):
+    import __spark_entry__ as entry
+    from cadence.plans.declared import _binary
+    sf = "/root/testdata/sf0.001"
+    rows = lambda df: sorted((r["task"], r["metric"], round(r["low"], 6), round(r["high"], 6)) for r in df.collect())
+    got = rows(entry.queries()["bootstrap_intervals_full"](spark, sf))
+    assert got == rows(de.bootstrap_intervals(_binary(spark, sf), 1000)) != rows(de.bootstrap_intervals(_binary(spark, sf), 100))
+
+
 def test_p_values_and_bonferroni(spark):
     z = spark.createDataFrame([(0.0,), (1.959963985,), (-2.575829304,)], "z double").select(de.two_sided_p(F.col("z")).alias("p_value"))
     p = [r["p_value"] for r in z.collect()]
