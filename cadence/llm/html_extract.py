@@ -10,7 +10,10 @@ of class and id, length, link share, punctuation, place of heading) between two
 counted over all pages: blocks of an article or main element outside boilerplate elements, and blocks
 of boilerplate elements (``nav``, ``footer``, ``form`` and the like, or words of class and id that say so).
 Elements that are never content get a boilerplate cost that no smoothing can outweigh; on a page with
-an article, standing inside or outside of it is a cost of its own.
+an article, standing inside or outside of it is a cost of its own. Words of class and id alone don't
+make boilerplate of a wrapper: neither of an element with most of the page's text, nor of one around
+its main element or an article at least half as long as the longest article and as the unmarked text
+outside of articles, nor of a page's own articles.
 
 Scale: two maps over the pages (count, then label), each page by itself; only the table of feature
 counts is shuffled, a few hundred rows. Blocks whose cost outweighs all their edges are fixed before
@@ -73,12 +76,14 @@ ARTICLE = 20.0
 
 
 class Block:
-    __slots__ = ("parts", "linked", "path", "never", "article", "heading", "words")
+    __slots__ = ("parts", "linked", "path", "never", "article", "heading", "words", "marked", "articles")
 
-    def __init__(self, path: tuple, never: bool, article: bool, heading: bool, words: frozenset):
+    def __init__(self, path: tuple, never: bool, article: bool, heading: bool, words: frozenset, marked: tuple,
+                 articles: tuple):
         self.parts: list[str] = []
         self.linked = 0
         self.path, self.never, self.article, self.heading, self.words = path, never, article, heading, words
+        self.marked, self.articles = marked, articles  # numbers of elements around: with words that mark, article or main
 
     @property
     def text(self) -> str:
@@ -102,8 +107,9 @@ def _marks(attributes: str) -> tuple[frozenset, bool]:
 def read_blocks(html: str | None) -> list[tuple[Block, str]]:
     """The blocks of a page with text, in page order."""
     html = html or ""
-    # Open elements: (name, number, never content, in an article, words on the path).
-    stack: list[tuple[str, int, bool, bool, frozenset]] = [("", 0, False, False, frozenset())]
+    # Open elements: (name, number, never content, in an article, words on the path, marked elements, articles).
+    stack: list[tuple[str, int, bool, bool, frozenset, tuple, tuple]] = [("", 0, False, False, frozenset(), (), ())]
+    names_of: dict[int, tuple[str, tuple, tuple]] = {}  # article and main elements: (name, marked elements, articles around)
     blocks: list[Block] = []
     now: Block | None = None
     number = 0
@@ -120,7 +126,7 @@ def read_blocks(html: str | None) -> list[tuple[Block, str]]:
             path = tuple(e[1] for e in stack if e[0] not in INLINE)
             names = {e[0] for e in stack}
             now = Block(path, top[2], top[3], bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}),
-                        top[4] | frozenset(f"<{n}>" for n in names - PLAIN - INLINE))
+                        top[4] | frozenset(f"<{n}>" for n in names - PLAIN - INLINE), top[5], top[6])
             blocks.append(now)
         now.parts.append(text)
         if links:
@@ -183,12 +189,47 @@ def read_blocks(html: str | None) -> list[tuple[Block, str]]:
         number += 1
         top = stack[-1]
         in_article = top[3] or name in ARTICLES or "main" in words
-        never = top[2] or hidden or name in NEVER or bool(words & NEVER_WORDS) or (name == "header" and not in_article)
-        stack.append((name, number, never, in_article, top[4] | (words & CONTENT_WORDS)))
+        never = top[2] or hidden or name in NEVER or (name == "header" and not in_article)
+        marked = (*top[5], number) if words & NEVER_WORDS else top[5]
+        if name in ARTICLES:
+            names_of[number] = (name, marked, top[6])
+        stack.append((name, number, never, in_article, top[4] | (words & CONTENT_WORDS), marked,
+                      (*top[6], number) if name in ARTICLES else top[6]))
         links += name == "a"
         if m[3].rstrip().endswith("/") and name not in INLINE:
             close(len(stack) - 1)
-    return [(b, t) for b in blocks if (t := b.text)]
+    found = [(b, t) for b in blocks if (t := b.text)]
+    _judge_marked(found, names_of)
+    return found
+
+
+def _judge_marked(blocks: list[tuple[Block, str]], names_of: dict[int, tuple[str, tuple, tuple]]) -> None:
+    """Blocks in elements whose words mark boilerplate are never content, unless all those elements are wrappers."""
+    if not any(b.marked for b, _ in blocks):
+        return
+    size: dict[int, int] = {}
+    total = 0
+    for b, t in blocks:
+        if not b.never:
+            total += len(t)
+            for e in {*b.marked, *b.articles}:
+                size[e] = size.get(e, 0) + len(t)
+    wrappers = {e for e, n in size.items() if 2 * n > total}
+    # An article in an article is a comment or the like.
+    own = [a for a, (name, _, around) in names_of.items()
+           if name == "article" and not any(names_of[x][0] == "article" for x in around)]
+    rest = sum(len(t) for b, t in blocks if not b.never and wrappers.issuperset(b.marked)
+               and all(names_of[a][0] == "main" for a in b.articles))
+    longest = max([rest, *(size.get(a, 0) for a in own)])
+    wrappers.update(own)
+    for a, (name, marked, _) in names_of.items():
+        if size.get(a, 0) and name == "main":
+            wrappers.update(marked)
+    for a in own:
+        if size.get(a, 0) and 2 * size[a] >= longest:
+            wrappers.update(names_of[a][1])
+    for b, _ in blocks:
+        b.never = b.never or not wrappers.issuperset(b.marked)
 
 
 def features(block: Block, text: str) -> list[str]:

@@ -370,6 +370,25 @@ def test_html_edges(spark):
     assert hx.extract(df.limit(0)).count() == 0
 
 
+def test_words_of_wrappers_keep_the_page(spark):
+    said = "<h1>A title</h1>" + "".join(f"<p>Paragraph {i} of the text, with some words, and an end.</p>" for i in range(6))
+    junk = ("<div class='sidebar'><p>Side words, said here.</p></div><div class='related'><article><p>Teaser words.</p></article></div>"
+            "<div id='comments'><article class='comment'><p>Comment words.</p></article></div>")
+    pages = [f"<body class='has-sidebar'><article>{said}</article>{junk}</body>",
+             f"<body><div class='content with-sidebar'><article>{said}</article></div>{junk}</body>",
+             f"<body><article class='comments-open'>{said}</article>{junk}</body>",
+             f"<body><div class='social'><article>{said}</article></div><article class='share'>{said}</article>{junk}</body>",
+             f"<body class='banner-top'><main class='search'>{said}{junk}</main></body>",
+             f"<body><article>{said}{junk}</article></body>",
+             f"<body class='has-sidebar'><div>{said}</div>{junk.replace('article', 'div')}</body>",
+             f"<body><div id='content-with-sidebar'>{said}</div>{junk.replace('article', 'div')}</body>",
+             f"<body><div>{said}</div>{junk}</body>"]
+    text = "\n".join(re.findall(r">([^<]+)<", said))
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(pages)], "page_id long, html string")
+    got = [r["text"] for r in hx.extract(df).orderBy("page_id").collect()]
+    assert got == [text] * 3 + [text + "\n" + text] + [text] * 5
+
+
 def test_most_frequent_is_bounded_and_ordered(spark):
     from cadence.llm.common import most_frequent
     df = spark.createDataFrame([(i, 2 ** (i % 10)) for i in range(1000)], "k long, n long")
