@@ -35,8 +35,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, most_frequent
@@ -410,9 +411,19 @@ def _cells(roots: DataFrame, sizes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- the join
 
 
+def word_hash(text: Column, words: int = WORDS) -> Column:
+    """Hash of the text's word sequence: the ``rid`` of ``jaccard_components``."""
+
+    @F.pandas_udf("long")
+    def rid(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([h for h, *_ in shingle_sets(texts.tolist(), words)], np.uint64).view(np.int64))
+
+    return rid(text.cast("string"))
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                       max_frequent: int = MAX_FREQUENT, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per document."""
+                       max_frequent: int = MAX_FREQUENT, cell_rows: int = CELL_ROWS, with_rid: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per document; ``with_rid``, also the hash of its word sequence."""
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -453,8 +464,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     at = rows.filter("n > 0 and doc_id is not null").join(linked, rows.rid == linked.node, "left").select(
         "doc_id", F.coalesce("root", "rid").alias("root"))
     smallest = at.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    carried = ["rid"] if with_rid else []
     named = rows.join(linked, rows.rid == linked.node, "left").select(
-        "doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "rid")).alias("root"))
+        "doc_id", "n", *carried, F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "rid")).alias("root"))
     return named.join(smallest, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *carried)

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.llm import language_id, pii_crf
-from cadence.llm.common import free_name, materialize, table
+from cadence.llm.common import free_name, materialize, small_batches, table
 from cadence.llm.decontaminate import is_contaminated
-from cadence.llm.jaccard_join import jaccard_components
+from cadence.llm.jaccard_join import jaccard_components, word_hash
 from cadence.llm.mixing import emit, mix
 
 #: A document stays if some language has at least this calibrated probability.
@@ -36,18 +36,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; of rows with equal id and text, one.
 
+    Where an id stands on several rows, each of its texts is judged by its own group.
     The ids that go are sent to the tasks while there are at most ``MAX_SENT_IDS`` of them, so texts aren't
     shuffled; beyond that they are joined by id.
     """
-    found = jaccard_components(docs)
-    ids = (found.filter("doc_id is not null").groupBy("doc_id")
+    found = materialize(jaccard_components(docs, with_rid=True).filter("doc_id is not null")
+                        .select("doc_id", "rid", "component_id"), "components")
+    ids = (found.groupBy("doc_id")
            .agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("times")))
     changed = materialize(ids.filter("doc_id <> least or times > 1"), "changed")
     gone = changed.select("doc_id")
     kept = docs.join(F.broadcast(gone) if gone.count() <= MAX_SENT_IDS else gone, "doc_id", "left_anti")
-    again = changed.filter("doc_id = least").select("doc_id")
+    again = changed.filter("times > 1").select("doc_id")
     if not again.isEmpty():
-        kept = kept.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+        small_batches(spark)
+        name = free_name(docs.columns, "rid")
+        stays = found.filter("doc_id = component_id").join(again, "doc_id", "left_semi").select(
+            "doc_id", F.col("rid").alias(name)).distinct()
+        rows = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        rows = rows.withColumn(name, word_hash(F.col("text"))).join(stays, ["doc_id", name], "left_semi")
+        kept = kept.select(docs.columns).unionByName(rows.select(docs.columns))
     return kept.select(docs.columns)
 
 

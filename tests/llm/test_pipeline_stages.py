@@ -59,6 +59,17 @@ def test_repeated_rows_and_empty_table(spark):
         empty = empty.select(docs.columns)
 
 
+def test_each_text_of_a_repeated_id_is_judged_by_itself(spark):
+    a, b, c = ("the quick brown fox jumps over the lazy dog again", "quite another text that has the same id as that before",
+               "some third text of other words that is nobody's copy here")
+    rows = [(1, a), (5, a.upper()), (5, b), (5, b), (9, b), (9, c), (9, None), (12, c), (None, a)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, rid string")
+    out = cp.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(
+        [(1, a), (5, b), (9, c), (9, None), (None, a)], key=repr)
+
+
 def test_ten_operators_are_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
