@@ -50,15 +50,21 @@ def materialized_scope(spark: SparkSession) -> Iterator[None]:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder (``spark.checkpoint.dir``);
+    see ``materialized_scope`` for when it is deleted."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "cadence") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder
     (``spark.checkpoint.dir``) and read it back: a lineage cut that survives
     executor loss and makes non-deterministic tags (partition ids) stable.
     See ``materialized_scope`` for when it is deleted."""
-    base = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
