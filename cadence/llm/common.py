@@ -39,6 +39,11 @@ def materialize(df: DataFrame, name: str = "llm") -> DataFrame:
     return ranking.materialize(df, name)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return ranking.scratch_path(spark, name)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with underscores added until no column is called so."""
     taken = {c.lower() for c in columns}

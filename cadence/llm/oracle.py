@@ -125,6 +125,78 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+def _op11(k: int = 40, rounds: int = 5) -> str:
+    """One pair of tables for each round: assignment, then new centroids."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    steps = [f"""
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS c, x FROM (
+    SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v) ORDER BY h, x LIMIT {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, vec_id, x, min(struct_pack(d, c)) AS best FROM (
+    SELECT v.row, v.vec_id, v.x, CAST({distance} AS BIGINT) AS d, c.c FROM v, c{r} c) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS MATERIALIZED (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT best.c AS c, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1),
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m{r}.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} USING (c))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(e, lambda y: CAST(floor(y * 256) AS BIGINT)) AS x
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+  WHERE len(e) = 64 AND len(list_filter(e, lambda y: y IS NULL OR NOT isfinite(y))) = 0),{",".join(steps)}
+SELECT vec_id, best.c AS cluster, best.d AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(f.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} f ON f.c = best.c
+"""
+
+
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[.,;:!?
+-]') AS p FROM documents),
+piece AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM (SELECT lang, unnest(p) AS p FROM d)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY 1),
+part AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (
+      SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, range(1, 6) t(k) WHERE len(w) >= k))
+  GROUP BY ALL HAVING count(*) >= 100),
+cut AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, l.f AS l, r.f AS r, t.n, j,
+         (1000 * c.f::HUGEINT * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM part WHERE k > 1) c
+  JOIN part l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.w, 1, j), ' ')
+  JOIN part r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.w, j + 1, c.k), ' ')
+  JOIN total t ON t.lang = c.lang),
+best AS (SELECT lang, k, phrase, a, min(struct_pack(score, j, l, r, n)) AS s FROM cut GROUP BY ALL),
+inner_ AS (
+  SELECT DISTINCT b.lang, x.phrase FROM (
+    SELECT lang, f, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM part WHERE k > 2) b,
+    LATERAL (SELECT array_to_string(list_slice(b.w, i, i + b.m - 1), ' ') AS phrase FROM range(1, b.k - b.m + 2) t(i)) x
+  JOIN part p ON p.lang = b.lang AND p.phrase = x.phrase AND 100 * b.f >= 100 * p.f),
+kept AS (SELECT * FROM best WHERE NOT EXISTS (
+  SELECT 1 FROM inner_ i WHERE i.lang = best.lang AND i.phrase = best.phrase)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s.score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, s.l AS l, s.r AS r, s.n AS n, CAST(s.score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+OP13 = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS top FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1,
@@ -133,4 +205,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": OP5,
         "op6_jaccard_join": OP6,
         "op7_mixing": OP7,
+        "op11_centroid_clustering": _op11(),
+        "op12_collocations": OP12,
+        "op13_warc": OP13,
     }

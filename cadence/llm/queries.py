@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, pii_crf
+from . import centroids, collocations, html_extract, language_id, pii_crf, warc
 from .chat_format import as_layouts, canonical_turns, format_chat, gather_turns, loss_text, read_back
 from .common import table
 from .decontaminate import decontaminate
@@ -102,6 +102,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii_crf.spans_text(F.col("spans")).alias("spans"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -114,4 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extract": op8_html_extract,
         "op9_language_id": op9_language_id,
         "op10_pii": op10_pii,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_collocations": op12_collocations,
+        "op13_warc": op13_warc,
     }
