@@ -141,3 +141,76 @@ def test_timestamp_forms_keep_the_wall_clock(spark):
     for k, (h, m, s, us) in forms.items():
         assert got[k] == dt.datetime(2020, 1, 2, h, m, s, us), k
     assert got[""] is None and got["x"] is None and got["2020-02-31"] is None
+
+
+PROBES = [["a", "Heart rate, \"resting\"", "80"], ["b", "two\nlines", "90"], ["c", "a, b \\", "95"], ["d", "cr\rinside", "1"],
+          ["e", "plain\\n", "NA"], ["f", "", "null"], ["g", "5\" pipe, \"\"", " x "], ["h", "größe 日本", "n/a"]]
+
+
+def _csv(path, header, rows, eol="\r\n"):
+    q = lambda v: '"' + v.replace('"', '""') + '"' if any(c in v for c in ',"\r\n') else v
+    path.write_bytes(eol.join(",".join(map(q, r)) for r in [header, *rows]).encode() + eol.encode())
+
+
+@pytest.mark.parametrize("eol,keep", [("\n", "abcdefgh"), ("\r\n", "abcdefgh"), ("\n", "acefgh"), ("\r\n", "acegh")])
+def test_csv_fields_as_pandas_reads_them(spark, tmp_path, eol, keep):
+    rows = [r for r in PROBES if r[0] in keep]
+    _csv(tmp_path / "observations.csv", ["PATIENT", "DESCRIPTION", "VALUE"], rows, eol)
+    want = pd.read_csv(tmp_path / "observations.csv").astype(object)
+    want = want.where(want.notna(), None).values.tolist()
+    tables, status = load_all_tables(spark, str(tmp_path))
+    got = [list(r) for r in tables["observations"].drop("_corrupt_record").collect()]
+    assert got == want and len(got) == len(keep)
+    st = {r["table"]: r for r in status.collect()}["observations"]
+    assert (st["rows"], st["corrupt_rows"], st["absent_columns"], st["error"]) == (len(keep), 0, ["DATE"], None)
+    from cadence.sources.tables import breaks_in_quotes
+    assert breaks_in_quotes(spark, str(tmp_path / "observations.csv")) == ("b" in keep)
+
+
+def test_wrong_rows_are_kept_and_counted(spark, tmp_path):
+    (tmp_path / "patients.csv").write_text("Id,BIRTHDATE,INCOME,LAT\np1,1980-01-01,oops,1.5\np2,1980-01-01,NaN,2\np3,1980-01-01\n"
+                                           "p4,1980-01-01,10,3,extra\n\np5,,1e3,\n")
+    tables, status = load_all_tables(spark, str(tmp_path))
+    rows = {r["Id"]: r for r in tables["patients"].collect()}
+    assert set(rows) == {"p1", "p2", "p3", "p4", "p5"}
+    assert rows["p1"]["INCOME"] is None and rows["p1"]["LAT"] == 1.5 and rows["p1"]["_corrupt_record"] == "p1,1980-01-01,oops,1.5"
+    assert rows["p2"]["INCOME"] is None and rows["p2"]["_corrupt_record"] is None and rows["p5"]["INCOME"] == 1000.0
+    st = {r["table"]: r for r in status.collect()}["patients"]
+    assert (st["rows"], st["corrupt_rows"]) == (5, 3)  # p1, p3 (short), p4 (long)
+
+
+def test_only_the_folder_itself_is_read(spark, tmp_path):
+    (tmp_path / "archive" / "old.csv").mkdir(parents=True)
+    (tmp_path / "archive" / "patients.csv").write_text("Id\nold\n")
+    (tmp_path / "archive" / "old.csv" / "part-0.csv").write_text("Id\nold\n")
+    (tmp_path / "patients.csv").write_text("Id\nnew\n")
+    (tmp_path / "parts.csv").mkdir()
+    for i in range(2):
+        (tmp_path / "parts.csv" / f"part-{i}.csv").write_text(f"Id\n{i}\n")
+    from cadence.sources.tables import csv_files
+    found = csv_files(spark, str(tmp_path))
+    assert sorted(found) == ["parts", "patients"]
+    tables, _ = load_all_tables(spark, str(tmp_path))
+    assert [r["Id"] for r in tables["patients"].collect()] == ["new"]
+    assert sorted(r["Id"] for r in tables["parts"].collect()) == ["0", "1"]
+
+
+def test_pipeline_on_files_that_lack_columns(spark, tmp_path):
+    src = tmp_path / "export"
+    src.mkdir()
+    _write_export(str(src))
+    pats = pd.read_csv(src / "patients.csv").drop(columns=["DEATHDATE", "ETHNICITY", "SSN"])
+    pats.to_csv(src / "patients.csv", index=False)
+    pd.read_csv(src / "procedures.csv").drop(columns=["DESCRIPTION"]).to_csv(src / "procedures.csv", index=False)
+    (src / "medications.csv").write_text("START,STOP,PATIENT,DESCRIPTION\n")  # header only
+    (src / "devices.csv").write_bytes(b"")  # unreadable: no header
+    (src / "encounters.csv").write_text("PATIENT\n" + "".join(f"pt-{i:03d}\n" for i in range(24)))
+    tables, status = load_all_tables(spark, str(src))
+    st = {r["table"]: r for r in status.collect()}
+    assert st["patients"]["absent_columns"] == ["DEATHDATE", "ETHNICITY", "HEALTHCARE_EXPENSES", "HEALTHCARE_COVERAGE", "LAT", "LON"]
+    assert st["devices"]["error"] == "no header" and st["devices"]["rows"] == 0
+    assert st["medications"]["rows"] == 0 and st["medications"]["error"] is None and st["procedures"]["absent_columns"] == ["DESCRIPTION", "BASE_COST"]
+    res = run_pipeline(roles_from_clinical(tables), str(tmp_path / "out"), PipelineConfig(), raw=patient_slices(tables))
+    ready = spark.read.parquet(res["model_ready"])
+    assert ready.count() == 24 and sum(m["n_patients"] for m in res["splits"]) == 24
+    assert res["split_strategy"] != "stratified" or res["split_skipped"] == {}
