@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialize
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Letters to lower, marks and line ends that end a piece, and tabs; and what becomes of them. A mark is no part of
+#: any word, so it can stand for itself between words.
+MARK = "."
+FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ".,;:!?\n\x0b\x0c\r" + "\t"
+TO = "abcdefghijklmnopqrstuvwxyz" + MARK * 10 + " "
 #: Words in the longest phrase.
 ORDER = 5
 #: Least occurrences of a candidate.
@@ -39,11 +43,10 @@ TOP = 2000
 BITS_PER_PAIR, MOST_BITS = 16, 1 << 28
 
 
-def pieces(text: Column) -> Column:
-    """Arrays of words, one for each stretch between punctuation marks and line ends."""
-    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    words = F.transform(F.split(lower, r"[.,;:!?\x0A-\x0D]"), lambda p: F.filter(F.split(p, r"[\x20\x09]+"), lambda w: w != ""))
-    return F.filter(words, lambda p: F.size(p) > 0)
+def tokens(text: Column) -> Column:
+    """The words of a text in order, a ``MARK`` wherever a piece ends; may hold empty strings."""
+    marked = F.replace(F.translate(F.coalesce(text, F.lit("")), FROM, TO), F.lit(MARK), F.lit(f" {MARK} "))
+    return F.split(marked, " +")
 
 
 def word_code(lang: Column, word: Column) -> Column:
@@ -52,25 +55,29 @@ def word_code(lang: Column, word: Column) -> Column:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``lang, word, code, f``: occurrences of every word of each language."""
-    words = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.flatten(pieces(F.col("text")))).alias("word"))
+    words = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(tokens(F.col("text"))).alias("word"))
+    words = words.filter((F.col("word") != "") & (F.col("word") != MARK))
     counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f"))
     return counts.withColumn("code", word_code(F.col("lang"), F.col("word")))
 
 
 def coded(docs: DataFrame) -> DataFrame:
-    """``codes``: the pieces of each document as arrays of word codes."""
+    """``codes``: the tokens of each document as word codes, null where a piece ends (or a string is empty)."""
     lang = F.coalesce(F.col("lang"), F.lit("und"))
-    return docs.select(F.transform(pieces(F.col("text")), lambda p: F.transform(p, lambda w: word_code(lang, w))).alias("codes"))
+    return docs.select(F.transform(tokens(F.col("text")), lambda w: F.when((w != MARK) & (w != ""), word_code(lang, w))).alias("codes"))
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All codes of a batch, and for each whether it is the last of its piece."""
-    piece = batch.column(0).flatten()
-    values = piece.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-    ends = np.cumsum(np.diff(piece.offsets.to_numpy()))
-    last = np.zeros(len(values), bool)
-    last[ends - 1] = True
-    return values, last
+    rows = batch.column(0)
+    flat = rows.flatten()
+    word = flat.is_valid().to_numpy(zero_copy_only=False)
+    values = flat.fill_null(0).to_numpy(zero_copy_only=False)
+    last = np.ones(len(values), bool)
+    last[:-1] = ~word[1:]  # the next token is no word
+    ends = np.cumsum(np.diff(rows.offsets.to_numpy()))
+    last[ends[ends > 0] - 1] = True
+    return values[word], last[word]
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
