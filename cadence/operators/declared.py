@@ -1,4 +1,5 @@
-"""Features that the reference declares in its configuration: X1-X13.
+"""Features that the reference declares in its configuration: X1-X3, X5-X12
+(X4: ``bootstrap``, X13: ``baseline``).
 
 Ranks, quartiles and running sums come from the skew-safe helpers; everything
 else is a grouped aggregation with map-side combine.
@@ -9,9 +10,6 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +20,6 @@ from .ranking import ranked
 # Fixed values of the reference's configuration.
 LOSS_WEIGHTS = {"mortality_risk": 2.0, "icu_admission": 1.5, "ventilator_need": 1.5, "length_of_stay": 1.0}
 N_FOLDS = 5
-BOOTSTRAP_SAMPLES = 1000
-
-#: P(Poisson(1) <= k) for k = 0..8.
-POISSON_CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-               0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402)
 
 
 def forward_fill(sparse: DataFrame, keys: list[str], grid_len: int) -> DataFrame:
@@ -55,7 +48,7 @@ def clip_outliers(long: DataFrame, group: list[str], value: str = "v") -> DataFr
 
 def calibration_error(preds: DataFrame, buckets: int = 10, target_threshold: float = 0.5) -> DataFrame:
     """Expected calibration error per task over equal-width score buckets."""
-    p = me.sigmoid_if_needed(preds)
+    p = me.sigmoid_if_needed(me.complete(preds))
     b = F.least(F.floor(F.col("prediction") * buckets), F.lit(buckets - 1))
     c = p.groupBy("task", b.alias("_b")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("_p"),
@@ -64,40 +57,6 @@ def calibration_error(preds: DataFrame, buckets: int = 10, target_threshold: flo
         F.sum("n").alias("n"), (F.sum(F.col("n") * F.abs(F.col("_p") - F.col("_y"))) / F.sum("n")).alias("calibration_error"))
 
 
-def poisson_weight(key: F.Column) -> F.Column:
-    """A Poisson(1) number that only depends on the text ``key``."""
-    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / 2.0**32
-    return reduce(lambda a, c: a + (u >= F.lit(c)).cast("long"), POISSON_CDF, F.lit(0).cast("long"))
-
-
-def bootstrap_intervals(preds: DataFrame, samples: int = BOOTSTRAP_SAMPLES, level: float = 0.95,
-                        threshold: float = 0.5, target_threshold: float = 0.5) -> DataFrame:
-    """Poisson bootstrap of the confusion metrics: per task and metric the
-    estimate and the percentile interval. Replicates are aggregated map-side
-    (``samples`` x 4 counts per task are shuffled, never the resampled rows)."""
-    p = me.sigmoid_if_needed(preds)
-    cells = p.select("task", "patient_id", (F.col("target") > target_threshold).alias("_t"),
-                     (F.col("prediction") > threshold).alias("_p"))
-    rep = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("rep"))
-    w = F.when(F.col("rep") == 0, F.lit(1).cast("long")).otherwise(
-        poisson_weight(F.concat_ws(":", "task", "patient_id", "rep")))  # replicate 0 is the data itself
-    part = lambda t, q: F.sum(F.when((F.col("_t") == t) & (F.col("_p") == q), F.col("_w")).otherwise(0))
-    c = rep.withColumn("_w", w).groupBy("task", "rep").agg(
-        part(True, True).alias("tp"), part(False, True).alias("fp"), part(False, False).alias("tn"),
-        part(True, False).alias("fn"))
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in (
-        ("precision", ratio(tp, tp + fp)), ("recall", ratio(tp, tp + fn)), ("specificity", ratio(tn, tn + fp)),
-        ("f1_score", ratio(2 * tp, 2 * tp + fp + fn)))])
-    long = c.select("task", "rep", F.inline(cells))
-    tail = (1 - level) / 2
-    drawn = F.when(F.col("rep") > 0, F.col("v"))
-    return long.groupBy("task", "metric").agg(
-        F.max(F.when(F.col("rep") == 0, F.col("v"))).alias("estimate"),
-        F.percentile(drawn, F.lit(tail)).alias("low"), F.percentile(drawn, F.lit(1 - tail)).alias("high"))
-
-
 def two_sided_p(z: F.Column) -> F.Column:
     """Two-sided normal p-value by the rational approximation 26.2.17 of
     Abramowitz and Stegun (error below 7.5e-8)."""
@@ -119,7 +78,7 @@ def subgroup_tests(preds: DataFrame, groups: DataFrame, attribute: str, target_t
     """Outcome rate of each subgroup against the rest: pooled two-proportion z
     test per (task, subgroup)."""
     y = (F.col("target") > target_threshold).cast("long")
-    c = preds.join(groups.select("patient_id", F.col(attribute).alias("value")), "patient_id").groupBy("task", "value").agg(
+    c = preds.where(F.col("target").isNotNull()).join(groups.select("patient_id", F.col(attribute).alias("value")), "patient_id").groupBy("task", "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum(y).alias("pos"))
     tot = c.groupBy("task").agg(F.sum("n").alias("_n"), F.sum("pos").alias("_pos"))
     x = c.join(tot, "task")
@@ -148,7 +107,7 @@ def subgroup_metrics(preds: DataFrame, groups: DataFrame, attributes: list[str])
 def risk_bands(preds: DataFrame, cuts: tuple[float, ...] = (0.3, 0.7),
                names: tuple[str, ...] = ("low", "moderate", "high"), target_threshold: float = 0.5) -> DataFrame:
     """Per task and score band the size, mean score and outcome rate."""
-    p = me.sigmoid_if_needed(preds.where(F.col("task").isin(*me.BINARY_TASKS)))
+    p = me.sigmoid_if_needed(me.complete(preds).where(F.col("task").isin(*me.BINARY_TASKS)))
     band = F.lit(names[-1])
     for c, n in reversed(list(zip(cuts, names))):
         band = F.when(F.col("prediction") < c, F.lit(n)).otherwise(band)
@@ -175,7 +134,7 @@ def calendar_split(observations: DataFrame, split_date: dt.date) -> DataFrame:
 
 def class_weights(preds: DataFrame, target_threshold: float = 0.5) -> DataFrame:
     """Inverse-frequency weight n / (classes * n_class) per task and class."""
-    c = preds.where(F.col("task").isin(*me.BINARY_TASKS)).groupBy(
+    c = preds.where(F.col("task").isin(*me.BINARY_TASKS) & F.col("target").isNotNull()).groupBy(
         "task", (F.col("target") > target_threshold).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     tot = c.groupBy("task").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
     return c.join(tot, "task").select("task", "label", "n", (F.col("_n") / (F.col("_k") * F.col("n"))).alias("weight"))
@@ -185,6 +144,7 @@ def multi_task_loss(preds: DataFrame, weights: dict[str, float] | None = None, e
     """X11: binary cross-entropy (scores within [eps, 1 - eps]) or mean squared
     error per task, its weight, and the weighted sum as task ``total``."""
     w = weights or LOSS_WEIGHTS
+    preds = me.complete(preds)
     p = me.sigmoid_if_needed(preds.where(F.col("task").isin(*me.BINARY_TASKS)))
     q = F.greatest(F.least(F.col("prediction"), F.lit(1 - eps)), F.lit(eps))
     bce = p.groupBy("task").agg(F.avg(-(F.col("target") * F.log(q) + (1 - F.col("target")) * F.log(1 - q))).alias("loss"))
@@ -214,14 +174,3 @@ def population_stability(values: DataFrame, reference: str, bins: int = 10, floo
     ref = share.where(F.col("split") == reference).select("feature", "bin", F.col("q").alias("p"))
     return share.where(F.col("split") != reference).join(ref, ["feature", "bin"]).groupBy("feature", "split").agg(
         F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
-
-
-def baseline_model(features: DataFrame, labels: DataFrame, columns: list[str], label: str, train: DataFrame,
-                   max_iter: int = 20) -> DataFrame:
-    """MLlib logistic regression on the named columns, fitted on the
-    patients of ``train``; ``(patient_id, probability)`` for every patient."""
-    x = features.join(labels.select("patient_id", F.col(label).cast("double").alias("label")), "patient_id")
-    x = x.select("patient_id", "label", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    x = VectorAssembler(inputCols=columns, outputCol="features").transform(x)
-    model = LogisticRegression(maxIter=max_iter, regParam=0.01).fit(x.join(train.select("patient_id"), "patient_id", "left_semi"))
-    return model.transform(x).select("patient_id", vector_to_array("probability")[1].alias("probability"))

@@ -1,6 +1,7 @@
 """Evaluation metrics over a long predictions table.
 
 Input: ``(patient_id, task, prediction, target)`` (plus any extra columns).
+Rows without a prediction or without a target enter no metric.
 All tasks are evaluated by one plan grouped by ``task``. Rank-based metrics
 (AUROC, average precision, ROC points) first collapse to one row per
 (task, distinct score), then use exact skew-safe running sums.
@@ -19,6 +20,11 @@ BINARY_TASKS = ("mortality_risk", "icu_admission", "ventilator_need")
 REGRESSION_TASK = "length_of_stay"
 
 
+def complete(preds: DataFrame) -> DataFrame:
+    """The rows that have a prediction and a target."""
+    return preds.where(F.col("prediction").isNotNull() & F.col("target").isNotNull())
+
+
 def sigmoid_if_needed(preds: DataFrame) -> DataFrame:
     """a task whose predictions leave [0, 1] gets the logistic function
     applied to all its predictions. The per-task bounds table has one row per
@@ -35,7 +41,7 @@ def score_groups(preds: DataFrame, target_threshold: float = 0.5, threshold: flo
     average precision, ROC points and confusion counts share. Descending sums
     are totals minus the ascending ones."""
     pos = (F.col("target") > target_threshold).cast("long")
-    g = preds.groupBy("task", F.col("prediction").alias("score")).agg(
+    g = complete(preds).groupBy("task", F.col("prediction").alias("score")).agg(
         F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg"))
     c = running_sums(g, ["task"], "score", ["pos", "neg"], prefix="below_", inclusive=False)
     total = c.groupBy("task").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
@@ -97,7 +103,7 @@ def confusion(preds: DataFrame, threshold: float = 0.5, target_threshold: float
     """E3-E5 per task from one pass of conditional counts."""
     t = F.col("target") > target_threshold
     p = F.col("prediction") > threshold
-    return _confusion_columns(preds.groupBy("task").agg(
+    return _confusion_columns(complete(preds).groupBy("task").agg(
         F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"),
         F.count_if(~t & ~p).alias("tn"), F.count_if(t & ~p).alias("fn"), F.count(F.lit(1)).alias("n")))
 
@@ -105,14 +111,12 @@ def confusion(preds: DataFrame, threshold: float = 0.5, target_threshold: float
 def binary_metrics(preds: DataFrame, tasks=BINARY_TASKS, threshold: float = 0.5,
                    target_threshold: float = 0.5) -> DataFrame:
     """E12 dispatcher for the binary tasks present (missing tasks skipped): one
-    ranking pass, one aggregation. Rows without a prediction or a target are
-    left out."""
+    ranking pass, one aggregation."""
     return score_metrics(sigmoid_if_needed(preds.where(F.col("task").isin(*tasks))), threshold, target_threshold)
 
 
 def score_metrics(p: DataFrame, threshold: float = 0.5, target_threshold: float = 0.5) -> DataFrame:
     """E1-E5 of calibrated scores for every value of ``task``."""
-    p = p.where(F.col("prediction").isNotNull() & F.col("target").isNotNull())
     part = lambda side, above: F.sum(F.when(F.col("above") == above, F.col(side)).otherwise(0))
     c = score_groups(p, target_threshold, threshold).groupBy("task").agg(
         part("pos", True).alias("tp"), part("neg", True).alias("fp"), part("neg", False).alias("tn"),
@@ -124,7 +128,7 @@ def score_metrics(p: DataFrame, threshold: float = 0.5, target_threshold: float
 def regression_metrics(preds: DataFrame, task: str = REGRESSION_TASK) -> DataFrame:
     """MAE, RMSE, MAPE (x100, target + 1e-8), R2 (0 when the targets
     are constant), share within 24 / 48 (inclusive)."""
-    x = preds.where(F.col("task") == task)
+    x = complete(preds).where(F.col("task") == task)
     e = F.col("target") - F.col("prediction")
     a = x.groupBy("task").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("_mse"),

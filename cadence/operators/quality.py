@@ -12,8 +12,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .ranking import running_sums
+from .ranking import join_null_safe, running_sums
 
 FLAG_LIMIT = 0.2     # configured "high missing" flag
 REJECT_LIMIT = 0.8   # literal cut-off that invalidates a patient
@@ -37,10 +38,41 @@ def null_profile(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def dtype_profile(spark, tables: dict[str, DataFrame]) -> DataFrame:
-    """Q10: ``(table_name, column_name, data_type)`` from the schemas alone."""
-    rows = [(n, f.name, f.dataType.simpleString()) for n, df in tables.items() for f in df.schema.fields]
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
+#: What a text column may hold throughout, as the reference's reader infers column types.
+INTEGER_TEXT, NUMBER_TEXT = r"^[+-]?[0-9]{1,18}$", r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+BOOLEAN_TEXT = ("True", "TRUE", "true", "False", "FALSE", "false")
+
+
+def dtype_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """Q10: ``(table_name, column_name, data_type, n_values, inferred_type)``, one aggregate per table.
+
+    ``inferred_type`` is the type that a reader of untyped files finds from a column's values: integers with
+    missing values are floats, a column of missing values too, text is integer, number or boolean only if
+    every value is.
+    """
+    def counts(f: T.StructField) -> F.Column:
+        c = F.col(f"`{f.name}`")
+        text = isinstance(f.dataType, T.StringType)
+        holds = [F.count_if(c.rlike(INTEGER_TEXT)), F.count_if(c.rlike(NUMBER_TEXT)), F.count_if(c.isin(*BOOLEAN_TEXT))] if text \
+            else [F.lit(0).cast("long")] * 3
+        return F.struct(F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+                        F.count(c).alias("n"), *[h.alias(a) for h, a in zip(holds, ("ints", "numbers", "booleans"))])
+
+    parts = []
+    for name, df in tables.items():
+        fields = [f for f in df.schema.fields if f.name != "_corrupt_record"]
+        agg = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*[counts(f) for f in fields]).alias("cells"))
+        parts.append(agg.select(F.lit(name).alias("table_name"), "rows", F.inline("cells")))
+    x = reduce(DataFrame.unionByName, parts)
+    kind, n, full = F.col("data_type"), F.col("n"), F.col("n") == F.col("rows")
+    whole = F.when(full, "int64").otherwise("float64")
+    truth = F.when(full, "bool").otherwise("object")
+    inferred = (F.when(n == 0, F.when(F.col("rows") == 0, "object").otherwise("float64"))
+                .when(kind.isin("tinyint", "smallint", "int", "bigint") | (F.col("ints") == n), whole)
+                .when(kind.isin("float", "double") | (F.col("numbers") == n), "float64")
+                .when((kind == "boolean") | (F.col("booleans") == n), truth)
+                .when(kind.isin("date", "timestamp", "timestamp_ntz"), "datetime64").otherwise("object"))
+    return x.select("table_name", "column_name", "data_type", n.alias("n_values"), inferred.alias("inferred_type"))
 
 
 def missing_by_table(tables: dict[str, DataFrame]) -> DataFrame:
@@ -79,6 +111,7 @@ def iqr_outliers(long: DataFrame, group: list[str], value: str = "v") -> DataFra
     running counts over the distinct values (``running_sums``: range
     partitioned, so a hot group spans many tasks) locate the four order
     statistics each group needs; outliers are counted on the collapsed rows.
+    Rows whose keys are NULL are a group like any other.
     """
     vals = long.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     cnt = vals.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
@@ -93,16 +126,16 @@ def iqr_outliers(long: DataFrame, group: list[str], value: str = "v") -> DataFra
     need = n.select(*group, *cols)
     # the value at rank r is the distinct value whose count range (cum - c, cum] holds r
     holds = lambda r: (F.col("_cum_c") - F.col("_c") < F.col(r)) & (F.col(r) <= F.col("_cum_c"))
-    picked = cum.join(need, group).groupBy(*group).agg(
+    picked = join_null_safe(cum, need, group).groupBy(*group).agg(
         *[F.max(F.when(holds(f"_{t}{e}"), F.col(value))).alias(f"_v{t}{e}") for t in ("q1", "q3") for e in ("lo", "hi")],
         F.max("_q1f").alias("_q1f"), F.max("_q3f").alias("_q3f"))
     interp = lambda t: F.col(f"_v{t}lo") + (F.col(f"_v{t}hi") - F.col(f"_v{t}lo")) * F.col(f"_{t}f")
     bounds = picked.select(*group, interp("q1").alias("q1"), interp("q3").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - F.lit(1.5) * iqr, F.col("q3") + F.lit(1.5) * iqr
-    out = cum.join(bounds, group).groupBy(*group).agg(
+    out = join_null_safe(cum, bounds, group).groupBy(*group).agg(
         F.sum(F.when((F.col(value) < lo) | (F.col(value) > hi), F.col("_c")).otherwise(0)).alias("n_outliers"))
-    return bounds.join(out, group)
+    return join_null_safe(bounds, out, group)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

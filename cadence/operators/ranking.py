@@ -76,7 +76,9 @@ def _target_partitions(df: DataFrame, n: int | None) -> int:
     return int(conf.get(RANK_PARTITIONS, None) or conf.get("spark.sql.shuffle.partitions"))
 
 
-def _tagged(df: DataFrame, by: list[str], order: list, n: int | None) -> DataFrame:
+def tagged(df: DataFrame, by: list[str], order: list, n: int | None = None) -> DataFrame:
+    """``df`` dealt to range partitions of (by, order), materialised with the
+    partition's number ``_pid`` and an ascending ``_mid`` within it."""
     ensure_checkpoint_dir(df.sparkSession)
     n = _target_partitions(df, n)
     keys = [F.col(c) for c in by] + [F.col(o) if isinstance(o, str) else o for o in order]
@@ -87,9 +89,9 @@ def _tagged(df: DataFrame, by: list[str], order: list, n: int | None) -> DataFra
     return materialize(s)
 
 
-def _join_back(s: DataFrame, offs: DataFrame, keys: list[str]) -> DataFrame:
+def join_null_safe(s: DataFrame, offs: DataFrame, keys: list[str]) -> DataFrame:
     """Equi-join on ``keys`` that also matches NULL group keys (no row of a
-    NULL group may be lost)."""
+    NULL group may be lost); ``_pid`` is never NULL."""
     o = offs.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in offs.columns])
     cond = [s[c].eqNullSafe(o[f"_k_{c}"]) if c != "_pid" else s[c] == o[f"_k_{c}"] for c in keys]
     return s.join(o, cond).drop(*[f"_k_{c}" for c in keys])
@@ -102,12 +104,12 @@ def ranked(df: DataFrame, by: list[str], order: list, out: str = "rn",
     Ties in ``order`` get distinct consecutive numbers in an unspecified
     order; pass a unique tiebreaker column to make it deterministic.
     """
-    s = _tagged(df, by, order, num_partitions)
+    s = tagged(df, by, order, num_partitions)
     totals = s.groupBy("_pid", *by).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*by).orderBy("_pid") if by else Window.orderBy("_pid")
     offs = totals.withColumn(
         "_off", F.coalesce(F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (_join_back(s, offs.select("_pid", *by, "_first", "_off"), ["_pid", *by])
+    return (join_null_safe(s, offs.select("_pid", *by, "_first", "_off"), ["_pid", *by])
              .withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1)
              .drop("_pid", "_mid", "_first", "_off"))
 
@@ -122,7 +124,7 @@ def running_sums(df: DataFrame, by: list[str], order: str, cols: list[str],
     (partition index, group): a piece of a range partition, never a whole
     hot group.
     """
-    s = _tagged(df, by, [order], num_partitions)
+    s = tagged(df, by, [order], num_partitions)
     tot = s.groupBy("_pid", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     w_off = Window.partitionBy(*by).orderBy("_pid") if by else Window.orderBy("_pid")
     prev = w_off.rowsBetween(Window.unboundedPreceding, -1)
@@ -131,7 +133,7 @@ def running_sums(df: DataFrame, by: list[str], order: str, cols: list[str],
     w_in = Window.partitionBy("_pid", *by).orderBy(order)
     frame = w_in.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = s.select("*", *[F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(f"_l_{c}") for c in cols])
-    out = _join_back(local, offs, ["_pid", *by])
+    out = join_null_safe(local, offs, ["_pid", *by])
     for c in cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_o_{c}") + F.col(f"_l_{c}"))
     return out.drop("_pid", "_mid", *[f"_l_{c}" for c in cols], *[f"_o_{c}" for c in cols])

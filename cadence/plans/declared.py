@@ -7,15 +7,17 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.vocab import SCALED_STATIC
+from ..operators import baseline as ba
+from ..operators import bootstrap as bs
 from ..operators import declared as de
 from ..operators import features as fe
 from ..operators import metrics as me
 from ..operators import splits as sp
 from ..operators import timeline as tl
+from ..operators.ranking import checkpointed
 from ..sources import bindings as bd
-from .queries import _event_timeline, _label_flags, _r, query
+from .queries import _event_timeline, _label_flags, _r, event_channels, query
 
-BOOTSTRAP_REPLICATES = 100  # replicates are the feature's parameter; every row enters each
 SPLIT_DATE = dt.date(1996, 1, 1)
 
 
@@ -37,8 +39,9 @@ def forward_fill(spark, sf_dir):
 
 @query("clip_outliers")
 def clip_outliers(spark, sf_dir):
-    """Line-item prices clipped within each supplier."""
+    """Line-item prices clipped within each supplier; every tenth supplier counts as unknown (NULL, one group)."""
     li = bd.read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"])
+    li = li.withColumn("l_suppkey", F.when(F.col("l_suppkey") % 10 != 0, F.col("l_suppkey")))
     return _r(de.clip_outliers(li.withColumnRenamed("l_extendedprice", "v"), ["l_suppkey"]), "v")
 
 
@@ -50,14 +53,14 @@ def calibration_error(spark, sf_dir):
 
 @query("bootstrap_intervals")
 def bootstrap_intervals(spark, sf_dir):
-    """X4."""
-    return _r(de.bootstrap_intervals(_binary(spark, sf_dir), BOOTSTRAP_REPLICATES), "estimate", "low", "high")
+    """The declared 1000 samples of the confusion metrics."""
+    return _r(bs.bootstrap_intervals(_binary(spark, sf_dir)), "estimate", "low", "high")
 
 
-@query("bootstrap_intervals_full")
-def bootstrap_intervals_full(spark, sf_dir):
-    """X4 with the declared 1000 samples (``bootstrap_intervals`` draws the 100 of its SQL)."""
-    return _r(de.bootstrap_intervals(_binary(spark, sf_dir)), "estimate", "low", "high")
+@query("bootstrap_rank_intervals")
+def bootstrap_rank_intervals(spark, sf_dir):
+    """The declared 1000 samples of AUROC and average precision (weights by array, so no SQL oracle)."""
+    return _r(bs.bootstrap_rank_intervals(_binary(spark, sf_dir)), "estimate", "low", "high")
 
 
 @query("multiple_testing")
@@ -119,12 +122,43 @@ def population_stability(spark, sf_dir):
     return _r(de.population_stability(long.join(split, "patient_id").drop("patient_id"), "train"), "psi")
 
 
+def _static(spark, sf_dir):
+    roles = bd.order_roles(spark, sf_dir)
+    return roles, fe.static_features(roles.patients, roles.conditions, bd.ORDER_COMORBIDITIES)
+
+
 @query("baseline_model")
 def baseline_model(spark, sf_dir):
-    """Mortality flag from the static features, fitted on the temporal split's train patients (an iterative fit, so
-    no SQL oracle)."""
-    roles = bd.order_roles(spark, sf_dir)
-    static = fe.static_features(roles.patients, roles.conditions, bd.ORDER_COMORBIDITIES)
+    """Three logistic regressions and a ridge regression on the static features of customers and the channel
+    statistics of their events, fitted on the temporal split's train patients (iterative fits, so no SQL oracle)."""
+    roles, static = _static(spark, sf_dir)
+    sparse, anchors, channels = event_channels(spark, sf_dir)
+    stats = ba.channel_features(tl.channel_stats(sparse, anchors, channels=channels), channels)
+    table, columns = ba.feature_table(roles.patients, [(static, list(SCALED_STATIC)), stats])
+    table = checkpointed(table)  # read by the fit and by the scoring
+    events = bd.event_roles(spark, sf_dir, with_intervals=False)
+    stay = events.observations.groupBy("patient_id").agg(
+        (tl.micros_between(F.min("ts"), F.max("ts")) / tl.HOUR_US).alias("length_of_stay"))
+    flags = _label_flags(spark, sf_dir).join(stay, "patient_id", "left").select(
+        "patient_id", F.col("mortality").alias("mortality_risk"), F.col("icu").alias("icu_admission"),
+        F.col("ventilator").alias("ventilator_need"), "length_of_stay")
     train = sp.temporal_split(roles.observations).where("split = 'train'")
-    flags = roles.patients.select("patient_id", F.col("deathdate").isNotNull().cast("int").alias("mortality"))
-    return _r(de.baseline_model(static, flags, list(SCALED_STATIC), "mortality", train), "probability")
+    model = ba.fit_baselines(table, columns, flags, train)
+    return _r(ba.score_batches(table, *ba.linear_weights(model)), *ba.TASKS)
+
+
+#: A stated scoring model on static features: weights and intercept of each task.
+STATED_COLUMNS = ("age", "age_risk", "comorbidity_count", "high_comorbidity", "diabetes", "heart_disease")
+STATED_WEIGHTS = {
+    "mortality_risk": ([0.03, 0.5, 0.2, 0.4, 0.1, 0.3], -4.0),
+    "icu_admission": ([0.02, 0.25, 0.3, 0.2, 0.15, 0.25], -2.5),
+    "ventilator_need": ([0.01, 0.4, 0.25, 0.1, 0.2, 0.2], -3.0),
+    "length_of_stay": ([0.5, 6.0, 4.0, 12.0, 3.0, 8.0], 24.0),
+}
+
+
+@query("batch_scores")
+def batch_scores(spark, sf_dir):
+    """Every customer scored by a stated linear model, four outputs."""
+    _, static = _static(spark, sf_dir)
+    return _r(ba.score_batches(static, list(STATED_COLUMNS), STATED_WEIGHTS), *ba.TASKS)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .oracle import _EVENT_BASE, _FLAGS, _PREDS, _VITAL_KW, _valued, _with
+from ..operators import bootstrap as bs
+from .declared import STATED_COLUMNS, STATED_WEIGHTS
+from .oracle import _EVENT_BASE, _FLAGS, _PATIENTS, _PREDS, _VITAL_KW, _valued, _with
 
 ORACLE: dict[str, str] = {}
 
@@ -12,29 +14,52 @@ SELECT patient_id, CAST(hour_idx AS INTEGER) AS h_start,
        round(value, 6) AS value FROM vit_collapsed"""
 
 ORACLE["clip_outliers"] = """
-WITH q AS (SELECT l_suppkey, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3
-           FROM lineitem GROUP BY 1),
+WITH li AS (SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN l_suppkey % 10 <> 0 THEN l_suppkey END AS l_suppkey
+            FROM lineitem),
+q AS (SELECT l_suppkey, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3
+      FROM li GROUP BY 1),
 b AS (SELECT l_suppkey, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
 SELECT l_orderkey, l_linenumber, l.l_suppkey, round(greatest(lo, least(hi, l_extendedprice)), 6) AS v,
        l_extendedprice < lo OR l_extendedprice > hi AS clipped
-FROM lineitem l JOIN b ON b.l_suppkey = l.l_suppkey"""
+FROM li l JOIN b ON b.l_suppkey IS NOT DISTINCT FROM l.l_suppkey"""
 
 ORACLE["calibration_error"] = _with(_PREDS, """
 cb AS (SELECT task, least(floor(prediction * 10), 9) AS b, count(*) AS n, avg(prediction) AS p,
               avg(CASE WHEN target > 0.5 THEN 1.0 ELSE 0.0 END) AS y FROM bp GROUP BY 1, 2)""") + """
 SELECT task, CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(p - y)) / sum(n), 6) AS calibration_error FROM cb GROUP BY task"""
 
-ORACLE["bootstrap_intervals"] = _with(_PREDS, """
-w AS (SELECT task, rep, target > 0.5 AS t, prediction > 0.5 AS p,
-             ('0x' || substr(md5(task || ':' || patient_id || ':' || rep), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-      FROM bp, range(0, 101) AS r(rep)),
-k AS (SELECT task, rep, t, p, CASE WHEN rep = 0 THEN 1 ELSE
-        (SELECT count(*) FROM (VALUES (0.36787944117144233), (0.7357588823428847), (0.9196986029286058), (0.9810118431238462),
-          (0.9963401531726563), (0.9994058151824183), (0.9999167588507119), (0.9999897508033253), (0.999998874797402)) AS c(x)
-         WHERE w.u >= c.x) END AS n FROM w),
-cnt AS (SELECT task, rep, coalesce(sum(n) FILTER (WHERE t AND p), 0) AS tp, coalesce(sum(n) FILTER (WHERE NOT t AND p), 0) AS fp,
-             coalesce(sum(n) FILTER (WHERE NOT t AND NOT p), 0) AS tn, coalesce(sum(n) FILTER (WHERE t AND NOT p), 0) AS fn
-      FROM k GROUP BY 1, 2),
+def _polynomial(coefficients, x: str) -> str:
+    total = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        total = f"({total} * {x} + {c!r}::DOUBLE)"
+    return total
+
+
+def _normal_tail(p: str) -> str:
+    q = f"sqrt(-2.0 * ln({p}))"
+    return f"{_polynomial(bs.NORMAL_C, q)} / {_polynomial(bs.NORMAL_D, q)}"
+
+
+_Q = "(u - 0.5)"
+_NORMAL = f"""CASE WHEN u < {bs.NORMAL_TAIL} THEN {_normal_tail("u")} WHEN u > 1 - {bs.NORMAL_TAIL} THEN -({_normal_tail("(1.0 - u)")})
+  ELSE {_polynomial(bs.NORMAL_A, f"({_Q} * {_Q})")} * {_Q} / {_polynomial(bs.NORMAL_B, f"({_Q} * {_Q})")} END"""
+
+ORACLE["bootstrap_intervals"] = _with(_PREDS, f"""
+one AS (SELECT task, cell, count(*) FILTER (WHERE CASE cell WHEN 'tp' THEN t AND p WHEN 'fp' THEN NOT t AND p
+                                                            WHEN 'tn' THEN NOT t AND NOT p ELSE t AND NOT p END) AS n
+        FROM (SELECT task, target > 0.5 AS t, prediction > 0.5 AS p FROM bp), (VALUES ('tp'), ('fp'), ('tn'), ('fn')) AS c(cell)
+        GROUP BY 1, 2),
+w AS (SELECT *, (('0x' || substr(md5(task || ':' || cell || ':' || rep), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u
+      FROM one, range(0, 1001) AS r(rep)),
+cdf AS (SELECT n, sum(exp(i * ln(n) - n - lgamma(i + 1))) OVER (PARTITION BY n ORDER BY i) AS c
+        FROM (SELECT DISTINCT n FROM one WHERE n BETWEEN 1 AND {bs.EXACT_UP_TO}), range(0, {bs.TERMS}) AS k(i)),
+exact AS (SELECT task, cell, rep, count(*) FILTER (WHERE c <= u) AS k FROM w JOIN cdf USING (n) GROUP BY ALL),
+z AS (SELECT task, cell, rep, n, CAST(n AS DOUBLE) AS m, {_NORMAL} AS z FROM w),
+d AS (SELECT z.task, z.cell, z.rep, CASE WHEN z.rep = 0 OR n = 0 THEN n WHEN n <= {bs.EXACT_UP_TO} THEN k
+        ELSE greatest(0, CAST(ceil(m + sqrt(m) * z + (z * z - 1) / 6.0 + (z - z * z * z) / (72.0 * sqrt(m)) - 0.5) AS BIGINT)) END AS n
+      FROM z LEFT JOIN exact e ON e.task = z.task AND e.cell = z.cell AND e.rep = z.rep),
+cnt AS (SELECT task, rep, max(n) FILTER (WHERE cell = 'tp') AS tp, max(n) FILTER (WHERE cell = 'fp') AS fp,
+               max(n) FILTER (WHERE cell = 'tn') AS tn, max(n) FILTER (WHERE cell = 'fn') AS fn FROM d GROUP BY 1, 2),
 m AS (
   SELECT task, rep, 'precision' AS metric, coalesce(tp / nullif(tp + fp, 0), 0.0) AS v FROM cnt
   UNION ALL SELECT task, rep, 'recall', coalesce(tp / nullif(tp + fn, 0), 0.0) FROM cnt
@@ -45,11 +70,19 @@ SELECT task, metric, round(max(v) FILTER (WHERE rep = 0), 6) AS estimate,
        round(quantile_cont(v, 0.975) FILTER (WHERE rep > 0), 6) AS high
 FROM m GROUP BY task, metric"""
 
-ORACLE["bootstrap_intervals_full"] = ORACLE["bootstrap_intervals"].replace("range(0, 101)", "range(0, 1001)")
+
+def _stated(task: str) -> str:
+    weights, offset = STATED_WEIGHTS[task]
+    linear = " + ".join(f"{w!r}::DOUBLE * coalesce({c}, 0)" for c, w in zip(STATED_COLUMNS, weights)) + f" + ({offset!r}::DOUBLE)"
+    return f"round({linear}, 6)" if task == "length_of_stay" else f"round(1.0 / (1.0 + exp(-({linear}))), 6)"
+
+
+ORACLE["batch_scores"] = _with(_PATIENTS) + f"""
+SELECT patient_id, {", ".join(f"{_stated(t)} AS {t}" for t in STATED_WEIGHTS)} FROM stat"""
 
 ORACLE["multiple_testing"] = _with(_PREDS, """
 c AS (SELECT task, lang AS value, count(*) AS n, sum(CASE WHEN target > 0.5 THEN 1 ELSE 0 END) AS pos
-      FROM preds p JOIN documents d ON d.doc_id = p.patient_id WHERE task <> 'length_of_stay' GROUP BY 1, 2),
+      FROM every p JOIN documents d ON d.doc_id = p.patient_id WHERE task <> 'length_of_stay' AND target IS NOT NULL GROUP BY 1, 2),
 x AS (SELECT *, sum(n) OVER (PARTITION BY task) AS tn, sum(pos) OVER (PARTITION BY task) AS tpos,
              count(*) OVER (PARTITION BY task) AS m FROM c),
 y AS (SELECT *, tn - n AS rn, tpos - pos AS rpos, tpos / tn AS pool FROM x),
@@ -99,7 +132,7 @@ SELECT o_custkey AS patient_id, CASE WHEN min(o_orderdate) < TIMESTAMP '1996-01-
 FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1"""
 
 ORACLE["class_weights"] = _with(_PREDS, """
-cc AS (SELECT task, CAST(target > 0.5 AS INTEGER) AS label, count(*) AS n FROM preds WHERE task <> 'length_of_stay'
+cc AS (SELECT task, CAST(target > 0.5 AS INTEGER) AS label, count(*) AS n FROM every WHERE task <> 'length_of_stay' AND target IS NOT NULL
        GROUP BY 1, 2)""") + """
 SELECT task, label, n, round(sum(n) OVER (PARTITION BY task) / (count(*) OVER (PARTITION BY task) * n), 6) AS weight FROM cc"""
 

@@ -475,13 +475,46 @@ SELECT event_id, CAST(event_id % 8 AS INTEGER) AS form,
             ELSE date_trunc('day', ts) END AS parsed
 FROM events"""
 
-ORACLE["dtype_profile"] = """
-SELECT table_name, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-  WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>'
-  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP_NS' THEN 'timestamp_ntz' ELSE lower(data_type) END AS data_type
-FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN (
-  'region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages',
-  'benchmark', 'labels', 'conversations')"""
+#: Columns of the given tables and their types.
+_COLUMNS = {
+    "region": "r_regionkey:int r_name:string",
+    "nation": "n_nationkey:int n_name:string n_regionkey:int",
+    "customer": "c_custkey:bigint c_name:string c_nationkey:int c_acctbal:double c_mktsegment:string",
+    "supplier": "s_suppkey:bigint s_name:string s_nationkey:int s_acctbal:double",
+    "part": "p_partkey:bigint p_name:string p_brand:string p_type:string p_size:int p_retailprice:double",
+    "orders": "o_orderkey:bigint o_custkey:bigint o_orderstatus:string o_totalprice:double o_orderdate:timestamp_ntz "
+              "o_orderpriority:string",
+    "lineitem": "l_orderkey:bigint l_partkey:bigint l_suppkey:bigint l_linenumber:int l_quantity:double "
+                "l_extendedprice:double l_discount:double l_tax:double l_returnflag:string l_linestatus:string "
+                "l_shipdate:timestamp_ntz",
+    "events": "event_id:bigint ts:timestamp_ntz user_id:bigint event_type:string value:double props:string",
+    "documents": "doc_id:bigint text:string lang:string source:string n_chars:bigint",
+    "embeddings": "vec_id:bigint embedding:array<float> label:int",
+    "pages": "page_id:bigint url:string html:string",
+    "benchmark": "item_id:bigint text:string",
+    "labels": "doc_id:bigint quality:int toxic:int",
+    "conversations": "conv_id:bigint turn:bigint role:string text:string",
+}
+
+
+def _dtype_sql() -> str:
+    def column(table: str, name: str, kind: str) -> str:
+        text = f"CAST({name} AS VARCHAR)" if kind == "string" else "NULL::VARCHAR"
+        return f"""SELECT '{table}' AS table_name, '{name}' AS column_name, '{kind}' AS data_type, count(*) AS rows,
+  count({name}) AS n, count(*) FILTER (WHERE regexp_full_match({text}, '[+-]?[0-9]{{1,18}}')) AS ints,
+  count(*) FILTER (WHERE regexp_full_match({text}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')) AS numbers,
+  count(*) FILTER (WHERE {text} IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) AS booleans FROM {table}"""
+    parts = [column(t, *c.split(":")) for t, cs in _COLUMNS.items() for c in cs.split()]
+    return "WITH c AS (" + " UNION ALL ".join(parts) + """)
+SELECT table_name, column_name, data_type, n AS n_values,
+  CASE WHEN n = 0 THEN CASE WHEN rows = 0 THEN 'object' ELSE 'float64' END
+       WHEN data_type IN ('int', 'bigint') OR ints = n THEN CASE WHEN n = rows THEN 'int64' ELSE 'float64' END
+       WHEN data_type = 'double' OR numbers = n THEN 'float64'
+       WHEN booleans = n THEN CASE WHEN n = rows THEN 'bool' ELSE 'object' END
+       WHEN data_type = 'timestamp_ntz' THEN 'datetime64' ELSE 'object' END AS inferred_type FROM c"""
+
+
+ORACLE["dtype_profile"] = _dtype_sql()
 
 ORACLE["undated_patients"] = """
 SELECT c_custkey AS patient_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE ts IS NOT NULL)"""
@@ -608,16 +641,17 @@ SELECT st.patient_id, """ + ", ".join(
 # Metrics -------------------------------------------------------------------
 
 _PREDS = """
-lab AS (SELECT l.doc_id, CAST(d.n_chars AS DOUBLE) / 20000.0 AS s, CAST(l.quality AS DOUBLE) AS quality,
-               CAST(l.toxic AS DOUBLE) AS toxic
+lab AS (SELECT l.doc_id, CASE WHEN l.doc_id % 29 <> 0 THEN CAST(d.n_chars AS DOUBLE) / 20000.0 END AS s,
+               CAST(l.quality AS DOUBLE) AS quality, CASE WHEN l.doc_id % 37 <> 0 THEN CAST(l.toxic AS DOUBLE) END AS toxic
         FROM labels l JOIN documents d USING (doc_id)),
-preds AS (
+every AS (
   SELECT doc_id AS patient_id, 'mortality_risk' AS task, s AS prediction, quality AS target FROM lab
   UNION ALL SELECT doc_id, 'icu_admission', s, toxic FROM lab
   UNION ALL SELECT doc_id, 'ventilator_need', (s - 0.5) * 4.0, quality FROM lab
   UNION ALL SELECT l_orderkey * 8 + l_linenumber, 'length_of_stay',
-                   l_quantity * p_retailprice / 1000.0, l_extendedprice / 1000.0
+                   CASE WHEN l_orderkey % 31 <> 0 THEN l_quantity * p_retailprice / 1000.0 END, l_extendedprice / 1000.0
             FROM lineitem JOIN part ON p_partkey = l_partkey),
+preds AS (SELECT * FROM every WHERE prediction IS NOT NULL AND target IS NOT NULL),
 bp AS (
   SELECT p.patient_id, p.task,
          CASE WHEN b.logit THEN 1.0 / (1.0 + exp(-p.prediction)) ELSE p.prediction END AS prediction, p.target

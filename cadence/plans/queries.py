@@ -417,7 +417,7 @@ def missing_by_table(spark, sf_dir):
 @query("dtype_profile")
 def dtype_profile(spark, sf_dir):
     """Q10 over all tables."""
-    return qa.dtype_profile(spark, {n: bd.read_table(spark, sf_dir, n) for n in DRIVER_TABLES})
+    return qa.dtype_profile({n: bd.read_table(spark, sf_dir, n) for n in DRIVER_TABLES})
 
 
 @query("patient_issues")

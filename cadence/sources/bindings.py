@@ -170,11 +170,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     document scores n_chars / 20000 against the quality / toxic labels (the
     ventilator task gets an unbounded score so the logistic step applies),
     and a regression pair from line items: price estimate vs extended price
-    (both / 1000)."""
+    (both / 1000). Some rows lack a prediction (documents and orders by key) or
+    a target (toxic labels), as rows of patients without a score do."""
     lab = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
     doc = read_table(spark, sf_dir, "documents", ["doc_id", "n_chars"])
     x = lab.join(doc, "doc_id")
-    s = F.col("n_chars") / F.lit(20000.0)
+    s = F.when(F.col("doc_id") % 29 != 0, F.col("n_chars") / F.lit(20000.0))
+    x = x.withColumn("toxic", F.when(F.col("doc_id") % 37 != 0, F.col("toxic")))
     base = lambda task, p, t: x.select(F.col("doc_id").alias("patient_id"), F.lit("test").alias("split"),
                                        F.lit(task).alias("task"), p.cast("double").alias("prediction"),
                                        F.col(t).cast("double").alias("target"))
@@ -184,7 +186,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = li.join(pt, li.l_partkey == pt.p_partkey).select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("patient_id"), F.lit("test").alias("split"),
         F.lit("length_of_stay").alias("task"),
-        (F.col("l_quantity") * F.col("p_retailprice") / 1000.0).alias("prediction"),
+        F.when(F.col("l_orderkey") % 31 != 0, F.col("l_quantity") * F.col("p_retailprice") / 1000.0).alias("prediction"),
         (F.col("l_extendedprice") / 1000.0).alias("target"))
     return (base("mortality_risk", s, "quality")
             .unionByName(base("icu_admission", s, "toxic"))

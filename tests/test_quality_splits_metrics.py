@@ -196,10 +196,10 @@ def test_auroc_counts_beyond_long(spark):
 
 def test_hot_group_is_split_across_partitions(spark):
     # one entity holds a third of all rows: range partitioning must cut it
-    from cadence.operators.ranking import _tagged
+    from cadence.operators.ranking import tagged
     rows = [("hot" if i % 3 == 0 else f"p{i % 97}", i) for i in range(6000)]
     df = spark.createDataFrame(rows, "g string, o int")
-    sizes = [r["n"] for r in _tagged(df, ["g"], ["o"], 12).groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()]
+    sizes = [r["n"] for r in tagged(df, ["g"], ["o"], 12).groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) >= 10 and max(sizes) < 2 * 6000 / 12
     hot = ranked(df, ["g"], ["o"], num_partitions=12).where(F.col("g") == "hot").orderBy("o").collect()
     assert [r["rn"] for r in hot] == list(range(1, 2001))
