@@ -9,12 +9,16 @@ fixed-size row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vocab import STATIC_FEATURES, TEMPORAL_CATEGORIES, Vocab, any_keyword
 from . import timeline as tl
@@ -96,31 +100,46 @@ def fit_channel_scaler(segments: DataFrame, train_anchors: DataFrame, n_channels
     return out
 
 
+#: Patients whose grids a task holds at once (75 KB each at 720 x 26).
+GRID_PATIENTS = 64
+
+
 def dense_matrix(segments: DataFrame, anchors: DataFrame, n_channels: int, grid_len: int = tl.GRID_LEN,
                  scaler: dict[int, tuple[float, float]] | None = None) -> DataFrame:
     """Per patient ``temporal ARRAY<ARRAY<FLOAT>>[grid_len][n_channels]``,
     zero-filled (J5), optionally standard-scaled per channel (F8) with the
     scaled value of 0 used for empty cells; NaN/NULL -> 0 (F9).
 
-    One shuffle by patient: its segments are expanded, pivoted to the hours
-    that have cells (at most ``grid_len`` per patient), gathered in one map and
-    laid over the grid; the grid itself is never joined."""
-    def scaled(c: int, v):
-        m, s = scaler.get(c, (0.0, 1.0)) if scaler is not None else (0.0, 1.0)
-        v = (F.coalesce(v, F.lit(0.0)) - F.lit(m)) / F.lit(s)
-        return F.coalesce(F.nanvl(v, F.lit(None).cast("double")), F.lit(0.0)).cast("float")
-
-    cells = tl.expand_segments(segments.repartition("patient_id"))
-    wide = cells.groupBy("patient_id", "hour_idx").agg(*[
-        F.first(F.when(F.col("ch") == c, F.col("value").cast("double")), ignorenulls=True).alias(f"_c{c}")
-        for c in range(n_channels)])
-    rows = wide.select("patient_id", "hour_idx", F.array(*[scaled(c, F.col(f"_c{c}")) for c in range(n_channels)]).alias("_row"))
-    per = rows.groupBy("patient_id").agg(F.map_from_entries(F.collect_list(F.struct("hour_idx", "_row"))).alias("_rows"))
-    blank = F.array(*[scaled(c, F.lit(None).cast("double")) for c in range(n_channels)])
-    grid = F.sequence(F.lit(0), F.lit(grid_len - 1))
-    return anchors.select("patient_id").join(per, "patient_id", "left").select(
-        "patient_id", F.when(F.col("_rows").isNull(), F.transform(grid, lambda h: blank))
-        .otherwise(F.transform(grid, lambda h: F.coalesce(F.col("_rows")[h], blank))).alias("temporal"))
+    One shuffle by patient gathers its run-length segments (at most
+    ``grid_len * n_channels``, however many events it has); tasks lay them over
+    blank grids, a few patients at a time in Arrow batches. Neither hours nor cells
+    are ever rows."""
+    mean, std = (np.array([(scaler or {}).get(c, (0.0, 1.0))[i] for c in range(n_channels)]) for i in (0, 1))
+    id_type = anchors.schema["patient_id"].dataType
+    schema = T.StructType([T.StructField("patient_id", id_type), T.StructField("temporal", T.ArrayType(T.ArrayType(T.FloatType())))])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), GRID_PATIENTS):
+                part = batch.slice(at, GRID_PATIENTS)
+                lists = part.column("segments")
+                seg = lists.flatten()
+                ch, start, end, value = (seg.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                counts = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+                hours = (end - start + 1).astype(np.int64)
+                first = np.repeat(np.cumsum(hours) - hours, hours)
+                grid = np.zeros((len(part), grid_len, n_channels))
+                grid[np.repeat(np.repeat(np.arange(len(part)), counts), hours),
+                     np.repeat(start, hours) + np.arange(hours.sum()) - first, np.repeat(ch, hours)] = np.repeat(value, hours)
+                cells = np.nan_to_num((grid - mean) / std, nan=0.0, posinf=np.inf, neginf=-np.inf).astype(np.float32)
+                rows = pa.ListArray.from_arrays(np.arange(len(part) * grid_len + 1, dtype=np.int32) * n_channels, pa.array(cells.ravel()))
+                temporal = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * grid_len, rows)
+                yield pa.RecordBatch.from_arrays([part.column("patient_id"), temporal], names=["patient_id", "temporal"])
+
+    seg = F.struct(F.col("ch").cast("int"), F.col("h_start").cast("int"), F.col("h_end").cast("int"), F.col("value").cast("double"))
+    per = segments.where(F.col("value").isNotNull() & (F.col("ch") < n_channels)).groupBy("patient_id").agg(
+        F.collect_list(seg).alias("segments"))
+    return anchors.select("patient_id").join(per, "patient_id", "left").select("patient_id", "segments").mapInArrow(fill, schema)
 
 
 def pad_or_truncate(arr_col, length: int, width: int | None = None) -> F.Column:
@@ -147,12 +166,14 @@ def model_ready(static: DataFrame, temporal: DataFrame, targets: DataFrame, spli
     x = split.select("patient_id", "split").join(st, "patient_id", "left").join(temporal, "patient_id", "left") \
              .join(targets, "patient_id", "left")
     has = F.col("temporal").isNotNull()
+    shaped = (F.size("temporal") == grid_len) & F.forall("temporal", lambda r: F.size(r) == n_channels)
     zero_static = F.array_repeat(F.lit(0.0).cast("float"), len(STATIC_FEATURES))
     zero_temporal = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), n_channels), grid_len)
     steps = F.transform(F.sequence(F.lit(0), F.lit(grid_len - 1)), lambda i: (i * F.lit(float(step_hours))).cast("float"))
     return x.select(
         "patient_id", "split", F.coalesce(F.col("static"), zero_static).alias("static"),
-        F.when(has, pad_or_truncate(F.col("temporal"), grid_len, n_channels)).otherwise(zero_temporal).alias("temporal"),
+        F.when(shaped, F.col("temporal")).when(has, pad_or_truncate(F.col("temporal"), grid_len, n_channels))
+        .otherwise(zero_temporal).alias("temporal"),
         F.when(has, steps).otherwise(F.array_repeat(F.lit(0.0).cast("float"), grid_len)).alias("time_index"),
         F.when(has, F.lit(grid_len)).otherwise(F.lit(0)).cast("long").alias("sequence_length"),
         *[F.coalesce(F.col(t), F.lit(0.0)).cast("float").alias(t) for t in TARGETS])

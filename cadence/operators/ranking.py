@@ -23,7 +23,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -114,6 +114,52 @@ def ranked(df: DataFrame, by: list[str], order: list, out: str = "rn",
              .drop("_pid", "_mid", "_first", "_off"))
 
 
+#: Rows around a cut that are ordered exactly when a cut point is sought.
+CUT_ROWS = 100_000
+
+
+def _up_to(row: Row, order: list[str]) -> F.Column:
+    """Whether a row stands at or before ``row`` in ascending ``order`` (NULLs first)."""
+    out = F.lit(True)
+    for c in reversed(order):
+        before = F.lit(False) if row[c] is None else F.col(c).isNull() | (F.col(c) < F.lit(row[c]))
+        out = before | (F.col(c).eqNullSafe(F.lit(row[c])) & out)
+    return out
+
+
+def first_rows(df: DataFrame, key: str, ties: list[str], ranks: list[int], n: int | None = None) -> list[F.Column]:
+    """For each of ``ranks`` whether a row is among that many first ones of ``df`` ordered by the number or time
+    ``key`` (never NULL), then ``ties``.
+
+    A quantile sketch brackets the key of each rank, counts place the bracket, and only the rows inside are
+    ordered, at most ``CUT_ROWS`` of them as a top-k; where more rows share the bracket (ties), they are ranked by
+    ``ranked``. No other row is sorted or written; the conditions compare with the row at the rank. ``n``: the
+    number of rows, if known.
+    """
+    n = df.count() if n is None else n
+    inner = {r for r in ranks if 0 < r < n}
+    rows: dict[int, Row] = {}
+    order, column = [key, *ties], F.col(key)
+    bracket, counts = {r: F.lit(True) for r in inner}, {f"{x}{r}": 0 if x == "below" else n for r in inner for x in ("below", "in")}
+    if inner and n > CUT_ROWS:
+        slack = 2.0 / CUT_ROWS  # as a share of the rows: far above the sketch's error
+        near = {r: [max(0.0, (r - 0.5) / n - slack), min(1.0, (r - 0.5) / n + slack)] for r in inner}
+        ends = df.agg(*[F.percentile_approx(key, near[r], CUT_ROWS * 10).alias(str(r)) for r in inner]).first()
+        bracket = {r: column.between(F.lit(ends[str(r)][0]), F.lit(ends[str(r)][1])) for r in inner}
+        counts = df.agg(*[x for r in inner for x in (F.count_if(column < F.lit(ends[str(r)][0])).alias(f"below{r}"),
+                                                     F.count_if(bracket[r]).alias(f"in{r}"))]).first()
+    for r in inner:
+        inside, k = df.where(bracket[r]), r - counts[f"below{r}"]
+        if not 1 <= k <= counts[f"in{r}"]:  # the sketch missed: all rows
+            inside, k = df, r
+        inside = inside.select(*order)
+        if k <= CUT_ROWS:
+            rows[r] = inside.orderBy(*order).limit(k).orderBy(*[F.col(c).desc() for c in order]).first()
+        else:
+            rows[r] = ranked(inside, [], order, "_rn").where(F.col("_rn") == k).first()
+    return [_up_to(rows[r], order) if r in rows else F.lit(r >= n and n > 0) for r in ranks]
+
+
 def running_sums(df: DataFrame, by: list[str], order: str, cols: list[str],
                  prefix: str = "cum_", num_partitions: int | None = None,
                  inclusive: bool = True) -> DataFrame:

@@ -1,9 +1,11 @@
 """Patient-level train / validation / test splits.
 
-Ordering is always a total order computed on the cluster (skew-safe
-``ranked``); the only driver work is turning the patient count into cut
-points with the same float formulas the reference uses, and (stratified
-split) pulling at most ``9 * min_pos`` pre-assigned ids.
+Splits of an order are two cut points: the rows at two ranks are found by a
+quantile sketch and exact counts (``first_rows``), and every patient is compared with
+them, so the patients are neither sorted nor written. The only driver work is
+turning the patient count into ranks with the same float formulas the
+reference uses, the two rows, and (stratified split) at most ``9 * min_pos``
+pre-assigned ids.
 
 Random orders are ``md5("patient_id:seed")`` (ties by id), so
 they are reproducible run to run and independent of partitioning.
@@ -12,12 +14,14 @@ they are reproducible run to run and independent of partitioning.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import ranked
+from .ranking import first_rows
+
 
 class CannotSplit(ValueError):
     """The data doesn't allow this split; the message says why."""
@@ -33,8 +37,18 @@ def temporal_cut_points(n: int, test_size: float = 0.1, validation_size: float =
     return val_end, test_end
 
 
-def _assign(rn: F.Column, val_end: int, test_end: int) -> F.Column:
-    return F.when(rn <= val_end, "train").when(rn <= test_end, "validation").otherwise("test")
+def _cut(df: DataFrame, order: list[str], ranks: Callable[[int], tuple[int, int]], names: tuple[str, str, str],
+         keep: list[str]) -> DataFrame:
+    """``keep`` and the split of every row: ``names[0]`` up to the first of ``ranks`` (of the number of rows),
+    ``names[1]`` up to the second, then ``names[2]``. ``df`` is held while the cuts are sought and computed anew
+    for the result."""
+    held = df.persist()
+    try:
+        n = held.count()
+        first, second = first_rows(held, order[0], order[1:], list(ranks(n)), n)
+    finally:
+        held.unpersist()
+    return df.select(*keep, F.when(first, names[0]).when(second, names[1]).otherwise(names[2]).alias("split"))
 
 
 def temporal_split(observations: DataFrame, test_size: float = 0.1, validation_size: float = 0.15) -> DataFrame:
@@ -42,12 +56,12 @@ def temporal_split(observations: DataFrame, test_size: float = 0.1, validation_s
     to train, latest to test. Patients without dated observations are not
     assigned (see ``temporal_split_dropped``)."""
     first = observations.where(F.col("ts").isNotNull()).groupBy("patient_id").agg(F.min("ts").alias("first_ts"))
-    n = first.count()
-    if not n:
-        raise CannotSplit("no dated observations")
-    val_end, test_end = temporal_cut_points(n, test_size, validation_size)
-    r = ranked(first, [], ["first_ts", "patient_id"], "rn")
-    return r.select("patient_id", "first_ts", _assign(F.col("rn"), val_end, test_end).alias("split"))
+    def ranks(n: int) -> tuple[int, int]:
+        if not n:
+            raise CannotSplit("no dated observations")
+        return temporal_cut_points(n, test_size, validation_size)
+
+    return _cut(first, ["first_ts", "patient_id"], ranks, ("train", "validation", "test"), ["patient_id", "first_ts"])
 
 
 def temporal_split_dropped(patients: DataFrame, observations: DataFrame) -> DataFrame:
@@ -60,18 +74,24 @@ def hash_order(df: DataFrame, seed: int) -> F.Column:
     return F.md5(F.concat_ws(":", F.col("patient_id"), F.lit(seed)))
 
 
+#: The seeded order: a number from the hash's first digits, the hash, the id.
+HASHED = ["_n", "_h", "patient_id"]
+
+
+def _hashed(df: DataFrame, seed: int) -> DataFrame:
+    x = df.withColumn("_h", hash_order(df, seed))
+    return x.withColumn("_n", F.conv(F.substring("_h", 1, 12), 16, 10).cast("long"))
+
+
 def random_split(patients: DataFrame, test_size: float = 0.1, validation_size: float = 0.15,
                  seed: int = 42) -> DataFrame:
     """Test share of all, then validation share of the rest (sizes as
     the reference's splitter: ceil of the test fraction)."""
-    n = patients.count()
-    n_test = math.ceil(n * test_size)
-    rest = n - n_test
-    n_val = math.ceil(rest * (validation_size / (1 - test_size)))
-    x = patients.select("patient_id", hash_order(patients, seed).alias("_h"))
-    r = ranked(x, [], ["_h", "patient_id"], "rn")
-    split = F.when(F.col("rn") <= n_test, "test").when(F.col("rn") <= n_test + n_val, "validation").otherwise("train")
-    return r.select("patient_id", split.alias("split"))
+    def ranks(n: int) -> tuple[int, int]:
+        n_test = math.ceil(n * test_size)
+        return n_test, n_test + math.ceil((n - n_test) * (validation_size / (1 - test_size)))
+
+    return _cut(_hashed(patients.select("patient_id"), seed), HASHED, ranks, ("test", "validation", "train"), ["patient_id"])
 
 
 def stratified_split(flags: DataFrame, test_size: float = 0.1, validation_size: float = 0.15,
@@ -109,10 +129,8 @@ def stratified_split(flags: DataFrame, test_size: float = 0.1, validation_size:
     need_test = max(0, n_test - counts["test"])
     need_val = max(0, n_val - counts["validation"])
     rest = h if pre is None else h.join(F.broadcast(pre.select("patient_id")), "patient_id", "left_anti")
-    r = ranked(rest.select("patient_id", "_h"), [], ["_h", "patient_id"], "rn")
-    fill = (F.when(F.col("rn") <= need_test, "test").when(F.col("rn") <= need_test + need_val, "validation")
-             .otherwise("train"))
-    out = r.select("patient_id", fill.alias("split"))
+    out = _cut(_hashed(rest.select("patient_id"), seed), HASHED, lambda _: (need_test, need_test + need_val),
+               ("test", "validation", "train"), ["patient_id"])
     return out if pre is None else out.unionByName(pre)
 
 

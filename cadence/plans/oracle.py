@@ -173,8 +173,10 @@ ORACLE["hourly_vitals_text"] = _with(
 SELECT patient_id, hour_idx, round(value, 6) AS value FROM vit_collapsed"""
 
 ORACLE["dense_grid_zero_fill"] = _with(_EVENT_BASE, _VITAL_KW, _valued("vkw", "vit")) + """
-SELECT g.patient_id, g.hour_idx, round(coalesce(v.value, 0), 6) AS value
-FROM grid g LEFT JOIN vit_collapsed v ON v.patient_id = g.patient_id AND v.hour_idx = g.hour_idx"""
+SELECT g.patient_id, count(*) AS hours, count(*) FILTER (WHERE coalesce(v.value, 0) <> 0) AS filled,
+       CAST(max(g.hour_idx) AS INTEGER) AS last_hour,
+       CAST(sum((g.hour_idx * 7919 + 13) % 10007 * CAST(round(round(coalesce(v.value, 0), 6) * 10000) AS BIGINT)) AS BIGINT) AS digest
+FROM grid g LEFT JOIN vit_collapsed v ON v.patient_id = g.patient_id AND v.hour_idx = g.hour_idx GROUP BY 1"""
 
 ORACLE["relative_time"] = _with(_EVENT_BASE) + """
 SELECT e.event_id, e.user_id AS patient_id, ((epoch_us(e.ts - a.t0) + 1800) // 3600) / 1000000.0 AS rel_hours
@@ -811,7 +813,7 @@ UNION ALL SELECT patient_id, split, 'sequence_length', 0, 720.0 FROM tsplit
 """ + "\n".join(f"UNION ALL SELECT t.patient_id, t.split, '{c}', 0, round(CAST(CAST(tg.{c} AS FLOAT) AS DOUBLE), 4) FROM tsplit t "
                 f"JOIN tg USING (patient_id)" for c in ("mortality_risk", "icu_admission", "ventilator_need", "length_of_stay"))
 
-ORACLE["model_ready_cells"] = _with(_ESPLIT, """
+_SCALED_CELLS = """
 raw AS (""" + ORACLE["temporal_channels"] + """),
 n AS (SELECT count(*) * 720.0 AS n FROM tsplit WHERE split = 'train'),
 fit AS (SELECT c.ch, coalesce(sum(r.value), 0) / max(n.n) AS m,
@@ -819,21 +821,45 @@ fit AS (SELECT c.ch, coalesce(sum(r.value), 0) / max(n.n) AS m,
                              - (coalesce(sum(r.value), 0) / max(n.n)) ** 2, 0)) AS s
         FROM n, range(0, 18) AS c(ch) LEFT JOIN (SELECT * FROM raw WHERE patient_id IN (
           SELECT patient_id FROM tsplit WHERE split = 'train')) r ON r.ch = c.ch GROUP BY c.ch),
-z AS (SELECT raw.*, (value - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS z, -m / CASE WHEN s > 0 THEN s ELSE 1 END AS z0
-      FROM raw JOIN fit USING (ch))""") + """
-SELECT patient_id, 720 AS hours, 18 AS channels, CAST(hour_idx AS INTEGER) AS hour_idx, CAST(ch AS INTEGER) AS ch,
-       round(CAST(CAST(z AS FLOAT) AS DOUBLE), 3) AS value FROM z WHERE abs(z - z0) > 1e-5"""
-
-ORACLE["batch_members"] = _with(_ESPLIT, """
+z0 AS (SELECT ch, m, CASE WHEN s > 0 THEN s ELSE 1 END AS s, -m / CASE WHEN s > 0 THEN s ELSE 1 END AS z0 FROM fit),
+z AS (SELECT raw.*, (value - m) / s AS z, z0 FROM raw JOIN z0 USING (ch)),
+k AS (SELECT *, CAST(round(CAST(CAST(z AS FLOAT) AS DOUBLE) * 1000) AS BIGINT) AS k,
+             CAST(round(CAST(CAST(z0 AS FLOAT) AS DOUBLE) * 1000) AS BIGINT) AS k0 FROM z)"""
+
+ORACLE["model_ready_cells"] = _with(_ESPLIT, _SCALED_CELLS, """
+base AS (SELECT ch, sum((h * 7919 + 13) % 10007) * CAST(round(CAST(CAST(z0 AS FLOAT) AS DOUBLE) * 1000) AS BIGINT) AS d
+         FROM z0, range(0, 720) AS r(h) GROUP BY ch, z0),
+more AS (SELECT patient_id, ch, count(*) FILTER (WHERE abs(z - z0) > 1e-5) AS filled,
+                sum((hour_idx * 7919 + 13) % 10007 * (k - k0)) AS d FROM k GROUP BY 1, 2)""") + """
+SELECT t.patient_id, CAST(b.ch AS INTEGER) AS ch, 720 AS hours, 18 AS channels, coalesce(m.filled, 0) AS filled,
+       CAST(b.d + coalesce(m.d, 0) AS BIGINT) AS digest
+FROM tsplit t, base b LEFT JOIN more m ON m.patient_id = t.patient_id AND m.ch = b.ch"""
+
+_TARGET_COLUMNS = ("mortality_risk", "icu_admission", "ventilator_need", "length_of_stay")
+
+ORACLE["batch_members"] = _with(_PATIENTS, _ESPLIT, _SCALED_CELLS, """
 tg AS (""" + ORACLE["targets"] + """),
+mine AS (SELECT * FROM stat WHERE patient_id IN (SELECT patient_id FROM tsplit)),
+sfit AS (SELECT """ + ", ".join(
+    f"avg({c}) AS {c}_m, CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS {c}_s"
+    for c in _SCALED_COLS) + """
+        FROM mine WHERE patient_id IN (SELECT patient_id FROM tsplit WHERE split = 'train')),
+st AS (SELECT m.patient_id, """ + " + ".join(
+    f"{(i * 7919 + 13) % 10007} * CAST(round(CAST(CAST("
+    + (f"coalesce((m.{c} - sfit.{c}_m) / sfit.{c}_s, 0.0)" if c in _SCALED_COLS else f"m.{c}")
+    + " AS FLOAT) AS DOUBLE) * 1000) AS BIGINT)" for i, c in enumerate(_ALL_STATIC)) + """ AS static_digest FROM mine m, sfit),
+base AS (SELECT sum(((h * 18 + ch) * 7919 + 13) % 10007 * CAST(round(CAST(CAST(z0 AS FLOAT) AS DOUBLE) * 1000) AS BIGINT)) AS d
+         FROM z0, range(0, 720) AS r(h)),
+more AS (SELECT patient_id, sum(((hour_idx * 18 + ch) * 7919 + 13) % 10007 * (k - k0)) AS d FROM k GROUP BY 1),
+ti AS (SELECT sum((h * 7919 + 13) % 10007 * h * 1000) AS d FROM range(0, 720) AS r(h)),
 r AS (SELECT patient_id, split, row_number() OVER (PARTITION BY split ORDER BY
              CASE WHEN split = 'train' THEN md5(patient_id || ':42') ELSE '' END, patient_id) - 1 AS rn FROM tsplit)""") + """
 SELECT split, rn // 32 AS batch_id, CAST(count(*) OVER (PARTITION BY split, rn // 32) AS INTEGER) AS batch_len,
        CAST(rn % 32 AS INTEGER) AS position, r.patient_id, CAST(720 AS BIGINT) AS sequence_length,
-       """ + ", ".join(f"round(CAST(CAST(tg.{c} AS FLOAT) AS DOUBLE), 4) AS {c}"
-                      for c in ("mortality_risk", "icu_admission", "ventilator_need", "length_of_stay")) + """,
-       15 AS static_size, 720 AS temporal_size, 720 AS time_index_size
-FROM r JOIN tg USING (patient_id)"""
+       """ + ", ".join(f"round(CAST(CAST(tg.{c} AS FLOAT) AS DOUBLE), 4) AS {c}" for c in _TARGET_COLUMNS) + """,
+       15 AS static_size, 720 AS temporal_size, 720 AS time_index_size, CAST(st.static_digest AS BIGINT) AS static_digest,
+       CAST(base.d + coalesce(more.d, 0) AS BIGINT) AS temporal_digest, CAST(ti.d AS BIGINT) AS time_index_digest
+FROM r JOIN tg USING (patient_id) JOIN st USING (patient_id) LEFT JOIN more USING (patient_id), base, ti"""
 
 ORACLE["feature_catalogue"] = _with(_PATIENTS) + """
 SELECT k.kind, CAST(k.position AS INTEGER) AS position, k.name, round(CASE k.name """ + " ".join(

@@ -206,11 +206,25 @@ def derived_features(spark, sf_dir):
     return derived_static(spark, sf_dir).join(stats, "patient_id")
 
 
+def place_weight(place):
+    """A weight of a cell's place, for digests: sums of weight x value don't depend on the order of rows."""
+    return (place.cast("long") * 7919 + 13) % 10007
+
+
+def whole(value, scale: int):
+    return F.round(value.cast("double") * scale).cast("long")
+
+
 @query("dense_grid_zero_fill")
 def dense_grid_zero_fill(spark, sf_dir):
+    """The whole zero-filled grid, compared by one digest per patient (a weighted sum over its cells)."""
     roles, _, anchors = _event_timeline(spark, sf_dir, with_intervals=False)
     wide = tl.hourly_values_wide(roles.observations, anchors, bd.EVENT_VITALS, True)
-    return _r(tl.dense_grid(tl.hourly_collapsed(wide), anchors), "value")
+    grid = tl.dense_grid(tl.hourly_collapsed(wide), anchors)
+    v = whole(F.round("value", 6), 10_000)
+    return grid.groupBy("patient_id").agg(
+        F.count(F.lit(1)).alias("hours"), F.count_if(F.col("value") != 0).alias("filled"), F.max("hour_idx").alias("last_hour"),
+        F.sum(place_weight(F.col("hour_idx")) * v).alias("digest"))
 
 
 @query("relative_time")
@@ -702,14 +716,16 @@ def model_ready_fields(spark, sf_dir):
 
 @query("model_ready_cells")
 def model_ready_cells(spark, sf_dir):
-    """S9 exploded: the shape of every temporal matrix and each of its cells that
-    differs from the scaled value of an empty cell."""
+    """Every temporal matrix, per channel: its shape, how many cells differ from the scaled value of an
+    empty cell, and a digest of all cells."""
     m, params = _model_ready(spark, sf_dir)
     empty = F.array(*[F.lit(-mean / std) for _, (mean, std) in sorted(params.items())])
     rows = m.select("patient_id", F.size("temporal").alias("hours"), F.posexplode("temporal").alias("hour_idx", "_row"))
     cells = rows.select("patient_id", "hours", F.size("_row").alias("channels"), "hour_idx", F.posexplode("_row").alias("ch", "v"))
-    cells = cells.where(F.abs(F.col("v").cast("double") - F.element_at(empty, F.col("ch") + 1)) > 1e-5)
-    return cells.select("patient_id", "hours", "channels", "hour_idx", "ch", F.round(F.col("v").cast("double"), 3).alias("value"))
+    differs = F.abs(F.col("v").cast("double") - F.element_at(empty, F.col("ch") + 1)) > 1e-5
+    return cells.groupBy("patient_id", "ch").agg(
+        F.max("hours").alias("hours"), F.max("channels").alias("channels"), F.count_if(differs).alias("filled"),
+        F.sum(place_weight(F.col("hour_idx")) * whole(F.col("v"), 1000)).alias("digest"))
 
 
 @query("batch_assembly")
@@ -720,12 +736,18 @@ def batch_assembly(spark, sf_dir):
 
 @query("batch_members")
 def batch_members(spark, sf_dir):
-    """S10 exploded: the members of every batch in order, with their scalar fields
-    and the sizes of their arrays."""
+    """S10 exploded: the members of every batch in order, with their scalar fields, the sizes of their arrays and
+    digests of the arrays' contents."""
     b = ex.batches(_model_ready(spark, sf_dir)[0], 32)
     scalars = ("patient_id", "sequence_length", *ex.TARGETS)
     sizes = [F.transform(c, F.size).alias(f"{c}_size") for c in ("static", "temporal", "time_index")]
+    zero = F.lit(0).cast("long")
+
+    def digest(values):
+        return F.aggregate(F.transform(values, lambda v, i: place_weight(i) * whole(v, 1000)), zero, lambda x, y: x + y)
+    sizes += [F.transform("static", digest).alias("static_digest"), F.transform("time_index", digest).alias("time_index_digest"),
+              F.transform("temporal", lambda m: digest(F.flatten(m))).alias("temporal_digest")]
     x = b.select("split", "batch_id", "batch_len", F.posexplode(F.arrays_zip(*[F.col(c) for c in scalars], *sizes)).alias("position", "m"))
     return x.select("split", "batch_id", "batch_len", "position", "m.patient_id", "m.sequence_length",
                     *[F.round(F.col(f"m.{t}").cast("double"), 4).alias(t) for t in ex.TARGETS],
-                    *[F.col(f"m.{c}_size").alias(f"{c}_size") for c in ("static", "temporal", "time_index")])
+                    *[F.col(f"m.{c}_{of}").alias(f"{c}_{of}") for c in ("static", "temporal", "time_index") for of in ("size", "digest")])

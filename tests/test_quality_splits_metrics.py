@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from cadence.operators import metrics as me
@@ -241,3 +242,33 @@ def test_ranking_keeps_null_groups(spark):
     agg = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 1, 5)], "g string, o int, c int")
     cs = {(x["g"], x["o"]): x["cum_c"] for x in running_sums(agg, ["g"], "o", ["c"]).collect()}
     assert cs == {(None, 1): 2, (None, 2): 5, ("a", 1): 5}
+
+
+@pytest.mark.parametrize("rows,bound", [
+    ([(i * 7919 % 1000, f"p{i % 13}", i) for i in range(1000)], 100_000), ([(i * 7919 % 1000, f"p{i % 13}", i) for i in range(1000)], 5),
+    ([(5, None if i % 50 == 0 else f"p{i}", i) for i in range(300)], 100_000), ([(5, f"p{i}", i) for i in range(300)], 10),
+    ([(1, "a", 0)], 10), ([], 10), ([(i // 200, f"p{i % 3}", i) for i in range(600)], 20)])
+def test_first_rows_are_those_of_a_full_sort(spark, monkeypatch, rows, bound):
+    from cadence.operators import ranking
+    monkeypatch.setattr(ranking, "CUT_ROWS", bound)
+    df = spark.createDataFrame(rows, "k long, name string, id long").repartition(3)
+    want = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2]))
+    ranks = [0, 1, len(rows) // 3, len(rows) // 2, len(rows) - 1, len(rows), len(rows) + 5]
+    for r, first in zip(ranks, ranking.first_rows(df, "k", ["name", "id"], ranks)):
+        assert sorted(x["id"] for x in df.where(first).collect()) == sorted(x[2] for x in want[:max(0, r)])
+
+
+def test_temporal_split_neither_sorts_nor_writes(spark, monkeypatch):
+    import os
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(base))
+    from cadence.operators import ranking
+    monkeypatch.setattr(ranking, "CUT_ROWS", 50)
+    obs = spark.range(2000).select((F.col("id") % 500).alias("patient_id"), F.timestamp_micros(F.col("id") * 1000003 % 977 * 1000000).cast("timestamp_ntz").alias("ts"))
+    split = sp.temporal_split(obs)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Sort [" not in plan and set(os.listdir(base)) == before
+    got = {r["patient_id"]: r["split"] for r in split.collect()}
+    first = sorted((min((i * 1000003 % 977) for i in range(p, 2000, 500)), p) for p in range(500))
+    val_end, test_end = sp.temporal_cut_points(500)
+    assert got == {p: "train" if i < val_end else "validation" if i < test_end else "test" for i, (_, p) in enumerate(first)}
