@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import HOUR_US, ceil_div, floor_div, micros_between, numeric_value
 from ..functions.vocab import Vocab, any_keyword, keyword_match
 from ..sources.tables import Roles
+from .ranking import checkpointed
 
 GRID_LEN = 720
 
@@ -121,6 +122,24 @@ def active_bounds(intervals: DataFrame, anchors: DataFrame, grid_len: int = GRID
 # A1 / A2: hourly vitals / labs
 # ---------------------------------------------------------------------------
 
+#: Most distinct matching texts whose classification is sent to every task.
+MAX_TEXTS = 1_000_000
+
+
+def classified(df: DataFrame, text: str, columns: dict[str, F.Column], keep: F.Column) -> DataFrame:
+    """The rows of ``df`` whose ``text`` satisfies ``keep``, with ``columns`` of it.
+
+    Descriptions repeat: the patterns are evaluated once on their distinct values, and the matching ones, written
+    (as part of the plan the patterns would be inferred as filters all over again), are joined back by text as a
+    broadcast of counted size. With more than ``MAX_TEXTS`` of them (free text) the patterns are evaluated on the
+    rows."""
+    texts = df.select(text).where(F.col(text).isNotNull()).distinct()
+    known = checkpointed(texts.where(keep).select(text, *[c.alias(n) for n, c in columns.items()]))
+    if known.count() > MAX_TEXTS:
+        return df.where(keep).withColumns(columns)
+    return df.join(F.broadcast(known), text)
+
+
 def hourly_values_multi(obs: DataFrame, anchors: DataFrame, vocabs: dict[str, Vocab], value_is_numeric: bool,
                         grid_len: int = GRID_LEN, step_hours: float = 1.0) -> DataFrame:
     """Several valued channels (e.g. vitals and labs) from ONE scan and ONE
@@ -130,17 +149,14 @@ def hourly_values_multi(obs: DataFrame, anchors: DataFrame, vocabs: dict[str, Vo
     type, in vocabulary order, with data)."""
     desc = F.col("description")
     v = numeric_value("value", value_is_numeric)
-    every_kw = [kw for voc in vocabs.values() for kw in voc.all_keywords()]
-    mode = {voc.mode for voc in vocabs.values()}
-    pre = obs.where(any_keyword(desc, every_kw, mode.pop()) if len(mode) == 1 else F.lit(True)).select(
-        "patient_id", "ts", "description", v.alias("_v")).where(F.col("_v").isNotNull())
     # one boolean per (channel, type, keyword) slot, then a single aggregation
     slots = []
     for ci, (ch, voc) in enumerate(vocabs.items()):
         for ti, (t, kws) in enumerate(voc.types):
             for ki, kw in enumerate(kws):
                 slots.append((f"_m{ci}_{ti}_{ki}", keyword_match(desc, kw, voc.mode)))
-    pre = pre.select("patient_id", "ts", "_v", *[m.alias(n) for n, m in slots])
+    pre = obs.select("patient_id", "ts", "description", v.alias("_v")).where(F.col("_v").isNotNull())
+    pre = classified(pre, "description", dict(slots), reduce(lambda a, b: a | b, [m for _, m in slots]))
     binned = bin_points(pre, anchors, "ts", grid_len, step_hours)
     aggs = []
     for n, _ in slots:
@@ -188,8 +204,9 @@ def hourly_type_counts(points: DataFrame, anchors: DataFrame, vocab: Vocab, grid
     """Number of distinct vocabulary types among point events within +/- 1
     step of each hour (only hours with at least one match are returned)."""
     desc = F.col("description")
-    flags = [any_keyword(desc, kws, vocab.mode).alias(f"_t{i}") for i, (_, kws) in enumerate(vocab.types)]
-    pre = points.where(any_keyword(desc, vocab.all_keywords(), vocab.mode)).select("patient_id", "ts", *flags)
+    flags = {f"_t{i}": any_keyword(desc, kws, vocab.mode) for i, (_, kws) in enumerate(vocab.types)}
+    pre = classified(points.select("patient_id", "ts", "description"), "description", flags,
+                     any_keyword(desc, vocab.all_keywords(), vocab.mode))
     binned = bin_points(pre, anchors, "ts", grid_len, step_hours)
     agg = binned.groupBy("patient_id", "hour_idx").agg(
         *[F.max(F.col(f"_t{i}").cast("int")).alias(f"_a{i}") for i in range(len(vocab.types))])
@@ -214,14 +231,12 @@ def active_segments_multi(intervals: DataFrame, anchors: DataFrame, vocabs: dict
     those switches is the active-type count between change points.
     """
     desc = F.col("description")
-    every_kw = [kw for voc in vocabs.values() for kw in voc.all_keywords()]
-    modes = {voc.mode for voc in vocabs.values()}
-    pre = intervals.where(any_keyword(desc, every_kw, modes.pop())) if len(modes) == 1 else intervals
-    b = active_bounds(pre, anchors, grid_len, step_hours)
     keys = F.array(*[F.when(any_keyword(desc, kws, voc.mode), F.struct(F.lit(ch).alias("channel"),
                                                                       F.lit(ti).alias("type_ord")))
                      for ch, voc in vocabs.items() for ti, (_, kws) in enumerate(voc.types)])
-    b = b.select("patient_id", "lo", "hi", F.inline(F.filter(keys, lambda x: x.isNotNull())))
+    found = F.filter(keys, lambda x: x.isNotNull())
+    pre = classified(intervals, "description", {"_types": found}, F.size(found) > 0)
+    b = active_bounds(pre, anchors, grid_len, step_hours).select("patient_id", "lo", "hi", F.inline("_types"))
     deltas = b.select("channel", "patient_id", "type_ord", F.inline(F.array(
         F.struct(F.col("lo").alias("h"), F.lit(1).alias("d")),
         F.struct((F.col("hi") + 1).alias("h"), F.lit(-1).alias("d")))))

@@ -168,3 +168,27 @@ def test_null_text_value_and_stop(spark):
     act = {r["hour_idx"]: r["value"] for r in tl.hourly_active_counts(roles.medications, anchors,
                                                                       TIMELINE_MEDICATIONS).collect()}
     assert min(act) == 3 and max(act) == 719 and set(act.values()) == {1.0}
+
+
+def test_patterns_are_evaluated_once_per_distinct_text(spark, monkeypatch):
+    """The dictionary of texts gives the same rows as patterns on every row, and only it holds patterns."""
+    voc = Vocab.of("v", [("heart", ["heart rate", "pulse"]), ("heat", ["temperature"])])
+    texts = ["Heart rate", "PULSE oximetry", "Body temperature", "pulse and temperature", "other", None, ""]
+    obs = [(f"p{i % 3}", h(minutes=i * 13), texts[i % 7], str(i)) for i in range(200)]
+    ivl = [(f"p{i % 3}", h(hours=i % 9), h(hours=i % 9 + 2), texts[i % 7]) for i in range(60)]
+    roles = make_roles(spark, observations=obs, medications=ivl, procedures=[(p, t, d) for p, t, d, _ in obs])
+    anchors = spark.createDataFrame([(f"p{i}", T0) for i in range(3)], "patient_id string, t0 timestamp_ntz")
+
+    def run():
+        frames = (tl.hourly_values_wide(roles.observations, anchors, voc, False), tl.active_segments_multi(roles.medications, anchors, {"c": voc}),
+                  tl.hourly_type_counts(roles.procedures, anchors, voc))
+        return frames, [sorted(map(tuple, f.collect())) for f in frames]
+    frames, by_text = run()
+    heart = "heart rate"
+    for f in frames:
+        plan = f._jdf.queryExecution().optimizedPlan().toString()
+        assert "rightHint=(strategy=broadcast)" in plan and heart not in plan  # no pattern is left for the rows
+    monkeypatch.setattr(tl, "MAX_TEXTS", 0)
+    frames, by_row = run()
+    assert by_row == by_text and all(by_text)
+    assert all(heart in f._jdf.queryExecution().optimizedPlan().toString() for f in frames)
