@@ -39,8 +39,8 @@ LAYOUTS: dict[str, list[tuple[str, str]] | tuple[str, str, str]] = {
     "messages": ("messages", "role", "content"),
     "conversations": ("conversations", "from", "value"),
 }
-#: Other names of the canonical roles.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Other names of the canonical roles, in the layouts that use them; elsewhere such a name stays as it is.
+ROLES = {"conversations": {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}}
 
 
 def _paths(layout) -> list[str]:
@@ -53,7 +53,15 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-FINGERPRINTS = {name: fingerprint(_paths(x)) for name, x in LAYOUTS.items()}
+def _fingerprints(layout) -> list[str]:
+    """Those of a layout's rows: in an array the role or the text may be null in all elements."""
+    if not isinstance(layout, tuple):
+        return [fingerprint(_paths(layout))]
+    both = _paths(layout)
+    return [fingerprint(x) for x in (both, both[:1], both[1:])]
+
+
+FINGERPRINTS = {name: _fingerprints(x) for name, x in LAYOUTS.items()}
 
 
 def _leaves(kind: T.DataType, path: str) -> list[str]:
@@ -64,11 +72,19 @@ def _leaves(kind: T.DataType, path: str) -> list[str]:
     return [path]
 
 
+def _present(path: str) -> Column:
+    """Whether a field is non-null; in an array, in any element (an empty one shows the fields of its type)."""
+    top, _, field = path.partition("[].")
+    if not field:
+        return F.col(top).isNotNull()
+    return F.col(top).isNotNull() & ((F.size(top) == 0) | F.exists(top, lambda m: m[field].isNotNull()))
+
+
 def row_fingerprint(df: DataFrame) -> Column:
     """Hash of the sorted paths of a row's non-null fields, of those that some layout names."""
     known = {p for x in LAYOUTS.values() for p in _paths(x)}
     there = [p for p in _leaves(df.schema, "") if p in known]
-    present = [F.when(F.col(p.split("[]")[0]).isNotNull(), F.lit(p)) for p in sorted(there)]
+    present = [F.when(_present(p), F.lit(p)) for p in sorted(there)]
     paths = F.filter(F.array(*present), lambda p: p.isNotNull()) if present else F.array().cast("array<string>")
     return F.sha2(F.concat_ws("\n", paths), 256)
 
@@ -82,24 +98,21 @@ def canonical_turns(df: DataFrame) -> DataFrame:
         if not {p.split("[]")[0] for p in _paths(x)} <= names:
             continue
         if isinstance(x, tuple):
-            made = F.transform(F.col(x[0]), _turn_of(x[1], x[2]))
+            made = F.transform(F.col(x[0]), _turn_of(x[1], x[2], ROLES.get(name, {})))
         else:
             made = F.array(*[F.struct(F.lit(r).alias("role"), F.col(p).alias("text")) for r, p in x])
-        mine = F.col("fingerprint") == FINGERPRINTS[name]
+        mine = F.col("fingerprint").isin(*FINGERPRINTS[name])
         turns, layout = F.when(mine, made.cast(TURNS)).otherwise(turns), F.when(mine, F.lit(name)).otherwise(layout)
     return df.withColumns({"layout": layout, "turns": turns})
 
 
-def _turn_of(role: str, text: str):
-    return lambda m: F.struct(F.coalesce(_role(m[role]), F.lit("")).alias("role"),
-                              F.coalesce(m[text], F.lit("")).alias("text"))
-
-
-def _role(c: Column) -> Column:
-    out = c
-    for other, role in ROLES.items():
-        out = F.when(c == other, F.lit(role)).otherwise(out)
-    return out
+def _turn_of(role: str, text: str, aliases: dict[str, str]):
+    def turn(m: Column) -> Column:
+        name = m[role]
+        for other, canonical in aliases.items():
+            name = F.when(m[role] == other, F.lit(canonical)).otherwise(name)
+        return F.struct(F.coalesce(name, F.lit("")).alias("role"), F.coalesce(m[text], F.lit("")).alias("text"))
+    return turn
 
 
 def escape(c: Column) -> Column:

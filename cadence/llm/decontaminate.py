@@ -8,9 +8,11 @@ are mapped to word numbers and to code point offsets of the original text.
 Normalisation works on UTF-8 bytes: A-Z become a-z, and every ASCII byte that is
 no digit or letter becomes a space, so byte offsets stay those of the original.
 
-Scale: the automaton is built in each Python worker from the item texts, which
-are sent to the tasks only while they hold at most ``max_item_bytes``; a larger
-benchmark is scanned for part by part, in chained maps over the same rows.
+Scale: the automaton is built in each Python worker from the item texts. A window's
+pattern repeats its words, so the windows of an item hold up to ``window`` times its bytes, and the
+automaton takes about 46 bytes of memory for each of those. Items are therefore sent in
+parts whose windows hold at most ``max_pattern_bytes`` (370 MB of memory in a worker); a larger
+benchmark is scanned for part by part, in chained maps over the same rows. One item is the least part.
 Documents are never shuffled.
 
 Defined results: null or empty text has no words and no hits; null or empty items
@@ -23,18 +25,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import code_point_offsets, map_batches, small_batches
 
 WINDOW = 10
-MAX_ITEM_BYTES = 64 << 20
+MAX_PATTERN_BYTES = 8 << 20
 _SPACE = 32
 
 #: Every byte's normal form: a-z, 0-9 and bytes of non-ASCII characters stay.
@@ -59,9 +63,9 @@ def windows_of(words: list[bytes], window: int = WINDOW) -> Iterator[list[bytes]
             yield words[i:i + window]
 
 
-def _automaton(items: list[tuple[str | None, str | None]], window: int) -> tuple:
-    """(automaton, words per pattern, item numbers per pattern, item ids) or None without windows."""
-    key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
+def _automaton(key: str, items: list[tuple[str | None, str | None]], window: int) -> tuple:
+    """(automaton, words per pattern, item numbers per pattern, item ids), the automaton None without windows;
+    kept in the worker under ``key``, the digest of items and window."""
     if key not in _AUTOMATA:
         ids = sorted({i for i, _ in items if i is not None})
         number = {x: k for k, x in enumerate(ids)}
@@ -126,11 +130,11 @@ def spans_of(text: str | None, hit: np.ndarray) -> list[dict[str, int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan_batches(items, window: int, last: bool):
+def _scan_batches(part: Part, window: int, last: bool):
     """Scan for one part of the items and add to what the parts before have found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(items.value, window)
+        auto = part.automaton(window)
         for b in batches:
             n, n_hit, names, spans, runs = [], [], [], [], []
             for text, before, old in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(),
@@ -157,25 +161,38 @@ def _scan_batches(items, window: int, last: bool):
     return run
 
 
-def _item_parts(items: DataFrame, item_col: str, item_text_col: str, max_item_bytes: int) -> list:
-    """Broadcasts of the items, each of a bounded size."""
+class Part(NamedTuple):
+    """Items sent to the tasks, and the digest of items and window."""
+
+    key: str
+    items: Broadcast
+
+    def automaton(self, window: int) -> tuple:
+        return _automaton(self.key, self.items.value, window)
+
+
+def _item_parts(items: DataFrame, item_col: str, item_text_col: str, window: int, max_pattern_bytes: int) -> list[Part]:
+    """The items in broadcasts whose patterns have a bounded size."""
     given = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("t")).distinct()
     size = given.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    parts = max(1, -(-int(size) // max_item_bytes))
-    return [items.sparkSession.sparkContext.broadcast(sorted(map(tuple, (
-        given.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == k) if parts > 1 else given).collect()), key=repr))
-        for k in range(parts)]
+    parts = max(1, -(-int(size) * window // max_pattern_bytes))
+    out = []
+    for k in range(parts):
+        mine = given.filter(F.pmod(F.xxhash64("t"), F.lit(parts)) == k) if parts > 1 else given
+        rows = sorted(map(tuple, mine.collect()), key=repr)
+        out.append(Part(hashlib.sha256(repr((window, rows)).encode()).hexdigest(), items.sparkSession.sparkContext.broadcast(rows)))
+    return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                  max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+                  max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, items, spans``.
 
     ``items``: ids (as strings, sorted) of the test items that have a window in the text;
     ``spans``: code point ranges of the runs of hit words.
     """
-    parts = _item_parts(items, item_col, item_text_col, max_item_bytes)
+    parts = _item_parts(items, item_col, item_text_col, window, max_pattern_bytes)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        F.lit(None).cast("array<struct<start:long,end:long>>").alias("runs"),
                        F.lit(None).cast("array<string>").alias("items"))
@@ -189,20 +206,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     return rows
 
 
-def _hit_udf(items, window: int):
+def _hit_udf(part: Part, window: int):
     @F.pandas_udf("boolean")
     def hit(texts: pd.Series) -> pd.Series:
-        auto = _automaton(items.value, window)
+        auto = part.automaton(window)
         return pd.Series([bool(scan(t, auto)[0].any()) for t in texts], dtype=bool)
 
     return hit
 
 
 def is_contaminated(items: DataFrame, text: Column, *, item_col: str = "item_id", item_text_col: str = "text",
-                    window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> Column:
+                    window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> Column:
     """Whether any window of any item occurs in a text; false for null texts."""
     small_batches(items.sparkSession)
     out = F.lit(False)
-    for sent in _item_parts(items, item_col, item_text_col, max_item_bytes):
+    for sent in _item_parts(items, item_col, item_text_col, window, max_pattern_bytes):
         out = out | _hit_udf(sent, window)(text.cast("string"))
     return out

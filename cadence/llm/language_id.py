@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import collect_bounded, map_batches, small_batches
@@ -34,6 +34,8 @@ from .common import collect_bounded, map_batches, small_batches
 BITS = 14
 DIM = 1 << BITS
 PER_LANGUAGE = 800
+#: Share of rows beyond ``PER_LANGUAGE`` that is drawn before the exact cut, as distinct rows are counted approximately.
+SPARE = 1.3
 MAX_LANGUAGES = 200
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
@@ -176,7 +178,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("label"),
                        F.col(text_col).cast("string").alias("text"))
     rows = rows.filter(~held_out("id") & F.col("label").isNotNull())
-    held = {r["label"]: r["count"] for r in collect_bounded(rows.groupBy("label").count(), max_languages, "languages")}
+    # Rows are sampled by id and text, repeated ones once, so that neither a hot id nor many copies decide.
+    rows = rows.withColumn("place", F.xxhash64(F.coalesce("id", F.lit("")), F.coalesce("text", F.lit("")), F.lit(9)))
+    held = {r["label"]: r["n"] for r in collect_bounded(rows.groupBy("label").agg(
+        F.approx_count_distinct("place", 0.03).alias("n")), max_languages, "languages")}
     labels = sorted(held)
     if not labels:
         return Model([], np.ones(DIM), np.zeros((DIM + 1, 0)), 1.0)
@@ -188,12 +193,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     share = F.lit(0.0)
     for label, n in held.items():
-        share = F.when(F.col("label") == label, F.lit(min(1.0, per_language / n))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(9)), F.lit(1 << 24)) / (1 << 24)
-    some = map_batches(rows.filter(place < share).select("label", "text"), _sampled,
-                       "label string, at binary, counts binary")
+        share = F.when(F.col("label") == label, F.lit(min(1.0, SPARE * per_language / max(n, 1)))).otherwise(share)
+    part = rows.filter(F.pmod("place", F.lit(1 << 24)) / (1 << 24) < share).dropDuplicates(["label", "place"])
+    first = Window.partitionBy("label").orderBy("place")
+    part = part.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language)
+    some = map_batches(part.select("label", "text"), _sampled, "label string, at binary, counts binary")
     examples = []
-    for r in sorted(some.collect(), key=lambda r: (r["at"], r["counts"], r["label"])):  # about per_language per label
+    for r in sorted(some.collect(), key=lambda r: (r["at"], r["counts"], r["label"])):  # at most per_language per label
         at = np.frombuffer(r["at"], np.uint16).astype(np.int64)
         examples.append((at, tf_idf(at, np.frombuffer(r["counts"], np.uint32), idf), labels.index(r["label"])))
     if not examples:

@@ -61,8 +61,10 @@ SELECT page_id, host, path,
         ORDER BY length(h || p) DESC, h || p LIMIT 1) AS rule,
        coalesce((SELECT action FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
                  ORDER BY length(h || p) DESC, h || p LIMIT 1),
-                CASE WHEN regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)(\.|$)') THEN 'block' ELSE 'allow' END)
-         AS verdict
+                CASE WHEN regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)(\.|$)')
+                          AND len(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
+                                  lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) = 0
+                     THEN 'block' ELSE 'allow' END) AS verdict
 FROM u
 """
 
@@ -160,7 +162,8 @@ WITH d AS (
   SELECT doc_id, row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
          regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                '[.,;:!?
--]') AS p FROM documents),
+-
+]') AS p FROM documents),
 piece AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM (SELECT lang, unnest(p) AS p FROM d)),
 total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY 1),
 part AS MATERIALIZED (

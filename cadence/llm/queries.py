@@ -16,7 +16,7 @@ from .mixing import mix
 from .pivot_index import near_duplicates
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import scan_secrets, spans_text
-from .url_filter import filter_urls, host_of
+from .url_filter import filter_urls, host_of, path_of
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +49,13 @@ SPAM_LABELS = ("spam-farm", "cheap-pills")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: canonical URLs of the crawled pages on hosts with a spam label."""
+    """The list: addresses of the crawled pages on hosts with a spam label, as a list publishes them (plain http,
+    without ``www.``, parameters and fragment), so the pages are other forms of what is listed."""
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
-    spam = pages.select("url").filter(host_of(F.col("url")).rlike(r"(^|\.)(" + "|".join(SPAM_LABELS) + r")(\.|$)"))
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    spam = pages.filter(host.rlike(r"(^|\.)(" + "|".join(SPAM_LABELS) + r")(\.|$)")).select(
+        F.concat(F.lit("http://"), F.regexp_replace(host, r"^www\.", ""), path).alias("url"))
     return filter_urls(pages, spam, rules).select("page_id", "host", "path", "rule", "verdict")
 
 

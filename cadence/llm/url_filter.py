@@ -4,7 +4,7 @@ Listed are canonical URLs and prefix rules (host and path; a rule fits its host
 subdomains if the path starts with the rule's, and the longest rule wins). Both kinds are
 keys of one list. Every distinct URL is expanded to the keys that could fit it: its
 canonical form, and each host suffix with each path prefix of a length that some rule
-has. Keys that the filter lets pass are joined exactly with the list.
+has, for suffixes of as many labels as some rule's host has (so a host of many labels costs no more). Keys that the filter lets pass are joined exactly with the list.
 
 The filter is a table of 256-bit blocks (four words; a key sets one bit of each), built by
 one aggregation. It is broadcast only if its size, computed from the number of keys, is at
@@ -87,11 +87,13 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: DataFrame, *, id_col
                 max_path_lengths: int = 4096) -> DataFrame:
     """``page_id, url, host, path, rule, listed, verdict`` for every page.
 
-    ``rules``: ``host, path, action`` (block or allow). A page without a fitting rule is blocked if its
+    ``rules``: ``host, path, action`` (block or allow). At most ``max_path_lengths`` different lengths of rules' paths,
+    and label counts of their hosts, are looked up; more raise an error that names them (raise the bound). A page without a fitting rule is blocked if its
     canonical URL is listed, else allowed.
     """
     rule = rules.select(F.concat(F.lit("r"), "host", "path").alias("key"),
                         F.concat("host", "path").alias("rule"), "action", F.length("path").alias("len"))
+    sizes = sorted(r[0] for r in collect_bounded(rules.select(F.size(F.split("host", r"\."))).distinct(), max_path_lengths, "labels of rules' hosts"))
     rule = rule.groupBy("key", "rule", "len").agg(F.max("action").alias("action"))
     lengths = sorted(r[0] for r in collect_bounded(rule.select("len").distinct(), max_path_lengths, "path lengths of rules"))
     known = (listed.filter(F.col(listed_col).isNotNull())
@@ -101,9 +103,9 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: DataFrame, *, id_col
 
     urls = pages.select(F.col(url_col).alias("url")).filter(F.col("url").isNotNull()).distinct()
     urls = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
-        F.slice(labels, i, F.size(labels)), "."))
+    labels = F.size(F.split("host", r"\."))
+    suffixes = F.filter(F.array(*[F.when(labels >= n, F.substring_index("host", ".", -n)) for n in sizes]).cast("array<string>"),
+                        lambda h: h.isNotNull())
     heads = F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda x: x <= F.length("path"))
     fits = F.flatten(F.transform(suffixes, lambda h: F.transform(heads, lambda x: F.concat(
         F.lit("r"), h, F.substring(F.col("path"), F.lit(1), x)))))

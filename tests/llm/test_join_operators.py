@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -396,3 +397,57 @@ def test_most_frequent_is_bounded_and_ordered(spark):
     assert len(keys) == 200 and set(times.tolist()) == {256, 512}
     assert len(most_frequent(df, "k", "n", 50)[0]) == 0 and len(most_frequent(df, "k", "n", 10_000)[0]) == 1000
     assert len(most_frequent(df.limit(0), "k", "n", 5)[0]) == 0
+
+
+# ------------------------------------------------------------------ alias roles, URL variants, many labels
+
+def _said(spark, rows):
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = cf.format_chat(cf.canonical_turns(cf.as_layouts(cf.gather_turns(df))))
+    return {r["conv_id"]: [tuple(t) for t in r["said"]] for r in out.withColumn("said", cf.read_back(F.col("formatted"))).collect()}
+
+
+def test_alias_roles_stay_where_the_layout_does_not_use_them(spark):
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"),
+            (3, 0, "bot", None), (4, 0, "user", None), (4, 1, "model", "x"), (5, 0, None, "n")]
+    said = _said(spark, rows)
+    assert said == {1: [("human", "a"), ("gpt", "b")], 2: [("user", "a"), ("assistant", "b"), ("user", "c")], 3: [("bot", "")],
+                    4: [("user", ""), ("model", "x")], 5: [("", "n")]}
+    shared = spark.createDataFrame([([("human", "q"), ("gpt", "r"), ("tool", None)],)], "conversations array<struct<from:string,value:string>>")
+    assert [tuple(t) for t in cf.canonical_turns(shared).first()["turns"]] == [("user", "q"), ("assistant", "r"), ("tool", "")]
+
+
+def test_fingerprints_see_nested_fields(spark):
+    schema = "messages array<struct<role:string,content:string,weight:int>>, prompt string, response string"
+    df = spark.createDataFrame([([("user", "a", 1)], None, None), ([("user", None, None)], None, None), ([(None, "b", None)], None, None),
+                                ([(None, None, 3)], None, None), ([], None, None), ([("user", "a", 1)], "p", None), (None, "p", "r")], schema)
+    got = [(r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in cf.canonical_turns(df).collect()]
+    assert got == [("messages", [("user", "a")]), ("messages", [("user", "")]), ("messages", [("", "b")]), ("unknown", None),
+                   ("messages", []), ("unknown", None), ("prompt", [("user", "p"), ("assistant", "r")])]
+
+
+def test_long_chat_texts_and_conversations(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", "x<|im_end|>" * (20_000 if i == 1 else 1)) for i in range(500)]
+    said = _said(spark, rows)
+    assert [t for _, t in said[1]] == [t for *_, t in rows]
+
+
+def test_listed_urls_are_found_in_other_forms(spark):
+    listed = spark.createDataFrame([("http://spam.example.org/a/b",), ("https://www.bad.example.com:443/x/?q=1&utm_source=n",)], "url string")
+    pages = spark.createDataFrame(list(enumerate([
+        "https://www.spam.example.org/a/b/", "http://SPAM.example.org/a/b?utm_source=feed#top", "http://spam.example.org/a/b?page=2",
+        "http://bad.example.com/x?q=1", "http://bad.example.com/x", "http://spam.example.org/a/bc"])), "page_id long, url string")
+    rules = spark.createDataFrame([("example.net", "/", "block")], "host string, path string, action string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, listed, rules).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+
+
+def test_hosts_of_many_labels_cost_no_more(spark):
+    deep = ".".join(["a"] * 20_000)
+    pages = spark.createDataFrame([(0, f"http://{deep}.example.net/en/x"), (1, f"http://{deep}/"), (2, "http://net/"), (3, "http://example.net.com/en/" + "y" * 500_000)],
+                                  "page_id long, url string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow")], "host string, path string, action string")
+    start = time.perf_counter()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, pages.select("url").limit(0), rules).collect()}
+    assert time.perf_counter() - start < 20
+    assert got == {0: ("example.net/en/", "allow"), 1: (None, "allow"), 2: ("net/", "block"), 3: (None, "allow")}

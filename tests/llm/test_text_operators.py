@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -55,7 +57,7 @@ def test_decontamination_equals_brute_force(spark, limit):
     docs += [(100, "x One; two three-four five six seven eight NINE ten y"), (101, "a " * 30), (102, ITEMS[0][1] * 2),
              (103, "Short—item short\x00item"), *EDGE]
     got = de.decontaminate(clashing(spark, docs), spark.createDataFrame(ITEMS, "item_id long, text string"),
-                           max_item_bytes=limit).collect()
+                           max_pattern_bytes=limit).collect()
     assert len(got) == len(docs)
     want = sorted(((d, *brute_hits(t, ITEMS)) for d, t in docs), key=repr)
     assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], list(r["items"])) for r in got), key=repr) == want
@@ -63,7 +65,7 @@ def test_decontamination_equals_brute_force(spark, limit):
 
 def test_decontamination_spans_map_to_the_original(spark):
     text = "Ü–été, À LA! x Été\tÀ la.. short  ITEM"
-    hit, names = de.scan(text, de._automaton([("2", "à la"), ("10", "short item")], 10))
+    hit, names = de.scan(text, de._automaton("x", [("2", "à la"), ("10", "short item")], 10))
     assert names == {"10"} or names == {"2", "10"}
     assert [text[s["start"]:s["end"]] for s in de.spans_of(text, hit)][-1] == "short  ITEM"
 
@@ -72,7 +74,7 @@ def test_is_contaminated(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = clashing(spark, [(1, "see the SHORT item"), (2, "clean"), (3, None)])
     for limit in (1 << 20, 20):
-        got = docs.select("doc_id", de.is_contaminated(items, F.col("text"), max_item_bytes=limit).alias("c")).collect()
+        got = docs.select("doc_id", de.is_contaminated(items, F.col("text"), max_pattern_bytes=limit).alias("c")).collect()
         assert {r["doc_id"]: r["c"] for r in got} == {1: True, 2: False, 3: False}
 
 
@@ -279,3 +281,86 @@ def test_shingles_equal_sets_of_words():
         if len(seen) < 25:
             seen[t] = (want, s)
 
+
+
+# ------------------------------------------------------------------ hot ids, roles, memory bounds
+
+def test_language_sample_is_of_rows_not_of_ids(spark):
+    """A language whose rows share one id, or are copies, is learned, and the sample is bounded."""
+    from cadence.llm import language_id as li
+    rng = random.Random(8)
+    en = ["the", "river", "and", "house", "with", "water", "that", "there"]
+    de_ = ["der", "fluss", "und", "haus", "mit", "wasser", "dass", "dort"]
+    ok = [r["id"] for r in spark.range(60).withColumnRenamed("id", "doc_id").where(~li.held_out()).selectExpr("doc_id as id").collect()]
+    for hot in ok[:5]:
+        rows = [(hot, " ".join(rng.choices(en, k=30)), "en") for _ in range(3000)]
+        rows += [(None, "der fluss und das haus am wasser", "de")] * 2000
+        rows += [(ok[6 + i % 20], " ".join(rng.choices(de_, k=30)) if i % 2 else None, "de") for i in range(40)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = li.fit(df, per_language=100)
+        assert model.labels == ["de", "en"]
+        assert model.predict("the water and the river")[0] == "en" and model.predict("das wasser und der fluss")[0] == "de"
+
+
+def test_language_model_against_a_dense_textbook_version(spark):
+    """TF-IDF, FTRL-proximal and temperature of the sparse code equal those written out densely."""
+    from cadence.llm import language_id as li
+    rng = np.random.default_rng(4)
+    examples = []
+    for i in range(30):
+        at = np.sort(rng.choice(50, 6, replace=False)).astype(np.int64)
+        examples.append((at, rng.random(6), int(i % 3)))
+    got = li.ftrl(examples, 3, epochs=2)
+    z, n, w = np.zeros((li.DIM + 1, 3)), np.zeros((li.DIM + 1, 3)), np.zeros((li.DIM + 1, 3))
+    order = np.random.default_rng(1)
+    for _ in range(2):
+        for i in order.permutation(len(examples)):
+            at, v, y = examples[i]
+            x = np.zeros(li.DIM + 1)
+            x[at], x[li.DIM] = v, 1.0
+            for f in np.flatnonzero(x):
+                for c in range(3):
+                    w[f, c] = 0.0 if abs(z[f, c]) <= li.L1 else -(z[f, c] - math.copysign(li.L1, z[f, c])) / (
+                        (li.BETA + math.sqrt(n[f, c])) / li.ALPHA + li.L2)
+            logits = x @ np.where(x[:, None] != 0, w, 0.0)
+            p = np.exp(logits - logits.max())
+            p /= p.sum()
+            for f in np.flatnonzero(x):
+                for c in range(3):
+                    g = (p[c] - (c == y)) * x[f]
+                    s = (math.sqrt(n[f, c] + g * g) - math.sqrt(n[f, c])) / li.ALPHA
+                    z[f, c] += g - s * w[f, c]
+                    n[f, c] += g * g
+    want = np.where(np.abs(z) <= li.L1, 0.0, -(z - np.sign(z) * li.L1) / ((li.BETA + np.sqrt(n)) / li.ALPHA + li.L2))
+    assert np.allclose(got, want) and (want != 0).any()
+    logits, y = rng.normal(size=(200, 3)) * 4, rng.integers(0, 3, 200)
+
+    def loss(t):
+        p = np.exp(logits / t - (logits / t).max(axis=1, keepdims=True))
+        return -np.log((p / p.sum(axis=1, keepdims=True))[np.arange(200), y]).mean()
+    best = li.fit_temperature(logits, y)
+    assert loss(best) <= min(loss(t) for t in np.exp(np.linspace(-4, 4, 200))) + 1e-6
+
+
+def test_patterns_are_bounded_by_their_bytes(spark):
+    """Windows repeat words: the parts count pattern bytes, and every part's patterns stay near the bound."""
+    rng = random.Random(3)
+    items = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 9999)}" for _ in range(200))) for i in range(40)], "item_id long, text string")
+    bound = 60_000
+    parts = de._item_parts(items, "item_id", "text", 10, bound)
+    sizes = [sum(len(b" ".join(w)) for _, t in p.items.value for w in de.windows_of(de.words_of(t))) for p in parts]
+    assert len(parts) > 5 and max(sizes) < 3 * bound and sum(len(p.items.value) for p in parts) == 40
+    assert len({p.key for p in parts}) == len(parts)
+
+
+def test_scanning_time_of_long_texts_is_linear():
+    items = [(str(i), " ".join(f"a{j}" for j in range(i, i + 10))) for i in range(50)]
+    auto = de._automaton("linear", items, 10)
+    took = []
+    for n in (20_000, 80_000):
+        text = " ".join(f"a{i % 60}" for i in range(n))
+        start = time.perf_counter()
+        hit, _ = de.scan(text, auto)
+        took.append(time.perf_counter() - start)
+        assert len(hit) == n
+    assert took[1] < 10 * max(took[0], 0.01)
