@@ -364,3 +364,55 @@ def test_scanning_time_of_long_texts_is_linear():
         took.append(time.perf_counter() - start)
         assert len(hit) == n
     assert took[1] < 10 * max(took[0], 0.01)
+
+
+# ------------------------------------------------------------------ false discoveries by form
+
+def _prose(rng, n):
+    words = ("the of and to in that house water people old well hill year rain would there some more came from said had been small "
+             "great light under every north window paper train letter green summer answer market river question number history "
+             "kitchen garden morning picture office simple letter report version update index server config path").split()
+    return [rng.choice(words) for _ in range(n)]
+
+
+def _form_runs(rng, kind):
+    w = _prose(rng, 8)
+    return {"upper": "".join(w).upper()[:rng.randint(20, 50)], "camel": "".join(x.title() for x in w)[:rng.randint(20, 50)],
+            "lower": "".join(w)[:rng.randint(20, 50)], "digits": "".join(rng.choice("0123456789") for _ in range(rng.randint(20, 40))),
+            "slug": "-".join(w)[:rng.randint(24, 50)], "snake": "_".join(x.upper() for x in w)[:rng.randint(24, 50)],
+            "path": "/" + "/".join(w)[:rng.randint(24, 50)], "camel_path": "/" + "/".join(x.title() for x in w)[:rng.randint(24, 50)]}[kind]
+
+
+@pytest.mark.parametrize("with_keys", [False, True])
+def test_false_discoveries_of_every_form(spark, with_keys):
+    """Runs of language in all forms stay below the bound, alone and beside real keys of each encoding, which are found."""
+    import base64
+    rng = random.Random(12)
+    kinds = ("upper", "camel", "lower", "digits", "slug", "snake", "path", "camel_path")
+    rows, truth = [], {}
+    for i in range(1500):
+        words = _prose(rng, 700)
+        kind = kinds[i % len(kinds)]
+        said = [("run", kind, _form_runs(rng, kind))]
+        if with_keys and i % 3 == 0:
+            raw = rng.randbytes(30)
+            key = [base64.b64encode(raw).decode(), base64.urlsafe_b64encode(raw).decode(), base64.b32encode(raw).decode(),
+                   raw.hex().upper()][i // 3 % 4]
+            said.append(("key", ["base64", "base64url", "base32", "hex"][i // 3 % 4], key))
+        text = " ".join(words[:300])
+        for what, kind, run in said:
+            truth[i, len(text) + 1] = (what, kind)
+            text += f" {run} " + " ".join(words[300:340])
+        rows.append((i, text))
+    found = {}
+    for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        for s in r["spans"]:
+            if s["kind"] == "random":
+                t = truth.get((r["doc_id"], s["start"])) or truth.get((r["doc_id"], s["start"] - 1), ("other", "prose"))
+                found[t] = found.get(t, 0) + 1
+    wrong = sum(n for (what, _), n in found.items() if what != "key")
+    keys = sum(n for (what, _), n in found.items() if what == "key")
+    assert wrong <= max(3, 0.02 * keys), found  # the bound of one in a hundred, with room for chance
+    if with_keys:
+        assert keys >= 0.9 * 500, found
+        assert all(n >= 0.75 * 125 for (what, _), n in found.items() if what == "key"), found
