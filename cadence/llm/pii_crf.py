@@ -10,14 +10,18 @@ any of the usual separators, parts of such runs in the form of a phone or card,
 * skip: labels of nodes with the same key, however far apart: equal last digits, or equal local part of
   an address. Each node is linked with the next of its key, so a token repeated k times has k - 1 links.
 
-The potentials are trained by pieces: each factor is the logarithm of smoothed relative frequencies
-over all nodes of all documents, where base spans are labelled, nodes that resemble no base span of their
-document are ``O``, and the rest are hidden and not counted. Base spans are clamped; loopy sum-product
+The potentials maximise the pseudo-likelihood (each label given its neighbours') of all nodes of all documents
+whose label is known: base spans have theirs, nodes that resemble no base span of their document are ``O``, the
+rest are hidden and not counted. Of a token that repeats, every base span but the first is masked: it gets the form that
+it would have without its pattern, so its label can only be recovered from its size, its cue and its
+neighbours, which is what hidden nodes need. A context is a handful of small numbers, so all documents together have a
+bounded table of contexts and counts (at most ``MAX_CONTEXTS``; more is an error), on which the gradient is followed on
+the driver. Base spans are clamped; loopy sum-product
 messages (damped, synchronous, until they settle or ``MAX_ROUNDS``) give the marginals of the others, and
 a node whose most likely label isn't ``O`` is a new span of that kind.
 
 Scale: the texts are read in one map; nodes with their factors' indices (no text) are written to the shared
-folder, the counts are small fixed tables, and inference is one map over documents that have hidden
+folder, the contexts are one small table, and inference is one map over documents that have hidden
 nodes. Work per document is linear in its length and its nodes.
 
 Defined results: null text is empty; equal rows are judged each for itself; new spans never overlap
@@ -36,17 +40,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, small_batches
+from .common import collect_bounded, map_batches, materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 PHONE_LIKE = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{2,4}){1,3}(?![0-9])")
 CARD_LIKE = re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20.-][0-9]{4}){3})(?![0-9])")
-LOOSE = re.compile(r"(?<![0-9A-Za-z.])[+(]{0,2}[0-9](?:[\x20().\-/]{0,2}[0-9]){6,}(?![0-9A-Za-z])")
+#: Digits with at most two separators between them, whole.
+LOOSE = re.compile(r"[+(]{0,2}[0-9](?:[\x20().\-/]{0,2}[0-9])*")
 ENOUGH = re.compile(r"[0-9](?:[^0-9]{0,2}[0-9]){6}")  # no pattern of nodes needs fewer digits
 #: Words that say what comes next (fixed values, lower case).
 CUES = (
@@ -63,9 +70,10 @@ DIGIT_STEPS = (1, 7, 9, 13, 16, 20)
 FORMS = 8
 MAX_ROUNDS = 30
 DAMPING = 0.3
-SMOOTH = 0.5
-#: Pairs of like nodes with equal labels that training assumes before it has seen any.
-AGREE = 50.0
+#: Weights are drawn to 0, those of equal labels on skip links to ``AGREE``, with this standard deviation.
+SPREAD, AGREE = 3.0, 2.0
+STEPS, RATE = 400, 0.1
+MAX_CONTEXTS = 500_000
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -87,11 +95,23 @@ def _small(part: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end), by kind, then start."""
     found = []
-    if "@" in text:
-        found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
-    for m in IP.finditer(text):
-        if all(_small(p) for p in m[0].split(".")):
-            found.append((1, m.start(), m.end()))
+    end = 0
+    # the name before each '@', as far back as the last address; the characters of a name hold no '@'
+    for m in LOCAL.finditer(text) if "@" in text else ():
+        if m.end() > end and text.startswith("@", m.end()):
+            d = DOMAIN.match(text, m.end())
+            if d:
+                found.append((0, max(end, m.start()), d.end()))
+                end = d.end()
+    for m in DOTTED.finditer(text) if text.count(".") > 2 else ():
+        if m[0].count(".") < 3:
+            continue
+        parts, at = m[0].split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):  # four numbers after another, whether small enough or not
+            size = sum(map(len, parts[i:i + 4])) + 3
+            if all(map(_small, parts[i:i + 4])):
+                found.append((1, at, at + size))
+            at += size + 1
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = _NOT_DIGIT.sub("", m[0])
@@ -104,6 +124,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def loose(text: str) -> Iterator[tuple[int, int]]:
+    """Whole chains of digits and separators. A chain that touches letters (or a dot before it) loses the number there."""
+    for m in LOOSE.finditer(text):
+        start, end = m.span()
+        if end - start < KEY_DIGITS:
+            continue
+        if end < len(text) and text[end].isascii() and text[end].isalpha():
+            end = start + len(text[start:end].rstrip("0123456789").rstrip(" ().-/+"))
+        before = text[start - 1:start]
+        if before == "." or (before.isascii() and before.isalnum()):
+            cut = _FIRST_NUMBER.match(text, start, end)
+            start = cut.end() if cut else end
+        if end > start:
+            yield start, end
+
+
+#: A chain's first number with the separators after it.
+_FIRST_NUMBER = re.compile(r"[+(]*[0-9]+[^0-9]*")
+
+
 def _form(piece: str, digits: str) -> int:
     if "@" in piece:
         return 0
@@ -137,20 +177,27 @@ def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         i = bisect.bisect_left(begins, e) - 1
         return i < 0 or taken[i][1] <= s
 
-    for pattern in (PHONE_LIKE, CARD_LIKE, LOOSE) if ENOUGH.search(text) else ():
-        more = [(m.start(), m.end()) for m in pattern.finditer(text)
-                if free(m.start(), m.end()) and len(_NOT_DIGIT.sub("", m[0])) >= KEY_DIGITS]
+    def matches(pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+        return (m.span() for m in pattern.finditer(text))
+
+    for places in (matches(PHONE_LIKE), matches(CARD_LIKE), loose(text)) if ENOUGH.search(text) else ():
+        more = [(s, e) for s, e in places if free(s, e) and len(_NOT_DIGIT.sub("", text[s:e])) >= KEY_DIGITS]
         spans += [(s, e, 0) for s, e in more]
         taken = sorted(taken + more)
         begins = [s for s, _ in taken]
     names = {text[s:e].partition("@")[0].lower() for s, e, k in spans if k == 1}
     names = {n for n in names if len(n) >= 6 and re.search(r"[._0-9+-]", n)}
     if names:
-        seen = {(s, e) for s, e, _ in spans}
-        every = re.compile(r"(?<![A-Za-z0-9._%+@-])(?:" + "|".join(map(re.escape, sorted(names, key=lambda n: (-len(n), n))))
-                           + r")(?![A-Za-z0-9_%+@-])", re.IGNORECASE | re.ASCII)
-        spans += [(m.start(), m.end(), 0) for m in every.finditer(text)
-                  if (m.start(), m.end()) not in seen and free(m.start(), m.end())]
+        longest = max(map(len, names))
+        for m in LOCAL.finditer(text):  # a name is a token, or its beginning before a dot
+            if text.startswith("@", m.start() - 1) and m.start() or text.startswith("@", m.end()):
+                continue
+            token = m[0].lower()
+            ends = [len(token)] if len(token) <= longest else []
+            ends += [i for i in range(min(len(token) - 1, longest), 5, -1) if token[i] == "."]
+            size = next((i for i in ends if token[:i] in names), 0)
+            if size and free(m.start(), m.start() + size):
+                spans.append((m.start(), m.start() + size, 0))
     out = []
     for s, e, k in sorted(spans):
         piece = text[s:e]
@@ -182,31 +229,64 @@ def known_labels(nodes: list[dict]) -> list[int]:
 
 TABLES = ("size", "form", "cue", "chain", "skip")
 _WIDTH = {"size": len(DIGIT_STEPS) + 1, "form": FORMS, "cue": len(CUES) + 1, "chain": len(LABELS), "skip": len(LABELS)}
+#: Forms of base spans -> the form that the span would have if no pattern told it.
+MASKED = {0: 5, 1: 7, 2: 7, 3: 7, 4: 6}
 
 
-def factor_counts(nodes: list[dict]) -> list[tuple[str, int, int]]:
-    """(table, row, label) of every factor with known labels."""
+def contexts(nodes: list[dict]) -> list[tuple[int, ...]]:
+    """(size, form, cue, two chain neighbours' labels, two skip neighbours' labels, label) of the nodes with known
+    label; -1 for a neighbour that isn't there or isn't known."""
     known = known_labels(nodes)
-    out = [(t, n[t], y) for n, y in zip(nodes, known) if y >= 0 for t in TABLES[:3]]
-    for t, links in zip(TABLES[3:], links_of(nodes)):
-        out += [(t, known[i], known[j]) for i, j in links if known[i] >= 0 and known[j] >= 0]
+    near = {"chain": [[] for _ in nodes], "skip": [[] for _ in nodes]}
+    chain, skip = links_of(nodes)
+    for name, links in (("chain", chain), ("skip", skip)):
+        for i, j in links:
+            near[name][i].append(known[j])
+            near[name][j].append(known[i])
+    later = {j for _, j in skip}  # not the first of its key
+    out = []
+    for i, (n, y) in enumerate(zip(nodes, known)):
+        if y < 0:
+            continue
+        form = MASKED.get(n["form"], n["form"]) if n["label"] and i in later else n["form"]
+        told = [sorted(near[t][i] + [-1, -1])[-2:] for t in ("chain", "skip")]
+        out.append((n["size"], form, n["cue"], *told[0], *told[1], y))
     return out
 
 
-def potentials(counts: list[tuple[str, int, int, int]]) -> dict[str, np.ndarray]:
-    """Logarithms of the factors: label given the feature over label (node), joint over independent (pairs)."""
-    out = {}
-    for t in TABLES:
-        c = np.full((_WIDTH[t], len(LABELS)), SMOOTH)
-        for name, row, label, n in counts:
-            if name == t:
-                c[row, label] += n
-        if t in TABLES[3:]:
-            c = c + c.T + AGREE * np.eye(len(LABELS)) * (t == "skip")
-        out[t] = np.log(c * c.sum() / c.sum(axis=1, keepdims=True) / c.sum(axis=0, keepdims=True))
-        if t == "size":
-            out["prior"] = np.log(c.sum(axis=0) / c.sum())
-    return out
+def potentials(counts: list[tuple[int, ...]]) -> dict[str, np.ndarray]:
+    """Weights of the factors that maximise the pseudo-likelihood of ``contexts`` with their numbers (last)."""
+    k = len(LABELS)
+    weights = {"prior": np.zeros((1, k))} | {t: np.zeros((_WIDTH[t], k)) for t in TABLES}
+    centre = {t: w.copy() for t, w in weights.items()}
+    centre["skip"] = AGREE * np.eye(k)
+    weights = {t: w.copy() for t, w in centre.items()}
+    rows = np.array(sorted(counts), np.int64).reshape(-1, 9)
+    n, y = rows[:, 8].astype(float), rows[:, 7]
+    scale = max(n.sum(), 1.0)
+    # every term: its table, and the row of the table for each context; -1 adds nothing
+    terms = [("prior", np.zeros(len(rows), np.int64))] + [(t, rows[:, i]) for i, t in enumerate(("size", "form", "cue", "chain", "chain", "skip", "skip"))]
+    mean = {t: np.zeros_like(w) for t, w in weights.items()}
+    square = {t: np.zeros_like(w) for t, w in weights.items()}
+    for step in range(1, STEPS + 1):
+        score = np.zeros((len(rows), k))
+        for t, at in terms:
+            score += np.where((at >= 0)[:, None], weights[t][np.maximum(at, 0)], 0.0)
+        p = np.exp(score - score.max(axis=1, keepdims=True)) if len(rows) else score
+        p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
+        error = -p * n[:, None]
+        error[np.arange(len(rows)), y] += n
+        slope = {t: (centre[t] - w) / SPREAD ** 2 for t, w in weights.items()}
+        for t, at in terms:
+            np.add.at(slope[t], at[at >= 0], error[at >= 0])
+        for t, g in slope.items():
+            g = (g + g.T) / 2 / scale if t in ("chain", "skip") else g / scale
+            mean[t] = 0.9 * mean[t] + 0.1 * g
+            square[t] = 0.99 * square[t] + 0.01 * g * g
+            move = mean[t] / (1 - 0.9 ** step) / (np.sqrt(square[t] / (1 - 0.99 ** step)) + 1e-12)
+            weights[t] += RATE * (1 - step / (STEPS + 1)) * move
+    weights["prior"] = weights["prior"][0]
+    return weights
 
 
 def marginals(nodes: list[dict], factors: dict[str, np.ndarray]) -> np.ndarray:
@@ -261,35 +341,36 @@ def new_spans(nodes: list[dict], factors: dict[str, np.ndarray]) -> list[tuple[i
 _SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 _NODE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.int32()), ("size", pa.int32()),
                             ("form", pa.int32()), ("cue", pa.int32()), ("key", pa.string())]))
-_COUNT = pa.list_(pa.struct([("factor", pa.string()), ("row", pa.int32()), ("label", pa.int32())]))
+_CONTEXT = ("size", "form", "cue", "chain1", "chain2", "skip1", "skip2", "label")
+_CONTEXTS = pa.list_(pa.struct([(c, pa.int32()) for c in _CONTEXT]))
 SPANS = "array<struct<kind:int,start:int,end:int>>"
 NODES = "array<struct<start:int,end:int,label:int,size:int,form:int,cue:int,key:string>>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        base, nodes, counts = [], [], []
+        base, nodes, seen = [], [], []
         for t in b.column(1).to_pylist():
             found = base_spans(t or "")
             own = nodes_of(t or "", found)
             base.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
             nodes.append(own if any(not n["label"] for n in own) else [])
-            counts.append([{"factor": f, "row": r, "label": y} for f, r, y in factor_counts(own)])
+            seen.append([dict(zip(_CONTEXT, c)) for c in contexts(own)])
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, _SPAN), pa.array(nodes, _NODE),
-                                          pa.array(counts, _COUNT)], names=["doc_id", "base", "nodes", "counts"])
+                                          pa.array(seen, _CONTEXTS)], names=["doc_id", "base", "nodes", "contexts"])
 
 
 def read_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, base, nodes, counts`` per document, written once; nodes only where some label is hidden."""
+    """``doc_id, base, nodes, contexts`` per document, written once; nodes only where some label is hidden."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return materialize(map_batches(rows, _read, f"doc_id long, base {SPANS}, nodes {NODES}, "
-                                   "counts array<struct<factor:string,row:int,label:int>>"), "pii")
+                                   f"contexts array<struct<{','.join(f'{c}:int' for c in _CONTEXT)}>>"), "pii")
 
 
 def train(read: DataFrame) -> dict[str, np.ndarray]:
-    """Potentials from the factor counts of all documents (a few dozen rows)."""
-    counts = read.select(F.inline("counts")).groupBy("factor", "row", "label").count()
-    return potentials([tuple(r) for r in counts.collect()])
+    """Potentials from the contexts of all documents."""
+    counts = read.select(F.inline("contexts")).groupBy(*_CONTEXT).count()
+    return potentials([tuple(r) for r in collect_bounded(counts, MAX_CONTEXTS, "contexts")])
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
