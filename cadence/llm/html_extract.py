@@ -9,8 +9,11 @@ The classifier is trained here: log-likelihood ratios of a block's features (anc
 of class and id, length, link share, punctuation, place of heading) between two kinds of silver blocks,
 counted over all pages: blocks of an article or main element outside boilerplate elements, and blocks
 of boilerplate elements (``nav``, ``footer``, ``form`` and the like, or words of class and id that say so).
-Elements that are never content get a boilerplate cost that no smoothing can outweigh; on a page with
-an article, standing inside or outside of it is a cost of its own. Words of class and id alone don't
+All costs stand on one scale with the edges, so the flow decides wherever the classifier is unsure or
+alone: what its features say together (at most ``MOST``), standing inside or outside of the page's article
+(``ARTICLE``), and standing in an element that is never content (``NEVER_COST``). Names of class and id that mark
+boilerplate consist of listed words, alone or beside words that say nothing (``related-work`` marks nothing),
+and alone don't
 make boilerplate of a wrapper: neither of an element with most of the page's text, nor of one around
 its main element or an article at least half as long as the longest article and as the unmarked text
 outside of articles, nor of a page's own articles.
@@ -40,14 +43,15 @@ from pyspark.sql import functions as F
 from .common import map_batches, small_batches
 
 # Element names of HTML by their part in a page.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
-                   "samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark math mfrac mi mn "
+                   "mo mrow msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object select title xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea iframe svg object select title xmp noembed noframes".split())
 NEVER = frozenset("nav footer aside form button menu dialog fieldset head".split())
 ARTICLES = frozenset("article main".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer "
                      "form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PLAIN = frozenset(["", *"html body div section article main center table tbody tr".split()])  # say nothing of the text
 #: Words of class, id and role attributes that mark boilerplate.
 NEVER_WORDS = frozenset(
@@ -55,64 +59,95 @@ NEVER_WORDS = frozenset(
     "consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter "
     "notice notices pagination pager popup promo promotion related replies reply respond search share sharing sidebar "
     "signup skip social sponsor sponsored subscribe subscription toolbar topbar widget contentinfo complementary".split())
+#: Words that may stand beside those in one name; any other makes the name say something else (``related-work``).
+BESIDE_WORDS = frozenset(
+    "area bar block body bottom box btn button buttons card cell col column container content desktop element fixed form global "
+    "group head header holder icon icons inline inner item items large layer left line link links list main mobile module "
+    "outer page panel part post posts primary right row secondary section site small slot static sticky title top unit "
+    "view wrap wrapper zone".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 
+#: A tag; only a quote after "=" opens a string, any other is a character.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"""
-                 r"""((?:[^"'>]++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.DOTALL)
+                 r"""((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+)(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""",
                        re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
-#: Smoothness: of neighbours in page order (halved for each step in the element tree), and of
+#: Smoothness: of neighbours in page order (halved for each step in the element tree beyond two), and of
 #: neighbouring blocks under the same parent element.
-ADJACENT, SIBLING = 1.0, 0.5
-SURE = 1e6
+ADJACENT, SIBLING = 3.0, 1.0
+#: Steps in the element tree beyond which neighbours are not tied.
+FAR = 24
 SMOOTH = 1.0
-LIMIT = 3.0
-#: On a page with an article or main element: for blocks inside, and against those outside.
-ARTICLE = 20.0
+#: Most that one feature says, and all features of the classifier together; the share of their sum that counts, since
+#: features of one block say much the same.
+LIMIT, MOST, SHARE = 3.0, 6.0, 0.35
+#: Costs on the scale of the classifier's: on a page with an article or main element, of standing inside or
+#: outside of it; of standing in an element that is never content.
+ARTICLE, NEVER_COST = 10.0, 20.0
+
+
+class Element:
+    """An open or closed element; its place among the elements that aren't inline."""
+
+    __slots__ = ("name", "parent", "up", "depth", "marked", "in_article", "size", "wrapper", "bad", "lost")
+
+    def __init__(self, name: str, parent: "Element | None", marked: bool):
+        self.name, self.parent, self.marked = name, parent, marked
+        self.up = None if parent is None else parent if parent.name not in INLINE else parent.up
+        self.depth = 0 if self.up is None else self.up.depth + 1
+        self.in_article = parent is not None and (parent.in_article or parent.name == "article")  # of another article
+        self.size, self.wrapper, self.bad, self.lost = 0, False, False, False
 
 
 class Block:
-    __slots__ = ("parts", "linked", "path", "never", "article", "heading", "words", "marked", "articles")
+    __slots__ = ("parts", "linked", "top", "place", "never", "article", "heading", "words")
 
-    def __init__(self, path: tuple, never: bool, article: bool, heading: bool, words: frozenset, marked: tuple,
-                 articles: tuple):
+    def __init__(self, top: Element, never: bool, article: bool, heading: bool, words: frozenset):
         self.parts: list[str] = []
         self.linked = 0
-        self.path, self.never, self.article, self.heading, self.words = path, never, article, heading, words
-        self.marked, self.articles = marked, articles  # numbers of elements around: with words that mark, article or main
+        self.top, self.place = top, top if top.name not in INLINE else top.up
+        self.never, self.article, self.heading, self.words = never, article, heading, words
 
     @property
     def text(self) -> str:
         return SPACE.sub(" ", unescape("".join(self.parts))).strip()
 
 
-def _marks(attributes: str) -> tuple[frozenset, bool]:
-    """Words of class, id and role, and whether the element is hidden."""
-    words, hidden = set(), False
+def _marking(name: str) -> bool:
+    """Whether a class, id or role name says boilerplate: a listed word, alone or beside words that say nothing."""
+    words = set(WORD.findall(CAMEL.sub(" ", name).lower()))
+    return bool(words & NEVER_WORDS) and words <= NEVER_WORDS | BESIDE_WORDS
+
+
+def _marks(attributes: str) -> tuple[frozenset, bool, bool]:
+    """Words of class, id and role, whether some name marks boilerplate, and whether the element is hidden."""
+    words, marked, hidden = set(), False, False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
             words.update(WORD.findall(CAMEL.sub(" ", value).lower()))
+            marked = marked or any(map(_marking, value.split()))
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             hidden = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             hidden = True
-    return frozenset(words), hidden
+    return frozenset(words), marked, hidden
 
 
 def read_blocks(html: str | None) -> list[tuple[Block, str]]:
     """The blocks of a page with text, in page order."""
     html = html or ""
-    # Open elements: (name, number, never content, in an article, words on the path, marked elements, articles).
-    stack: list[tuple[str, int, bool, bool, frozenset, tuple, tuple]] = [("", 0, False, False, frozenset(), (), ())]
-    names_of: dict[int, tuple[str, tuple, tuple]] = {}  # article and main elements: (name, marked elements, articles around)
+    root = Element("", None, False)
+    elements = [root]
+    # Open elements: (element, never content, in an article, in a heading, words on the path); how many have each name.
+    stack: list[tuple[Element, bool, bool, bool, frozenset]] = [(root, False, False, False, frozenset())]
+    opened: dict[str, int] = {}
     blocks: list[Block] = []
     now: Block | None = None
-    number = 0
     links = 0
     at = 0
 
@@ -121,12 +156,7 @@ def read_blocks(html: str | None) -> list[tuple[Block, str]]:
         if now is None:
             if not text.strip():
                 return
-            top = stack[-1]
-            # Inline elements aren't part of a block's place.
-            path = tuple(e[1] for e in stack if e[0] not in INLINE)
-            names = {e[0] for e in stack}
-            now = Block(path, top[2], top[3], bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"}),
-                        top[4] | frozenset(f"<{n}>" for n in names - PLAIN - INLINE), top[5], top[6])
+            now = Block(*stack[-1])
             blocks.append(now)
         now.parts.append(text)
         if links:
@@ -134,12 +164,19 @@ def read_blocks(html: str | None) -> list[tuple[Block, str]]:
 
     def close(to: int) -> None:
         nonlocal now, links
-        for e in stack[to:]:
-            links -= e[0] == "a"
-            if e[0] not in INLINE:
+        for e, *_ in stack[to:]:
+            links -= e.name == "a"
+            opened[e.name] -= 1
+            if e.name not in INLINE:
                 now = None
         del stack[to:]
 
+    def last(name: str) -> int:
+        """Depth of the innermost open element of a name, 0 if there is none."""
+        if not opened.get(name):
+            return 0
+        return next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0].name == name)
+
     while True:
         m = TAG.search(html, at)
         add(html[at:m.start()] if m else html[at:])
@@ -152,7 +189,7 @@ def read_blocks(html: str | None) -> list[tuple[Block, str]]:
         if m[1]:
             if name in RAW:
                 continue
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+            depth = last(name)
             if depth:
                 close(depth)
             elif name not in INLINE:
@@ -172,64 +209,69 @@ def read_blocks(html: str | None) -> list[tuple[Block, str]]:
                 now = None
             continue
         if name in CLOSES_P:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-            if depth and not any(e[0] in ("table", "td", "li", "div", "section", "article") for e in stack[depth + 1:]):
+            depth = last("p")
+            if depth and not any(e.name in ("table", "td", "li", "div", "section", "article") for e, *_ in stack[depth + 1:]):
                 close(depth)
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
             alike = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in alike:
+            for i in range(len(stack) - 1, 0, -1) if any(opened.get(x) for x in alike) else ():
+                if stack[i][0].name in alike:
                     close(i)
                     break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "tr" if name in ("td", "th") else "table"):
+                if stack[i][0].name in ("ul", "ol", "dl", "table", "tr" if name in ("td", "th") else "table"):
                     break
         if name not in INLINE:
             now = None
-        words, hidden = _marks(m[3]) if m[3].strip() else (frozenset(), False)
-        number += 1
-        top = stack[-1]
-        in_article = top[3] or name in ARTICLES or "main" in words
-        never = top[2] or hidden or name in NEVER or (name == "header" and not in_article)
-        marked = (*top[5], number) if words & NEVER_WORDS else top[5]
-        if name in ARTICLES:
-            names_of[number] = (name, marked, top[6])
-        stack.append((name, number, never, in_article, top[4] | (words & CONTENT_WORDS), marked,
-                      (*top[6], number) if name in ARTICLES else top[6]))
+        words, marked, hidden = _marks(m[3]) if m[3].strip() else (frozenset(), False, False)
+        top, never, in_article, heading, said = stack[-1]
+        in_article = in_article or name in ARTICLES or "main" in words
+        never = never or hidden or name in NEVER or (name == "header" and not in_article)
+        more = words & CONTENT_WORDS if name in PLAIN or name in INLINE else words & CONTENT_WORDS | {f"<{name}>"}
+        element = Element(name, top, marked)
+        elements.append(element)
+        opened[name] = opened.get(name, 0) + 1
+        stack.append((element, never, in_article, heading or name in HEADINGS, said if more <= said else said | more))
         links += name == "a"
         if m[3].rstrip().endswith("/") and name not in INLINE:
             close(len(stack) - 1)
     found = [(b, t) for b in blocks if (t := b.text)]
-    _judge_marked(found, names_of)
+    _judge_marked(found, elements)
     return found
 
 
-def _judge_marked(blocks: list[tuple[Block, str]], names_of: dict[int, tuple[str, tuple, tuple]]) -> None:
-    """Blocks in elements whose words mark boilerplate are never content, unless all those elements are wrappers."""
-    if not any(b.marked for b, _ in blocks):
+def _judge_marked(blocks: list[tuple[Block, str]], elements: list[Element]) -> None:
+    """Blocks in elements whose names mark boilerplate are never content, unless all those elements are wrappers.
+
+    Sums go up and marks go down the tree in page order, so the work is linear in the elements.
+    """
+    if not any(e.marked for e in elements):
         return
-    size: dict[int, int] = {}
     total = 0
     for b, t in blocks:
         if not b.never:
+            b.top.size += len(t)
             total += len(t)
-            for e in {*b.marked, *b.articles}:
-                size[e] = size.get(e, 0) + len(t)
-    wrappers = {e for e, n in size.items() if 2 * n > total}
+    for e in reversed(elements[1:]):
+        e.parent.size += e.size
+    for e in elements[1:]:
+        e.wrapper = e.marked and 2 * e.size > total
+        e.lost = e.parent.lost or (e.marked and not e.wrapper)
     # An article in an article is a comment or the like.
-    own = [a for a, (name, _, around) in names_of.items()
-           if name == "article" and not any(names_of[x][0] == "article" for x in around)]
-    rest = sum(len(t) for b, t in blocks if not b.never and wrappers.issuperset(b.marked)
-               and all(names_of[a][0] == "main" for a in b.articles))
-    longest = max([rest, *(size.get(a, 0) for a in own)])
-    wrappers.update(own)
-    for a, (name, marked, _) in names_of.items():
-        if size.get(a, 0) and name == "main":
-            wrappers.update(marked)
+    own = [e for e in elements if e.name == "article" and not e.in_article]
+    rest = sum(len(t) for b, t in blocks if not b.never and not b.top.lost and not (b.top.in_article or b.top.name == "article"))
+    longest = max([rest, *(a.size for a in own)])
     for a in own:
-        if size.get(a, 0) and 2 * size[a] >= longest:
-            wrappers.update(names_of[a][1])
+        a.wrapper = True
+    for a in elements:
+        if a.size and (a.name == "main" or (a.name == "article" and not a.in_article and 2 * a.size >= longest)):
+            while a is not None and not a.bad:  # ``bad``: what is around has been cleared
+                a.wrapper = a.bad = True
+                a = a.parent
+    elements[0].bad = False
+    for e in elements[1:]:
+        e.bad = e.parent.bad or (e.marked and not e.wrapper)
     for b, _ in blocks:
-        b.never = b.never or not wrappers.issuperset(b.marked)
+        b.never = b.never or b.top.bad
 
 
 def features(block: Block, text: str) -> list[str]:
@@ -311,31 +353,44 @@ def min_cut(cost: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray
     return label > 0
 
 
-def _apart(x: tuple, y: tuple) -> int:
-    """Steps between two places in the element tree."""
-    shared = 0
-    for a, b in zip(x, y):
-        if a != b:
-            break
-        shared += 1
-    return len(x) + len(y) - 2 * shared
+def _apart(a: Element, b: Element) -> int:
+    """Steps between two places in the element tree, up to ``FAR``."""
+    steps = 0
+    while a is not b and steps < FAR:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
 
 
-def label_page(blocks: list[tuple[Block, str]], weights: dict[str, float]) -> np.ndarray:
+def costs_of(blocks: list[tuple[Block, str]], weights: dict[str, float]) -> np.ndarray:
+    """What speaks for content (above 0) or boilerplate (below), block by block, all on one scale."""
     inside = ARTICLE if any(b.article and not b.never for b, _ in blocks) else 0.0
-    cost = np.array([-SURE if b.never else sum(weights.get(f, 0.0) for f in features(b, t))
-                     + (inside if b.article else -inside) for b, t in blocks])
+    said = SHARE * np.array([sum(weights.get(f, 0.0) for f in features(b, t)) for b, t in blocks])
+    return (np.clip(said, -MOST, MOST) + np.array([inside if b.article else -inside for b, _ in blocks])
+            - np.array([NEVER_COST if b.never else 0.0 for b, _ in blocks]))
+
+
+def edges_of(blocks: list[tuple[Block, str]]) -> list[tuple[int, int, float]]:
+    """Smoothness edges: page order, and siblings in the tree."""
     edges = []
-    last: dict[tuple, int] = {}
+    last: dict[int, int] = {}
     for i, (b, _) in enumerate(blocks):
-        if i:
-            edges.append((i - 1, i, ADJACENT * 0.5 ** (_apart(blocks[i - 1][0].path, b.path) - 2)
-                          if not blocks[i - 1][0].never and not b.never else 0.0))
-        parent = b.path[:-1]
+        if i and not blocks[i - 1][0].never and not b.never:
+            steps = _apart(blocks[i - 1][0].place, b.place)
+            if steps < FAR:
+                edges.append((i - 1, i, ADJACENT * 0.5 ** max(0, steps - 2)))
+        parent = id(b.place.up)
         if parent in last:
             edges.append((last[parent], i, SIBLING))
         last[parent] = i
-    return min_cut(cost, edges)
+    return edges
+
+
+def label_page(blocks: list[tuple[Block, str]], weights: dict[str, float]) -> np.ndarray:
+    return min_cut(costs_of(blocks, weights), edges_of(blocks))
 
 
 def main_text(html: str | None, weights: dict[str, float]) -> str:

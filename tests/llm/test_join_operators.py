@@ -451,3 +451,78 @@ def test_hosts_of_many_labels_cost_no_more(spark):
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, pages.select("url").limit(0), rules).collect()}
     assert time.perf_counter() - start < 20
     assert got == {0: ("example.net/en/", "allow"), 1: (None, "allow"), 2: ("net/", "block"), 3: (None, "allow")}
+
+
+# ------------------------------------------------------------------ HTML: the cut, odd quotes, deep nesting
+
+def _mixed_page(rng, plain):
+    """Paragraphs, some of them short or all link, between menus with a sentence here and there; without names if plain."""
+    def said(n):
+        return " ".join(rng.choice("the river and house under water with green hill near old market people said it".split()) for _ in range(n))
+    body, truth = [], []
+    for _ in range(rng.randint(5, 12)):
+        kind = rng.random()
+        text = f"{said(rng.randint(25, 60)).capitalize()}, {said(8)}." if kind < 0.75 else said(rng.randint(1, 4)).title()
+        truth.append(text)
+        body.append(f"<p><a href='/x'>{text}</a></p>" if 0.75 <= kind < 0.85 else f"<p>{text}</p>")
+
+    def menu(n):
+        return "".join(f"<li><p>{said(rng.randint(20, 30))}, {said(4)}.</p></li>" if rng.random() < 0.06 else f"<li><a href='/m'>{said(rng.randint(1, 3)).title()}</a></li>"
+                       for _ in range(n))
+    nav, foot, main = ("div", "div", "div") if plain else ("nav", "footer", "article")
+    html = f"<body><{nav}><ul>{menu(rng.randint(5, 10))}</ul></{nav}><{main}>{''.join(body)}</{main}><{foot}><ul>{menu(rng.randint(5, 10))}</ul></{foot}></body>"
+    return html, truth
+
+
+def _weights(pages):
+    seen = {}
+    for html in pages:
+        for b, t in hx.read_blocks(html):
+            y = hx.silver(b)
+            if y >= 0:
+                for f in (None, *hx.features(b, t)):
+                    seen[f, y] = seen.get((f, y), 0) + 1
+    return hx.weights_of({k: n for k, n in seen.items() if k[0] is not None}, (seen.get((None, 0), 0), seen.get((None, 1), 0)))
+
+
+def test_the_cut_labels_better_than_the_costs():
+    """On pages without telling elements, the cut changes labels that the costs alone get wrong."""
+    rng = random.Random(23)
+    weights = _weights([_mixed_page(rng, False)[0] for _ in range(150)])
+    right = {"cut": 0, "cost": 0}
+    blocks = changed = mended = 0
+    for _ in range(150):
+        html, truth = _mixed_page(rng, True)
+        found = hx.read_blocks(html)
+        want = np.array([t in truth and b.place.name == "p" and b.place.up.name == "div" for b, t in found])
+        costs = hx.costs_of(found, weights) > 0
+        cut = hx.label_page(found, weights)
+        right["cut"] += int((cut == want).sum())
+        right["cost"] += int((costs == want).sum())
+        blocks += len(found)
+        changed += int((cut != costs).sum())
+        mended += int(((cut != costs) & (cut == want)).sum())
+    assert changed >= 100 and mended > 0.8 * changed, (blocks, changed, mended, right)
+    assert right["cut"] > right["cost"] + 0.02 * blocks and right["cut"] > 0.97 * blocks, (blocks, changed, mended, right)
+
+
+def test_quotes_open_strings_after_an_equals_sign_only(spark):
+    pages = ["<article><p>One.</p><p title=Bob's>Two.</p><p>Three.</p></article>", "<article><p>One.</p><a href=x\">Two.</a><p>Three.</p></article>",
+             "<article><p title=\"a > b\" data-x = 'c > d' e=f\"g>One.</p><p 'odd' \">Two.</p><p>Three.</p></article>",
+             "<article><p>One.</p><p>Two <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p><p>Three.</p></article>",
+             "<main><p>One.</p><section class='related-work'><p>Two.</p></section><p>Three.</p></main>",
+             "<article><p>One.</p><p title=>Two.</p><p title='>Three.</p></article>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = [r["text"] for r in hx.extract(df).orderBy("page_id").collect()]
+    assert got == ["One.\nTwo.\nThree."] * 3 + ["One.\nTwo x=2.\nThree.", "One.\nTwo.\nThree.", "One.\nTwo."]
+
+
+@pytest.mark.parametrize("unit", ["<div>text ", "<div class=ad>text ", "<p>text</b></i>", "<article><p>text", "<b>text ", "<li><ul>text", "<a href=x\">t", "<p title=x'y>z", "< p", "</div>t"])
+def test_reading_time_is_linear(unit):
+    took = []
+    weights = {"len0": -1.0, "stop0": 0.5}
+    for n in (2_000, 8_000):
+        start = time.perf_counter()
+        hx.main_text(unit * n, weights)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 9 * max(took[0], 0.02), took
