@@ -7,9 +7,9 @@ The result is exact but for collisions of 64-bit hashes. Steps, all distributed:
    each task and summed; the most common ones (a bounded list) come last in the order below.
 2. Prefix filter: with shingles in any one order, two linked sets share a shingle among the
    first n - ceil(0.8 n) + 1 of each. Each class sends these keys, packed by bucket; a key
-   that many classes have is dealt to cells of salt pairs, so no task gets a hot key whole.
-   Keys with one class, or without two classes of like size, end here, and of keys with the same
-   classes one is enough.
+   that is known to be common is dealt to cells of salt pairs. Keys with one class, or without two classes of
+   like size, end here, and of keys with the same classes one is enough. The groups that remain are counted,
+   and large ones dealt to pairs of blocks, so no tree gets a hot key whole.
 3. Signature trees: in each cell, a leaf holds the bitmap of one class's shingles (at least
    twice as many bits as shingles) and inner nodes the OR of their children with their range
    of sizes. A dual traversal from the root drops every pair of nodes whose largest possible
@@ -408,6 +408,20 @@ def _cells(roots: DataFrame, sizes: DataFrame) -> DataFrame:
     return at.select("rid", F.explode(F.when(F.col("one"), F.array(F.xxhash64("root"))).otherwise(pairs)).alias("cell"))
 
 
+def _dealt(met: DataFrame, cell_rows: int) -> DataFrame:
+    """(cell, rid): each group of ``met``, or each pair of blocks of ``cell_rows`` of a group of more than four times as
+    many members, whatever was known of its key before (a cell of a key that was dealt already has two blocks)."""
+    heavy = met.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 4 * cell_rows).select(
+        "gid", F.ceil(F.col("c") / cell_rows).cast("long").alias("k"))
+    heavy = materialize(heavy, "heavy-groups")
+    if heavy.isEmpty():
+        return met.select(F.col("gid").alias("cell"), "rid")
+    at = met.join(heavy, "gid", "left").withColumn("i", F.pmod(F.xxhash64("rid"), F.col("k")))
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1),
+                         lambda j: F.xxhash64("gid", F.least(F.col("i"), j), F.greatest(F.col("i"), j)))
+    return at.select(F.explode(F.when(F.col("k").isNull(), F.array("gid")).otherwise(blocks)).alias("cell"), "rid")
+
+
 # ---------------------------------------------------------------- the join
 
 
@@ -442,11 +456,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     buckets = max(shuffles, math.ceil(total[1] / 4_000_000))
     sent = map_batches(own, _send(frequent, words, buckets), "bucket long, gids binary, rids binary, sizes binary")
     sent = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    met = map_batches(sent, _meet, "gid long, rid long").distinct()
+    met = _dealt(materialize(map_batches(sent, _meet, "gid long, rid long").distinct(), "met"), cell_rows)
     marked = map_batches(own, _signatures(words), "rid long, n long, map binary")
     marked = marked.groupBy("rid").agg(F.first("n").alias("n"), F.first("map").alias("map"))
-    cells = met.join(marked, "rid").select("gid", "rid", "n", "map")
-    cells = cells.repartition(buckets, "gid").sortWithinPartitions("gid")
+    cells = met.join(marked, "rid").select("cell", "rid", "n", "map")
+    cells = cells.repartition(buckets, "cell").sortWithinPartitions("cell")
     roots = components(map_batches(cells, _traverse, "a long, b long"))
 
     classes = rows.filter("doc_id is not null").groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))

@@ -526,3 +526,40 @@ def test_reading_time_is_linear(unit):
         hx.main_text(unit * n, weights)
         took.append(time.perf_counter() - start)
     assert took[1] < 9 * max(took[0], 0.02), took
+
+
+# ------------------------------------------------------------------ hubs and uncounted keys
+
+@pytest.mark.parametrize("hub,sent", [(3, 2_000_000), (3, 0), (1000, 10)])
+def test_components_with_hubs(spark, monkeypatch, hub, sent):
+    from cadence.llm import graph
+    monkeypatch.setattr(graph, "HUB", hub)
+    monkeypatch.setattr(graph, "MAX_SENT_HUBS", sent)
+    rng = random.Random(9)
+    links = [(0, i) for i in range(1, 2500)] + [(5000, i) for i in range(5001, 5040)] + [(i, i + 1) for i in range(6000, 6060)]
+    links += [(rng.randint(7000, 7300), rng.randint(7000, 7300)) for _ in range(200)] + [(2499, 6000), (5001, 7000)]
+    rng.shuffle(links)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = reach({x for e in links for x in e}, links)
+    assert got == {n: r for n, r in want.items() if any(n in e and e[0] != e[1] for e in links)}
+
+
+def test_keys_that_no_batch_counts_are_dealt(spark, monkeypatch):
+    """Nothing is known to be common: large groups are still cut into cells of bounded size, and no link is lost."""
+    monkeypatch.setattr(jj, "CELL_ROWS", 8)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    docs = [(i, " ".join(base[:40] + [f"x{rng.randint(0, 3)}"] + base[41:58] + [f"y{i}"])) for i in range(120)]
+    docs += [(1000 + i, f"other text number {i} with words of its own") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
+    sizes = []
+    real = jj._dealt
+
+    def dealt(met, cell_rows):
+        out = real(met, cell_rows)
+        sizes.append((met.groupBy("gid").count().agg(F.max("count")).first()[0], out.groupBy("cell").count().agg(F.max("count")).first()[0]))
+        return out
+    monkeypatch.setattr(jj, "_dealt", dealt)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jj.jaccard_components(df, cell_rows=8, max_frequent=0).collect()), key=repr)
+    assert got == brute_join(docs)
+    assert sizes[0][0] > 100 and sizes[0][1] <= 40, sizes
