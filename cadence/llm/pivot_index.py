@@ -1,20 +1,27 @@
 """Embedding near-duplicates with a pivot-permutation index.
 
-Every vector is described by its ``listed(P)`` nearest of ``P`` pivots in order: ``LIST``, and one more each
-time P doubles beyond ``LIST_PIVOTS``, since the chance to share two falls with P. Vectors that share at least
-two listed pivots are candidates: the inverted lists are kept per pair of pivots, so a list holds what
-shares two, and nothing that shares one alone is ever met. Candidates are verified by cosine in double
-precision; no link below the threshold is returned.
-
-The pivots are fitted on a bounded sample: of ``4 P`` vectors (smallest hashes of their values) those are taken
-that are pairwise dissimilar (cosine < 0.5), P about 2 sqrt(n) and at most ``max_pivots``. Every vector is indexed.
-A pair that shares fewer than two listed pivots is missed; tests measure the recall against brute force.
-
-Scale: equal vectors are one class with a count. Index rows are dealt by list; a list with more than
+Every vector is described by its nearest pivots in order of nearness, after the sample's mean is subtracted (embeddings
+often point all one way; what tells them apart is the rest). Inverted lists are kept per pair of pivots, so a list
+holds what shares two. Members of a list are compared by their permutations alone: each shared pivot counts with the
+product of the ranks it has from the end, and pairs whose count is below the fitted share of the largest one go. What
+passes is compared by byte sketches of the vectors, with a bound of their error that loses no link, and the members
+of pairs that still may link get their vectors joined, for the cosine in double precision; no link below the
+threshold is returned.
+
+Fit, on a bounded sample (``4 P`` vectors with the smallest hashes of their values): pivots are those not too
+like one before, P about 2 sqrt(n) and at most ``max_pivots``. Pairs made at the threshold from sample vectors (towards
+another vector, and in a random direction) say how many of how many pivots must be listed so that ``TARGET`` of
+them share two, with the fewest random pairs doing so; and which rank-aware count nearly all of them reach. Every
+vector is indexed. A pair that shares fewer than two listed pivots, or ranks them too differently, is missed;
+tests measure the recall against brute force.
+
+Scale: equal vectors are one class with a count. Index rows hold a permutation and a sketch, never a vector. They
+are dealt by list; a list with more than
 ``CELL_ROWS`` classes is cut into salted blocks, and each pair of blocks is a task's work of its own. Pairs are
 counted where they are found: a pair counts only in the first list that both share, so pairs are
 never sent or gathered; tasks return counts per vector and a spanning forest of links. Within one group of
-near copies the comparisons still grow with the square of its size, in blocks over many tasks.
+near copies the comparisons still grow with the square of its size, in blocks over many tasks, and so they do where
+embeddings are so narrow that links are hardly nearer than other pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing;
 vectors of different lengths never link; repeated rows are linked copies; a null vec_id counts as a
@@ -37,38 +44,127 @@ from .graph import components, local_components
 from .jaccard_join import _groups as groups_of
 
 THRESHOLD = 0.9
-LIST = 6
-LIST_PIVOTS = 128
+#: Pivots that a vector lists, at least and at most, and the fewest pivots to list from.
+LEAST_LIST, MOST_LIST, LEAST_PIVOTS = 6, 14, 16
+#: Share of made pairs that must share two listed pivots; share of those that may fail the rank-aware count.
+TARGET, MISS = 0.975, 0.01
 MAX_PIVOTS = 4096
-PIVOT_COSINE = 0.5
+PIVOT_COSINE = 0.8
 CELL_ROWS = 1024
 #: Longest lists whose blocks are known to all tasks; any other list has about a 1/MAX_HOT share of the index at most.
 MAX_HOT = 100_000
+#: Sample vectors from which pairs are made.
+MADE = 1000
 
 
-def choose_pivots(sample: list[list[float]], wanted: int) -> dict[int, np.ndarray]:
-    """Unit pivots by vector length: in the sample's order, those dissimilar to all before."""
-    by: dict[int, list[np.ndarray]] = {}
-    for values in sample:
-        v = np.array(values, np.float64)
-        v /= np.linalg.norm(v)
-        own = by.setdefault(len(v), [])
-        if len(own) < wanted and (not own or float((np.array(own) @ v).max()) < PIVOT_COSINE):
-            own.append(v)
-    return {d: np.array(own) for d, own in by.items()}
+def _normal(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=-1, keepdims=True)
+    return m / np.where(size > 0, size, 1.0)
+
+
+class Pivots:
+    """Unit pivots around ``centre``, how many a vector lists, and the least rank-aware count of a candidate."""
 
+    def __init__(self, rows: np.ndarray, centre: np.ndarray, listed: int, least: float):
+        self.rows, self.centre, self.listed, self.least = rows, centre, listed, least
 
-def listed(pivots: int) -> int:
-    """How many of so many pivots a vector lists."""
-    return min(pivots, LIST + max(0, math.ceil(math.log2(max(1, pivots) / LIST_PIVOTS))))
+    def __len__(self) -> int:
+        return len(self.rows)
 
 
-def nearest(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Numbers of the nearest pivots of unit vectors, in ascending order of number."""
-    k = listed(len(pivots))
-    near = -(vectors @ pivots.T)
-    top = np.argpartition(near, k - 1, axis=1)[:, :k] if k < len(pivots) else np.tile(np.arange(k), (len(vectors), 1))
-    return np.sort(top, axis=1)
+def _ordered(unit: np.ndarray, centre: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the ``k`` nearest pivots of unit vectors, nearest first."""
+    k = min(k, len(rows))
+    near = -(_normal(unit - centre) @ rows.T)
+    top = np.argpartition(near, k - 1, axis=1)[:, :k] if k < len(rows) else np.tile(np.arange(k), (len(unit), 1))
+    return np.take_along_axis(top, np.argsort(np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
+
+
+def nearest(vectors: np.ndarray, pivots: Pivots) -> np.ndarray:
+    """Numbers of the listed pivots of unit vectors, nearest first."""
+    return _ordered(vectors, pivots.centre, pivots.rows, pivots.listed)
+
+
+def rank_weights(tops: np.ndarray, pivots: int) -> np.ndarray:
+    """For each permutation the rank from the end of every pivot that it lists; the product of two rows is their
+    rank-aware count, ``largest_count`` if they are equal."""
+    out = np.zeros((len(tops), pivots), np.float32)
+    np.put_along_axis(out, tops, np.arange(tops.shape[1], 0, -1, dtype=np.float32)[None].repeat(len(tops), 0), 1)
+    return out
+
+
+def largest_count(listed: int) -> float:
+    return listed * (listed + 1) * (2 * listed + 1) / 6
+
+
+def _made_pairs(unit: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at the threshold: vectors moved towards another one of the sample, and in a random direction."""
+    x = unit[:MADE]
+    other = np.roll(unit, len(unit) // 2 + 1, axis=0)[:len(x)]
+    low, high = np.zeros((len(x), 1)), np.ones((len(x), 1))
+    for _ in range(30):
+        t = (low + high) / 2
+        near = (x * _normal(x + t * (other - x))).sum(axis=1, keepdims=True) > threshold
+        low, high = np.where(near, t, low), np.where(near, high, t)
+    noise = np.random.default_rng(1).normal(size=x.shape)
+    noise = _normal(noise - (noise * x).sum(axis=1, keepdims=True) * x)
+    return [(x, _normal(x + low * (other - x))), (x, threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * noise)]
+
+
+def _fit_lists(unit: np.ndarray, centre: np.ndarray, rows: np.ndarray, threshold: float) -> Pivots:
+    """Of the first P, P / 2, P / 4 ... pivots, and the shortest lists that reach the target, those with fewest random
+    pairs in common lists; if none reaches it, the longest lists from the fewest pivots."""
+    apart = unit[(_normal(unit - centre) @ rows.T).max(axis=1) < 0.9999]  # a pivot finds itself too easily
+    if len(apart) < 50:
+        apart = unit
+    pairs = _made_pairs(apart, threshold)
+    some = np.resize(apart, (600, apart.shape[1]))
+    found = []
+    n = len(rows)
+    while n >= min(LEAST_PIVOTS, len(rows)):
+        most = min(MOST_LIST, n)
+        tops = [(_ordered(x, centre, rows[:n], most), _ordered(y, centre, rows[:n], most)) for x, y in pairs]
+        chance = _ordered(some, centre, rows[:n], most)
+        for k in range(min(LEAST_LIST, most), most + 1):
+            counts = [((a[:, :k, None] == b[:, None, :k]).sum(axis=(1, 2))) for a, b in tops]
+            reached = min(float((c >= 2).mean()) for c in counts)
+            if reached >= TARGET or k == most:
+                there = rank_weights(chance[:, :k], n) > 0
+                common = there[:300].astype(np.float32) @ there[300:].astype(np.float32).T
+                found.append((reached < TARGET, float((common >= 2).mean()) if reached >= TARGET else -reached, n, k))
+                break
+        n //= 2
+    *_, n, k = min(found)
+    counts = []
+    for x, y in pairs:
+        a, b = rank_weights(_ordered(x, centre, rows[:n], k), n), rank_weights(_ordered(y, centre, rows[:n], k), n)
+        both = ((a > 0) & (b > 0)).sum(axis=1) >= 2
+        counts.append(np.quantile((a * b).sum(axis=1)[both], MISS) if both.any() else 0.0)
+    return Pivots(rows[:n], centre, k, float(min(counts)))
+
+
+def choose_pivots(sample: list[list[float]], wanted: int, threshold: float = THRESHOLD) -> dict[int, Pivots]:
+    """Pivots by vector length, in the sample's order, with lists fitted for links at ``threshold``."""
+    by: dict[int, list[list[float]]] = {}
+    for values in sample:
+        by.setdefault(len(values), []).append(values)
+    out = {}
+    for d, vectors in by.items():
+        unit = _normal(np.array(vectors, np.float64))
+        centre = unit.mean(axis=0)
+        own = np.zeros((0, d))
+        for start in range(0, len(unit), 256):
+            if len(own) >= wanted:
+                break
+            block = _normal(unit[start:start + 256] - centre)
+            block = block[(block != 0).any(axis=1)]
+            if len(own) and len(block):
+                block = block[(block @ own.T).max(axis=1) < PIVOT_COSINE]
+            alike = np.triu(block @ block.T >= PIVOT_COSINE, 1)
+            own = np.concatenate((own, block[~alike.any(axis=0)]))
+        if len(own):
+            out[d] = _fit_lists(unit, centre, own[:wanted], threshold)
+    return out
 
 
 def _unit(blobs: list[bytes]) -> np.ndarray:
@@ -77,32 +173,49 @@ def _unit(blobs: list[bytes]) -> np.ndarray:
 
 
 def _keys(tops: np.ndarray, dim: int) -> np.ndarray:
-    """List numbers (dim, p, q) of every pair of listed pivots, one row per vector."""
+    """List numbers (dim, p, q) of every pair of listed pivots p < q, one row per vector."""
     k = tops.shape[1]
     if k < 2:
         return np.full((len(tops), 1), dim << 32, np.int64)
+    tops = np.sort(tops, axis=1).astype(np.int64)
     i, j = np.triu_indices(k, 1)
-    return (dim << 32) + (tops[:, i].astype(np.int64) << 16) + tops[:, j]
+    return (dim << 32) + (tops[:, i] << 16) + tops[:, j]
+
+
+def sketches(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and scale of each unit vector: within ``scale / 2`` of every component."""
+    scale = np.abs(unit).max(axis=1) / 127
+    return np.rint(unit / scale[:, None]).astype(np.int8), scale.astype(np.float64)
+
+
+def may_link(q: np.ndarray, scale: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosine of each pair may reach the threshold, by the sketches and their largest error."""
+    error = scale * math.sqrt(q.shape[1]) / 2
+    out = np.empty(len(a), bool)
+    for i in range(0, len(a), 1 << 15):
+        x, y = a[i:i + (1 << 15)], b[i:i + (1 << 15)]
+        about = np.einsum("ij,ij->i", q[x].astype(np.float32), q[y].astype(np.float32)) * scale[x] * scale[y]
+        out[i:i + (1 << 15)] = about >= threshold - error[x] - error[y] - error[x] * error[y] - 1e-5
+    return out
 
 
-def _index(pivots, parts, with_vectors: bool):
-    """Rows of the inverted lists: (list, cell) and, with_vectors, what verification needs."""
+def _index(pivots, parts, whole: bool):
+    """Rows of the inverted lists: the list or, ``whole``, list, cell (packed), class, permutation and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rid = b.column(0).to_numpy(zero_copy_only=False)
             vectors = b.column(1).to_pylist()
-            weight = b.column(2).to_numpy(zero_copy_only=False)
             dims = np.fromiter(map(len, vectors), np.int64, len(vectors))
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                blobs = [np.array(vectors[i], np.float64).tobytes() for i in at]
-                own = pivots.value.get(dim, np.zeros((0, dim)))
-                tops = nearest(_unit(blobs), own) if len(own) else np.zeros((len(at), 0), np.int64)
+                unit = _normal(np.array([vectors[i] for i in at], np.float64))
+                own = pivots.value.get(dim)
+                tops = nearest(unit, own) if own is not None else np.zeros((len(at), 0), np.int64)
                 keys = _keys(tops, dim)
                 row = np.repeat(np.arange(len(at)), keys.shape[1])
                 key = keys.ravel()
-                if not with_vectors:
+                if not whole:
                     yield pa.RecordBatch.from_arrays([pa.array(key)], names=["list"])
                     continue
                 cut = parts.value
@@ -111,15 +224,70 @@ def _index(pivots, parts, with_vectors: bool):
                 again = np.repeat(np.arange(len(key)), pieces)  # one row per cell of its list
                 other = np.arange(len(again)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 low, high = np.minimum(salt[again], other), np.maximum(salt[again], other)
+                place = (low << 40) + (high << 20) + salt[again]
                 src = row[again]
+                q, scale = sketches(unit)
+                order = [t.astype(np.int16).tobytes() for t in tops]
+                told = [x.tobytes() + s.tobytes() for x, s in zip(q, scale)]
                 for i in range(0, len(again), 20_000):
                     s = slice(i, i + 20_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[again][s]), pa.array(low[s]), pa.array(high[s]), pa.array(salt[again][s]),
-                         pa.array(rid[at][src[s]]), pa.array(weight[at][src[s]]),
-                         pa.array([tops[k].astype(np.int32).tobytes() for k in src[s]], pa.binary()),
-                         pa.array([blobs[k] for k in src[s]], pa.binary())],
-                        names=["list", "low", "high", "salt", "rid", "weight", "tops", "vector"])
+                        [pa.array(key[again][s]), pa.array(place[s]), pa.array(rid[at][src[s]]),
+                         pa.array([order[k] for k in src[s]], pa.binary()), pa.array([told[k] for k in src[s]], pa.binary())],
+                        names=["list", "place", "rid", "tops", "sketch"])
+
+    return run
+
+
+def _permutations(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.int16).reshape(len(blobs), len(blobs[0]) // 2).astype(np.int64)
+
+
+def _own_cell(place: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a pair's blocks are those of its cell (a pair within one block stands in several cells)."""
+    salt, low, high = place & 0xFFFFF, place >> 40, place >> 20 & 0xFFFFF
+    return (np.minimum(salt[a], salt[b]) == low[a]) & (np.maximum(salt[a], salt[b]) == high[a])
+
+
+def counted_pairs(tops: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs a < b of permutations with a rank-aware count of at least ``least``, block by block."""
+    if not tops.shape[1]:  # nothing is listed: all of one list
+        w = np.ones((len(tops), 1), np.float32)
+    else:
+        there, local = np.unique(tops, return_inverse=True)
+        w = rank_weights(local.reshape(tops.shape), len(there))
+    for i in range(0, len(w), CELL_ROWS):
+        for j in range(i, len(w), CELL_ROWS):
+            a, b = np.nonzero(w[i:i + CELL_ROWS] @ w[j:j + CELL_ROWS].T >= least)
+            a, b = a + i, b + j
+            yield a[a < b], b[a < b]
+
+
+def _candidates(pivots, threshold: float):
+    """The members of each cell that are in a pair which may link: list, place, rid, tops."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups_of(batches):
+            if len(g["rid"]) < 2:
+                continue
+            place, tops = np.array(g["place"], np.int64), _permutations(g["tops"])
+            dim = g["list"][0] >> 32
+            raw = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(place), dim + 8)
+            q, scale = raw[:, :dim].view(np.int8), np.ascontiguousarray(raw[:, dim:]).view(np.float64)[:, 0]
+            own = pivots.value.get(dim)
+            keep = np.zeros(len(place), bool)
+            for a, b in counted_pairs(tops, own.least if own else 0.0):
+                mine = _own_cell(place, a, b)
+                a, b = a[mine], b[mine]
+                near = may_link(q, scale, a, b, threshold)
+                a, b = a[near], b[near]
+                first = _first_shared(tops, a, b) == g["list"][0] & 0xFFFFFFFF
+                keep[a[first]] = keep[b[first]] = True
+            at = np.flatnonzero(keep)
+            if len(at):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([g["list"][0]] * len(at), pa.int64()), pa.array(place[at]), pa.array(np.array(g["rid"], np.int64)[at]),
+                     pa.array([g["tops"][i] for i in at], pa.binary())], names=["list", "place", "rid", "tops"])
 
     return run
 
@@ -153,15 +321,14 @@ def _verify(threshold: float):
         for g in groups_of(batches):
             if len(g["rid"]) < 2:
                 continue
-            low, high, salt = np.array(g["low"]), np.array(g["high"]), np.array(g["salt"])
             rid, weight = np.array(g["rid"], np.int64), np.array(g["weight"], np.int64)
-            tops = np.frombuffer(b"".join(g["tops"]), np.int32).reshape(len(rid), len(g["tops"][0]) // 4)
-            unit = _unit(g["vector"])
+            place, tops = np.array(g["place"], np.int64), _permutations(g["tops"])
+            unit = _normal(np.array(g["v"], np.float64))
             shared = g["list"][0] & 0xFFFFFFFF
             links = np.zeros(len(rid), np.int64)
             left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for a, b in linked_pairs(unit, threshold):
-                own = (np.minimum(salt[a], salt[b]) == low[a]) & (np.maximum(salt[a], salt[b]) == high[a])
+                own = _own_cell(place, a, b)
                 a, b = a[own], b[own]
                 first = _first_shared(tops, a, b) == shared
                 a, b = a[first], b[first]
@@ -192,18 +359,21 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     n = classes.count()
     wanted = int(min(max_pivots, max(64, 2 * math.sqrt(n))))
     sample = [r["v"] for r in classes.select("v", F.xxhash64("rid").alias("h")).orderBy("h").limit(4 * wanted).collect()]
-    pivots = spark.sparkContext.broadcast(choose_pivots(sample, wanted))
+    pivots = spark.sparkContext.broadcast(choose_pivots(sample, wanted, threshold))
 
-    given = classes.select("rid", "v", "weight")
+    given = classes.select("rid", "v")
     lists = map_batches(given, _index(pivots, None, False), "list long").groupBy("list").count()
     hot, sizes = most_frequent(lists.filter(F.col("count") > CELL_ROWS), "list", "count", MAX_HOT)
     parts = spark.sparkContext.broadcast(dict(zip(hot.tolist(), (-(-sizes // CELL_ROWS)).tolist())))
-    index = map_batches(given, _index(pivots, parts, True),
-                        "list long, low long, high long, salt long, rid long, weight long, tops binary, vector binary")
+    row = "list long, place long, rid long, tops binary"
+    index = map_batches(given, _index(pivots, parts, True), f"{row}, sketch binary")
     shuffles = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 10_000))
-    cell = F.xxhash64("list", "low", "high").alias("cell")
+    cell = F.xxhash64("list", F.shiftright("place", 20)).alias("cell")
     index = index.select(cell, "*").repartition(shuffles, "cell").sortWithinPartitions("cell")
-    found = materialize(map_batches(index, _verify(threshold), "rid long, links long, root long"), "links")
+    near = materialize(map_batches(index, _candidates(pivots, threshold), row), "candidates")
+    near = near.join(classes, "rid").select(cell, "list", "place", "rid", "tops", "weight", "v")
+    near = near.repartition(shuffles, "cell").sortWithinPartitions("cell")
+    found = materialize(map_batches(near, _verify(threshold), "rid long, links long, root long"), "links")
 
     roots = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))

@@ -202,6 +202,64 @@ def test_recall_at_the_threshold_with_many_pivots(dim, wanted):
     assert (shared >= 2).mean() >= 0.96
 
 
+@pytest.mark.parametrize("mean,most", [(0.0, 0.1), (0.5, 0.25), (0.8, 1.0)])
+def test_recall_of_narrow_embeddings(spark, mean, most):
+    """Links just above the threshold among vectors of mean cosine 0, 0.5 and 0.8 are found, by comparing that share of the pairs."""
+    rng = np.random.default_rng(7)
+    n, dim = 1500, 48
+    common = np.zeros(dim)
+    common[0] = 1.0
+
+    def around(m):
+        u = rng.normal(size=(m, dim))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        x = math.sqrt(mean) * common + math.sqrt(1 - mean) * u
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = around(n)
+    noise = around(300) if mean else rng.normal(size=(300, dim))
+    low, high = np.zeros((300, 1)), np.ones((300, 1))
+    for _ in range(40):  # partners at cosines a little above 0.9
+        t = (low + high) / 2
+        y = x[:300] + t * (noise - x[:300])
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        c = (x[:300] * y).sum(axis=1, keepdims=True)
+        low, high = np.where(c > 0.905, t, low), np.where(c > 0.905, high, t)
+    y = x[:300] + low * (noise - x[:300])
+    every = np.concatenate((x, y))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in pivot_index.near_duplicates(df).collect()}
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert sum(got.values()) >= 0.9 * want.sum() and all(got[i] <= want[i] for i in got)
+    fitted = pivot_index.choose_pivots(every[rng.permutation(len(every))].tolist(), 84)[dim]
+    tops = pivot_index.nearest(unit, fitted)
+    w = pivot_index.rank_weights(tops, len(fitted))
+    compared = np.triu(((w > 0).astype(np.float32) @ (w > 0).astype(np.float32).T >= 2) & (w @ w.T >= fitted.least), 1).sum()
+    assert compared <= most * len(every) ** 2 / 2, compared / (len(every) ** 2 / 2)
+
+
+def test_rank_aware_counts_see_the_order():
+    a = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [4, 3, 2, 1], [1, 5, 6, 7], [8, 9, 5, 6]])
+    w = pivot_index.rank_weights(a, 10)
+    count = w @ w.T
+    assert count[0, 1] == pivot_index.largest_count(4) > count[0, 2] > count[0, 3] > count[0, 4] == 0
+    pairs = {(int(x), int(y)) for i, j in pivot_index.counted_pairs(a, 20.0) for x, y in zip(i, j)}
+    assert pairs == {(i, j) for i in range(5) for j in range(i + 1, 5) if count[i, j] >= 20}
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 24)) ** 3
+    y = x + rng.normal(size=x.shape) * 0.4 * np.abs(x)
+    unit = np.concatenate((x, y))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    q, scale = pivot_index.sketches(unit)
+    a, b = np.triu_indices(len(unit), 1)
+    cosine = (unit[a] * unit[b]).sum(axis=1)
+    may = pivot_index.may_link(q, scale, a, b, 0.9)
+    assert may[cosine >= 0.9].all() and (cosine[may] > 0.8).all() and (cosine >= 0.9).sum() > 100
+
+
 # ------------------------------------------------------------------ URLs
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
