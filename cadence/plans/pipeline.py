@@ -28,7 +28,7 @@ from ..operators import quality as qa
 from ..operators import splits as sp
 from ..operators import targets as tg
 from ..operators import timeline as tl
-from ..operators.ranking import checkpointed
+from ..operators.ranking import checkpointed, materialized_scope
 from ..sources import sinks
 from ..sources.tables import Roles
 
@@ -84,8 +84,13 @@ def run_pipeline(roles: Roles, output_dir: str, cfg: PipelineConfig | None = Non
                  raw: dict[str, DataFrame] | None = None) -> dict:
     """``raw``: the loaded tables keyed by ``patient_id`` (``patient_slices``);
     when given, the missing-value and outlier scans cover every raw column,
-    otherwise the role frames."""
-    cfg = cfg or PipelineConfig()
+    otherwise the role frames. Everything is written to ``output_dir``; tables
+    materialised on the way are deleted at the end."""
+    with materialized_scope(roles.patients.sparkSession):
+        return _run(roles, output_dir, cfg or PipelineConfig(), raw)
+
+
+def _run(roles: Roles, output_dir: str, cfg: PipelineConfig, raw: dict[str, DataFrame] | None) -> dict:
     spark = roles.patients.sparkSession
     # cohort and optional deterministic slice
     cohort = co.cohort_ids([roles.conditions, roles.observations], cfg.cohort_keywords)

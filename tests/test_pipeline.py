@@ -71,7 +71,10 @@ def test_pipeline_end_to_end(spark, tmp_path):
     bad = {r["table"]: r["bad_dates"] for r in status.collect()}
     assert all(n == 0 for m in bad.values() for n in m.values())
     out = tmp_path / "out"
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(base))
     res = run_pipeline(roles, str(out), PipelineConfig(min_pos_per_label=1), raw=patient_slices(tables))
+    assert set(os.listdir(base)) == before  # nothing is left behind
     issues = spark.read.json(res["reports"]["issues"])
     # the fifth encounter of every patient costs far more: one outlier each
     assert issues.where("code = 'outliers'").count() == 24
