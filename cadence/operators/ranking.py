@@ -50,6 +50,11 @@ def materialized_scope(spark: SparkSession) -> Iterator[None]:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def delete_with_scope(path: str) -> None:
+    """Delete ``path`` too when the innermost scope ends."""
+    _SCOPES[-1].append(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder (``spark.checkpoint.dir``);
     see ``materialized_scope`` for when it is deleted."""
