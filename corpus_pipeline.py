@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.llm import language_id, pii_crf
-from cadence.llm.common import free_name, materialize, small_batches, table
+from cadence.llm.common import free_name, materialize, scratch, small_batches, table
 from cadence.llm.decontaminate import is_contaminated
 from cadence.llm.jaccard_join import jaccard_components, word_hash
 from cadence.llm.mixing import emit, mix
+from cadence.operators.ranking import delete_with_scope, materialized_scope
 
 #: A document stays if some language has at least this calibrated probability.
 MIN_LANGUAGE_SCORE = 0.3
@@ -91,7 +92,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The mix. Each stage's documents are written for the next one; what a stage materialises on the way is deleted
+    when they are, and so are the documents before them."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = scratch(spark, name)
+        with materialized_scope(spark):
+            if before:
+                delete_with_scope(before)
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
