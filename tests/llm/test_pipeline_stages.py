@@ -70,9 +70,9 @@ def test_each_text_of_a_repeated_id_is_judged_by_itself(spark):
         [(1, a), (5, b), (9, c), (9, None), (None, a)], key=repr)
 
 
-def test_ten_operators_are_registered():
+def test_thirteen_operators_are_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(oracle.oracle_sql()) <= set(names)
 
 
@@ -87,3 +87,29 @@ def test_rest_imports_without_the_package(tmp_path):
             "assert e.queries() and not any(k.startswith('op') for k in e.queries() if k[2:3].isdigit())\n"
             "assert 'pipeline' not in e.queries()\n")
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_run_deletes_what_stages_materialise(spark):
+    from cadence.operators.ranking import materialized_scope
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(base))
+    with materialized_scope(spark):
+        out = cp.run(spark, SF)
+        kept = {n.split("-")[0] for n in set(os.listdir(base)) - before}
+        assert kept == {"pii", "mix"}, kept  # the last stage's documents and its own table
+        assert out.count() > 0
+    assert set(os.listdir(base)) == before
+
+
+def test_stages_on_very_long_and_odd_documents(spark):
+    """A megabyte of words, of digits and of letters, empty and null texts go through every stage."""
+    long = "the house and the river with water from the old hill " * 20_000
+    rows = [(1, long, "en", "a"), (2, "1" * 300_000 + " the end of the house", "en", "a"), (3, "a" * 300_000, "en", "b"), (4, None, "en", "a"),
+            (5, "", None, None), (6, long + "x", "en", "b"), (7, "the house and the river", "en", None), (None, "the old hill and the water", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").limit(100).withColumn("doc_id", F.col("doc_id") + 1000))
+    for name, stage in cp.STAGES:
+        docs = cp.materialize(stage(spark, docs, SF), name)
+        left = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        assert not {4, 5} & left and docs.count() > 50, name
+    assert not {1, 6} <= left  # near copies
