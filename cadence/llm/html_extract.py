@@ -7,7 +7,7 @@ flow, labels all blocks of a page at once; the text of the content side is the m
 
 The classifier is trained here: log-likelihood ratios of a block's features (ancestor elements, words
 of class and id, length, link share, punctuation, place of heading) between two kinds of silver blocks,
-counted over all pages: blocks of an article or main element outside boilerplate elements, and blocks
+counted over about ``TRAIN_PAGES`` pages: blocks of an article or main element outside boilerplate elements, and blocks
 of boilerplate elements (``nav``, ``footer``, ``form`` and the like, or words of class and id that say so).
 All costs stand on one scale with the edges, so the flow decides wherever the classifier is unsure or
 alone: what its features say together (at most ``MOST``), standing inside or outside of the page's article
@@ -18,7 +18,7 @@ make boilerplate of a wrapper: neither of an element with most of the page's tex
 its main element or an article at least half as long as the longest article and as the unmarked text
 outside of articles, nor of a page's own articles.
 
-Scale: two maps over the pages (count, then label), each page by itself; only the table of feature
+Scale: a map over the training pages (count) and one over all pages (label), each page by itself; only the table of feature
 counts is shuffled, a few hundred rows. Blocks whose cost outweighs all their edges are fixed before
 the flow is computed, so the graph that remains is small even for very long pages.
 
@@ -415,9 +415,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
          pa.array(list(seen.values()), pa.int64())], names=["feature", "label", "n"])
 
 
-def train(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Feature weights from all pages; elements and listed words bound their number."""
-    rows = map_batches(pages.select(F.col(html_col).cast("string").alias("html")), _count,
+#: Pages that the classifier is trained on, about; with fewer pages all of them.
+TRAIN_PAGES = 20_000
+
+
+def train(pages: DataFrame, html_col: str = "html", about: int = TRAIN_PAGES) -> dict[str, float]:
+    """Feature weights from pages drawn by the hash of their markup; elements and listed words bound their number."""
+    given = pages.select(F.col(html_col).cast("string").alias("html"))
+    n = given.count()
+    if n > about:
+        given = given.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 24)) / (1 << 24) < about / n)
+    rows = map_batches(given, _count,
                        "feature string, label long, n long").groupBy("feature", "label").agg(F.sum("n").alias("n"))
     counts = {(r["feature"], r["label"]): r["n"] for r in rows.collect()}
     blocks = (counts.get((None, 0), 0), counts.get((None, 1), 0))
