@@ -15,7 +15,7 @@ across conversations.
 Defined results: null roles and texts count as empty; rows of equal turn number are
 ordered by role, then text, and repeated rows are repeated turns; a null conversation id
 is a conversation of its own; no rows give no rows; a row whose fingerprint no mapping
-has keeps null turns and ``layout`` unknown; columns that no layout names are ignored.
+has keeps null turns and ``layout`` unknown; a very long text or conversation is one row, formatted whole; columns that no layout names are ignored.
 """
 
 from __future__ import annotations

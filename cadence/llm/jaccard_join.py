@@ -26,7 +26,7 @@ has a checked size. Nothing of the documents is collected to the driver.
 
 Defined results: null or empty texts have no shingles and link with nothing; fewer than five
 words are one shingle; repeated rows are linked copies; a null doc_id gets a null component and
-links with nothing; an empty table gives no rows; other columns of the input don't matter.
+links with nothing; a very long text is read whole, and its bitmaps grow with its shingles; an empty table gives no rows; other columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -394,6 +394,7 @@ def _cells(roots: DataFrame, sizes: DataFrame) -> DataFrame:
     held = (held.join(above, ["root", "cls"], "left").join(below, ["root", "cls"], "left").join(whole, "root")
             .select("root", "cls", "k", F.coalesce("up", F.lit(0)).alias("up"), F.coalesce("down", F.lit(0)).alias("down"),
                     ((F.col("tc") <= CELL_ROWS) & (F.col("ts") <= BLOCK_SHINGLES)).alias("one")))
+    held = materialize(held, "blocks")  # so that the join can split a hot root
     at = member.join(held, ["root", "cls"]).withColumn("i", F.pmod(F.xxhash64("rid"), F.col("k")))
     i, cls, long = F.col("i"), F.col("cls"), "array<long>"
 
@@ -477,7 +478,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     at = rows.filter("n > 0 and doc_id is not null").join(linked, rows.rid == linked.node, "left").select(
         "doc_id", F.coalesce("root", "rid").alias("root"))
-    smallest = at.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join below can split a hot root
+    smallest = materialize(at.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     carried = ["rid"] if with_rid else []
     named = rows.join(linked, rows.rid == linked.node, "left").select(
         "doc_id", "n", *carried, F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "rid")).alias("root"))

@@ -12,7 +12,7 @@ texts; the model that it broadcasts has DIM x (number of languages) weights, wit
 ``max_languages`` languages.
 
 Defined results: null text or text without letters is ``und`` with score 0; without any labelled
-training row every text is ``und``; null labels are not learned from; equal rows get equal results;
+training row every text is ``und``; a very long text is read whole, n-gram by n-gram; null labels are not learned from; equal rows get equal results;
 ties between languages go to the smaller label; an empty table gives no rows; other columns of the
 input don't matter and are kept by ``with_language``.
 """

@@ -15,7 +15,8 @@ sums work on (id, source, size) alone, unless columns are to be carried along.
 Defined results: a null text has size 0; the null source is a source of its own, last
 in order; sources without words get target 0 and no copies; rows with equal ids are
 numbered one after the other, whichever comes first; an empty table gives no rows;
-columns of other names are carried in one struct and can't clash.
+columns of other names are carried in one struct and can't clash. A very long text is counted whole, where it is,
+and taken as often as its source's rate says, like any other.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ threshold is returned.
 Fit, on a bounded sample (``4 P`` vectors with the smallest hashes of their values): pivots are those not too
 like one before, P about 2 sqrt(n) and at most ``max_pivots``. Pairs made at the threshold from sample vectors (towards
 another vector, and in a random direction) say how many of how many pivots must be listed so that ``TARGET`` of
-them share two, with the fewest random pairs doing so; and which rank-aware count nearly all of them reach. Every
+them share two, with the least work on index rows and random pairs; and which rank-aware count nearly all of them reach. Every
 vector is indexed. A pair that shares fewer than two listed pivots, or ranks them too differently, is missed;
 tests measure the recall against brute force.
 
@@ -47,7 +47,9 @@ THRESHOLD = 0.9
 #: Pivots that a vector lists, at least and at most, and the fewest pivots to list from.
 LEAST_LIST, MOST_LIST, LEAST_PIVOTS = 6, 14, 16
 #: Share of made pairs that must share two listed pivots; share of those that may fail the rank-aware count.
-TARGET, MISS = 0.975, 0.01
+TARGET, MISS = 0.97, 0.01
+#: Comparisons of permutations that cost as much as a row of the index.
+ROW_PAIRS = 100
 MAX_PIVOTS = 4096
 PIVOT_COSINE = 0.8
 CELL_ROWS = 1024
@@ -111,40 +113,43 @@ def _made_pairs(unit: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np
     return [(x, _normal(x + low * (other - x))), (x, threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * noise)]
 
 
-def _fit_lists(unit: np.ndarray, centre: np.ndarray, rows: np.ndarray, threshold: float) -> Pivots:
+def _fit_lists(unit: np.ndarray, centre: np.ndarray, rows: np.ndarray, threshold: float, n: int | None) -> Pivots:
     """Of the first P, P / 2, P / 4 ... pivots, and the shortest lists that reach the target, those with fewest random
-    pairs in common lists; if none reaches it, the longest lists from the fewest pivots."""
+    pairs in common lists, or with ``n`` vectors the least work: an index row costs about ``ROW_PAIRS`` comparisons. If
+    none reaches it, the longest lists from the fewest pivots."""
     apart = unit[(_normal(unit - centre) @ rows.T).max(axis=1) < 0.9999]  # a pivot finds itself too easily
     if len(apart) < 50:
         apart = unit
     pairs = _made_pairs(apart, threshold)
     some = np.resize(apart, (600, apart.shape[1]))
     found = []
-    n = len(rows)
-    while n >= min(LEAST_PIVOTS, len(rows)):
-        most = min(MOST_LIST, n)
-        tops = [(_ordered(x, centre, rows[:n], most), _ordered(y, centre, rows[:n], most)) for x, y in pairs]
-        chance = _ordered(some, centre, rows[:n], most)
+    p = len(rows)
+    while p >= min(LEAST_PIVOTS, len(rows)):
+        most = min(MOST_LIST, p)
+        tops = [(_ordered(x, centre, rows[:p], most), _ordered(y, centre, rows[:p], most)) for x, y in pairs]
+        chance = _ordered(some, centre, rows[:p], most)
         for k in range(min(LEAST_LIST, most), most + 1):
             counts = [((a[:, :k, None] == b[:, None, :k]).sum(axis=(1, 2))) for a, b in tops]
             reached = min(float((c >= 2).mean()) for c in counts)
             if reached >= TARGET or k == most:
-                there = rank_weights(chance[:, :k], n) > 0
+                there = rank_weights(chance[:, :k], p) > 0
                 common = there[:300].astype(np.float32) @ there[300:].astype(np.float32).T
-                found.append((reached < TARGET, float((common >= 2).mean()) if reached >= TARGET else -reached, n, k))
+                share = float((common >= 2).mean())
+                work = share if n is None else share * n / ROW_PAIRS + k * (k - 1) / 2
+                found.append((reached < TARGET, work if reached >= TARGET else -reached, p, k))
                 break
-        n //= 2
-    *_, n, k = min(found)
+        p //= 2
+    *_, p, k = min(found)
     counts = []
     for x, y in pairs:
-        a, b = rank_weights(_ordered(x, centre, rows[:n], k), n), rank_weights(_ordered(y, centre, rows[:n], k), n)
+        a, b = rank_weights(_ordered(x, centre, rows[:p], k), p), rank_weights(_ordered(y, centre, rows[:p], k), p)
         both = ((a > 0) & (b > 0)).sum(axis=1) >= 2
         counts.append(np.quantile((a * b).sum(axis=1)[both], MISS) if both.any() else 0.0)
-    return Pivots(rows[:n], centre, k, float(min(counts)))
+    return Pivots(rows[:p], centre, k, float(min(counts)))
 
 
-def choose_pivots(sample: list[list[float]], wanted: int, threshold: float = THRESHOLD) -> dict[int, Pivots]:
-    """Pivots by vector length, in the sample's order, with lists fitted for links at ``threshold``."""
+def choose_pivots(sample: list[list[float]], wanted: int, threshold: float = THRESHOLD, n: int | None = None) -> dict[int, Pivots]:
+    """Pivots by vector length, in the sample's order, with lists fitted for links at ``threshold`` among ``n`` vectors."""
     by: dict[int, list[list[float]]] = {}
     for values in sample:
         by.setdefault(len(values), []).append(values)
@@ -163,7 +168,7 @@ def choose_pivots(sample: list[list[float]], wanted: int, threshold: float = THR
             alike = np.triu(block @ block.T >= PIVOT_COSINE, 1)
             own = np.concatenate((own, block[~alike.any(axis=0)]))
         if len(own):
-            out[d] = _fit_lists(unit, centre, own[:wanted], threshold)
+            out[d] = _fit_lists(unit, centre, own[:wanted], threshold, n)
     return out
 
 
@@ -359,7 +364,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     n = classes.count()
     wanted = int(min(max_pivots, max(64, 2 * math.sqrt(n))))
     sample = [r["v"] for r in classes.select("v", F.xxhash64("rid").alias("h")).orderBy("h").limit(4 * wanted).collect()]
-    pivots = spark.sparkContext.broadcast(choose_pivots(sample, wanted, threshold))
+    pivots = spark.sparkContext.broadcast(choose_pivots(sample, wanted, threshold, n))
 
     given = classes.select("rid", "v")
     lists = map_batches(given, _index(pivots, None, False), "list long").groupBy("list").count()
@@ -381,7 +386,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
             .select("rid", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
                     F.coalesce("root", "rid").alias("root")))
     named = rows.select("vec_id", "rid").join(told, "rid", "left")
-    smallest = named.filter("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"))
+    smallest = materialize(named.filter("root is not null").groupBy("root").agg(F.min("vec_id").alias("least")), "smallest")
     out = named.join(smallest, "root", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("root").isNotNull(), F.col("least")).otherwise(F.col("vec_id")).alias("component_id"))

@@ -14,7 +14,8 @@ once; joins on hot keys are left to skew splitting, as the list's side holds a k
 Defined results: a null URL, or one without ``://``, has empty host and path and fits no
 rule; it can still be listed as it stands if not null. Verdicts go to every row, repeated rows
 included. Ties between rules of equal length go to the smaller rule; a key listed twice with
-different actions blocks. An empty table gives no rows. Other columns don't matter.
+different actions blocks. A very long URL, or a host of many labels, is looked up by as many keys as the rules have
+lengths and label counts, like any other. An empty table gives no rows. Other columns don't matter.
 """
 
 from __future__ import annotations
