@@ -38,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_batches, materialize, most_frequent
 from .graph import components, local_components
@@ -60,6 +61,8 @@ MADE = 1000
 
 
 def _normal(m: np.ndarray) -> np.ndarray:
+    """Rows of unit length; scaled by powers of two first, so that squares neither overflow nor vanish."""
+    m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=-1, keepdims=True, initial=0.0))[1])
     size = np.linalg.norm(m, axis=-1, keepdims=True)
     return m / np.where(size > 0, size, 1.0)
 
@@ -355,7 +358,9 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
                     threshold: float = THRESHOLD, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` per row."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # single precision is sent as it is and widened, exactly, where it is used
+    kind = "array<float>" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), True) else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = materialize(rows.withColumn("rid", F.when(valid, F.xxhash64("v"))), "vectors")

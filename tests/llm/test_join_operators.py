@@ -247,6 +247,12 @@ def test_rank_aware_counts_see_the_order():
     assert pairs == {(i, j) for i in range(5) for j in range(i + 1, 5) if count[i, j] >= 20}
 
 
+def test_very_large_and_small_vectors_are_compared(spark):
+    rows = [(1, [1e300, 1e300, 0.0]), (2, [1e-300, 1e-300, 0.0]), (3, [1.0, 1.0, 0.1]), (4, [0.0, 1e-320, 1e300]), (5, [-1.0, -1.0, 0.0])]
+    got = {r["vec_id"]: r["n_links"] for r in pivot_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 0, 5: 0}
+
+
 def test_sketches_lose_no_link():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(400, 24)) ** 3
