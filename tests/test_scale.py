@@ -42,3 +42,11 @@ def test_dense_matrices_are_never_broadcast(spark):
     got = {r["patient_id"]: r for r in m.collect()}
     assert got[1]["temporal"] == [[0, 0], [0, 0], [0, 2], [0, 2], [0, 0]] and got[1]["sequence_length"] == 5
     assert got[3]["temporal"] == [[0, 0]] * 5 and got[3]["sequence_length"] == 0  # no timeline
+
+
+def test_batches_do_not_broadcast_their_rows(spark):
+    b = ex.batches(_ready(spark), 2)
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "temporal" in plan and "temporal" not in _broadcast(b)
+    assert sorted(r["batch_len"] for r in b.collect()) == [2, 2]
+    assert sorted(p for r in b.collect() for p in r["patient_id"]) == [0, 1, 2, 3]
