@@ -50,3 +50,11 @@ def test_batches_do_not_broadcast_their_rows(spark):
     assert "temporal" in plan and "temporal" not in _broadcast(b)
     assert sorted(r["batch_len"] for r in b.collect()) == [2, 2]
     assert sorted(p for r in b.collect() for p in r["patient_id"]) == [0, 1, 2, 3]
+
+
+def test_the_whole_grid_is_returned(spark):
+    import __spark_entry__ as entry
+    df = entry.queries()["dense_grid_zero_fill"](spark, "/root/testdata/sf0.001")
+    assert df.columns == ["patient_id", "hour_idx", "value"]
+    per = df.groupBy("patient_id").agg(F.count("value").alias("n"), F.countDistinct("hour_idx").alias("h")).collect()
+    assert per and all(r["n"] == r["h"] == tl.GRID_LEN for r in per)
