@@ -58,3 +58,21 @@ def test_the_whole_grid_is_returned(spark):
     assert df.columns == ["patient_id", "hour_idx", "value"]
     per = df.groupBy("patient_id").agg(F.count("value").alias("n"), F.countDistinct("hour_idx").alias("h")).collect()
     assert per and all(r["n"] == r["h"] == tl.GRID_LEN for r in per)
+
+
+def test_every_row_is_weighed_in_every_bootstrap_sample(spark):
+    import hashlib
+    import numpy as np
+    from cadence.operators import bootstrap as bs
+    rng = np.random.default_rng(4)
+    t, s = rng.integers(0, 2, 200), rng.random(200)
+    df = spark.createDataFrame([(i // 2, "icu_admission", float(a), float(b)) for i, (a, b) in enumerate(zip(s, t))],
+                               "patient_id long, task string, prediction double, target double")
+    n = 50
+    u = np.array([[int(hashlib.md5(f"icu_admission:{i // 2}:{r}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(200)] for r in range(1, n + 1)])
+    w = np.vstack([np.ones(200), (u[:, :, None] >= np.array(bs.POISSON_CDF)).sum(axis=2)])
+    tp, fp, tn, fn = (w[:, (t == a) & ((s > .5) == b)].sum(axis=1) for a, b in ((1, 1), (0, 1), (0, 0), (1, 0)))
+    want = {"precision": tp / (tp + fp), "recall": tp / (tp + fn), "specificity": tn / (tn + fp), "f1_score": 2 * tp / (2 * tp + fp + fn)}
+    got = {r["metric"]: r for r in bs.bootstrap_intervals(df, n).collect()}
+    for m, v in want.items():
+        assert [got[m][c] for c in ("estimate", "low", "high")] == pytest.approx([v[0], *np.percentile(v[1:], [2.5, 97.5])])
