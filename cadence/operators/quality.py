@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import join_null_safe, running_sums
+from .ranking import checkpointed, join_null_safe, running_sums
 
 FLAG_LIMIT = 0.2     # configured "high missing" flag
 REJECT_LIMIT = 0.8   # literal cut-off that invalidates a patient
@@ -101,21 +101,53 @@ def missing_by_patient(tables: dict[str, DataFrame], patients: DataFrame | None
         (share > flag_limit).alias("high_missing"), (share <= reject_limit).alias("is_valid"))
 
 
-def iqr_outliers(long: DataFrame, group: list[str], value: str = "v") -> DataFrame:
+#: Values of a group up to which one task orders them as an array (0.8 MB of numbers).
+ARRAY_VALUES = 100_000
+
+
+def iqr_outliers(long: DataFrame, group: list[str], value: str = "v", array_values: int = ARRAY_VALUES) -> DataFrame:
     """Q2: per group, linear-interpolated quartiles (as pandas ``quantile``)
     and the number of values strictly outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR].
 
-    Exact and skew-safe, with one scan of the raw rows: values are first
+    Exact and skew-safe. Groups are counted first. Those of up to ``array_values`` values are gathered by one shuffle,
+    each ordered as an array that gives its quartiles and outliers; larger ones go through ``_iqr_by_ranks``.
+    Rows whose keys are NULL are a group like any other.
+    """
+    vals = long.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
+    hot = checkpointed(vals.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > array_values).select(*group))
+    if hot.isEmpty():
+        return _iqr_by_arrays(vals, group, value)
+    keys = F.broadcast(hot.select(*[F.col(g).alias(f"_h_{g}") for g in group]))  # one row for each ``array_values`` rows at most
+    same = [F.col(g).eqNullSafe(F.col(f"_h_{g}")) for g in group]
+    return _iqr_by_arrays(vals.join(keys, same, "left_anti"), group, value).unionByName(
+        _iqr_by_ranks(vals.join(keys, same, "left_semi"), group, value))
+
+
+def _iqr_by_arrays(vals: DataFrame, group: list[str], value: str) -> DataFrame:
+    """``iqr_outliers`` of groups that one task can hold."""
+    x = vals.groupBy(*group).agg(F.sort_array(F.collect_list(value)).alias("_vs"))
+
+    def quantile(q: float) -> F.Column:
+        pos = (F.size("_vs") - 1) * F.lit(q)
+        lo, hi = (F.get("_vs", e(pos).cast("int")) for e in (F.floor, F.ceil))
+        return lo + (hi - lo) * (pos - F.floor(pos))
+    x = x.select(*group, "_vs", quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
+    reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
+    x = x.select(*group, "_vs", "q1", "q3", (F.col("q1") - reach).alias("_lo"), (F.col("q3") + reach).alias("_hi"))
+    out = F.size(F.filter("_vs", lambda v: (v < F.col("_lo")) | (v > F.col("_hi")))).cast("long")
+    return x.select(*group, "q1", "q3", out.alias("n_outliers"))
+
+
+def _iqr_by_ranks(vals: DataFrame, group: list[str], value: str) -> DataFrame:
+    """``iqr_outliers`` of groups of any size: values are first
     collapsed to (group, value, count) by a map-side-combined aggregation, and
     everything after reads the materialised running counts;
     running counts over the distinct values (``running_sums``: range
     partitioned, so a hot group spans many tasks) locate the four order
     statistics each group needs; outliers are counted on the collapsed rows.
-    Rows whose keys are NULL are a group like any other.
     """
-    vals = long.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     cnt = vals.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_sums(cnt, group, value, ["_c"], prefix="_cum")
+    cum = checkpointed(running_sums(cnt, group, value, ["_c"], prefix="_cum"))
     n = cum.groupBy(*group).agg(F.sum("_c").alias("_n"))
     # one row per group with the four 1-based ranks it needs
     cols = []

@@ -76,3 +76,26 @@ def test_every_row_is_weighed_in_every_bootstrap_sample(spark):
     got = {r["metric"]: r for r in bs.bootstrap_intervals(df, n).collect()}
     for m, v in want.items():
         assert [got[m][c] for c in ("estimate", "low", "high")] == pytest.approx([v[0], *np.percentile(v[1:], [2.5, 97.5])])
+
+
+def test_outliers_by_arrays_and_by_ranks_agree(spark):
+    """Groups of up to ``array_values`` values and larger ones get what numpy finds; NULL keys are a group."""
+    import numpy as np
+    from cadence.operators import quality as qa
+    rng = np.random.default_rng(3)
+    groups = {"a": np.append(rng.normal(size=40), [9.0, -9.0]), "b": np.array([1.0, 2, 3, 4, 100]), None: np.round(rng.normal(size=30), 1), "c": np.array([7.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame([*rows, ("a", None), ("b", float("nan"))], "g string, v double")
+    for limit in (100, 20, 0):
+        got = {r["g"]: r for r in qa.iqr_outliers(df, ["g"], array_values=limit).collect()}
+        assert got.keys() == groups.keys()
+        for g, vs in groups.items():
+            q1, q3 = np.quantile(vs, [0.25, 0.75])
+            out = ((vs < q1 - 1.5 * (q3 - q1)) | (vs > q3 + 1.5 * (q3 - q1))).sum()
+            assert (got[g]["q1"], got[g]["q3"]) == pytest.approx((q1, q3)) and got[g]["n_outliers"] == out
+
+
+def test_outliers_of_small_groups_are_not_range_sorted(spark):
+    from cadence.operators import quality as qa
+    plan = qa.iqr_outliers(spark.createDataFrame([("a", 1.0)], "g string, v double"), ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
