@@ -99,3 +99,17 @@ def test_outliers_of_small_groups_are_not_range_sorted(spark):
     from cadence.operators import quality as qa
     plan = qa.iqr_outliers(spark.createDataFrame([("a", 1.0)], "g string, v double"), ["g"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_active_segments_are_dealt_to_a_stated_number_of_tasks(spark):
+    """Few bytes of segments become many hours: they must not be joined to one task by their size."""
+    import datetime as dt
+    from cadence.functions.vocab import Vocab
+    t0 = dt.datetime(2024, 1, 1)
+    anchors = spark.createDataFrame([(i, t0) for i in range(40)], "patient_id long, t0 timestamp_ntz")
+    iv = spark.createDataFrame([(i, t0 + dt.timedelta(hours=i), None, "drug") for i in range(40)],
+                               "patient_id long, start timestamp_ntz, stop timestamp_ntz, description string")
+    df = tl.hourly_active_counts(iv, anchors, Vocab.of("v", [("drug", ["drug"])]))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    used = {r[0] for r in df.select(F.spark_partition_id()).distinct().collect()}
+    assert df.count() == sum(720 - i for i in range(40)) and len(used) > n // 2
