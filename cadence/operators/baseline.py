@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .metrics import BINARY_TASKS, REGRESSION_TASK
+from .ranking import checkpointed
 
 STATISTICS = ("mean", "std", "max", "trend")
 TASKS = (*BINARY_TASKS, REGRESSION_TASK)
@@ -27,6 +28,8 @@ TASKS = (*BINARY_TASKS, REGRESSION_TASK)
 PENALTY = 0.01
 #: Patients that one call of a scorer gets.
 SCORE_ROWS = 1024
+#: Rows of the fit that a task holds: every task of every iteration sends the driver a few KB.
+FIT_ROWS = 100_000
 
 
 def channel_features(stats: DataFrame, channels: list[str]) -> tuple[DataFrame, list[str]]:
@@ -36,10 +39,12 @@ def channel_features(stats: DataFrame, channels: list[str]) -> tuple[DataFrame,
 
 
 def feature_table(patients: DataFrame, parts: list[tuple[DataFrame, list[str]]]) -> tuple[DataFrame, list[str]]:
-    """``patient_id`` and all features of ``parts``; what a patient lacks (NULL, NaN, no row) is 0."""
+    """``patient_id`` and all features of ``parts``; what a patient lacks (NULL, NaN, no row) is 0.
+
+    Tables with a row per patient are merged, here and in the fit: a broadcast passes through the driver."""
     x, columns = patients.select("patient_id").distinct(), []
     for df, names in parts:
-        x = x.join(df.select("patient_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in names]), "patient_id", "left")
+        x = x.join(df.select("patient_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).hint("merge"), "patient_id", "left")
         columns += names
     return x.na.fill(0.0, columns), columns
 
@@ -51,8 +56,10 @@ def fit_baselines(features: DataFrame, columns: list[str], labels: DataFrame, tr
     ``labels``: ``patient_id`` and a column for each of ``TASKS`` (flags 0 / 1, stay in hours). A task without any
     label gets no model; features that are the same for all these patients are left out of the vector.
     """
-    known = features.join(train.select("patient_id").distinct(), "patient_id", "left_semi").join(
-        labels.select("patient_id", *[F.col(t).cast("double").alias(f"label_{t}") for t in TASKS]), "patient_id").persist()
+    known = features.join(train.select("patient_id").distinct().hint("merge"), "patient_id", "left_semi").join(
+        labels.select("patient_id", *[F.col(t).cast("double").alias(f"label_{t}") for t in TASKS]).hint("merge"), "patient_id")
+    known = checkpointed(known)  # counted and read
+    known = known.coalesce(1 + known.count() // FIT_ROWS).persist()
     try:
         ends = known.agg(*[(F.max(f"`{c}`") > F.min(f"`{c}`")).alias(str(i)) for i, c in enumerate(columns)]).first()
         assemble = VectorAssembler(inputCols=[c for c, varied in zip(columns, ends) if varied] or columns[:1], outputCol="features")

@@ -139,7 +139,7 @@ def baseline_model(spark, sf_dir):
     events = bd.event_roles(spark, sf_dir, with_intervals=False)
     stay = events.observations.groupBy("patient_id").agg(
         (tl.micros_between(F.min("ts"), F.max("ts")) / tl.HOUR_US).alias("length_of_stay"))
-    flags = _label_flags(spark, sf_dir).join(stay, "patient_id", "left").select(
+    flags = _label_flags(spark, sf_dir).join(stay.hint("merge"), "patient_id", "left").select(
         "patient_id", F.col("mortality").alias("mortality_risk"), F.col("icu").alias("icu_admission"),
         F.col("ventilator").alias("ventilator_need"), "length_of_stay")
     train = sp.temporal_split(roles.observations).where("split = 'train'")

@@ -113,3 +113,21 @@ def test_active_segments_are_dealt_to_a_stated_number_of_tasks(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     used = {r[0] for r in df.select(F.spark_partition_id()).distinct().collect()}
     assert df.count() == sum(720 - i for i in range(40)) and len(used) > n // 2
+
+
+def test_tables_of_a_baseline_are_not_broadcast(spark):
+    import numpy as np
+    from cadence.operators import baseline as ba
+    p = spark.range(50).withColumnRenamed("id", "patient_id")
+    x, _ = ba.feature_table(p, [(p.withColumn("a", F.rand(1)), ["a"]), (p.withColumn("b", F.rand(2)), ["b"])])
+    assert "patient_id" not in _broadcast(x)
+    labels = p.select("patient_id", *[(F.col("patient_id") % (i + 2) == 0).cast("int").alias(t) for i, t in enumerate(ba.TASKS)])
+    tasks = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fit", "fit")
+    try:
+        model = ba.fit_baselines(x, ["a", "b"], labels, p)
+        stages = [tasks.getStageInfo(s) for j in tasks.getJobIdsForGroup("fit") for s in tasks.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # the iterations, by far the most stages, run a task for each FIT_ROWS rows
+    assert np.median([s.numTasks for s in stages if s]) == 1 and len(ba.linear_weights(model)[1]) == 4
