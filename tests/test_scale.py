@@ -39,6 +39,7 @@ def _ready(spark, n=3):
 def test_dense_matrices_are_never_broadcast(spark):
     m = _ready(spark)
     assert "MapInArrow" in m._jdf.queryExecution().executedPlan().toString() and "MapInArrow" not in _broadcast(m)
+    assert "collect_list" not in _broadcast(m)  # nor the segments that fill them
     got = {r["patient_id"]: r for r in m.collect()}
     assert got[1]["temporal"] == [[0, 0], [0, 0], [0, 2], [0, 2], [0, 0]] and got[1]["sequence_length"] == 5
     assert got[3]["temporal"] == [[0, 0]] * 5 and got[3]["sequence_length"] == 0  # no timeline
