@@ -53,6 +53,19 @@ def test_batches_do_not_broadcast_their_rows(spark):
     assert sorted(p for r in b.collect() for p in r["patient_id"]) == [0, 1, 2, 3]
 
 
+def test_batches_hold_few_rows_at_once(spark):
+    """Wide rows are small in files and shuffles: what a task unpacks or packs must not be chosen by bytes."""
+    import pyarrow.parquet as pq
+    n = 399
+    b = ex.batches(_ready(spark, n), 4)
+    assert b.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 3 * ex.TASK_BATCHES
+    assert sorted(r["batch_len"] for r in b.collect()) == [4] * 100
+    assert sorted(p for r in b.collect() for p in r["patient_id"]) == list(range(n + 1))
+    groups = [meta.row_group(i).num_rows for f in b.inputFiles() for meta in [pq.read_metadata(f.removeprefix("file:"))]
+              if "temporal" in meta.schema.to_arrow_schema().names for i in range(meta.num_row_groups)]
+    assert sum(groups) == n + 1 and max(groups) <= ex.GRID_PATIENTS
+
+
 def test_the_whole_grid_is_returned(spark):
     import __spark_entry__ as entry
     df = entry.queries()["dense_grid_zero_fill"](spark, "/root/testdata/sf0.001")
