@@ -145,3 +145,27 @@ def test_tables_of_a_baseline_are_not_broadcast(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     # the iterations, by far the most stages, run a task for each FIT_ROWS rows
     assert np.median([s.numTasks for s in stages if s]) == 1 and len(ba.linear_weights(model)[1]) == 4
+
+
+def test_batch_members_reads_few_wide_rows_at_once(spark, tmp_path):
+    """The query itself: each row group of its wide rows, which a reader unpacks whole, holds few; every patient is a member once."""
+    import datetime as dt
+    import pyarrow.parquet as pq
+    import __spark_entry__ as entry
+    n, kinds, t0 = 150, ("view", "click", "purchase", "error", "signup"), dt.datetime(2024, 1, 1)
+    events = [(3 * i + j, t0 + dt.timedelta(hours=i + 30 * j), i, kinds[(i + j) % 5], float(i)) for i in range(n) for j in range(3)]
+    orders = [(i, i, "O", 10.0 * i, t0, "1-URGENT") for i in range(n)]
+    customers = [(i, i % 25, 1.0, "BUILDING") for i in range(n)]
+    for name, rows, schema in (
+            ("events", events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"),
+            ("orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+            ("customer", customers, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    b = entry.queries()["batch_members"](spark, str(tmp_path))
+    got = b.collect()
+    assert sorted(r["patient_id"] for r in got) == list(range(n))
+    places = {(r["split"], r["batch_id"], r["position"]) for r in got}
+    assert len(places) == n and all(r["position"] < r["batch_len"] <= 32 and r["temporal_size"] == 720 for r in got)
+    metas = [pq.read_metadata(f.removeprefix("file:")) for f in b.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in metas if "temporal" in m.schema.to_arrow_schema().names for i in range(m.num_row_groups)]
+    assert sum(groups) == n and max(groups) <= ex.GRID_PATIENTS
